@@ -14,26 +14,54 @@ BLOCK_ADD = 0xE6546B64
 FINAL_M1 = 0x85EBCA6B
 FINAL_M2 = 0xC2B2AE35
 
-_LOW32 = 0xFFFFFFFF
+_LOW32 = f"{0xFFFFFFFF}L"
 
 
-def _long(value: int) -> Column:
-    return F.lit(value).cast("bigint")
+def _let(value: str, body: str) -> str:
+    """SQL for ``body`` with ``v`` bound to the value.
+
+    An expression used twice is computed twice; a lambda variable is not.
+    Without this the nested steps below would double at every level.
+    """
+    return f"transform(array({value}), v -> {body})[0]"
 
 
-def _times(value: Column, factor: int) -> Column:
+def _times(value: str, factor: int) -> str:
     """32-bit product; split in halves because bigint overflow is an error in ANSI mode."""
-    low = value.bitwiseAND(_long(0xFFFF)) * _long(factor)
-    high = (F.shiftright(value, 16) * _long(factor)).bitwiseAND(_long(0xFFFF))
-    return (low + F.shiftleft(high, 16)).bitwiseAND(_long(_LOW32))
+    low, high = f"(v & 65535L) * {factor}L", f"shiftleft((shiftright(v, 16) * {factor}L) & 65535L, 16)"
+    return _let(value, f"({low} + {high}) & {_LOW32}")
+
+
+def _rotate(value: str, bits: int) -> str:
+    return _let(value, f"(shiftleft(v, {bits}) | shiftright(v, {32 - bits})) & {_LOW32}")
+
+
+def _spread(value: str, bits: int) -> str:
+    return _let(value, f"v ^ shiftright(v, {bits})")
+
+
+def _scramble(block: str) -> str:
+    return _times(_rotate(_times(block, BLOCK_C1), 15), BLOCK_C2)
+
+
+def _mix(state: str, block: str) -> str:
+    return f"({_times(_rotate(f'{state} ^ {_scramble(block)}', 13), 5)} + {BLOCK_ADD}L) & {_LOW32}"
 
 
-def _rotate(value: Column, bits: int) -> Column:
-    return F.shiftleft(value, bits).bitwiseOR(F.shiftright(value, 32 - bits)).bitwiseAND(_long(_LOW32))
+def _finish(state: str) -> str:
+    mixed = _spread(_times(_spread(_times(_spread(state, 16), FINAL_M1), 13), FINAL_M2), 16)
+    return _let(mixed, f"if(v >= {2**31}L, v - {2**32}L, v)")
 
 
-def _fold(state: Column, block: Column) -> Column:
-    return state.bitwiseXOR(_times(_rotate(_times(block, BLOCK_C1), 15), BLOCK_C2))
+def _string_hash_sql() -> str:
+    """Lambda from UTF-16 text in hex (4 digits a unit, 8 a pair) to its hash."""
+    pairs, units = "shiftright(length(d), 3)", "shiftright(length(d), 2)"
+    at = f"if({pairs} > 0, sequence(0, {pairs} - 1), cast(array() as array<int>))"
+    blocks = f"transform({at}, i -> cast(conv(substring(d, i * 8 + 1, 8), 16, 10) as bigint))"
+    rest = f"cast(conv(substring(d, {pairs} * 8 + 1, 4), 16, 10) as bigint)"
+    tail = f"if({units} % 2 = 1, {_scramble(rest)}, 0L)"
+    body = f"aggregate({blocks}, {STRING_SEED}L, (h, b) -> {_mix('h', 'b')})"
+    return f"d -> {_finish(f'{body} ^ {tail} ^ cast({units} as bigint)')}"
 
 
 def string_hash(text: Column) -> Column:
@@ -43,28 +71,14 @@ def string_hash(text: Column) -> Column:
     numbers, so the steps are written out with higher-order functions.
     """
     digits = F.hex(F.encode(text, "UTF-16BE"))
-    units = (F.length(digits) / 4).cast("int")
-    pairs = F.shiftright(units, 1)
-    at = F.when(pairs > 0, F.sequence(F.lit(0), pairs - 1)).otherwise(F.array().cast("array<int>"))
-    blocks = F.transform(at, lambda i: F.conv(F.substring(digits, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
-    body = F.aggregate(
-        blocks,
-        _long(STRING_SEED),
-        lambda state, block: (_times(_rotate(_fold(state, block), 13), 5) + _long(BLOCK_ADD)).bitwiseAND(
-            _long(_LOW32)
-        ),
+    return F.when(
+        text.isNotNull(), F.call_function("transform", F.array(digits), F.expr(_string_hash_sql()))[0]
     )
-    rest = F.conv(F.substring(digits, pairs * 8 + 1, F.lit(4)), 16, 10).cast("bigint")
-    mixed = F.when(units % 2 == 1, _fold(body, rest)).otherwise(body).bitwiseXOR(units.cast("bigint"))
-    for shift, factor in ((16, FINAL_M1), (13, FINAL_M2)):
-        mixed = _times(mixed.bitwiseXOR(F.shiftright(mixed, shift)), factor)
-    mixed = mixed.bitwiseXOR(F.shiftright(mixed, 16))
-    return F.when(mixed >= _long(2**31), mixed - _long(2**32)).otherwise(mixed)
 
 
 def in_modulus(text: Column, divisor: Column) -> Column:
     """True when the divisor is positive and divides the hash of the text."""
-    divisor = F.coalesce(divisor.cast("bigint"), _long(0))
+    divisor = F.coalesce(divisor.cast("bigint"), F.lit(0))
     return F.when(divisor > 0, F.try_mod(string_hash(text), divisor) == 0).otherwise(F.lit(False))
 
 

@@ -96,34 +96,34 @@ def build_index(
     weights: Mapping[str, float] = FIELD_WEIGHTS,
     resolvers: Mapping[str, Resolver] | None = None,
 ) -> DataFrame:
-    """Best document per key, with the text score of the key's fields."""
-    rows = documents.withColumn("passes", gate(resolvers))
+    """Best document per key; the keys of a single field also carry its inverse document frequency."""
     lacking = F.lit(1.0)
     for field, weight in weights.items():
         lacking = lacking * F.when(F.col(field).isNull(), F.lit(float(weight))).otherwise(1.0)
-    rows = rows.withColumn("lacking", lacking)
-    for field in FIELDS:
-        present = documents.filter(F.col(field).isNotNull())
-        total = present.agg(F.count(F.lit(1)).alias("total")).scalar()
-        frequency = present.groupBy(field).agg(F.count(F.lit(1)).alias("n"))
-        rarity = F.log(1.0 + (total - F.col("n") + 0.5) / (F.col("n") + 0.5))
-        rows = rows.join(frequency.select(field, rarity.alias(f"idf_{field}")), field, "left")
-    text = F.lit(0.0)
-    for bit, field in enumerate(FIELDS):
-        used = F.col("entry.subset").bitwiseAND(F.lit(1 << bit)) != 0
-        text = text + F.when(used, F.col(f"idf_{field}")).otherwise(0.0)
-    entered = rows.withColumn("entry", F.explode(_keys())).withColumn("text", text)
-    # The text score is the same for all documents under a key, so it may ride along.
     ranked = F.struct(
-        (-F.col("lacking")).alias("rank"), "id", "lacking", "text", "passes", F.struct(*DOCUMENT).alias("document")
+        (-F.col("lacking")).alias("rank"), "id", "lacking", "passes", F.struct(*DOCUMENT).alias("document")
+    )
+    best = (
+        documents.withColumns({"passes": gate(resolvers), "lacking": lacking})
+        .withColumn("best", ranked)
+        .select("best", F.explode(_keys()).alias("entry"))
+        .groupBy(*[F.col(f"entry.{name}").alias(name) for name in KEY])
+        .agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
     )
-    return entered.groupBy(*[F.col(f"entry.{name}").alias(name) for name in KEY]).agg(F.min(ranked).alias("best"))
+    totals = documents.agg(F.array(*[F.count(field).cast("double") for field in FIELDS]).alias("totals")).scalar()
+    total = F.lit(None).cast("double")
+    for bit in range(len(FIELDS)):
+        total = F.when(F.col("subset") == 1 << bit, totals[bit]).otherwise(total)
+    rarity = F.log(1.0 + (total - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    return best.select(*KEY, "best", rarity.alias("idf"))
 
 
 def match(lookups: DataFrame, index: DataFrame, query_weight: float = QUERY_WEIGHT, row_id: str = "lookup_id") -> DataFrame:
     """Adds the best experiment of every lookup: ``experiment_id, score, passes, document``, null when none.
 
     Ties go to the lowest experiment id.  A lookup without any field has none.
+    The entries of a lookup, at most 7, are gathered in one array: an entry of
+    several fields finds the frequencies of its fields in the entries of one.
     """
     if query_weight < 1:
         raise ValueError("query_weight must be at least 1")
@@ -133,22 +133,36 @@ def match(lookups: DataFrame, index: DataFrame, query_weight: float = QUERY_WEIG
     probes = lookups.select(row_id, given.alias("given"), F.explode(_keys()).alias("entry")).select(
         row_id, "given", "entry.*"
     )
-    factor = F.when(F.col("subset") == F.col("given"), F.lit(float(query_weight))).otherwise(1.0)
-    score = F.round(F.col("best.text") + F.col("best.lacking") * factor, SCORE_DIGITS)
-    ranked = F.struct((-score).alias("rank"), F.col("best.id").alias("id"), F.col("best.passes"), F.col("best.document"))
-    winners = probes.join(index, KEY).groupBy(row_id).agg(F.min(ranked).alias("winner"))
-    return (
-        lookups.join(winners, row_id, "left")
-        .withColumns(
-            {
-                "experiment_id": F.col("winner.id"),
-                "score": -F.col("winner.rank"),
-                "passes": F.col("winner.passes"),
-                "document": F.col("winner.document"),
-            }
+    found = (
+        probes.join(index, KEY)
+        .groupBy(row_id)
+        .agg(F.max("given").alias("given"), F.collect_list(F.struct("subset", "idf", "best")).alias("entries"))
+    )
+    for bit, field in enumerate(FIELDS):
+        single = F.filter("entries", lambda e: e["subset"] == F.lit(1 << bit))
+        found = found.withColumn(f"idf_{field}", F.coalesce(F.get(single, F.lit(0))["idf"], F.lit(0.0)))
+
+    def scored(entry: Column) -> Column:
+        text = F.lit(0.0)
+        for bit, field in enumerate(FIELDS):
+            text = text + F.when(F.getbit(entry["subset"], F.lit(bit)) == 1, F.col(f"idf_{field}")).otherwise(0.0)
+        factor = F.when(entry["subset"] == F.col("given"), F.lit(float(query_weight))).otherwise(1.0)
+        score = F.round(text + entry["best"]["lacking"] * factor, SCORE_DIGITS)
+        return F.struct(
+            (-score).alias("rank"),
+            entry["best"]["id"].alias("id"),
+            entry["best"]["passes"].alias("passes"),
+            entry["best"]["document"].alias("document"),
         )
-        .drop("winner")
+
+    winners = found.select(row_id, F.array_min(F.transform("entries", scored)).alias("winner")).select(
+        row_id,
+        F.col("winner.id").alias("experiment_id"),
+        (-F.col("winner.rank")).alias("score"),
+        F.col("winner.passes").alias("passes"),
+        F.col("winner.document").alias("document"),
     )
+    return lookups.join(winners, row_id, "left")
 
 
 def assign(matched: DataFrame) -> DataFrame:

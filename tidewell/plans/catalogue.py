@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import devices, requests
+from tidewell.plans import devices, experiments, requests
 
-_MODULES = (devices, requests)
+_MODULES = (devices, requests, experiments)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -265,11 +265,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame; times without a zone become UTC timestamps."""
+def view(spark: SparkSession, sf_dir: str, name: str, replaced: dict[str, str] | None = None) -> DataFrame:
+    """A view as a DataFrame; times without a zone become UTC timestamps.
+
+    ``replaced`` names a temporary view to read instead of a table, for
+    example a stream.
+    """
     clause = with_views(name)
     used = [t for t in TABLES if re.search(rf"\b(?:from|join)\s+{t}\b", clause)]
-    sources = ",\n".join(f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in used)
+    origin = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in used} | (replaced or {})
+    sources = ",\n".join(f"{t} AS (SELECT * FROM {origin[t]})" for t in used)
     frame = spark.sql(f"WITH {sources},\n{clause.removeprefix('WITH ')}\nSELECT * FROM {name}")
     zoned = {
         field.name: frame[field.name].cast("timestamp")

@@ -26,6 +26,12 @@ def build_session(app_name: str = "tidewell", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def apply_settings(spark: SparkSession) -> None:
+    """Sets what the operators rely on in a session that somebody else has built."""
+    for key, value in REQUIRED.items():
+        spark.conf.set(key, value)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run, under the folder named by ``spark.checkpoint.dir``.
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 IPV4_MAX = 2**32 - 1
 _OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-IPV4_PATTERN = f"^{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}$"
-_MAPPED_PREFIX = "^::[fF]{4}:"
+IPV4_PATTERN = f"^(?:::[fF]{{4}}:)?{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}$"
 
 
 def effective_ip(header_ip: Column, body_ip: Column, private_prefix: str = "192") -> Column:
@@ -25,18 +24,13 @@ def effective_ip(header_ip: Column, body_ip: Column, private_prefix: str = "192"
 
 def ip_to_int(ip: Column) -> Column:
     """Dotted IPv4 (also ``::ffff:a.b.c.d``) to a bigint, null when it is not one."""
-    plain = F.regexp_replace(ip, _MAPPED_PREFIX, "")
-    octet = F.split(plain, "[.]")
     value = F.lit(0).cast("bigint")
+    octets = F.split(F.substring_index(ip, ":", -1), "\\.")
     for position in range(4):
-        value = value * 256 + octet[position].try_cast("bigint")
-    return F.when(plain.rlike(IPV4_PATTERN), value)
+        value = value * 256 + F.get(octets, F.lit(position)).try_cast("bigint")
+    return F.when(ip.rlike(IPV4_PATTERN), value)
 
 
-def ip_status(ip: Column) -> Column:
-    """``blank``, ``invalid`` or ``ok``."""
-    return (
-        F.when(F.coalesce(ip, F.lit("")) == "", "blank")
-        .when(ip_to_int(ip).isNull(), "invalid")
-        .otherwise("ok")
-    )
+def ip_status(ip: Column, number: Column) -> Column:
+    """``blank``, ``invalid`` or ``ok``, given the address and its number."""
+    return F.when(number.isNotNull(), "ok").when(F.coalesce(ip, F.lit("")) == "", "blank").otherwise("invalid")

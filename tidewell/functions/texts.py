@@ -2,28 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UNKNOWN = "UNKNOWN"
 
 # User-agent names in the order they are tried, each with the
-# pattern whose first group is the version.  A subset of browsers and systems.
+# words that show it; for browsers also the pattern of the version.  A subset
+# of browsers and systems.
 BROWSERS = [
-    ("Internet Explorer", "(?:MSIE |Trident/.*rv:)([.0-9]+)"),
-    ("Edge", "Edg(?:e|iOS|A)?/([.0-9]+)"),
-    ("Opera", "(?:OPR|Opera)[/ ]([.0-9]+)"),
-    ("Firefox", "(?:FxiOS|Firefox)/([.0-9]+)"),
-    ("Chrome", "(?:Chrome|CrMo|CriOS)/([.0-9]+)"),
-    ("Safari", "Version/([.0-9]+).*Safari/"),
+    ("Internet Explorer", ("MSIE ", "Trident/"), "(?:MSIE |rv:)([.0-9]+)"),
+    ("Edge", ("Edge/", "Edg/", "EdgiOS/", "EdgA/"), "Edg(?:e|iOS|A)?/([.0-9]+)"),
+    ("Opera", ("OPR/", "Opera"), "(?:OPR|Opera)[/ ]([.0-9]+)"),
+    ("Firefox", ("FxiOS/", "Firefox/"), "(?:FxiOS|Firefox)/([.0-9]+)"),
+    ("Chrome", ("Chrome/", "CrMo/", "CriOS/"), "(?:Chrome|CrMo|CriOS)/([.0-9]+)"),
+    ("Safari", ("Safari/",), "Version/([.0-9]+)"),
 ]
 SYSTEMS = [
-    ("Windows 10", "Windows NT 10[.]0"),
-    ("Windows 8.1", "Windows NT 6[.]3"),
-    ("Windows 8", "Windows NT 6[.]2"),
-    ("Windows 7", "Windows NT 6[.]1"),
-    ("Windows Vista", "Windows NT 6[.]0"),
-    ("Windows XP", "Windows NT 5[.]1"),
+    ("Windows 10", "Windows NT 10.0"),
+    ("Windows 8.1", "Windows NT 6.3"),
+    ("Windows 8", "Windows NT 6.2"),
+    ("Windows 7", "Windows NT 6.1"),
+    ("Windows Vista", "Windows NT 6.0"),
+    ("Windows XP", "Windows NT 5.1"),
     ("iPhone", "iPhone"),
     ("iPad", "iPad"),
     ("iPod", "iPod"),
@@ -47,40 +50,35 @@ def same_text(left: Column, right: Column) -> Column:
     return F.coalesce(F.lower(left) == F.lower(right), F.lit(False))
 
 
-def browser_name(agent: Column) -> Column:
-    chain = F
-    for name, pattern in BROWSERS:
-        chain = chain.when(agent.rlike(pattern), name)
-    return chain.otherwise(UNKNOWN)
-
+def _shows(agent: Column, words: tuple[str, ...]) -> Column:
+    return functools.reduce(lambda a, b: a | b, [F.contains(agent, F.lit(word)) for word in words])
 
-def browser_version(agent: Column) -> Column:
-    chain = F
-    for _, pattern in BROWSERS:
-        chain = chain.when(agent.rlike(pattern), F.regexp_extract(agent, pattern, 1))
-    return chain.otherwise(UNKNOWN)
 
+def user_agent(agent: Column) -> Column:
+    """``struct(agent, ver, system, raw)``; null stays null.
 
-def system_name(agent: Column) -> Column:
-    chain = F
-    for name, pattern in SYSTEMS:
-        chain = chain.when(agent.rlike(pattern), name)
-    return chain.otherwise(UNKNOWN)
+    Plain word searches pick the browser, so only one pattern runs per row.
+    """
+    name, pattern_of, system = F, F, F
+    for label, words, pattern in BROWSERS:
+        shown = _shows(agent, words)
+        name = name.when(shown, label)
+        found = F.nullif(F.regexp_extract(agent, pattern, 1), F.lit(""))
+        pattern_of = pattern_of.when(shown, F.coalesce(found, F.lit(UNKNOWN)))
+    for label, word in SYSTEMS:
+        system = system.when(F.contains(agent, F.lit(word)), label)
+    parsed = F.struct(
+        name.otherwise(UNKNOWN).alias("agent"),
+        pattern_of.otherwise(UNKNOWN).alias("ver"),
+        system.otherwise(UNKNOWN).alias("system"),
+        agent.alias("raw"),
+    )
+    return F.when(agent.isNotNull(), parsed)
 
 
 def user_agent_json(agent: Column) -> Column:
-    """``{"agent","ver","system","raw"}`` as JSON text; null stays null."""
-    return F.when(
-        agent.isNotNull(),
-        F.to_json(
-            F.struct(
-                browser_name(agent).alias("agent"),
-                browser_version(agent).alias("ver"),
-                system_name(agent).alias("system"),
-                agent.alias("raw"),
-            )
-        ),
-    )
+    """The parsed user agent as JSON text; null stays null."""
+    return F.to_json(user_agent(agent))
 
 
 def device_spec_json(spec: Column) -> Column:

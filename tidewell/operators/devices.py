@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import network, texts
-from tidewell.operators.geo import locate
+from tidewell.operators.geo import GeoIndex, locate
 
 # Names of the stored profile fields, request fields first.
 REQUEST_FIELDS = ["devicespec", "uaspec", "fcm_token", "producer", "user_declared_state", "user_declared_district"]
@@ -39,17 +39,18 @@ COUNTERS = {
 }
 
 
-def enrich(registrations: DataFrame, ranges: DataFrame, locations: DataFrame, private_prefix: str = "192") -> DataFrame:
+def enrich(registrations: DataFrame, index: GeoIndex, private_prefix: str = "192") -> DataFrame:
     """Adds the effective address, its status and its location to every registration.
 
     ``ip_status`` is ``ok``, ``invalid`` (not an address: counted as an error,
     neither stored nor published) or ``blank`` (skipped).
     """
     ip = network.effective_ip(F.col("header_ip"), F.col("ip_addr"), private_prefix)
-    addressed = registrations.withColumn("effective_ip", ip).withColumns(
-        {"ip_status": network.ip_status(F.col("effective_ip")), "ip_int": network.ip_to_int(F.col("effective_ip"))}
+    addressed = registrations.withColumn("effective_ip", ip).withColumn(
+        "ip_int", network.ip_to_int(F.col("effective_ip"))
     )
-    return locate(addressed, ranges, locations, spread=["did", "event_id"])
+    located = locate(addressed, index, spread=["did", "event_id"])
+    return located.withColumn("ip_status", network.ip_status(F.col("effective_ip"), F.col("ip_int")))
 
 
 def accepted(enriched: DataFrame) -> DataFrame:
@@ -132,14 +133,14 @@ def declared(profiles: DataFrame) -> DataFrame:
     )
 
 
-def read_profiles(requests: DataFrame, profiles: DataFrame, ranges: DataFrame, locations: DataFrame) -> DataFrame:
+def read_profiles(requests: DataFrame, profiles: DataFrame, index: GeoIndex) -> DataFrame:
     """Profile reads: stored declared location plus the location of the caller's address.
 
     Requests without an address or with one that is not an address have no
     answer and are left out.
     """
     addressed = requests.withColumn("ip_int", network.ip_to_int(F.col("header_ip"))).filter("ip_int is not null")
-    located = locate(addressed, ranges, locations, spread=["did"])
+    located = locate(addressed, index, spread=["did"])
     return (
         located.select(*requests.columns, F.col("state_custom").alias("ip_state"), F.col("district_custom").alias("ip_district"))
         .join(declared(profiles), "did", "left")

@@ -1,27 +1,36 @@
 """IP range lookup.
 
-A range condition alone would plan as a nested-loop join, and bucketing the
+A range condition alone plans as a nested-loop join, and bucketing the
 addresses still compares every address of a crowded bucket with every range in
-it.  Here each range is cut into aligned blocks (a block is a power-of-two
-stretch: ``value >> level``), and an address looks its blocks up by equality:
-one key per level that occurs.  After one row is kept per block the right side
-is unique, so the join never multiplies rows, however crowded a bucket is.
+it.  Here the ranges are turned into an index once per load: the whole address
+space is cut into aligned blocks (a block is a power-of-two stretch,
+``value >> level``), each with at most one range.  Any address lies in exactly
+one block, so looking it up is an equality join on one number per level that
+returns exactly one row: no row is multiplied, none is lost, and nothing has to
+be grouped afterwards.
 
 Overlapping ranges: the narrowest wins, then the lowest start, then the lowest
-geoname_id.  An address lies in a range exactly when it lies in one of its
-blocks, so keeping the best range per block and then the best block per
-address is exact.
+geoname_id.  Bounds are closed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.network import IPV4_MAX
+from tidewell.session import work_folder
 
 LEVELS = 32
 SPREAD = 4096
+NO_ADDRESS = -1
+
+# Largest tables that are broadcast; both are counted before that is decided.
+BROADCAST_BLOCKS = 4_000_000
+BROADCAST_PLACES = 500_000
+
 LOCATION_FIELDS = [
     "continent_name",
     "country_code",
@@ -36,95 +45,166 @@ LOCATION_FIELDS = [
 ]
 
 
+@dataclass(frozen=True)
+class GeoIndex:
+    """Blocks ``(key, in_range, geoname_id)`` of the whole address space, and the known places."""
+
+    blocks: DataFrame
+    levels: list[int]
+    places: DataFrame
+    small_blocks: bool
+    small_places: bool
+
+
 def _shifted(value: Column, level: Column) -> Column:
     return F.call_function("shiftright", value, level)
 
 
-def range_blocks(ranges: DataFrame) -> DataFrame:
-    """(level, block) -> best range, at most 64 aligned blocks per range.
+def _key(value: Column, level: Column) -> Column:
+    """One number for a block: the level above the 33 bits of the block."""
+    return level.cast("bigint") * F.lit(2**33) + _shifted(value, level)
+
+
+def _cut(stretches: DataFrame) -> DataFrame:
+    """``start``, ``last`` and other columns -> one row per aligned block, at most 64 per stretch.
 
-    Bounds are closed.  At each level the whole blocks inside a range run from
-    ``low`` to ``high``; the ones not covered by a block of the next level are
-    an odd ``low`` and the block before an odd ``high``.
+    At each level the whole blocks inside a stretch run from ``low`` to
+    ``high``; the ones that no block of the next level covers are an odd
+    ``low`` and the block before an odd ``high``.
     """
-    clipped = (
-        ranges.select(
-            F.greatest(F.col("network_start_integer").cast("bigint"), F.lit(0)).alias("start"),
-            F.least(F.col("network_last_integer").cast("bigint"), F.lit(IPV4_MAX)).alias("last"),
-            F.col("geoname_id"),
-            (F.col("network_last_integer") - F.col("network_start_integer")).cast("bigint").alias("width"),
-            F.col("network_start_integer").cast("bigint").alias("network_start"),
-        )
-        .filter("start <= last")
-        .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-    )
+    others = [c for c in stretches.columns if c not in ("start", "last")]
     size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
-    cut = clipped.withColumn("low", _shifted(F.col("start") + size - 1, F.col("level"))).withColumn(
-        "high", _shifted(F.col("last") + 1, F.col("level"))
-    )
-    no_block = F.lit(None).cast("bigint")
+    level = F.col("level")
+    none = F.lit(None).cast("bigint")
     edges = F.array(
-        F.when(F.col("low") % 2 == 1, F.col("low")).otherwise(no_block),
-        F.when(F.col("high") % 2 == 1, F.col("high") - 1).otherwise(no_block),
+        F.when(F.col("low") % 2 == 1, F.col("low")).otherwise(none),
+        F.when(F.col("high") % 2 == 1, F.col("high") - 1).otherwise(none),
     )
-    blocks = (
-        cut.filter("low < high")
+    return (
+        stretches.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+        .withColumns({"low": _shifted(F.col("start") + size - 1, level), "high": _shifted(F.col("last") + 1, level)})
+        .filter("low < high")
         .withColumn("block", F.explode(edges))
         .filter("block is not null")
-        .select("level", "block", "width", "network_start", "geoname_id")
+        .select((level.cast("bigint") * F.lit(2**33) + F.col("block")).alias("key"), "level", *others)
     )
-    rank = F.struct("width", "network_start", "geoname_id")
-    return blocks.groupBy("level", "block").agg(F.min(rank).alias("best"))
 
 
-def resolve_addresses(addresses: DataFrame, ranges: DataFrame, ip: str = "ip_int") -> DataFrame:
-    """Distinct non-null addresses -> (ip, network_start, geoname_id) of their range.
+def _clipped(ranges: DataFrame) -> DataFrame:
+    first, last = F.col("network_start_integer").cast("bigint"), F.col("network_last_integer").cast("bigint")
+    return ranges.select(
+        F.greatest(first, F.lit(0)).alias("start"),
+        F.least(last, F.lit(IPV4_MAX)).alias("last"),
+        F.struct((last - first).alias("width"), first.alias("first"), F.col("geoname_id").alias("geoname_id")).alias(
+            "best"
+        ),
+    ).filter("start <= last")
 
-    Distinct comes first: a hot address is one row after the map-side combine.
-    The levels to try are at most 33 numbers, read by a scalar subquery.
+
+def _segments(ranges: DataFrame) -> DataFrame:
+    """The address space as disjoint stretches, each with the range that wins on it, null where there is none.
+
+    The winner is constant between two neighbouring bounds, so it is looked up
+    for the bounds only: a bound lies in a range exactly when it lies in one
+    of the range's blocks.  Neighbours are found within each of 256 equal
+    parts of the space, whose own starts are added as bounds.
     """
-    blocks = range_blocks(ranges)
-    levels = blocks.select(F.array_sort(F.collect_set("level")).alias("levels")).scalar()
-    distinct = addresses.filter(F.col(ip).isNotNull()).select(ip).distinct()
-    probes = distinct.withColumn("level", F.explode(levels)).withColumn("block", _shifted(F.col(ip), F.col("level")))
-    return (
-        probes.join(blocks, ["level", "block"])
-        .groupBy(ip)
+    clipped = _clipped(ranges)
+    covered = _cut(clipped).groupBy("key", "level").agg(F.min("best").alias("best"))
+    levels = F.sequence(F.lit(0), F.lit(LEVELS))
+    parts = ranges.sparkSession.range(256).select(F.shiftleft("id", 24).alias("point"))
+    bounds = (
+        clipped.select(F.explode(F.array(F.col("start"), F.col("last") + 1)).alias("point"))
+        .filter(F.col("point") <= IPV4_MAX)
+        .unionByName(parts)
+        .distinct()
+    )
+    won = (
+        bounds.withColumn("level", F.explode(levels))
+        .withColumn("key", _key(F.col("point"), F.col("level")))
+        .join(covered.select("key", "best"), "key", "left")
+        .groupBy("point")
         .agg(F.min("best").alias("best"))
-        .select(ip, F.col("best.network_start").alias("network_start"), F.col("best.geoname_id").alias("geoname_id"))
+    )
+    part = F.shiftright("point", 24)
+    following = F.lead("point").over(Window.partitionBy(part).orderBy("point"))
+    end_of_part = F.shiftleft(part + 1, 24)
+    return won.select(
+        F.col("point").alias("start"), (F.coalesce(following, end_of_part) - 1).alias("last"), F.col("best.geoname_id").alias("geoname_id"), F.col("best").isNotNull().alias("in_range")
+    )
+
+
+def build_index(ranges: DataFrame, locations: DataFrame) -> GeoIndex:
+    """Prepares the lookup; run once per load of the reference tables.
+
+    The blocks are written to the working folder, so that their number is
+    known before anything is broadcast and a lost executor can read them again.
+    """
+    spark = ranges.sparkSession
+    folder = work_folder(spark, "geo-index")
+    nowhere = spark.range(1).select(
+        F.lit(NO_ADDRESS).cast("bigint").alias("key"),
+        F.lit(0).alias("level"),
+        F.lit(None).cast("int").alias("geoname_id"),
+        F.lit(False).alias("in_range"),
+    )
+    cut = _cut(_segments(ranges)).select("key", "level", F.col("geoname_id").cast("int").alias("geoname_id"), "in_range")
+    cut.unionByName(nowhere).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    facts = stored.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("level")).alias("levels")).first()
+    return GeoIndex(
+        blocks=stored.select("key", "geoname_id", "in_range"),
+        levels=list(facts["levels"]),
+        places=locations,
+        small_blocks=facts["n"] <= BROADCAST_BLOCKS,
+        small_places=locations.count() <= BROADCAST_PLACES,
     )
 
 
-def locate(
-    rows: DataFrame, ranges: DataFrame, locations: DataFrame, ip: str = "ip_int", spread: list[str] | None = None
-) -> DataFrame:
+def _probed(rows: DataFrame, ip: str, levels: list[int]) -> DataFrame:
+    """One row per level with the key of its block; a single row when there is no address."""
+    every = F.array(*[F.lit(level) for level in levels])
+    exploded = rows.withColumn("_level", F.explode(F.when(F.col(ip).isNull(), F.array(F.lit(0))).otherwise(every)))
+    key = F.when(F.col(ip).isNull(), F.lit(NO_ADDRESS)).otherwise(_key(F.col(ip), F.col("_level")))
+    return exploded.withColumn("key", key.cast("bigint")).drop("_level")
+
+
+def resolve_addresses(rows: DataFrame, index: GeoIndex, ip: str = "ip_int", spread: list[str] | None = None) -> DataFrame:
+    """Adds ``in_range`` and ``geoname_id`` of the range of each address.
+
+    With an index of checked size the rows are probed where they are, without
+    a shuffle.  Beyond it only the distinct addresses are probed, so that a hot
+    address is one row, and the rows are joined with their address; rows
+    without one are spread over many keys by a hash of the ``spread`` columns.
+    """
+    if index.small_blocks:
+        return _probed(rows, ip, index.levels).join(F.broadcast(index.blocks), "key").drop("key")
+    distinct = rows.filter(F.col(ip).isNotNull()).select(F.col(ip).alias("_ip")).distinct()
+    found = _probed(distinct, "_ip", index.levels).join(index.blocks, "key").drop("key")
+    away = F.coalesce(F.col(ip), -1 - F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SPREAD)))
+    joined = rows.withColumn("_ip", away).join(found, "_ip", "left").drop("_ip")
+    return joined.withColumn("in_range", F.coalesce("in_range", F.lit(False)))
+
+
+def locate(rows: DataFrame, index: GeoIndex, ip: str = "ip_int", spread: list[str] | None = None) -> DataFrame:
     """Adds the location of an address to each row; nothing is dropped.
 
-    Unknown addresses get ``geoname_id`` 0 and empty fields.  Rows without an
-    address are spread over many join keys by a hash of the ``spread`` columns
-    (all columns by default), since one null key would send every such row to
-    a single task.
+    Unknown addresses and ranges without a location get ``geoname_id`` 0 and
+    empty fields.
     """
+    places = index.places.select("geoname_id", *LOCATION_FIELDS, F.lit(True).alias("_known"))
+    if index.small_places:
+        places = F.broadcast(places)
     known = F.col("_known").isNotNull()
-    places = (
-        resolve_addresses(rows, ranges, ip)
-        .join(locations.withColumn("_known", F.lit(True)), "geoname_id", "left")
-        .select(
-            F.col(ip).alias("_key"),
-            F.lit(True).alias("_in_range"),
-            F.when(known, F.col("geoname_id")).otherwise(0).alias("geoname_id"),
-            *[F.when(known, F.col(name)).otherwise("").alias(name) for name in LOCATION_FIELDS],
+    return (
+        resolve_addresses(rows, index, ip, spread)
+        .join(places, "geoname_id", "left")
+        .withColumns(
+            {
+                **{name: F.when(known, F.col(name)).otherwise("") for name in LOCATION_FIELDS},
+                "geoname_id": F.when(known, F.col("geoname_id")).otherwise(0),
+                "resolved": known & (F.coalesce(F.col("state"), F.lit("")) != ""),
+            }
         )
+        .drop("_known")
     )
-    spreading = F.xxhash64(*(spread or rows.columns))
-    key = F.coalesce(F.col(ip), -1 - F.pmod(spreading, F.lit(SPREAD)))
-    joined = rows.withColumn("_key", key).join(places, "_key", "left").drop("_key")
-    in_range = F.col("_in_range").isNotNull()
-    return joined.withColumns(
-        {
-            **{name: F.when(in_range, F.col(name)).otherwise("") for name in LOCATION_FIELDS},
-            "geoname_id": F.coalesce(F.col("geoname_id"), F.lit(0)),
-            "in_range": in_range,
-            "resolved": F.coalesce(F.col("state"), F.lit("")) != "",
-        }
-    ).drop("_in_range")

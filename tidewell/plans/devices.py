@@ -12,16 +12,25 @@ from tidewell.plans.views import view, with_views
 from tidewell.sources import documents, tables
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return (
-        view(spark, sf_dir, "registrations"),
-        tables.geo_ranges(view(spark, sf_dir, "geo_ranges")),
-        tables.locations(view(spark, sf_dir, "geo_cities")),
+_INDEXES: dict[tuple[str, str], geo.GeoIndex] = {}
+
+
+def build_index(spark: SparkSession, sf_dir: str) -> geo.GeoIndex:
+    return geo.build_index(
+        tables.geo_ranges(view(spark, sf_dir, "geo_ranges")), tables.locations(view(spark, sf_dir, "geo_cities"))
     )
 
 
+def geo_index(spark: SparkSession, sf_dir: str) -> geo.GeoIndex:
+    """The index of a table folder, built once per application like any loaded reference table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(spark, sf_dir)
+    return _INDEXES[key]
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return devices.enrich(*inputs(spark, sf_dir))
+    return devices.enrich(view(spark, sf_dir, "registrations"), geo_index(spark, sf_dir))
 
 
 def ip_to_int(spark, sf_dir):
@@ -33,8 +42,9 @@ def ip_to_int(spark, sf_dir):
 
 def effective_ip(spark, sf_dir):
     rows = view(spark, sf_dir, "registrations")
-    ip = network.effective_ip(F.col("header_ip"), F.col("ip_addr"))
-    return rows.select("event_id", ip.alias("effective_ip"), network.ip_status(ip).alias("ip_status"))
+    chosen = rows.select("event_id", network.effective_ip(F.col("header_ip"), F.col("ip_addr")).alias("effective_ip"))
+    ip = F.col("effective_ip")
+    return chosen.withColumn("ip_status", network.ip_status(ip, network.ip_to_int(ip)))
 
 
 def registration_parse(spark, sf_dir):
@@ -62,14 +72,9 @@ def geo_city_lookup(spark, sf_dir):
 
 
 def user_agent_enrich(spark, sf_dir):
-    agent = F.col("uaspec")
-    return view(spark, sf_dir, "registrations").select(
-        "event_id",
-        texts.browser_name(F.coalesce(agent, F.lit(""))).alias("agent"),
-        texts.browser_version(F.coalesce(agent, F.lit(""))).alias("ver"),
-        texts.system_name(F.coalesce(agent, F.lit(""))).alias("system"),
-        texts.user_agent_json(agent).alias("uaspec"),
-    )
+    rows = view(spark, sf_dir, "registrations").select("event_id", "uaspec")
+    parsed = rows.withColumn("parsed", texts.user_agent(F.col("uaspec")))
+    return parsed.select("event_id", "parsed.agent", "parsed.ver", "parsed.system", F.to_json("parsed").alias("uaspec"))
 
 
 def device_event(spark, sf_dir):
@@ -81,10 +86,10 @@ def device_profile_state(spark, sf_dir):
 
 
 def device_profile(spark, sf_dir):
-    registrations, ranges, locations = inputs(spark, sf_dir)
-    profiles = devices.profile_state(devices.enrich(registrations, ranges, locations))
-    requests = registrations.select("event_id", "did", "header_ip")
-    return devices.read_profiles(requests, profiles, ranges, locations)
+    registrations = view(spark, sf_dir, "registrations")
+    index = geo_index(spark, sf_dir)
+    profiles = devices.profile_state(devices.enrich(registrations, index))
+    return devices.read_profiles(registrations.select("event_id", "did", "header_ip"), profiles, index)
 
 
 def registration_metrics(spark, sf_dir):
@@ -151,31 +156,31 @@ enriched AS (select n.* exclude (user_id), h.ip_int is not null in_range,
 """
 
 _AGENT_RULES = [
-    ("Internet Explorer", "(MSIE |Trident/.*rv:)([.0-9]+)", 2),
-    ("Edge", "Edg(e|iOS|A)?/([.0-9]+)", 2),
-    ("Opera", "(OPR|Opera)[/ ]([.0-9]+)", 2),
-    ("Firefox", "(FxiOS|Firefox)/([.0-9]+)", 2),
-    ("Chrome", "(Chrome|CrMo|CriOS)/([.0-9]+)", 2),
-    ("Safari", "Version/([.0-9]+).*Safari/", 1),
+    ("Internet Explorer", "MSIE |Trident/", "(MSIE |rv:)([.0-9]+)", 2),
+    ("Edge", "Edge/|Edg/|EdgiOS/|EdgA/", "Edg(e|iOS|A)?/([.0-9]+)", 2),
+    ("Opera", "OPR/|Opera", "(OPR|Opera)[/ ]([.0-9]+)", 2),
+    ("Firefox", "FxiOS/|Firefox/", "(FxiOS|Firefox)/([.0-9]+)", 2),
+    ("Chrome", "Chrome/|CrMo/|CriOS/", "(Chrome|CrMo|CriOS)/([.0-9]+)", 2),
+    ("Safari", "Safari/", "Version/([.0-9]+)", 1),
 ]
 
 
 def _agent_case(kind: str) -> str:
     arms = " ".join(
-        f"when regexp_matches(ua,'{pattern}') then "
-        + (f"'{name}'" if kind == "agent" else f"regexp_extract(ua,'{pattern}',{group})")
-        for name, pattern, group in _AGENT_RULES
+        f"when regexp_matches(uaspec,'{shown}') then "
+        + (f"'{name}'" if kind == "agent" else f"coalesce(nullif(regexp_extract(uaspec,'{pattern}',{group}),''),'UNKNOWN')")
+        for name, shown, pattern, group in _AGENT_RULES
     )
-    return f"case {arms} else 'UNKNOWN' end"
+    return f"case when uaspec is null then null {arms} else 'UNKNOWN' end"
 
 
 _SYSTEM_CASE = (
-    "case "
-    + " ".join(f"when regexp_matches(ua,'{pattern}') then '{name}'" for name, pattern in texts.SYSTEMS)
+    "case when uaspec is null then null "
+    + " ".join(f"when contains(uaspec,'{word}') then '{name}'" for name, word in texts.SYSTEMS)
     + " else 'UNKNOWN' end"
 )
 _AGENT = f"""agents AS (select event_id agent_event, {_agent_case("agent")} agent, {_agent_case("ver")} ver, {_SYSTEM_CASE} system,
-  uaspec raw from (select event_id, uaspec, coalesce(uaspec,'') ua from registrations) r),
+  uaspec raw from registrations r),
 agent_text AS (select *, case when raw is not null then concat('{{"agent":',to_json(agent),',"ver":',to_json(ver),
   ',"system":',to_json(system),',"raw":',to_json(raw),'}}') end ua_json from agents)"""
 

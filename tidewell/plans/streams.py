@@ -10,8 +10,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidewell.plans import devices, experiments
 from tidewell.plans.views import table, view
 from tidewell.session import work_folder
-from tidewell.sources import tables
 from tidewell.streaming import assignments, metrics, registrations
+from tidewell.streaming.reference import Refreshed
 from tidewell.streaming.tables import BatchTable, ProfileStore, latest_batch
 
 LIMIT_SECONDS = 3600
@@ -47,8 +47,7 @@ def _registered(spark: SparkSession, sf_dir: str) -> str:
     folder = work_folder(spark, "registrations")
     writer = registrations.register(
         _stream(spark, sf_dir, "events", "registrations"),
-        lambda: tables.geo_ranges(view(spark, sf_dir, "geo_ranges")),
-        lambda: tables.locations(view(spark, sf_dir, "geo_cities")),
+        Refreshed(lambda: devices.build_index(spark, sf_dir)),
         ProfileStore(f"{folder}/profiles"),
         registrations.table_sink(f"{folder}/events"),
         BatchTable(f"{folder}/outcomes"),

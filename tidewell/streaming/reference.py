@@ -5,41 +5,48 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from typing import Generic, TypeVar
 
 REFRESH_SECONDS = 3600
 
+T = TypeVar("T")
+
 log = logging.getLogger(__name__)
 
 
-class Refreshed:
-    """A static table for use inside ``foreachBatch``, loaded again once it is older than the interval.
+class Refreshed(Generic[T]):
+    """Reference data for use inside ``foreachBatch``, loaded again once it is older than the interval.
 
-    A reload that fails keeps the last good table; without one the error is
-    raised.  A table found empty is loaded again on the next use.
+    A reload that fails keeps the last good value; without one the error is
+    raised.  A value that ``is_empty`` calls empty is loaded again on the next
+    use.
     """
 
     def __init__(
-        self, load: Callable[[], DataFrame], seconds: float = REFRESH_SECONDS, clock: Callable[[], float] = time.monotonic
+        self,
+        load: Callable[[], T],
+        seconds: float = REFRESH_SECONDS,
+        clock: Callable[[], float] = time.monotonic,
+        is_empty: Callable[[T], bool] = lambda _: False,
     ):
         self._load = load
+        self._is_empty = is_empty
         self._seconds = seconds
         self._clock = clock
-        self._table: DataFrame | None = None
+        self._value: T | None = None
         self._loaded_at = 0.0
 
-    def __call__(self) -> DataFrame:
+    def __call__(self) -> T:
         now = self._clock()
-        if self._table is None or now - self._loaded_at >= self._seconds:
+        if self._value is None or now - self._loaded_at >= self._seconds:
             try:
                 fresh = self._load()
-                empty = fresh.isEmpty()
-                self._table = fresh
+                empty = self._is_empty(fresh)
+                self._value = fresh
                 self._loaded_at = now - self._seconds if empty else now
             except Exception:
-                if self._table is None:
+                if self._value is None:
                     raise
-                log.exception("reload failed, keeping the table loaded before")
+                log.exception("reload failed, keeping what was loaded before")
                 self._loaded_at = now
-        return self._table
+        return self._value

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewell.operators import devices
+from tidewell.operators.geo import GeoIndex
 from tidewell.streaming.tables import BatchTable, ProfileStore
 
 Sink = Callable[[DataFrame, int], None]
@@ -30,8 +31,7 @@ def table_sink(root: str) -> Sink:
 
 def register(
     registrations: DataFrame,
-    ranges: Callable[[], DataFrame],
-    locations: Callable[[], DataFrame],
+    index: Callable[[], GeoIndex],
     profiles: ProfileStore,
     events: Sink,
     outcomes: BatchTable,
@@ -40,12 +40,12 @@ def register(
     """The stream writer of the registration flow; the caller sets the trigger and starts it.
 
     Each micro-batch runs the batch operators.  Its enriched rows feed three
-    outputs and are kept for the time of the batch.  Ranges and locations are
-    callables, so reference data may be refreshed between batches.
+    outputs and are kept for the time of the batch.  The index comes from a
+    callable, so reference data may be refreshed between batches.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        enriched = devices.enrich(batch, ranges(), locations()).persist()
+        enriched = devices.enrich(batch, index()).persist()
         try:
             profiles.write(devices.stamped(devices.profile_updates(enriched)), batch_id)
             events(devices.device_events(enriched), batch_id)

@@ -31,6 +31,6 @@ def ip_to_int(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4_PATTERN), value)
 
 
-def ip_status(ip: Column, number: Column) -> Column:
-    """``blank``, ``invalid`` or ``ok``, given the address and its number."""
-    return F.when(number.isNotNull(), "ok").when(F.coalesce(ip, F.lit("")) == "", "blank").otherwise("invalid")
+def ip_status(ip: Column, has_address: Column) -> Column:
+    """``blank``, ``invalid`` or ``ok``, given the text and whether it is an address."""
+    return F.when(has_address, "ok").when(F.coalesce(ip, F.lit("")) == "", "blank").otherwise("invalid")

@@ -50,11 +50,11 @@ def enrich(registrations: DataFrame, index: GeoIndex, private_prefix: str = "192
         "ip_int", network.ip_to_int(F.col("effective_ip"))
     )
     located = locate(addressed, index, spread=["did", "event_id"])
-    return located.withColumn("ip_status", network.ip_status(F.col("effective_ip"), F.col("ip_int")))
+    return located.withColumn("ip_status", network.ip_status(F.col("effective_ip"), F.col("has_address")))
 
 
 def accepted(enriched: DataFrame) -> DataFrame:
-    return enriched.filter(F.col("ip_status") == "ok")
+    return enriched.filter("has_address")
 
 
 def device_events(enriched: DataFrame) -> DataFrame:
@@ -83,17 +83,19 @@ def device_events(enriched: DataFrame) -> DataFrame:
 
 
 def profile_updates(enriched: DataFrame) -> DataFrame:
-    """The 16 profile fields of each accepted registration, empty ones as null."""
+    """The 16 profile fields of each accepted registration, empty ones as null.
+
+    The user agent is still the raw text here: it is parsed once per device,
+    after the newest one is known.
+    """
     fields = {
-        "devicespec": F.col("dspec"),
-        "uaspec": texts.user_agent_json(F.col("uaspec")),
-        **{name: F.col(name) for name in REQUEST_FIELDS[2:]},
+        "devicespec": texts.non_blank(F.col("dspec")),
+        "uaspec": F.col("uaspec"),
+        **{name: texts.non_blank(F.col(name)) for name in REQUEST_FIELDS[2:]},
         "geoname_id": F.col("geoname_id").cast("string"),
-        **{name: F.col(name) for name in PLACE_FIELDS[1:]},
+        **{name: texts.non_blank(F.col(name)) for name in PLACE_FIELDS[1:]},
     }
-    return accepted(enriched).select(
-        "did", "ts", "event_id", *[texts.non_blank(value).alias(name) for name, value in fields.items()]
-    )
+    return accepted(enriched).select("did", "ts", "event_id", *[value.alias(name) for name, value in fields.items()])
 
 
 def stamped(updates: DataFrame, fields: Sequence[str] = PROFILE_FIELDS, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
@@ -115,7 +117,9 @@ def merge_stamped(rows: DataFrame, fields: Sequence[str] = PROFILE_FIELDS) -> Da
 
 
 def unstamped(state: DataFrame, fields: Sequence[str] = PROFILE_FIELDS) -> DataFrame:
-    return state.select("did", *[F.col(name)["value"].alias(name) for name in fields])
+    """The profile values without their stamps, the user agent parsed."""
+    values = state.select("did", *[F.col(name)["value"].alias(name) for name in fields])
+    return values.withColumn("uaspec", texts.user_agent_json(F.col("uaspec")))
 
 
 def profile_state(enriched: DataFrame) -> DataFrame:
@@ -139,10 +143,10 @@ def read_profiles(requests: DataFrame, profiles: DataFrame, index: GeoIndex) ->
     Requests without an address or with one that is not an address have no
     answer and are left out.
     """
-    addressed = requests.withColumn("ip_int", network.ip_to_int(F.col("header_ip"))).filter("ip_int is not null")
+    addressed = requests.withColumn("ip_int", network.ip_to_int(F.col("header_ip")))
     located = locate(addressed, index, spread=["did"])
     return (
-        located.select(*requests.columns, F.col("state_custom").alias("ip_state"), F.col("district_custom").alias("ip_district"))
+        accepted(located).select(*requests.columns, F.col("state_custom").alias("ip_state"), F.col("district_custom").alias("ip_district"))
         .join(declared(profiles), "did", "left")
     )
 

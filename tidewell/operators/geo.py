@@ -47,7 +47,11 @@ LOCATION_FIELDS = [
 
 @dataclass(frozen=True)
 class GeoIndex:
-    """Blocks ``(key, in_range, geoname_id)`` of the whole address space, and the known places."""
+    """Blocks ``(key, geoname_id, in_range, has_address)`` of the whole address space, and the known places.
+
+    One more row stands for rows without an address, so that these too find
+    exactly one block.
+    """
 
     blocks: DataFrame
     levels: list[int]
@@ -130,7 +134,10 @@ def _segments(ranges: DataFrame) -> DataFrame:
     following = F.lead("point").over(Window.partitionBy(part).orderBy("point"))
     end_of_part = F.shiftleft(part + 1, 24)
     return won.select(
-        F.col("point").alias("start"), (F.coalesce(following, end_of_part) - 1).alias("last"), F.col("best.geoname_id").alias("geoname_id"), F.col("best").isNotNull().alias("in_range")
+        F.col("point").alias("start"),
+        (F.coalesce(following, end_of_part) - 1).alias("last"),
+        F.col("best.geoname_id").alias("geoname_id"),
+        F.col("best").isNotNull().alias("in_range"),
     )
 
 
@@ -147,13 +154,16 @@ def build_index(ranges: DataFrame, locations: DataFrame) -> GeoIndex:
         F.lit(0).alias("level"),
         F.lit(None).cast("int").alias("geoname_id"),
         F.lit(False).alias("in_range"),
+        F.lit(False).alias("has_address"),
+    )
+    cut = _cut(_segments(ranges)).select(
+        "key", "level", F.col("geoname_id").cast("int").alias("geoname_id"), "in_range", F.lit(True).alias("has_address")
     )
-    cut = _cut(_segments(ranges)).select("key", "level", F.col("geoname_id").cast("int").alias("geoname_id"), "in_range")
     cut.unionByName(nowhere).write.parquet(folder)
     stored = spark.read.parquet(folder)
     facts = stored.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("level")).alias("levels")).first()
     return GeoIndex(
-        blocks=stored.select("key", "geoname_id", "in_range"),
+        blocks=stored.drop("level"),
         levels=list(facts["levels"]),
         places=locations,
         small_blocks=facts["n"] <= BROADCAST_BLOCKS,
@@ -170,7 +180,11 @@ def _probed(rows: DataFrame, ip: str, levels: list[int]) -> DataFrame:
 
 
 def resolve_addresses(rows: DataFrame, index: GeoIndex, ip: str = "ip_int", spread: list[str] | None = None) -> DataFrame:
-    """Adds ``in_range`` and ``geoname_id`` of the range of each address.
+    """Adds ``geoname_id`` and ``in_range`` of the range of each address, and ``has_address``.
+
+    ``has_address`` comes from the index: a filter on it prunes the index and
+    thereby the join, instead of being pushed into the scan as a second parse
+    of the address.
 
     With an index of checked size the rows are probed where they are, without
     a shuffle.  Beyond it only the distinct addresses are probed, so that a hot
@@ -183,7 +197,7 @@ def resolve_addresses(rows: DataFrame, index: GeoIndex, ip: str = "ip_int", spre
     found = _probed(distinct, "_ip", index.levels).join(index.blocks, "key").drop("key")
     away = F.coalesce(F.col(ip), -1 - F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SPREAD)))
     joined = rows.withColumn("_ip", away).join(found, "_ip", "left").drop("_ip")
-    return joined.withColumn("in_range", F.coalesce("in_range", F.lit(False)))
+    return joined.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_range", "has_address")})
 
 
 def locate(rows: DataFrame, index: GeoIndex, ip: str = "ip_int", spread: list[str] | None = None) -> DataFrame:

@@ -29,8 +29,12 @@ def geo_index(spark: SparkSession, sf_dir: str) -> geo.GeoIndex:
     return _INDEXES[key]
 
 
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.use_all_cores(view(spark, sf_dir, "registrations"))
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return devices.enrich(view(spark, sf_dir, "registrations"), geo_index(spark, sf_dir))
+    return devices.enrich(registrations(spark, sf_dir), geo_index(spark, sf_dir))
 
 
 def ip_to_int(spark, sf_dir):
@@ -44,7 +48,7 @@ def effective_ip(spark, sf_dir):
     rows = view(spark, sf_dir, "registrations")
     chosen = rows.select("event_id", network.effective_ip(F.col("header_ip"), F.col("ip_addr")).alias("effective_ip"))
     ip = F.col("effective_ip")
-    return chosen.withColumn("ip_status", network.ip_status(ip, network.ip_to_int(ip)))
+    return chosen.withColumn("ip_status", network.ip_status(ip, network.ip_to_int(ip).isNotNull()))
 
 
 def registration_parse(spark, sf_dir):
@@ -72,7 +76,7 @@ def geo_city_lookup(spark, sf_dir):
 
 
 def user_agent_enrich(spark, sf_dir):
-    rows = view(spark, sf_dir, "registrations").select("event_id", "uaspec")
+    rows = registrations(spark, sf_dir).select("event_id", "uaspec")
     parsed = rows.withColumn("parsed", texts.user_agent(F.col("uaspec")))
     return parsed.select("event_id", "parsed.agent", "parsed.ver", "parsed.system", F.to_json("parsed").alias("uaspec"))
 
@@ -86,10 +90,9 @@ def device_profile_state(spark, sf_dir):
 
 
 def device_profile(spark, sf_dir):
-    registrations = view(spark, sf_dir, "registrations")
-    index = geo_index(spark, sf_dir)
-    profiles = devices.profile_state(devices.enrich(registrations, index))
-    return devices.read_profiles(registrations.select("event_id", "did", "header_ip"), profiles, index)
+    rows, index = registrations(spark, sf_dir), geo_index(spark, sf_dir)
+    profiles = devices.profile_state(devices.enrich(rows, index))
+    return devices.read_profiles(rows.select("event_id", "did", "header_ip"), profiles, index)
 
 
 def registration_metrics(spark, sf_dir):

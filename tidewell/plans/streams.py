@@ -47,7 +47,7 @@ def _registered(spark: SparkSession, sf_dir: str) -> str:
     folder = work_folder(spark, "registrations")
     writer = registrations.register(
         _stream(spark, sf_dir, "events", "registrations"),
-        Refreshed(lambda: devices.build_index(spark, sf_dir)),
+        Refreshed(lambda: devices.geo_index(spark, sf_dir)),
         ProfileStore(f"{folder}/profiles"),
         registrations.table_sink(f"{folder}/events"),
         BatchTable(f"{folder}/outcomes"),

@@ -43,6 +43,17 @@ def read_table(
     return reader.schema(TABLES[name]).load(location)
 
 
+def use_all_cores(rows: DataFrame) -> DataFrame:
+    """Spreads an input that arrives in fewer pieces than there are cores.
+
+    For small or unsplittable files before expensive row work.  A table of
+    normal size has more pieces than cores and is returned as it is, so no
+    shuffle is added to it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def geo_ranges(table: DataFrame) -> DataFrame:
     return table.select("network_start_integer", "network_last_integer", "geoname_id")
 

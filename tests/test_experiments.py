@@ -1,5 +1,6 @@
 """Experiment matching against the scoring rule applied to every document."""
 
+import dataclasses
 import math
 import random
 
@@ -26,8 +27,9 @@ GOLDEN = [
 ]
 
 
-def matched(spark, docs, lookups, weights=WEIGHTS, **options):
+def matched(spark, docs, lookups, weights=WEIGHTS, small=True, **options):
     index = experiments.build_index(spark.createDataFrame(docs, DOCS), weights)
+    index = dataclasses.replace(index, small=small)
     rows = spark.createDataFrame([(i, *row) for i, row in enumerate(lookups)], LOOKUPS)
     return experiments.match(rows, index, **options)
 
@@ -36,7 +38,8 @@ def winners(frame):
     return [r["experiment_id"] for r in frame.orderBy("lookup_id").collect()]
 
 
-def test_known_winners(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_known_winners(spark, small):
     lookups = [
         ("user1", None, None),
         (None, "device1", None),
@@ -46,7 +49,7 @@ def test_known_winners(spark):
         ("user2", None, None),
         (None, None, None),
     ]
-    assert winners(matched(spark, GOLDEN, lookups)) == ["Exp1", "Exp2", "Exp3", "Exp4", "Exp5", None, None]
+    assert winners(matched(spark, GOLDEN, lookups, small=small)) == ["Exp1", "Exp2", "Exp3", "Exp4", "Exp5", None, None]
 
 
 def plain(docs, lookup, weights, query_weight=9.0):
@@ -74,7 +77,8 @@ def plain(docs, lookup, weights, query_weight=9.0):
 
 
 @pytest.mark.parametrize("seed, weights", [(1, WEIGHTS), (2, {"userId": 3.0, "deviceId": 3.0, "url": 3.0}), (3, {"userId": 0.5, "url": 4.0})])
-def test_against_every_document(spark, seed, weights):
+@pytest.mark.parametrize("small", [True, False])
+def test_against_every_document(spark, seed, weights, small):
     rng = random.Random(seed)
 
     def some(prefix, n):
@@ -86,7 +90,7 @@ def test_against_every_document(spark, seed, weights):
         if any(fields):
             docs.append(doc(f"e{len(docs):03d}", *fields))
     lookups = [(some("u", 5), some("d", 5), some("l", 4)) for _ in range(150)]
-    frame = matched(spark, docs, lookups, weights).orderBy("lookup_id").collect()
+    frame = matched(spark, docs, lookups, weights, small).orderBy("lookup_id").collect()
     for row, lookup in zip(frame, lookups):
         want = plain(docs, lookup, weights)
         assert row["experiment_id"] == (want[1] if want else None), lookup
@@ -94,16 +98,18 @@ def test_against_every_document(spark, seed, weights):
             assert row["score"] == pytest.approx(-want[0], abs=2e-6)
 
 
-def test_common_value_does_not_multiply_rows(spark, plan):
+@pytest.mark.parametrize("small", [True, False])
+def test_common_value_does_not_multiply_rows(spark, plan, small):
     """A third of the documents and of the lookups share one url: every lookup still reads at most 7 index rows."""
     docs = [doc(f"e{i:04d}", user=f"u{i}" if i % 2 else None, url="/hot" if i % 3 == 0 else f"/p{i}") for i in range(600)]
-    index = experiments.build_index(spark.createDataFrame(docs, DOCS))
-    assert index.count() == index.select(*experiments.KEY).distinct().count()
+    index = dataclasses.replace(experiments.build_index(spark.createDataFrame(docs, DOCS)), small=small)
+    assert index.entries.count() == index.entries.select("key").distinct().count()
     lookups = spark.range(900).selectExpr("cast(id as int) lookup_id", "concat('u', id) userId", "cast(null as string) deviceId", "if(id % 3 = 0, '/hot', concat('/p', id)) url")
     frame = experiments.match(lookups, index)
     assert frame.count() == 900
     text = plan(frame)
     assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+    assert not small or "hashpartitioning" not in text
 
 
 def test_query_weight_below_one_is_refused(spark):

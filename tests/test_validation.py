@@ -243,6 +243,17 @@ def test_malformed_client_log_is_rejected(spark):
     assert [r["reason"] for r in client_logs.screen(rows).collect()] == ["property: request is missing!"] * 2
 
 
+def test_flat_lines(spark):
+    rows = [(1, "d", "i", "p", "1", 5, "m"), (1, "d", "i", "p", "1", 6, "n"), (2, "d", "i", "p", "1", 5, "m"), (2, "d", "i", "p", "1", 0, "m"), (3, "", "i", "p", "1", 5, "")]
+    lines = spark.createDataFrame(rows, "k int, did string, pdata_id string, pid string, ver string, ts bigint, log string")
+    got = {r["k"]: (r["lines"], r["reason"]) for r in client_logs.screen_lines(lines, "k").collect()}
+    assert got == {
+        1: (2, None),
+        2: (2, "property: logs, mandatory fields are missing or type mismatch!"),
+        3: (1, "property: context.did is null or empty!"),
+    }
+
+
 def test_search_filters():
     with pytest.raises(ValueError, match="Filters are empty"):
         validation.check_search_filters({})

@@ -18,14 +18,15 @@ higher score, so taking the maximum over the keys is exact as long as
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing
 from tidewell.functions.texts import is_blank, same_text
+from tidewell.session import work_folder
 from tidewell.operators.upserts import first_by_key, latest_by_key
 
 FIELDS = ("userId", "deviceId", "url")
@@ -38,7 +39,9 @@ MISS_SECONDS = 86400
 
 DOCUMENT = ["name", "startDate", "endDate", "key", "expType"]
 SCORE_DIGITS = 6
-KEY = ["subset", *[f"at_{field}" for field in FIELDS]]
+
+# Largest index that is broadcast; it is counted before that is decided.
+BROADCAST_ENTRIES = 1_000_000
 
 # -- resolvers -----------------------------------------------------------------
 
@@ -73,25 +76,39 @@ def gate(resolvers: Mapping[str, Resolver] | None = None) -> Column:
 # -- matching ------------------------------------------------------------------
 
 
-def _members(subset: int) -> list[str]:
-    return [field for bit, field in enumerate(FIELDS) if subset >> bit & 1]
+@dataclass(frozen=True)
+class ExperimentIndex:
+    """``(key, subset, idf, best)``: the best document per key, and whether the table may be broadcast."""
 
+    entries: DataFrame
+    small: bool
 
-def _keys() -> Column:
-    """Array of keys, one for every non-empty subset of the fields a row has.
 
-    A key is the subset and the values, with empty text for the fields left out.
+def _key(subset: int) -> Column:
+    """Text key of a row for a subset of the fields, null when it lacks one of them.
+
+    Lengths go before the values, so no two rows of values share a key.
     """
-    entries = []
-    for subset in SUBSETS:
-        used = _members(subset)
-        has_all = functools.reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in used])
-        values = [(F.col(f) if f in used else F.lit("")).alias(f"at_{f}") for f in FIELDS]
-        entries.append(F.when(has_all, F.struct(F.lit(subset).alias("subset"), *values)))
-    return F.filter(F.array(*entries), lambda entry: entry.isNotNull())
+    used = [F.col(field) for bit, field in enumerate(FIELDS) if subset >> bit & 1]
+    parts = [part for value in used for part in (F.length(value).cast("string"), F.lit(":"), value)]
+    return F.concat(F.lit(f"{subset}/"), *parts)
 
 
-def build_index(
+def _keys() -> Column:
+    """Array of (subset, key) for every non-empty subset of the fields a row has."""
+    entries = [F.struct(F.lit(subset).alias("subset"), _key(subset).alias("key")) for subset in SUBSETS]
+    return F.filter(F.array(*entries), lambda entry: entry["key"].isNotNull())
+
+
+def _given() -> Column:
+    """The subset of the fields a row has."""
+    given = F.lit(0)
+    for bit, field in enumerate(FIELDS):
+        given = given + F.when(F.col(field).isNotNull(), 1 << bit).otherwise(0)
+    return given
+
+
+def index_entries(
     documents: DataFrame,
     weights: Mapping[str, float] = FIELD_WEIGHTS,
     resolvers: Mapping[str, Resolver] | None = None,
@@ -107,7 +124,7 @@ def build_index(
         documents.withColumns({"passes": gate(resolvers), "lacking": lacking})
         .withColumn("best", ranked)
         .select("best", F.explode(_keys()).alias("entry"))
-        .groupBy(*[F.col(f"entry.{name}").alias(name) for name in KEY])
+        .groupBy(F.col("entry.key").alias("key"), F.col("entry.subset").alias("subset"))
         .agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
     )
     totals = documents.agg(F.array(*[F.count(field).cast("double") for field in FIELDS]).alias("totals")).scalar()
@@ -115,38 +132,38 @@ def build_index(
     for bit in range(len(FIELDS)):
         total = F.when(F.col("subset") == 1 << bit, totals[bit]).otherwise(total)
     rarity = F.log(1.0 + (total - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    return best.select(*KEY, "best", rarity.alias("idf"))
+    return best.select("key", "subset", rarity.alias("idf"), "best")
 
 
-def match(lookups: DataFrame, index: DataFrame, query_weight: float = QUERY_WEIGHT, row_id: str = "lookup_id") -> DataFrame:
-    """Adds the best experiment of every lookup: ``experiment_id, score, passes, document``, null when none.
+def build_index(
+    documents: DataFrame,
+    weights: Mapping[str, float] = FIELD_WEIGHTS,
+    resolvers: Mapping[str, Resolver] | None = None,
+) -> ExperimentIndex:
+    """Prepares matching; run once per load of the documents.
 
-    Ties go to the lowest experiment id.  A lookup without any field has none.
-    The entries of a lookup, at most 7, are gathered in one array: an entry of
-    several fields finds the frequencies of its fields in the entries of one.
+    The entries are written to the working folder and counted, which decides
+    whether they may be broadcast.
     """
-    if query_weight < 1:
-        raise ValueError("query_weight must be at least 1")
-    given = F.lit(0)
-    for bit, field in enumerate(FIELDS):
-        given = given + F.when(F.col(field).isNotNull(), 1 << bit).otherwise(0)
-    probes = lookups.select(row_id, given.alias("given"), F.explode(_keys()).alias("entry")).select(
-        row_id, "given", "entry.*"
-    )
-    found = (
-        probes.join(index, KEY)
-        .groupBy(row_id)
-        .agg(F.max("given").alias("given"), F.collect_list(F.struct("subset", "idf", "best")).alias("entries"))
-    )
-    for bit, field in enumerate(FIELDS):
-        single = F.filter("entries", lambda e: e["subset"] == F.lit(1 << bit))
-        found = found.withColumn(f"idf_{field}", F.coalesce(F.get(single, F.lit(0))["idf"], F.lit(0.0)))
+    spark = documents.sparkSession
+    folder = work_folder(spark, "experiment-index")
+    index_entries(documents, weights, resolvers).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    return ExperimentIndex(stored, stored.count() <= BROADCAST_ENTRIES)
+
+
+def _winner(entries: Column, given: Column, query_weight: float) -> Column:
+    """Best entry of an array of at most 7: the entries of one field hold the frequencies of all."""
+    idf = []
+    for bit in range(len(FIELDS)):
+        single = F.filter(entries, lambda e: e["subset"] == F.lit(1 << bit))
+        idf.append(F.coalesce(F.get(single, F.lit(0))["idf"], F.lit(0.0)))
 
     def scored(entry: Column) -> Column:
         text = F.lit(0.0)
-        for bit, field in enumerate(FIELDS):
-            text = text + F.when(F.getbit(entry["subset"], F.lit(bit)) == 1, F.col(f"idf_{field}")).otherwise(0.0)
-        factor = F.when(entry["subset"] == F.col("given"), F.lit(float(query_weight))).otherwise(1.0)
+        for bit in range(len(FIELDS)):
+            text = text + F.when(F.getbit(entry["subset"], F.lit(bit)) == 1, idf[bit]).otherwise(0.0)
+        factor = F.when(entry["subset"] == given, F.lit(float(query_weight))).otherwise(1.0)
         score = F.round(text + entry["best"]["lacking"] * factor, SCORE_DIGITS)
         return F.struct(
             (-score).alias("rank"),
@@ -155,12 +172,51 @@ def match(lookups: DataFrame, index: DataFrame, query_weight: float = QUERY_WEIG
             entry["best"]["document"].alias("document"),
         )
 
-    winners = found.select(row_id, F.array_min(F.transform("entries", scored)).alias("winner")).select(
-        row_id,
-        F.col("winner.id").alias("experiment_id"),
-        (-F.col("winner.rank")).alias("score"),
-        F.col("winner.passes").alias("passes"),
-        F.col("winner.document").alias("document"),
+    return F.array_min(F.transform(entries, scored))
+
+
+def _found(winner: str) -> list[Column]:
+    return [
+        F.col(f"{winner}.id").alias("experiment_id"),
+        (-F.col(f"{winner}.rank")).alias("score"),
+        F.col(f"{winner}.passes").alias("passes"),
+        F.col(f"{winner}.document").alias("document"),
+    ]
+
+
+def match(
+    lookups: DataFrame, index: ExperimentIndex, query_weight: float = QUERY_WEIGHT, row_id: str = "lookup_id"
+) -> DataFrame:
+    """Adds the best experiment of every lookup: ``experiment_id, score, passes, document``, null when none.
+
+    Ties go to the lowest experiment id.  A lookup without any field has none.
+
+    A small index is read by 7 lookups into one broadcast table, without a
+    shuffle, which also works on a stream.  A large one is joined with the
+    keys of all lookups and the at most 7 entries found are gathered per
+    ``row_id``, which must be unique.
+    """
+    if query_weight < 1:
+        raise ValueError("query_weight must be at least 1")
+    columns = lookups.columns
+    if index.small:
+        rows = lookups
+        for subset in SUBSETS:
+            entry = F.struct("subset", "idf", "best").alias(f"_entry{subset}")
+            entries = index.entries.select(F.col("key").alias("_key"), entry)
+            rows = rows.join(F.broadcast(entries), _key(subset) == F.col("_key"), "left").drop("_key")
+        found = F.filter(F.array(*[F.col(f"_entry{subset}") for subset in SUBSETS]), lambda e: e.isNotNull())
+        gathered = rows.select(*columns, _given().alias("_given"), found.alias("_entries"))
+        won = gathered.withColumn("_winner", _winner(F.col("_entries"), F.col("_given"), query_weight))
+        return won.select(*columns, *_found("_winner"))
+    probes = lookups.select(row_id, _given().alias("given"), F.explode(_keys()).alias("entry"))
+    winners = (
+        probes.select(row_id, "given", "entry.key")
+        .join(index.entries, "key")
+        .groupBy(row_id)
+        .agg(F.max("given").alias("given"), F.collect_list(F.struct("subset", "idf", "best")).alias("entries"))
+        .select(row_id, _winner(F.col("entries"), F.col("given"), query_weight).alias("winner"))
+        .select(row_id, *_found("winner"))
     )
     return lookups.join(winners, row_id, "left")
 

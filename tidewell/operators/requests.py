@@ -21,11 +21,12 @@ LIST_LIMIT = 100
 KEY = ["tag", "request_id"]
 
 
-def resolve(requests: DataFrame) -> DataFrame:
+def resolve(requests: DataFrame, *carried: str | Column) -> DataFrame:
     """Submitted requests as job rows: defaults filled in, id computed.
 
     Takes ``seq, client_tag, dataset, requested_by, channel, dataset_config,
-    submission_date``; ``encryption_key`` is optional.
+    submission_date``; ``encryption_key`` is optional.  ``carried`` columns are
+    added as they are.
     """
     blank = F.lit("")
     kind = F.get_json_object("dataset_config", "$.type")
@@ -46,6 +47,7 @@ def resolve(requests: DataFrame) -> DataFrame:
         F.col("channel").alias("requested_channel"),
         F.col("submission_date").cast("timestamp").alias("dt_job_submitted"),
         secret.alias("encryption_key"),
+        *carried,
     )
 
 

@@ -18,8 +18,19 @@ def documents(spark, sf_dir) -> DataFrame:
     return rows.withColumnsRenamed({"start_date": "startDate", "end_date": "endDate", "exp_key": "key"})
 
 
+_INDEXES: dict[tuple[str, str], experiments.ExperimentIndex] = {}
+
+
+def experiment_index(spark, sf_dir) -> experiments.ExperimentIndex:
+    """The index of a table folder, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = experiments.build_index(documents(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def matched(spark, sf_dir) -> DataFrame:
-    return experiments.match(view(spark, sf_dir, "lookups"), experiments.build_index(documents(spark, sf_dir)))
+    return experiments.match(view(spark, sf_dir, "lookups"), experiment_index(spark, sf_dir))
 
 
 def experiment_key(spark, sf_dir):

@@ -123,16 +123,10 @@ def client_log_validate(spark, sf_dir):
     return _screened(spark, sf_dir).select("conv_id", "turn", "accepted", "reason")
 
 
-def client_log_nested(spark, sf_dir):
-    """One request per conversation, built from its flat lines and screened as a whole."""
-    nested = client_logs.nest(view(spark, sf_dir, "client_logs"))
-    request = F.struct(
-        F.struct("did").alias("context"),
-        F.struct(F.lit("player").alias("id"), F.lit("web").alias("pid"), F.col("ver")).alias("pdata"),
-        F.col("logs"),
-    )
-    reason = validation.client_log_failure(F.col("request"))
-    return nested.withColumn("request", request).select("conv_id", F.size("logs").alias("lines"), reason.alias("reason"))
+def client_log_screen_lines(spark, sf_dir):
+    """One request per conversation from its flat lines, screened as a whole."""
+    lines = view(spark, sf_dir, "client_logs").withColumns({"pdata_id": F.lit("player"), "pid": F.lit("web")})
+    return client_logs.screen_lines(lines, "conv_id")
 
 
 def client_log_sink(spark, sf_dir):
@@ -187,7 +181,7 @@ QUERIES = {
         report_list,
         report_count,
         client_log_validate,
-        client_log_nested,
+        client_log_screen_lines,
         client_log_sink,
         json_lines_load,
     )
@@ -272,7 +266,7 @@ select seq, concat('{{',problems,'"status":"',case when problems='' then 'succes
  ',"status":',to_json(status),',"status_msg":',to_json(status_msg),'}}') report from registry where status='ACTIVE'""",
     "report_count": f"{_REPLAY} select status, count(*) reports from registry group by 1",
     "client_log_validate": f"with {_LOGS} select conv_id, turn, reason is null accepted, reason from logs",
-    "client_log_nested": f"""{with_views("client_logs")} select conv_id, cast(count(*) as integer) as lines,
+    "client_log_screen_lines": f"""{with_views("client_logs")} select conv_id, count(*) as lines,
  case when max(did)='' then 'property: context.did is null or empty!' when max(ver) is null then 'property: pdata.ver is null or empty!'
  when bool_or(coalesce(log,'')='' or ts=0) then 'property: logs, mandatory fields are missing or type mismatch!' end reason
  from client_logs group by conv_id""",

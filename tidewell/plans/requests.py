@@ -74,16 +74,13 @@ def request_submit(spark, sf_dir):
 def request_submit_answer(spark, sf_dir):
     incoming = view(spark, sf_dir, "new_requests")
     failure = validation.submit_failure(F.col("client_tag"), F.col("dataset"), F.col("dataset_config"))
-    resolved = requests.resolve(incoming)
-    named = incoming.withColumn("failure", failure).join(resolved.select("seq", "tag", "request_id", "dataset_sub_id"), "seq")
+    resolved = requests.resolve(
+        incoming, failure.alias("failure"), "channel", "consumer_id", "user_id", "has_token"
+    )
     checked = access.authorize(
-        named,
-        view(spark, sf_dir, "consumer_channels"),
-        _users(spark, sf_dir),
-        _roles(spark, sf_dir),
+        resolved, view(spark, sf_dir, "consumer_channels"), _users(spark, sf_dir), _roles(spark, sf_dir)
     )
-    allowed = checked.filter("failure is null and authorized").select("seq")
-    jobs = requests.merge_submissions(_jobs(spark, sf_dir), resolved.join(allowed, "seq", "left_semi"))
+    jobs = requests.merge_submissions(_jobs(spark, sf_dir), checked.filter("failure is null and authorized"))
     states = jobs.filter("action <> 'kept'").select("tag", "request_id", "status", "action")
     accepted = F.col("failure").isNull() & F.col("authorized")
     joined = checked.join(states, ["tag", "request_id"], "left")

@@ -46,10 +46,10 @@ def test_registration_stream_equals_batch(spark, index, tmp_path):
     run_to_end(writer, 300)
     assert len(outcomes.batches(spark)) == 3
     whole = devices.enrich(spark.createDataFrame(sum(BATCHES, []), ROW), index)
-    assert sorted(store.read(spark).collect()) == sorted(devices.profile_state(whole).collect())
+    assert sorted(store.profiles(spark).collect()) == sorted(devices.profile_state(whole).collect())
     events = BatchTable(f"{tmp_path}/events").read(spark).drop("batch")
     assert sorted(events.collect()) == sorted(devices.device_events(whole).collect())
-    assert store.read(spark).filter("did = 'a'").first()["user_declared_state"] == "newer"
+    assert store.profiles(spark).filter("did = 'a'").first()["user_declared_state"] == "newer"
 
     # Counters of a second stream over the outcomes equal the batch counters.
     counted = BatchTable(f"{tmp_path}/metrics")
@@ -71,20 +71,20 @@ def test_repeated_batch_changes_nothing(spark, index, tmp_path):
     for n, rows in enumerate(BATCHES):
         enriched = devices.enrich(spark.createDataFrame(rows, ROW), index)
         store.write(devices.stamped(devices.profile_updates(enriched)), n)
-    before = sorted(store.read(spark).collect())
+    before = sorted(store.profiles(spark).collect())
     enriched = devices.enrich(spark.createDataFrame(BATCHES[2], ROW), index)
     store.write(devices.stamped(devices.profile_updates(enriched)), 2)
-    assert sorted(store.read(spark).collect()) == before
+    assert sorted(store.profiles(spark).collect()) == before
     store.compact(spark)
     store.compact(spark)
-    assert sorted(store.read(spark).collect()) == before
+    assert sorted(store.profiles(spark).collect()) == before
     later = devices.enrich(spark.createDataFrame([row(90, did="a", token="t90")], ROW), index)
     store.write(devices.stamped(devices.profile_updates(later)), 3)
-    assert store.read(spark).filter("did = 'a'").first()["fcm_token"] == "t90"
+    assert store.profiles(spark).filter("did = 'a'").first()["fcm_token"] == "t90"
 
 
 def test_empty_store(spark, tmp_path):
-    assert ProfileStore(f"{tmp_path}/none").read(spark) is None
+    assert ProfileStore(f"{tmp_path}/none").profiles(spark) is None
     ProfileStore(f"{tmp_path}/none").compact(spark)
 
 
@@ -129,13 +129,15 @@ def test_remembered_lookups(spark, tmp_path):
         [lookup(4, "u1", 1), lookup(5, "u2", 1), lookup(6, "u1", 1, "other")],
         [lookup(7, "u1", 5), lookup(8, "u2", 5), lookup(9, "u2", 1)],
     ]
-    memory, answers, remembered = BatchTable(f"{tmp_path}/memory"), BatchTable(f"{tmp_path}/answers"), None
-    for n, (docs, rows) in enumerate(zip(documents, batches)):
-        before = memory.read(spark, before=n)
-        remembered = None if before is None else latest_batch(before, ["lookup_key"])
-        answered, found = assignments.answer_batch(spark.createDataFrame(rows, LOOKUPS), spark.createDataFrame(docs, DOCS), remembered)
-        memory.write(found, n)
+    memory, answers = assignments.memory_table(f"{tmp_path}/memory"), BatchTable(f"{tmp_path}/answers")
+    for n in (0, 1, 2, 2):  # the last batch runs twice
+        index = experiments.build_index(spark.createDataFrame(documents[n], DOCS))
+        lookups = spark.createDataFrame(batches[n], LOOKUPS)
+        answered, found = assignments.answer_batch(lookups, index, memory.parts(spark, before=n))
         answers.write(answered, n)
+        memory.write(found, n)
+        if n == 1:
+            memory.compact(spark)
     got = {r["lookup_id"]: r["experiment_id"] for r in answers.read(spark).collect()}
     assert got == {1: "old", 2: None, 3: None, 4: "old", 5: None, 6: "a-new", 7: "old", 8: "late", 9: None}
 
@@ -144,7 +146,8 @@ def test_assignment_stream(spark, tmp_path):
     docs = spark.createDataFrame([doc("e", user="u1"), doc("m", user="user4", kind="modulus", user_mod=3)], DOCS)
     source = files(spark, f"{tmp_path}/in", [[lookup(1, "u1"), lookup(2, "user4")], [lookup(3, "u1"), lookup(4, "zz")]], LOOKUPS)
     answers = BatchTable(f"{tmp_path}/answers")
-    run_to_end(assignments.assign_stream(source, lambda: docs, BatchTable(f"{tmp_path}/memory"), answers, f"{tmp_path}/c"), 300)
+    index = experiments.build_index(docs)
+    run_to_end(assignments.assign_stream(source, lambda: index, assignments.memory_table(f"{tmp_path}/memory"), answers, f"{tmp_path}/c"), 300)
     got = {r["lookup_id"]: (r["experiment_id"], r["assigned"], r["covered"]) for r in answers.read(spark).collect()}
     assert got == {1: ("e", True, False), 2: ("m", False, False), 3: ("e", True, True), 4: (None, False, False)}
 

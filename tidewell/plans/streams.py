@@ -61,7 +61,7 @@ def device_registration_stream(spark, sf_dir):
     """Profiles after the stream; equal to the batch profile state."""
     store = ProfileStore(f"{_registered(spark, sf_dir)}/profiles")
     store.compact(spark)
-    return store.read(spark)
+    return store.profiles(spark)
 
 
 def device_event_stream(spark, sf_dir):
@@ -87,13 +87,13 @@ def registration_metrics_stream(spark, sf_dir):
 
 
 def experiment_assign_stream(spark, sf_dir):
-    """Assignments of the stream with remembered lookups; equal to the batch ones, the documents being fixed."""
+    """Assignments of the stream with remembered lookups; equal to the batch ones, the index being fixed."""
     folder = work_folder(spark, "assignments")
     answers = BatchTable(f"{folder}/answers")
     writer = assignments.assign_stream(
         _stream(spark, sf_dir, "events", "lookups"),
-        lambda: experiments.documents(spark, sf_dir),
-        BatchTable(f"{folder}/memory"),
+        Refreshed(lambda: experiments.experiment_index(spark, sf_dir)),
+        assignments.memory_table(f"{folder}/memory"),
         answers,
         f"{folder}/checkpoint",
     )

@@ -1,9 +1,14 @@
 """Remembered experiment lookups.
 
 A lookup that finds an experiment is remembered for good, one that finds none
-for a limited time.  What is remembered is kept per lookup key in a table of
-micro-batches; documents are read again for every batch, so an edit of an
-experiment shows for keys that are not remembered.
+for a limited time.  What is remembered is kept per lookup key in a merged table; a
+batch reads only the rows of its own keys.  The index may be loaded again
+between batches, so an edit of an experiment shows for keys that are not
+remembered.
+
+Keyed state (``transformWithState``) would send all lookups of one key to one
+task.  Here a key is looked up and searched once per batch and joined back, so
+a key that holds a third of all lookups is split like any skewed join.
 """
 
 from __future__ import annotations
@@ -16,34 +21,49 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidewell.functions.hashing import lookup_key
 from tidewell.operators import experiments
-from tidewell.streaming.tables import BatchTable, latest_batch
+from tidewell.operators.upserts import latest_by_key
+from tidewell.streaming.tables import BatchTable, MergedTable
 
 FOUND = ["experiment_id", "score", "passes", "document"]
 
 
+def newest_search(rows: DataFrame) -> DataFrame:
+    """What the last search of each key found."""
+    return latest_by_key(rows, ["lookup_key"], ["searched_at"])
+
+
+def memory_table(root: str) -> MergedTable:
+    return MergedTable(root, newest_search)
+
+
 def answer_batch(
-    lookups: DataFrame, documents: DataFrame, remembered: DataFrame | None, miss_seconds: int = experiments.MISS_SECONDS
+    lookups: DataFrame,
+    index: experiments.ExperimentIndex,
+    remembered: DataFrame | None,
+    miss_seconds: int = experiments.MISS_SECONDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(answered lookups, what to remember) of one batch.
 
     ``lookups`` carries ``lookup_id, ts, userId, deviceId, url, producer``;
-    ``remembered`` one row per key with the found columns and ``expires_at``,
-    null for a hit.  A lookup after the expiry of its key searches again.
+    ``remembered`` are rows of a memory table, null ``expires_at`` for a hit.
+    A lookup after the expiry of its key searches again.
     """
     key = lookup_key(*[F.col(c) for c in ("deviceId", "userId", "url", "producer")])
     keyed = lookups.withColumn("lookup_key", key)
     if remembered is None:
         known = keyed.withColumn("covered", F.lit(False))
     else:
-        old = remembered.select("lookup_key", F.lit(True).alias("kept"), "expires_at", *[F.col(c).alias(f"old_{c}") for c in FOUND])
+        asked = keyed.select("lookup_key").distinct()
+        old = newest_search(remembered.join(asked, "lookup_key", "left_semi")).select(
+            "lookup_key", F.lit(True).alias("kept"), "expires_at", *[F.col(c).alias(f"old_{c}") for c in FOUND]
+        )
         covered = F.col("kept").isNotNull() & (F.col("expires_at").isNull() | (F.col("ts") < F.col("expires_at")))
         known = keyed.join(old, "lookup_key", "left").withColumn("covered", covered)
-    fields = list(experiments.FIELDS)
-    first = F.min_by(F.struct("ts", *fields), "ts").alias("first")
+    first = F.min_by(F.struct("ts", *experiments.FIELDS), "ts").alias("first")
     open_keys = known.filter(~F.col("covered")).groupBy("lookup_key").agg(first).select("lookup_key", "first.*")
-    searched = experiments.match(open_keys, experiments.build_index(documents), row_id="lookup_key")
+    searched = experiments.match(open_keys, index, row_id="lookup_key")
     expires = F.when(F.col("experiment_id").isNull(), F.col("ts") + F.make_dt_interval(secs=F.lit(miss_seconds)))
-    to_remember = searched.select("lookup_key", *FOUND, expires.alias("expires_at"))
+    to_remember = searched.select("lookup_key", F.col("ts").alias("searched_at"), *FOUND, expires.alias("expires_at"))
     found = searched.select("lookup_key", *[F.col(c).alias(f"new_{c}") for c in FOUND])
     joined = known.join(found, "lookup_key", "left")
     if remembered is None:
@@ -55,8 +75,8 @@ def answer_batch(
 
 def assign_stream(
     lookups: DataFrame,
-    documents: Callable[[], DataFrame],
-    memory: BatchTable,
+    index: Callable[[], experiments.ExperimentIndex],
+    memory: MergedTable,
     answers: BatchTable,
     checkpoint: str,
     miss_seconds: int = experiments.MISS_SECONDS,
@@ -64,11 +84,9 @@ def assign_stream(
     """The stream writer of the assignment flow; the caller sets the trigger and starts it."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = memory.read(spark, before=batch_id)
-        remembered = None if before is None else latest_batch(before, ["lookup_key"])
-        answered, to_remember = answer_batch(batch, documents(), remembered, miss_seconds)
-        memory.write(to_remember, batch_id)
+        remembered = memory.parts(batch.sparkSession, before=batch_id)
+        answered, to_remember = answer_batch(batch, index(), remembered, miss_seconds)
         answers.write(answered, batch_id)
+        memory.write(to_remember, batch_id)
 
     return lookups.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

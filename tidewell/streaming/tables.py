@@ -8,6 +8,7 @@ nothing is counted twice.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,42 +52,60 @@ class BatchTable:
         return spark.read.option("basePath", self.root).parquet(*paths)
 
 
-class ProfileStore:
-    """Device profiles as mergeable pieces.
+class MergedTable:
+    """A keyed table kept as pieces that an associative ``merge`` folds together.
 
-    A batch appends one row per device it saw, so its cost follows the batch
-    and not the number of known devices.  ``compact`` folds the pieces into a
-    snapshot; nothing is changed in place.
+    A batch appends only the keys it saw, so its cost follows the batch and
+    not the size of the table.  ``compact`` folds the pieces into a snapshot;
+    nothing is changed in place, and a batch that runs again after a failure
+    reads only what was there before it.
     """
 
-    def __init__(self, root: str):
+    def __init__(self, root: str, merge: Callable[[DataFrame], DataFrame], compact_every: int = 100):
         self.pieces = BatchTable(f"{root}/pieces")
         self.snapshots = f"{root}/snapshots"
+        self.merge = merge
+        self.compact_every = compact_every
 
-    def write(self, stamped_rows: DataFrame, batch_id: int) -> None:
-        self.pieces.write(merge_stamped(stamped_rows), batch_id)
-
-    def _merged(self, spark: SparkSession) -> DataFrame | None:
-        upto = max(_folders(spark, self.snapshots, "upto"), default=-1)
-        parts = [spark.read.parquet(f"{self.snapshots}/upto={upto}")] if upto >= 0 else []
-        newer = self.pieces.read(spark, after=upto)
-        if newer is not None:
-            parts.append(newer.drop("batch"))
-        if not parts:
-            return None
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return merge_stamped(rows)
-
-    def read(self, spark: SparkSession) -> DataFrame | None:
-        """Latest non-empty fields of every device."""
-        merged = self._merged(spark)
-        return None if merged is None else unstamped(merged)
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        """Writes the piece of a batch, and now and then a snapshot."""
+        self.pieces.write(self.merge(rows), batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            self.compact(rows.sparkSession)
+
+    def parts(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The newest snapshot and the pieces after it, not yet merged."""
+        done = [n for n in _folders(spark, self.snapshots, "upto") if before is None or n < before]
+        upto = max(done, default=-1)
+        newer = self.pieces.read(spark, after=upto, before=before)
+        newer = None if newer is None else newer.drop("batch")
+        if upto < 0:
+            return newer
+        snapshot = spark.read.parquet(f"{self.snapshots}/upto={upto}")
+        return snapshot if newer is None else snapshot.unionByName(newer)
+
+    def read(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
+        """The merged table, None while there is no batch."""
+        parts = self.parts(spark, before)
+        return None if parts is None else self.merge(parts)
 
     def compact(self, spark: SparkSession) -> None:
         """Writes a snapshot of everything up to the last finished batch."""
         last = max(self.pieces.batches(spark), default=-1)
         if last > max(_folders(spark, self.snapshots, "upto"), default=-1):
-            self._merged(spark).write.mode("overwrite").parquet(f"{self.snapshots}/upto={last}")
+            self.read(spark).write.mode("overwrite").parquet(f"{self.snapshots}/upto={last}")
+
+
+class ProfileStore(MergedTable):
+    """Device profiles: the newest stamp of each field per device."""
+
+    def __init__(self, root: str, compact_every: int = 100):
+        super().__init__(root, merge_stamped, compact_every)
+
+    def profiles(self, spark: SparkSession) -> DataFrame | None:
+        """Latest non-empty fields of every device."""
+        merged = self.read(spark)
+        return None if merged is None else unstamped(merged)
 
 
 def latest_batch(rows: DataFrame, keys: list[str]) -> DataFrame:

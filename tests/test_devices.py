@@ -86,10 +86,10 @@ def test_profile_without_declared_fields(spark, index):
 
 def test_profile_is_mergeable(spark, index):
     rows = [row(n, did=f"d{n % 3}", token="" if n % 4 else f"t{n}", minute=(n * 7) % 20) for n in range(30)]
-    stamped = devices.stamped(devices.profile_updates(enriched(spark, index, *rows)))
-    whole = devices.merge_stamped(stamped)
-    parts = devices.merge_stamped(stamped.filter("did <> 'd1'").unionByName(devices.merge_stamped(stamped.filter("did = 'd1'"))))
-    assert sorted(whole.collect()) == sorted(parts.collect())
+    updates = devices.profile_updates(enriched(spark, index, *rows))
+    whole = devices.newest_fields(updates)
+    early, late = (devices.newest_fields(updates.filter(c)) for c in ("event_id % 2 = 0", "event_id % 2 = 1"))
+    assert sorted(whole.collect()) == sorted(devices.merge_stamped(late.unionByName(early)).collect())
 
 
 def test_read_profiles(spark, index):

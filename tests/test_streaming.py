@@ -70,16 +70,16 @@ def test_repeated_batch_changes_nothing(spark, index, tmp_path):
     store = ProfileStore(str(tmp_path))
     for n, rows in enumerate(BATCHES):
         enriched = devices.enrich(spark.createDataFrame(rows, ROW), index)
-        store.write(devices.stamped(devices.profile_updates(enriched)), n)
+        store.write(devices.newest_fields(devices.profile_updates(enriched)), n)
     before = sorted(store.profiles(spark).collect())
     enriched = devices.enrich(spark.createDataFrame(BATCHES[2], ROW), index)
-    store.write(devices.stamped(devices.profile_updates(enriched)), 2)
+    store.write(devices.newest_fields(devices.profile_updates(enriched)), 2)
     assert sorted(store.profiles(spark).collect()) == before
     store.compact(spark)
     store.compact(spark)
     assert sorted(store.profiles(spark).collect()) == before
     later = devices.enrich(spark.createDataFrame([row(90, did="a", token="t90")], ROW), index)
-    store.write(devices.stamped(devices.profile_updates(later)), 3)
+    store.write(devices.newest_fields(devices.profile_updates(later)), 3)
     assert store.profiles(spark).filter("did = 'a'").first()["fcm_token"] == "t90"
 
 

@@ -98,20 +98,27 @@ def profile_updates(enriched: DataFrame) -> DataFrame:
     return accepted(enriched).select("did", "ts", "event_id", *[value.alias(name) for name, value in fields.items()])
 
 
-def stamped(updates: DataFrame, fields: Sequence[str] = PROFILE_FIELDS, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
-    """Each field as ``struct(order columns, value)``, null when the field has no value."""
+def newest_fields(
+    updates: DataFrame, fields: Sequence[str] = PROFILE_FIELDS, order: Sequence[str] = ("ts", "event_id")
+) -> DataFrame:
+    """Newest value of each field per device as a stamp ``struct(order columns, value)``, null when it has none.
+
+    The stamps are formed inside the aggregate, so only plain columns are
+    sorted and combined on the map side, where a hot device shrinks to one row
+    per task.
+    """
     stamps = [
-        F.when(F.col(name).isNotNull(), F.struct(*order, F.col(name).alias("value"))).alias(name) for name in fields
+        F.max(F.when(F.col(name).isNotNull(), F.struct(*order, F.col(name).alias("value")))).alias(name)
+        for name in fields
     ]
-    return updates.select("did", *stamps)
+    return updates.groupBy("did").agg(*stamps)
 
 
 def merge_stamped(rows: DataFrame, fields: Sequence[str] = PROFILE_FIELDS) -> DataFrame:
     """Newest stamp of each field per device.
 
-    ``max`` over the stamps is associative, so partial results of batches can
-    be merged in any order, late rows never overwrite newer fields, and the
-    map-side combine shrinks a hot device to one row per task.
+    ``max`` over the stamps is associative: partial results of batches can be
+    merged in any order, and late rows never overwrite newer fields.
     """
     return rows.groupBy("did").agg(*[F.max(name).alias(name) for name in fields])
 
@@ -124,7 +131,7 @@ def unstamped(state: DataFrame, fields: Sequence[str] = PROFILE_FIELDS) -> DataF
 
 def profile_state(enriched: DataFrame) -> DataFrame:
     """Latest non-empty value of every profile field per device."""
-    return unstamped(merge_stamped(stamped(profile_updates(enriched))))
+    return unstamped(newest_fields(profile_updates(enriched)))
 
 
 def declared(profiles: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tidewell.functions import hashing
 from tidewell.operators import experiments, validation
 from tidewell.operators.rules import with_status
 from tidewell.plans.views import view, with_views
+from tidewell.sources.tables import use_all_cores
 
 AS_OF = "2024-01-15"
 
@@ -30,7 +31,7 @@ def experiment_index(spark, sf_dir) -> experiments.ExperimentIndex:
 
 
 def matched(spark, sf_dir) -> DataFrame:
-    return experiments.match(view(spark, sf_dir, "lookups"), experiment_index(spark, sf_dir))
+    return experiments.match(use_all_cores(view(spark, sf_dir, "lookups")), experiment_index(spark, sf_dir))
 
 
 def experiment_key(spark, sf_dir):

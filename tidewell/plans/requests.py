@@ -9,6 +9,7 @@ from tidewell.functions import hashing, texts
 from tidewell.operators import access, requests, validation
 from tidewell.plans.views import view, with_views
 from tidewell.sources import documents
+from tidewell.sources.tables import use_all_cores
 
 SEARCH = {"dataset": "1-URGENT", "status": "SUCCESS", "channel": None}
 SEARCH_DAY = {"requestedDate": "1998-10-03"}
@@ -50,7 +51,7 @@ def request_validate(spark, sf_dir):
 
 
 def schema_rules(spark, sf_dir):
-    rows = view(spark, sf_dir, "request_bodies").withColumnRenamed("dataset", "dataset_sub_id")
+    rows = use_all_cores(view(spark, sf_dir, "request_bodies")).withColumnRenamed("dataset", "dataset_sub_id")
     checked = validation.check_submissions(rows, view(spark, sf_dir, "dataset_rules"))
     return checked.select("o_orderkey", "dataset_sub_id", "failure")
 
@@ -111,7 +112,7 @@ def _flat(answers: DataFrame) -> DataFrame:
 
 
 def request_status(spark, sf_dir):
-    return _flat(requests.responses(_jobs(spark, sf_dir)))
+    return _flat(requests.responses(use_all_cores(_jobs(spark, sf_dir))))
 
 
 def request_read(spark, sf_dir):

@@ -59,9 +59,7 @@ def _registered(spark: SparkSession, sf_dir: str) -> str:
 
 def device_registration_stream(spark, sf_dir):
     """Profiles after the stream; equal to the batch profile state."""
-    store = ProfileStore(f"{_registered(spark, sf_dir)}/profiles")
-    store.compact(spark)
-    return store.profiles(spark)
+    return ProfileStore(f"{_registered(spark, sf_dir)}/profiles").profiles(spark)
 
 
 def device_event_stream(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidewell.operators import devices
 from tidewell.operators.geo import GeoIndex
+from tidewell.sources.tables import use_all_cores
 from tidewell.streaming.tables import BatchTable, ProfileStore
 
 Sink = Callable[[DataFrame, int], None]
@@ -45,9 +46,9 @@ def register(
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        enriched = devices.enrich(batch, index()).persist()
+        enriched = devices.enrich(use_all_cores(batch), index()).persist()
         try:
-            profiles.write(devices.stamped(devices.profile_updates(enriched)), batch_id)
+            profiles.write(devices.newest_fields(devices.profile_updates(enriched)), batch_id)
             events(devices.device_events(enriched), batch_id)
             outcomes.write(devices.outcomes(enriched), batch_id)
         finally:

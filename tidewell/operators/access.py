@@ -17,18 +17,14 @@ from tidewell.functions.texts import is_blank, same_text
 STANDARD_ROLES = ["ORG_ADMIN", "REPORT_ADMIN"]
 ON_DEMAND_ROLES = ["ORG_ADMIN", "REPORT_ADMIN", "COURSE_ADMIN"]
 
+# Reasons of a refusal.
 MISSING_CHANNEL = "X-Channel-ID is missing in request header"
 NOT_AUTHORIZED = "You are not authorized."
+NOT_GRANTED = "Given X-Consumer-ID='%s' and X-Channel-ID='%s' are not authorized"
 
 
 def _not_granted(consumer: Column, channel: Column) -> Column:
-    return F.concat(
-        F.lit("Given X-Consumer-ID='"),
-        F.coalesce(consumer, F.lit("")),
-        F.lit("' and X-Channel-ID='"),
-        channel,
-        F.lit("' are not authorized"),
-    )
+    return F.format_string(NOT_GRANTED, F.coalesce(consumer, F.lit("")), channel)
 
 
 def grants(requests: DataFrame, consumer_channels: DataFrame) -> DataFrame:

@@ -12,7 +12,11 @@ from tidewell.operators import validation
 from tidewell.operators.rules import first_failure
 from tidewell.operators.upserts import latest_by_key, upsert
 
+# Messages of the file requests.
 NO_FILES = "Files are not available for requested date. Might not yet generated. Please come back later"
+UNKNOWN_DATASET = "Provided dataset is invalid. Please use any one from this list - [{}]"
+UNKNOWN_INTERVAL = "Provided dateRange %s is not valid. Please use any one from this list - List({})"
+
 DATASET_KEY = ["dataset_id", "dataset_sub_id"]
 
 
@@ -74,22 +78,12 @@ def public_windows(
     )
     folder = F.concat(_prefix(F.col("dataset_id"), prefixes), F.col("dataset_id"), F.lit("/"))
     resolved = named.withColumns({"start": start, "end": end, "folder": folder})
-    known = ", ".join(datasets)
-    intervals = ", ".join(dates.INTERVAL_NAMES)
+    unknown_dataset = UNKNOWN_DATASET.format(", ".join(datasets))
+    unknown_interval = F.format_string(UNKNOWN_INTERVAL.format(", ".join(dates.INTERVAL_NAMES)), F.col("date_range"))
     failure = first_failure(
         [
-            (
-                ~F.col("dataset_id").isin(list(datasets)),
-                f"Provided dataset is invalid. Please use any one from this list - [{known}]",
-            ),
-            (
-                chosen & (F.col("_first") == ""),
-                F.concat(
-                    F.lit("Provided dateRange "),
-                    F.col("date_range"),
-                    F.lit(f" is not valid. Please use any one from this list - List({intervals})"),
-                ),
-            ),
+            (~F.col("dataset_id").isin(list(datasets)), unknown_dataset),
+            (chosen & (F.col("_first") == ""), unknown_interval),
         ]
     )
     window = validation.window_failure(F.col("start"), F.col("end"), as_of, F.lit(True))

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import hashing
 from tidewell.functions.texts import is_blank, same_text
-from tidewell.session import work_folder
 from tidewell.operators.upserts import first_by_key, latest_by_key
+from tidewell.session import work_folder
 
 FIELDS = ("userId", "deviceId", "url")
 SUBSETS = range(1, 2 ** len(FIELDS))
@@ -241,6 +241,7 @@ def assign(matched: DataFrame) -> DataFrame:
 
 # -- registry ------------------------------------------------------------------
 
+# State and messages of a submitted experiment.
 SUBMITTED = "SUBMITTED"
 SUBMITTED_MESSAGE = "Experiment successfully submitted"
 UPDATED_BY = "Experiment_CREATE_API"

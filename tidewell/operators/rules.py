@@ -22,6 +22,11 @@ def first_failure(checks: Sequence[tuple[Column, Message]]) -> Column:
     return chain.otherwise(F.lit(None).cast("string"))
 
 
+def failure(rule: tuple[str, str], failed: Column) -> tuple[str, Column, Message]:
+    """A check of ``all_failures`` from a (field, message) pair."""
+    return rule[0], failed, rule[1]
+
+
 def all_failures(checks: Sequence[tuple[str, Column, Message]]) -> Column:
     """Map of field -> message of every check that fails; a later check of a field overwrites an earlier one."""
     messages: dict[str, Column] = {}

@@ -1,7 +1,6 @@
 """Validation rules of the requests.
 
-Each function returns a Column: null (or an empty map) means valid.  The
-messages are fixed values; clients compare them as text.
+Each function returns a Column: null (or an empty map) means valid.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import dates, texts
-from tidewell.operators.rules import all_failures, first_failure
+from tidewell.operators.rules import all_failures, failure, first_failure
 
 # Limits of the file windows.
 MAX_DAYS = 10
@@ -19,32 +18,75 @@ PUBLIC_MAX_MONTHS = 2
 
 # Filters that a request search must use at least one of.
 SEARCH_FILTERS = ["dataset", "requestedDate", "status", "channel"]
+NO_FILTERS = "Filters are empty"
+OTHER_FILTERS = "Unsupported filters"
+
+# Messages of the window rules.
+WINDOW_IN_FUTURE = "'to' should be LESSER OR EQUAL TO today's date.."
+WINDOW_NEGATIVE = "Date range should not be -ve. Please check your 'from' & 'to'"
+WINDOW_TOO_LONG = "Date range should be < {} days"
+WINDOW_TOO_OLD = "Date range cannot be older than {} months"
+
+# Messages of the experiment rules by field.
+NO_REQUEST = "Request should not be empty"
+EXPERIMENT_ID = ("request.expid", "Experiment Id should not be  empty")
+EXPERIMENT_NAME = ("request.name", "Experiment Name should not be  empty")
+EXPERIMENT_CREATOR = ("request.createdBy", "Created By should not be empty")
+EXPERIMENT_CRITERIA = ("request.createdBy", "Criteria should not be empty")
+CRITERIA_FILTERS = ("request.filters", "Criteria Filters should not be empty")
+CRITERIA_TYPE = ("request.type", "Criteria Type should not be empty")
+EXPERIMENT_DATA = ("request.data", "Experiment Data should not be empty")
+END_MISSING = ("data.endDate", "Experiment End_Date should not be empty")
+END_PAST = ("data.endDate", "End_Date should be greater than today's date.")
+START_MISSING = ("data.startDate", "Experiment Start_Date should not be empty")
+START_PAST = ("data.startDate", "Start_Date should be greater than or equal to today's date..")
+START_AFTER_END = ("data.startDate", "Date range should not be -ve. Please check your start_date & end_date")
+
+# Messages of the report rules by field; the parts of the config in the order they are tested.
+REPORT_ID = ("request.reportId", "Report Id should not be  empty")
+REPORT_DESCRIPTION = ("request.description", "Report Description should not empty")
+REPORT_CREATOR = ("request.createdBy", "Created By should not be empty")
+REPORT_CONFIG = ("request.config", "Config should not be empty")
+CONFIG_PARTS = {
+    "reportConfig": "Report Config  should not be empty",
+    "store": "Config Store should not be empty",
+    "container": "Config Container should not be empty",
+    "key": "Config Key should not be empty",
+}
+
+# Messages of the client-log rules.
+LOG_PART_MISSING = "property: {} is missing!"
+LOG_VALUE_BLANK = "property: {} is null or empty!"
+LOG_LINE_BAD = "property: logs, mandatory fields are missing or type mismatch!"
+
+
+def missing_field(**fields: Column) -> Column:
+    """``<name> is empty`` for the first field that is absent; an empty text is not absent."""
+    return first_failure([(value.isNull(), f"{name} is empty") for name, value in fields.items()])
 
 
 def submit_failure(tag: Column, dataset: Column, dataset_config: Column) -> Column:
-    return first_failure(
-        [
-            (tag.isNull(), "tag is empty"),
-            (dataset.isNull(), "dataset is empty"),
-            (dataset_config.isNull(), "datasetConfig is empty"),
-        ]
-    )
+    return missing_field(tag=tag, dataset=dataset, datasetConfig=dataset_config)
 
 
 def dataset_failure(
     dataset: Column, dataset_type: Column, version: Column, visibility: Column, authorized_roles: Column
 ) -> Column:
-    return first_failure(
-        [
-            (dataset.isNull(), "dataset is empty"),
-            (dataset_type.isNull(), "datasetType is empty"),
-            (version.isNull(), "version is empty"),
-            (visibility.isNull(), "visibility is empty"),
-            (authorized_roles.isNull(), "authorizedRoles is empty"),
-        ]
+    return missing_field(
+        dataset=dataset,
+        datasetType=dataset_type,
+        version=version,
+        visibility=visibility,
+        authorizedRoles=authorized_roles,
     )
 
 
+def _days(start: Column, end: Column) -> Column:
+    """Days between two ``yyyy-MM-dd`` texts, null when one of them is not a date."""
+    pattern = F.lit("yyyy-MM-dd")
+    return F.datediff(F.try_to_timestamp(end, pattern), F.try_to_timestamp(start, pattern))
+
+
 def window_failure(
     start: Column,
     end: Column,
@@ -55,74 +97,59 @@ def window_failure(
     public_max_months: int = PUBLIC_MAX_MONTHS,
 ) -> Column:
     """Rules of a file window given as ``yyyy-MM-dd`` texts; a span equal to the limit passes."""
-    span = F.datediff(F.try_to_timestamp(end, F.lit("yyyy-MM-dd")), F.try_to_timestamp(start, F.lit("yyyy-MM-dd")))
+    span = _days(start, end)
+    today, oldest = (
+        dates.period_of(dates.day_text(day)) for day in (as_of, F.add_months(as_of, -public_max_months))
+    )
     limit = F.when(public, public_max_days).otherwise(max_days)
-    oldest = dates.period_of(dates.day_text(F.add_months(as_of, -public_max_months)))
+    too_long = F.when(public, WINDOW_TOO_LONG.format(public_max_days)).otherwise(WINDOW_TOO_LONG.format(max_days))
     return first_failure(
         [
-            (
-                dates.period_of(end) > dates.period_of(dates.day_text(as_of)),
-                "'to' should be LESSER OR EQUAL TO today's date..",
-            ),
-            (span < 0, "Date range should not be -ve. Please check your 'from' & 'to'"),
-            (span > limit, F.concat(F.lit("Date range should be < "), limit.cast("string"), F.lit(" days"))),
-            (
-                public & (dates.period_of(start) < oldest),
-                f"Date range cannot be older than {public_max_months} months",
-            ),
+            (dates.period_of(end) > today, WINDOW_IN_FUTURE),
+            (span < 0, WINDOW_NEGATIVE),
+            (span > limit, too_long),
+            (public & (dates.period_of(start) < oldest), WINDOW_TOO_OLD.format(public_max_months)),
         ]
     )
 
 
 def experiment_failures(
-    exp_id: Column, name: Column, created_by: Column, criteria: Column, data: Column, as_of: Column, missing: Column | None = None
+    exp_id: Column,
+    name: Column,
+    created_by: Column,
+    criteria: Column,
+    data: Column,
+    as_of: Column,
+    missing: Column | None = None,
 ) -> Column:
-    """Every failed rule of an experiment request.
+    """Every failed rule of an experiment request as a map.
 
-    Missing criteria is reported under ``request.createdBy`` and overwrites
-    that message; the date rules run end date first.
+    Missing criteria is reported under the field of the creator and overwrites
+    that message.  The start date is looked at only when the end date is good.
     """
     present = F.lit(True) if missing is None else ~missing
     today = dates.period_of(dates.day_text(as_of))
-    end = F.coalesce(F.get_json_object(data, "$.endDate"), F.lit(""))
-    start = F.coalesce(F.get_json_object(data, "$.startDate"), F.lit(""))
-    end_bad = (end == "") | (dates.period_of(end) < today)
-    start_bad = (start == "") | (dates.period_of(start) < today)
-    span = F.datediff(F.try_to_timestamp(end, F.lit("yyyy-MM-dd")), F.try_to_timestamp(start, F.lit("yyyy-MM-dd")))
-    has_data = present & data.isNotNull()
-    has_criteria = present & criteria.isNotNull()
-    no_filters = ~texts.has_key(criteria, "filters")
+    end, start = (F.coalesce(F.get_json_object(data, path), F.lit("")) for path in ("$.endDate", "$.startDate"))
+    has_criteria, has_data = present & criteria.isNotNull(), present & data.isNotNull()
+    has_filters = texts.has_key(criteria, "filters")
+    end_past, start_past = (dates.period_of(day) < today for day in (end, start))
+    end_good = has_data & (end != "") & ~end_past
+    start_good = end_good & (start != "") & ~start_past
     return all_failures(
         [
-            ("request", ~present, "Request should not be empty"),
-            ("request.expid", present & exp_id.isNull(), "Experiment Id should not be  empty"),
-            ("request.name", present & name.isNull(), "Experiment Name should not be  empty"),
-            ("request.createdBy", present & created_by.isNull(), "Created By should not be empty"),
-            ("request.createdBy", present & criteria.isNull(), "Criteria should not be empty"),
-            ("request.filters", has_criteria & no_filters, "Criteria Filters should not be empty"),
-            (
-                "request.type",
-                has_criteria & ~no_filters & ~texts.has_key(criteria, "type"),
-                "Criteria Type should not be empty",
-            ),
-            ("request.data", present & data.isNull(), "Experiment Data should not be empty"),
-            ("data.endDate", has_data & (end == ""), "Experiment End_Date should not be empty"),
-            (
-                "data.endDate",
-                has_data & (end != "") & (dates.period_of(end) < today),
-                "End_Date should be greater than today's date.",
-            ),
-            ("data.startDate", has_data & ~end_bad & (start == ""), "Experiment Start_Date should not be empty"),
-            (
-                "data.startDate",
-                has_data & ~end_bad & (start != "") & (dates.period_of(start) < today),
-                "Start_Date should be greater than or equal to today's date..",
-            ),
-            (
-                "data.startDate",
-                has_data & ~end_bad & ~start_bad & (span < 0),
-                "Date range should not be -ve. Please check your start_date & end_date",
-            ),
+            ("request", ~present, NO_REQUEST),
+            failure(EXPERIMENT_ID, present & exp_id.isNull()),
+            failure(EXPERIMENT_NAME, present & name.isNull()),
+            failure(EXPERIMENT_CREATOR, present & created_by.isNull()),
+            failure(EXPERIMENT_CRITERIA, present & criteria.isNull()),
+            failure(CRITERIA_FILTERS, has_criteria & ~has_filters),
+            failure(CRITERIA_TYPE, has_criteria & has_filters & ~texts.has_key(criteria, "type")),
+            failure(EXPERIMENT_DATA, present & data.isNull()),
+            failure(END_MISSING, has_data & (end == "")),
+            failure(END_PAST, has_data & (end != "") & end_past),
+            failure(START_MISSING, end_good & (start == "")),
+            failure(START_PAST, end_good & (start != "") & start_past),
+            failure(START_AFTER_END, start_good & (_days(start, end) < 0)),
         ]
     )
 
@@ -130,44 +157,34 @@ def experiment_failures(
 def report_failures(
     report_id: Column, description: Column, created_by: Column, config: Column, missing: Column | None = None
 ) -> Column:
-    """Every failed rule of a report request; of the config parts only the first that is missing."""
+    """Every failed rule of a report request as a map; of the config parts only the first that is missing."""
     present = F.lit(True) if missing is None else ~missing
     checks = [
-        ("request", ~present, "Request should not be empty"),
-        ("request.reportId", present & report_id.isNull(), "Report Id should not be  empty"),
-        ("request.description", present & description.isNull(), "Report Description should not empty"),
-        ("request.createdBy", present & created_by.isNull(), "Created By should not be empty"),
-        ("request.config", present & config.isNull(), "Config should not be empty"),
+        ("request", ~present, NO_REQUEST),
+        failure(REPORT_ID, present & report_id.isNull()),
+        failure(REPORT_DESCRIPTION, present & description.isNull()),
+        failure(REPORT_CREATOR, present & created_by.isNull()),
+        failure(REPORT_CONFIG, present & config.isNull()),
     ]
-    # Required parts of the config, in the order they are tested.
-    parts = {
-        "reportConfig": "Report Config  should not be empty",
-        "store": "Config Store should not be empty",
-        "container": "Config Container should not be empty",
-        "key": "Config Key should not be empty",
-    }
     so_far = present & config.isNotNull()
-    for key, message in parts.items():
-        checks.append((f"request.config.{key}", so_far & ~texts.has_key(config, key), message))
-        so_far = so_far & texts.has_key(config, key)
+    for key, message in CONFIG_PARTS.items():
+        has_part = texts.has_key(config, key)
+        checks.append((f"{REPORT_CONFIG[0]}.{key}", so_far & ~has_part, message))
+        so_far = so_far & has_part
     return all_failures(checks)
 
 
 def client_log_failure(request: Column) -> Column:
     """First failed rule of a typed client-log request."""
     context, pdata, logs = request["context"], request["pdata"], request["logs"]
-    bad_log = F.exists(logs, lambda log: texts.is_blank(log["log"]) | (F.coalesce(log["ts"], F.lit(0)) == 0))
+    parts = {"request": request, "context": context, "pdata": pdata, "logs": logs}
+    values = {"context.did": context["did"], **{f"pdata.{name}": pdata[name] for name in ("id", "pid", "ver")}}
+    bad_line = F.exists(logs, lambda line: texts.is_blank(line["log"]) | (F.coalesce(line["ts"], F.lit(0)) == 0))
     return first_failure(
         [
-            (request.isNull(), "property: request is missing!"),
-            (context.isNull(), "property: context is missing!"),
-            (pdata.isNull(), "property: pdata is missing!"),
-            (logs.isNull(), "property: logs is missing!"),
-            (texts.is_blank(context["did"]), "property: context.did is null or empty!"),
-            (texts.is_blank(pdata["id"]), "property: pdata.id is null or empty!"),
-            (texts.is_blank(pdata["pid"]), "property: pdata.pid is null or empty!"),
-            (texts.is_blank(pdata["ver"]), "property: pdata.ver is null or empty!"),
-            (bad_log, "property: logs, mandatory fields are missing or type mismatch!"),
+            *[(part.isNull(), LOG_PART_MISSING.format(name)) for name, part in parts.items()],
+            *[(texts.is_blank(value), LOG_VALUE_BLANK.format(name)) for name, value in values.items()],
+            (bad_line, LOG_LINE_BAD),
         ]
     )
 
@@ -246,13 +263,14 @@ def check_submissions(requests: DataFrame, rules: DataFrame, body: str = "body")
     plain = submit_failure(
         F.get_json_object(text, "$.tag"), F.get_json_object(text, "$.dataset"), F.get_json_object(text, "$.datasetConfig")
     )
-    failure = F.when(F.col("validation_json").isNull(), plain).otherwise(schema_failure(text, F.col("validation_json")))
-    return joined.withColumn("failure", failure).drop("validation_json")
+    by_schema = schema_failure(text, F.col("validation_json"))
+    checked = joined.withColumn("failure", F.when(F.col("validation_json").isNull(), plain).otherwise(by_schema))
+    return checked.drop("validation_json")
 
 
 def check_search_filters(filters: dict | None, supported: list[str] | None = None) -> None:
     """Argument check of a request search."""
     if not filters:
-        raise ValueError("Filters are empty")
+        raise ValueError(NO_FILTERS)
     if not set(supported or SEARCH_FILTERS) & set(filters):
-        raise ValueError("Unsupported filters")
+        raise ValueError(OTHER_FILTERS)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell import schemas
 
 
+def experiment_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Experiment documents from JSON lines, without the ones that have no id."""
+    return spark.read.schema(schemas.EXPERIMENT_DOCUMENTS).json(path).filter("id is not null")
+
+
 def parse_registrations(requests: DataFrame, body: str = "body") -> DataFrame:
     """Registration bodies to columns; the device spec stays JSON text."""
     document = F.from_json(body, schemas.REGISTRATION_BODY)

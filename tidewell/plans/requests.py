@@ -12,7 +12,7 @@ from tidewell.sources import documents
 from tidewell.sources.tables import use_all_cores
 
 SEARCH = {"dataset": "1-URGENT", "status": "SUCCESS", "channel": None}
-SEARCH_DAY = {"requestedDate": "1998-10-03"}
+SEARCH_DAY = {"requestedDate": "1995-02-18"}
 ADMIN_CHANNEL = "sunrise"
 
 
@@ -314,7 +314,7 @@ select request_id, tag, status, epoch_us(dt_job_submitted)//1000 submitted_ms fr
 where job_id='1-URGENT' and status='SUCCESS' order by dt_job_submitted desc, request_id limit 10""",
     "request_search_day": f"""{with_views("job_requests")}
 select request_id, tag, status, epoch_us(dt_job_submitted)//1000 submitted_ms from job_requests
-where cast(dt_job_submitted as date)=cast('1998-10-03' as date) order by dt_job_submitted desc, request_id limit 20""",
+where cast(dt_job_submitted as date)=cast('1995-02-18' as date) order by dt_job_submitted desc, request_id limit 20""",
     "request_search_count": f"""{with_views("job_requests")}
 select count(*) total from job_requests where job_id='1-URGENT' and status='SUCCESS'""",
     "channel_authorize": f"""{with_views("access_requests", "consumer_channels")}

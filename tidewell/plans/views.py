@@ -135,7 +135,7 @@ select o_orderkey seq, case when mod(o_orderkey,31)=0 then null else o_orderprio
  concat('ch-',cast(c_nationkey as string)) channel, concat('u-',cast(o_orderkey as string)) requested_by,
  case when mod(o_orderkey,3)=0 then cast('2024-01-02' as date) else cast(o_orderdate as date) end submission_date,
  case when mod(o_orderkey,23)=0 then null when mod(o_orderkey,4)=0 then '{"type":"druid"}' else '{}' end dataset_config,
- concat('consumer-',cast(mod(o_orderkey,100) as string)) consumer_id, concat('u-',cast(o_custkey as string)) user_id,
+ concat('consumer-',cast(mod(o_orderkey,10) as string)) consumer_id, concat('u-',cast(o_custkey as string)) user_id,
  mod(o_orderkey,2)=0 has_token from orders join customer on o_custkey=c_custkey""",
     "request_bodies": """
 select o_orderkey, o_orderpriority dataset, concat('{"requestedBy":"u-',cast(o_custkey as string),'"',
@@ -165,7 +165,7 @@ select user_id, concat('{"rootOrg":{"id":"',root_org_id,'","slug":"',root_org_sl
  '","hash":"x"},"organisations":[{"roles":["',replace(roles,',','"]},{"roles":["'),'"]}]}') document from users""",
     "access_requests": """
 select o_orderkey, case when mod(o_orderkey,41)=0 then '' else concat('ch-',cast(c_nationkey as string)) end channel,
- case when mod(o_orderkey,2)=0 then concat('consumer-',cast(mod(o_orderkey,100) as string)) else 'consumer-none' end consumer_id,
+ case when mod(o_orderkey,7)=0 then 'consumer-none' else concat('consumer-',cast(mod(o_orderkey,10) as string)) end consumer_id,
  case when mod(o_orderkey,43)=0 then 'u-missing' else concat('u-',cast(o_custkey as string)) end user_id,
  mod(o_orderkey,3)>0 has_token, o_orderpriority dataset_sub_id from orders join customer on o_custkey=c_custkey""",
     # -- files -----------------------------------------------------------

@@ -152,27 +152,30 @@ def build_index(
     return ExperimentIndex(stored, stored.count() <= BROADCAST_ENTRIES)
 
 
-def _winner(entries: Column, given: Column, query_weight: float) -> Column:
-    """Best entry of an array of at most 7: the entries of one field hold the frequencies of all."""
-    idf = []
-    for bit in range(len(FIELDS)):
-        single = F.filter(entries, lambda e: e["subset"] == F.lit(1 << bit))
-        idf.append(F.coalesce(F.get(single, F.lit(0))["idf"], F.lit(0.0)))
+def _entry(subset: int) -> str:
+    return f"_entry{subset}"
+
 
-    def scored(entry: Column) -> Column:
+def _winner(query_weight: float) -> Column:
+    """Best of the entry columns: the entries of one field hold the frequencies of all."""
+    idf = {bit: F.coalesce(F.col(f"{_entry(1 << bit)}.idf"), F.lit(0.0)) for bit in range(len(FIELDS))}
+    scored = []
+    for subset in SUBSETS:
         text = F.lit(0.0)
         for bit in range(len(FIELDS)):
-            text = text + F.when(F.getbit(entry["subset"], F.lit(bit)) == 1, idf[bit]).otherwise(0.0)
-        factor = F.when(entry["subset"] == given, F.lit(float(query_weight))).otherwise(1.0)
-        score = F.round(text + entry["best"]["lacking"] * factor, SCORE_DIGITS)
-        return F.struct(
+            if subset >> bit & 1:
+                text = text + idf[bit]
+        best = F.col(f"{_entry(subset)}.best")
+        factor = F.when(F.col("_given") == subset, F.lit(float(query_weight))).otherwise(1.0)
+        score = F.round(text + best["lacking"] * factor, SCORE_DIGITS)
+        candidate = F.struct(
             (-score).alias("rank"),
-            entry["best"]["id"].alias("id"),
-            entry["best"]["passes"].alias("passes"),
-            entry["best"]["document"].alias("document"),
+            best["id"].alias("id"),
+            best["passes"].alias("passes"),
+            best["document"].alias("document"),
         )
-
-    return F.array_min(F.transform(entries, scored))
+        scored.append(F.when(F.col(_entry(subset)).isNotNull(), candidate))
+    return F.least(*scored)
 
 
 def _found(winner: str) -> list[Column]:
@@ -202,22 +205,22 @@ def match(
     if index.small:
         rows = lookups
         for subset in SUBSETS:
-            entry = F.struct("subset", "idf", "best").alias(f"_entry{subset}")
+            entry = F.struct("subset", "idf", "best").alias(_entry(subset))
             entries = index.entries.select(F.col("key").alias("_key"), entry)
             rows = rows.join(F.broadcast(entries), _key(subset) == F.col("_key"), "left").drop("_key")
-        found = F.filter(F.array(*[F.col(f"_entry{subset}") for subset in SUBSETS]), lambda e: e.isNotNull())
-        gathered = rows.select(*columns, _given().alias("_given"), found.alias("_entries"))
-        won = gathered.withColumn("_winner", _winner(F.col("_entries"), F.col("_given"), query_weight))
+        won = rows.withColumn("_given", _given()).withColumn("_winner", _winner(query_weight))
         return won.select(*columns, *_found("_winner"))
-    probes = lookups.select(row_id, _given().alias("given"), F.explode(_keys()).alias("entry"))
-    winners = (
-        probes.select(row_id, "given", "entry.key")
+    probes = lookups.select(row_id, _given().alias("_given"), F.explode(_keys()).alias("entry"))
+    gathered = (
+        probes.select(row_id, "_given", "entry.key")
         .join(index.entries, "key")
         .groupBy(row_id)
-        .agg(F.max("given").alias("given"), F.collect_list(F.struct("subset", "idf", "best")).alias("entries"))
-        .select(row_id, _winner(F.col("entries"), F.col("given"), query_weight).alias("winner"))
-        .select(row_id, *_found("winner"))
+        .agg(F.max("_given").alias("_given"), F.collect_list(F.struct("subset", "idf", "best")).alias("entries"))
     )
+    for subset in SUBSETS:
+        own = F.filter("entries", lambda e: e["subset"] == F.lit(subset))
+        gathered = gathered.withColumn(_entry(subset), F.get(own, F.lit(0)))
+    winners = gathered.select(row_id, _winner(query_weight).alias("_winner")).select(row_id, *_found("_winner"))
     return lookups.join(winners, row_id, "left")
 
 

@@ -15,6 +15,8 @@ REQUIRED = {
     # Split a hot key even where that costs another shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # HotSpot never compiles methods above 8000 bytes; the operators of a larger stage are generated one by one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

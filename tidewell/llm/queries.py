@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.llm import bitsliced, bpe, nearest, packing
+from tidewell.llm import bitsliced, bpe, nearest, packing, quality, toxicity
 from tidewell.llm.common import read
 
 EVERY = 20
 
 
+def _fold_1() -> Column:
+    """The rows held out from learning."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+
+
+def op2_toxicity(spark, sf_dir):
+    learn = read(spark, sf_dir, "labels").where(~_fold_1())
+    scored = toxicity.score(read(spark, sf_dir, "documents"), learn)
+    predicted = F.when(F.col("score") >= 0.7, 1).otherwise(0)
+    return scored.select("doc_id", _fold_1().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op4_packing(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.digests(packing.pack(read(spark, sf_dir, "documents"), path))
@@ -20,6 +33,12 @@ def op5_nearest_vectors(spark, sf_dir):
     return nearest.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
 
 
+def op6_quality(spark, sf_dir):
+    ratings = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("grade"))
+    rated = quality.rate(read(spark, sf_dir, "documents").select("doc_id", "text"), ratings)
+    return rated.select("doc_id", "expected_grade", F.element_at("tail", 1).alias("p_good"), "selected")
+
+
 def op7_exact_top_k(spark, sf_dir):
     return bitsliced.top_products(read(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
 
@@ -28,7 +47,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op5_nearest_vectors, op7_exact_top_k, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_nearest_vectors, op6_quality, op7_exact_top_k, op10_bpe)}
 
 _NEAREST = """
 with rows as (

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.llm import bitsliced, bpe, nearest, packing, quality, toxicity
+from tidewell.llm import bitsliced, bpe, extraction, nearest, packing, quality, toxicity
 from tidewell.llm.common import read
 
 EVERY = 20
@@ -43,11 +43,15 @@ def op7_exact_top_k(spark, sf_dir):
     return bitsliced.top_products(read(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
 
 
+def op9_main_text(spark, sf_dir):
+    return extraction.main_text(read(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_nearest_vectors, op6_quality, op7_exact_top_k, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_nearest_vectors, op6_quality, op7_exact_top_k, op9_main_text, op10_bpe)}
 
 _NEAREST = """
 with rows as (

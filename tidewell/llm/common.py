@@ -96,10 +96,7 @@ def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < k:
-        h = np.full(1, len(words), dtype=np.uint64)
-        for j, w in enumerate(words):
-            h = h + w * _PLACE[j]
-        return mix(h)
+        return mix((words * _PLACE[: len(words)]).sum(keepdims=True) + _U(len(words)))
     h = np.zeros(len(words) - k + 1, dtype=np.uint64)
     for j in range(k):
         h += words[j : len(words) - k + 1 + j] * _PLACE[j]

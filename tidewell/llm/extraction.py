@@ -105,14 +105,15 @@ class Page:
         self.inside.append(marked)
 
     def _tag(self, name: str, end: bool, rest: str) -> None:
+        place = self._top()[1]
         if end:
             if any(x[0] == name for x in self.stack):
                 while self.stack.pop()[0] != name:
                     pass
         else:
             self._close_implied(name)
-        _, place, excluded, marked = self._top()
-        kind = f"tag {'/' if end else ''}{name} {place}".rstrip()
+        _, outer, excluded, marked = self._top()
+        place = place if end else outer
         if not end and name not in _VOID and not rest.endswith("/"):
             words = {w.lower() for m in _ROLE.finditer(rest) for v in m.groups() if v for w in _PART.findall(v)}
             beside = sorted(words & _BESIDE)
@@ -123,6 +124,7 @@ class Page:
             if apart:
                 place = f"{name}.{beside[0]}" if beside else name
             self.stack.append((name, place, excluded or apart, marked or mark))
+        kind = f"tag {'/' if end else ''}{name} {place}".rstrip()
         self._add(kind, 1, " " if name == "br" else None, name in _BLOCK, not excluded, marked)
 
     def _close_implied(self, name: str) -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.llm import bitsliced, bpe, extraction, nearest, packing, quality, toxicity
+from tidewell.llm import bitsliced, bpe, extraction, jaccard, nearest, packing, quality, secrets, toxicity
 from tidewell.llm.common import read
 
 EVERY = 20
@@ -24,6 +24,12 @@ def op2_toxicity(spark, sf_dir):
     return scored.select("doc_id", _fold_1().alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op3_secrets(spark, sf_dir):
+    model = secrets.train(secrets.labelled_findings(spark))
+    found = secrets.scan(read(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "nth", "value", "probability", "is_secret")
+
+
 def op4_packing(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.digests(packing.pack(read(spark, sf_dir, "documents"), path))
@@ -43,6 +49,10 @@ def op7_exact_top_k(spark, sf_dir):
     return bitsliced.top_products(read(spark, sf_dir, "embeddings"), F.col("id") % EVERY == 0)
 
 
+def op8_jaccard_groups(spark, sf_dir):
+    return jaccard.link_components(read(spark, sf_dir, "documents"))
+
+
 def op9_main_text(spark, sf_dir):
     return extraction.main_text(read(spark, sf_dir, "pages"))
 
@@ -51,7 +61,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_nearest_vectors, op6_quality, op7_exact_top_k, op9_main_text, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_secrets, op4_packing, op5_nearest_vectors, op6_quality, op7_exact_top_k, op8_jaccard_groups, op9_main_text, op10_bpe)}
 
 _NEAREST = """
 with rows as (
@@ -68,7 +78,32 @@ with rows as (
 select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20
 """
 
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
+
+_JACCARD = f"""
+with recursive words as (select doc_id, {_WORDS} as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then cast([] as varchar[][]) when len(w) < 5 then [w]
+    else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as s from words
+),
+entries as (select doc_id, len(s) as n, unnest(s) as x from sets),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common, any_value(a.n) + any_value(b.n) - count(*) as total
+  from entries a join entries b on a.x = b.x and a.doc_id <> b.doc_id
+  group by 1, 2
+),
+links as (select a, b from shared where 100 * common >= 75 * total),
+reach(doc_id, c) as (
+  select doc_id, doc_id from sets
+  union
+  select l.b, r.c from reach r join links l on l.a = r.doc_id
+)
+select s.doc_id, len(s.s) as n_shingles, min(r.c) as component_id
+from sets s join reach r on r.doc_id = s.doc_id group by 1, 2
+"""
+
 ORACLES = {
+    "op8_jaccard_groups": _JACCARD,
     "op5_nearest_vectors": _NEAREST.format(
         value="cast(x as double)", kind="double", more="and len(list_filter(embedding, lambda x: x <> 0)) > 0"
     ),

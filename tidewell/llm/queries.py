@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewell.llm import bitsliced, bpe, extraction, jaccard, nearest, packing, quality, secrets, toxicity
+from tidewell.llm import bitsliced, bpe, extraction, jaccard, nearest, packing, passages, quality, secrets, toxicity
 from tidewell.llm.common import read
 
 EVERY = 20
 
 
+def op1_repeated_passages(spark, sf_dir):
+    return passages.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def _fold_1() -> Column:
     """The rows held out from learning."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
@@ -61,7 +65,7 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_secrets, op4_packing, op5_nearest_vectors, op6_quality, op7_exact_top_k, op8_jaccard_groups, op9_main_text, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_repeated_passages, op2_toxicity, op3_secrets, op4_packing, op5_nearest_vectors, op6_quality, op7_exact_top_k, op8_jaccard_groups, op9_main_text, op10_bpe)}
 
 _NEAREST = """
 with rows as (

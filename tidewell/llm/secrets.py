@@ -189,7 +189,7 @@ def scan(documents: DataFrame, model: PipelineModel, threshold: float = THRESHOL
 
 
 def redact(documents: DataFrame, model: PipelineModel, mask: str = MASK) -> DataFrame:
-    """The documents with every secret in their text replaced; rows and columns stay."""
+    """The documents with every secret in their text replaced; rows and columns stay, n_chars is counted anew."""
     spark = documents.sparkSession
     found = scan(documents, model).where("is_secret").select("doc_id", "value").distinct()
     by_document = found.groupBy("doc_id").agg(
@@ -201,4 +201,8 @@ def redact(documents: DataFrame, model: PipelineModel, mask: str = MASK) -> Data
         found = F.broadcast(found)
     joined = documents.join(found, documents["doc_id"].eqNullSafe(found["secret_doc"]), "left")
     clean = F.aggregate("secrets", F.col("text"), lambda t, x: F.replace(t, x["value"], F.lit(mask)))
-    return joined.withColumn("text", F.coalesce(clean, F.col("text"))).select(*documents.columns)
+    joined = joined.withColumn("text", F.coalesce(clean, F.col("text")))
+    if "n_chars" in documents.columns:
+        counted = F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
+        joined = joined.withColumn("n_chars", counted.cast(documents.schema["n_chars"].dataType))
+    return joined.select(*documents.columns)

@@ -7,6 +7,8 @@ labelled pages: those that mark their content themselves with one of
 ``MARKS``.  The mark itself is no feature, so the weights also serve pages
 without it.  One linear scan (the largest sum of a run) finds the region; what
 lies in excluded containers inside it is left out, and blocks become lines.
+A container costs a run at most ``CONTAINER``, so that one inside an article
+does not part it.
 
 Character references are decoded, white space inside a block becomes one space.
 A line break tag counts as white space.  Null and empty pages, and pages where
@@ -33,6 +35,7 @@ from tidewell.llm.common import bounded, named
 SAMPLE = 2_000
 KINDS = 4_096
 MARKS = ("article", "main")
+CONTAINER = 6.0
 
 # Elements of HTML by their role.
 _RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "object")
@@ -105,7 +108,7 @@ class Page:
         self.inside.append(marked)
 
     def _tag(self, name: str, end: bool, rest: str) -> None:
-        place = self._top()[1]
+        place, beside = self._top()[1:3]
         if end:
             if any(x[0] == name for x in self.stack):
                 while self.stack.pop()[0] != name:
@@ -114,18 +117,19 @@ class Page:
             self._close_implied(name)
         _, outer, excluded, marked = self._top()
         place = place if end else outer
+        kept = not (beside if end else excluded)
         if not end and name not in _VOID and not rest.endswith("/"):
             words = {w.lower() for m in _ROLE.finditer(rest) for v in m.groups() if v for w in _PART.findall(v)}
-            beside = sorted(words & _BESIDE)
+            hints = sorted(words & _BESIDE)
             mark = name in MARKS
             # A header inside the article holds its title.
-            apart = bool(beside) and name not in ("body", "html", *MARKS)
+            apart = bool(hints) and name not in ("body", "html", *MARKS)
             apart = apart or name in _EXCLUDED and not (name == "header" and marked)
             if apart:
-                place = f"{name}.{beside[0]}" if beside else name
+                place, kept = f"{name}.{hints[0]}" if hints else name, False
             self.stack.append((name, place, excluded or apart, marked or mark))
         kind = f"tag {'/' if end else ''}{name} {place}".rstrip()
-        self._add(kind, 1, " " if name == "br" else None, name in _BLOCK, not excluded, marked)
+        self._add(kind, 1, " " if name == "br" else None, name in _BLOCK, kept, marked)
 
     def _close_implied(self, name: str) -> None:
         if name in _ENDS_P and any(x[0] == "p" for x in self.stack):
@@ -145,10 +149,16 @@ class Page:
                     break
 
     def weight(self, weights: dict[str, float]) -> list[float]:
-        out = []
+        out, left = [], CONTAINER
         for kind, size, kept in zip(self.kinds, self.sizes, self.kept, strict=True):
             w = weights.get(kind)
-            out.append(size * (_default(kind, kept) if w is None else w))
+            total = size * (_default(kind, kept) if w is None else w)
+            if kept:
+                left = CONTAINER
+            else:
+                total = max(min(total, 0.0), -left)
+                left += total
+            out.append(total)
         return out
 
     def region(self, weights: dict[str, float]) -> tuple[int, int]:

@@ -154,6 +154,8 @@ def fit(
     texts = named(documents, id="doc_id", text="text").join(chosen, "id").select("text", "grade").limit(sample)
     model = texts.repartition(1).mapInArrow(run, "w array<double>, t array<double>")
     row = model.first()
+    if row is None:
+        return np.zeros(SLOTS), np.arange(levels - 1, dtype=float)
     return np.array(row["w"]), np.array(row["t"])
 
 

@@ -13,25 +13,25 @@ ROW = (
     "event_id bigint, ts timestamp, did string, header_ip string, ip_addr string, fcm_token string, producer string, "
     "dspec string, uaspec string, user_declared_state string, user_declared_district string"
 )
-UA = "Mozilla/5.0 (Macintosh; Intel Mac OS X 10_13_6) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/70.0.3538.77 Safari/537.36"
-SPEC = '{"cpu":"abi:  armeabi-v7a  ARMv7 Processor rev 4 (v7l)","make":"Micromax Micromax A065","os":"Android 4.4.2"}'
+UA = "Mozilla/5.0 (Macintosh; Intel Mac OS X 12_6) AppleWebKit/605.1 (KHTML, like Gecko) Chrome/99.4.1.2 Safari/605.1"
+SPEC = '{"cpu":"two  cores","make":"Acme pad 3","os":"Android 12"}'
 
 
 def at(minute):
     return datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
 
 
-def row(n, did="device-001", header="115.99.217.196", body=None, token="some-token", producer="app", spec=SPEC, ua=UA, state="TamilNadu", district="chennai", minute=None):
+def row(n, did="dev-alpha", header="68.10.20.7", body=None, token="push-7", producer="app", spec=SPEC, ua=UA, state="Rogaland", district="sandnes", minute=None):
     return (n, at(n if minute is None else minute), did, header, body, token, producer, spec, ua, state, district)
 
 
 @pytest.fixture(scope="module")
 def index(spark):
-    ranges = spark.createDataFrame([(1935923650, 1935923660, 1277333), (1781746350, 1781746370, 1234)], "network_start_integer bigint, network_last_integer bigint, geoname_id int")
+    ranges = spark.createDataFrame([(1141511168, 1141511199, 501), (1291911744, 1291911759, 502)], "network_start_integer bigint, network_last_integer bigint, geoname_id int")
     cities = spark.createDataFrame(
         [
-            (1277333, "Asia", "IN", "India", "KA", "Karnataka", "", "Bangalore", "Karnataka", "29", "Bangalore"),
-            (1234, "Asia", "IN", "India", "KA", "Karnataka", None, "", "", "29", "Bangalore"),
+            (501, "Europe", "NO", "Norway", "VL", "Vestland", "", "Bergen", "Vest", "46", "Bergenhus"),
+            (502, "Europe", "NO", "Norway", "VL", "Vestland", None, "", "", "46", "Bergenhus"),
         ],
         "geoname_id int, continent_name string, country_iso_code string, country_name string, subdivision_1_iso_code string, "
         "subdivision_1_name string, subdivision_2_name string, city_name string, subdivision_1_custom_name string, "
@@ -47,11 +47,11 @@ def enriched(spark, index, *rows):
 def test_event(spark, index):
     event = json.loads(devices.device_events(enriched(spark, index, row(1), row(2, header="192.1.1.1"), row(3, header="x"))).first()["value"])
     assert event == {
-        "device_id": "device-001", "country_code": "IN", "country": "India", "state_code": "KA", "state": "Karnataka",
-        "city": "Bangalore", "state_custom": "Karnataka", "state_code_custom": "29", "district_custom": "Bangalore",
-        "device_spec": SPEC, "uaspec": json.dumps({"agent": "Chrome", "ver": "70.0.3538.77", "system": "Mac OSX", "raw": UA}, separators=(",", ":")),
-        "fcm_token": "some-token", "producer_id": "app", "api_last_updated_on": 1704067260000, "first_access": 1704067260000,
-        "user_declared_state": "TamilNadu", "user_declared_district": "chennai",
+        "device_id": "dev-alpha", "country_code": "NO", "country": "Norway", "state_code": "VL", "state": "Vestland",
+        "city": "Bergen", "state_custom": "Vest", "state_code_custom": "46", "district_custom": "Bergenhus",
+        "device_spec": SPEC, "uaspec": json.dumps({"agent": "Chrome", "ver": "99.4.1.2", "system": "Mac OSX", "raw": UA}, separators=(",", ":")),
+        "fcm_token": "push-7", "producer_id": "app", "api_last_updated_on": 1704067260000, "first_access": 1704067260000,
+        "user_declared_state": "Rogaland", "user_declared_district": "sandnes",
     }
 
 
@@ -62,7 +62,7 @@ def test_event_leaves_out_what_is_absent(spark, index):
 
 
 def test_blank_and_invalid_are_not_published(spark, index):
-    frame = enriched(spark, index, row(1), row(2, header="192.1.1.1"), row(3, header="bad"), row(4, header="192.1.1.1", body="205.99.217.196"))
+    frame = enriched(spark, index, row(1), row(2, header="192.1.1.1"), row(3, header="bad"), row(4, header="192.1.1.1", body="91.5.5.5"))
     assert [r["ip_status"] for r in frame.orderBy("event_id").collect()] == ["ok", "blank", "invalid", "ok"]
     assert devices.device_events(frame).count() == 2
 
@@ -70,18 +70,18 @@ def test_blank_and_invalid_are_not_published(spark, index):
 def test_profile_keeps_latest_non_empty(spark, index):
     rows = [
         row(1, token="t1", state="s1", district="d1"),
-        row(3, token="", state=None, district="d3", header="205.99.217.196"),
+        row(3, token="", state=None, district="d3", header="91.5.5.5"),
         row(2, token="t2", state="", district=None, producer="late"),
     ]
     got = devices.profile_state(enriched(spark, index, *rows)).first()
     assert (got["fcm_token"], got["user_declared_state"], got["user_declared_district"], got["producer"]) == ("t2", "s1", "d3", "app")
-    assert (got["geoname_id"], got["city"], got["state_custom"]) == ("0", "Bangalore", "Karnataka")
+    assert (got["geoname_id"], got["city"], got["state_custom"]) == ("0", "Bergen", "Vest")
     assert got["uaspec"].startswith('{"agent":"Chrome"') and got["devicespec"] == SPEC
 
 
 def test_profile_without_declared_fields(spark, index):
     got = devices.profile_state(enriched(spark, index, row(1, spec=None, state=None, district=None))).first()
-    assert got["user_declared_state"] is None and got["devicespec"] is None and got["geoname_id"] == "1277333"
+    assert got["user_declared_state"] is None and got["devicespec"] is None and got["geoname_id"] == "501"
 
 
 def test_profile_is_mergeable(spark, index):
@@ -93,14 +93,14 @@ def test_profile_is_mergeable(spark, index):
 
 
 def test_read_profiles(spark, index):
-    profiles = spark.createDataFrame([("a", "Karnataka", "Tumkur"), ("b", "", "x"), ("c", "S", None)], "did string, user_declared_state string, user_declared_district string")
-    asked = spark.createDataFrame([("a", "106.51.74.185"), ("b", "106.51.74.185"), ("c", "1.1.1.1"), ("d", "106.51.74.185"), ("e", ""), ("f", "x")], "did string, header_ip string")
+    profiles = spark.createDataFrame([("a", "Nordland", "Bodo"), ("b", "", "x"), ("c", "S", None)], "did string, user_declared_state string, user_declared_district string")
+    asked = spark.createDataFrame([("a", "77.1.2.70"), ("b", "77.1.2.70"), ("c", "1.1.1.1"), ("d", "77.1.2.70"), ("e", ""), ("f", "x")], "did string, header_ip string")
     got = {r["did"]: tuple(r)[2:] for r in devices.read_profiles(asked, profiles, index).select("did", "header_ip", "ip_state", "ip_district", "declared_state", "declared_district").collect()}
-    assert got == {"a": ("", "Bangalore", "Karnataka", "Tumkur"), "b": ("", "Bangalore", None, None), "c": ("", "", "S", None), "d": ("", "Bangalore", None, None)}
+    assert got == {"a": ("", "Bergenhus", "Nordland", "Bodo"), "b": ("", "Bergenhus", None, None), "c": ("", "", "S", None), "d": ("", "Bergenhus", None, None)}
 
 
 def test_counters(spark, index):
-    rows = [row(1), row(2), row(3, header="205.99.217.196"), row(4, header="bad"), row(5, header="192.1.1.1"), row(40)]
+    rows = [row(1), row(2), row(3, header="91.5.5.5"), row(4, header="bad"), row(5, header="192.1.1.1"), row(40)]
     counted = devices.metrics_events(devices.count_registrations(devices.outcomes(enriched(spark, index, *rows))))
     first, second = counted.orderBy("window_start_ms").collect()
     assert tuple(first)[1:7] == (5, 3, 2, 1, 1, 3) and tuple(second)[1:7] == (1, 1, 1, 0, 0, 1)
@@ -111,9 +111,17 @@ def test_counters(spark, index):
     }
 
 
-def test_enrichment_needs_no_shuffle(spark, index, plan):
+def test_enrichment_has_no_pairwise_join(spark, index, plan):
     text = plan(enriched(spark, index, row(1)))
-    assert "hashpartitioning" not in text and "Python" not in text and "NestedLoop" not in text
+    assert "Python" not in text and "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_repeated_places_do_not_multiply_rows(spark):
+    ranges = spark.createDataFrame([(1141511168, 1141511199, 501)], "network_start_integer bigint, network_last_integer bigint, geoname_id int")
+    names = list(tables.LOCATION_NAMES)
+    cities = spark.createDataFrame([(501, *["old"] * 10, 1), (501, *["new"] * 10, 2), (501, *["older"] * 10, 0)], ", ".join(["geoname_id int", *[f"{n} string" for n in names[1:]], "loaded int"]))
+    got = enriched(spark, geo.build_index(ranges, tables.locations(cities)), row(1), row(2)).collect()
+    assert [r["city"] for r in got] == ["new", "new"]
 
 
 def test_parse_registrations(spark):

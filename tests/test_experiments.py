@@ -1,6 +1,5 @@
 """Experiment matching against the scoring rule applied to every document."""
 
-import dataclasses
 import math
 import random
 
@@ -19,17 +18,16 @@ def doc(i, user=None, device=None, url=None, kind="test", user_mod=None, device_
 
 
 GOLDEN = [
-    doc("Exp1", user="user1"),
-    doc("Exp2", device="device1"),
-    doc("Exp3", url="http://xyz.com"),
-    doc("Exp4", user="user1", device="device2"),
-    doc("Exp5", user="user1", device="device1", url="http://xyz.com"),
+    doc("p-01", user="ann"),
+    doc("p-02", device="pad7"),
+    doc("p-03", url="/garden"),
+    doc("p-04", user="ann", device="pad8"),
+    doc("p-05", user="ann", device="pad7", url="/garden"),
 ]
 
 
-def matched(spark, docs, lookups, weights=WEIGHTS, small=True, **options):
+def matched(spark, docs, lookups, weights=WEIGHTS, **options):
     index = experiments.build_index(spark.createDataFrame(docs, DOCS), weights)
-    index = dataclasses.replace(index, small=small)
     rows = spark.createDataFrame([(i, *row) for i, row in enumerate(lookups)], LOOKUPS)
     return experiments.match(rows, index, **options)
 
@@ -38,18 +36,24 @@ def winners(frame):
     return [r["experiment_id"] for r in frame.orderBy("lookup_id").collect()]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_known_winners(spark, small):
+def test_known_winners(spark):
     lookups = [
-        ("user1", None, None),
-        (None, "device1", None),
-        (None, "device2", "http://xyz.com"),
-        ("user1", "device2", None),
-        ("user1", "device1", "http://xyz.com"),
-        ("user2", None, None),
+        ("ann", None, None),
+        (None, "pad7", None),
+        (None, "pad8", "/garden"),
+        ("ann", "pad8", None),
+        ("ann", "pad7", "/garden"),
+        ("bob", None, None),
         (None, None, None),
     ]
-    assert winners(matched(spark, GOLDEN, lookups, small=small)) == ["Exp1", "Exp2", "Exp3", "Exp4", "Exp5", None, None]
+    assert winners(matched(spark, GOLDEN, lookups)) == ["p-01", "p-02", "p-03", "p-04", "p-05", None, None]
+
+
+def test_repeated_and_missing_ids(spark):
+    index = experiments.build_index(spark.createDataFrame(GOLDEN, DOCS), WEIGHTS)
+    rows = [(1, "ann", None, None), (1, None, "pad7", None), (None, None, None, "/garden"), (None, None, None, None), (1, "ann", None, None)]
+    got = experiments.match(spark.createDataFrame(rows, LOOKUPS), index).collect()
+    assert sorted((str(r["lookup_id"]), str(r["experiment_id"])) for r in got) == [("1", "p-01"), ("1", "p-01"), ("1", "p-02"), ("None", "None"), ("None", "p-03")]
 
 
 def plain(docs, lookup, weights, query_weight=9.0):
@@ -77,8 +81,7 @@ def plain(docs, lookup, weights, query_weight=9.0):
 
 
 @pytest.mark.parametrize("seed, weights", [(1, WEIGHTS), (2, {"userId": 3.0, "deviceId": 3.0, "url": 3.0}), (3, {"userId": 0.5, "url": 4.0})])
-@pytest.mark.parametrize("small", [True, False])
-def test_against_every_document(spark, seed, weights, small):
+def test_against_every_document(spark, seed, weights):
     rng = random.Random(seed)
 
     def some(prefix, n):
@@ -90,7 +93,7 @@ def test_against_every_document(spark, seed, weights, small):
         if any(fields):
             docs.append(doc(f"e{len(docs):03d}", *fields))
     lookups = [(some("u", 5), some("d", 5), some("l", 4)) for _ in range(150)]
-    frame = matched(spark, docs, lookups, weights, small).orderBy("lookup_id").collect()
+    frame = matched(spark, docs, lookups, weights).orderBy("lookup_id").collect()
     for row, lookup in zip(frame, lookups):
         want = plain(docs, lookup, weights)
         assert row["experiment_id"] == (want[1] if want else None), lookup
@@ -98,23 +101,21 @@ def test_against_every_document(spark, seed, weights, small):
             assert row["score"] == pytest.approx(-want[0], abs=2e-6)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_common_value_does_not_multiply_rows(spark, plan, small):
+def test_common_value_does_not_multiply_rows(spark, plan):
     """A third of the documents and of the lookups share one url: every lookup still reads at most 7 index rows."""
     docs = [doc(f"e{i:04d}", user=f"u{i}" if i % 2 else None, url="/hot" if i % 3 == 0 else f"/p{i}") for i in range(600)]
-    index = dataclasses.replace(experiments.build_index(spark.createDataFrame(docs, DOCS)), small=small)
-    assert index.entries.count() == index.entries.select("key").distinct().count()
+    index = experiments.build_index(spark.createDataFrame(docs, DOCS))
+    assert index.count() == index.select("key").distinct().count()
     lookups = spark.range(900).selectExpr("cast(id as int) lookup_id", "concat('u', id) userId", "cast(null as string) deviceId", "if(id % 3 = 0, '/hot', concat('/p', id)) url")
     frame = experiments.match(lookups, index)
     assert frame.count() == 900
     text = plan(frame)
     assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
-    assert not small or "hashpartitioning" not in text
 
 
 def test_query_weight_below_one_is_refused(spark):
     with pytest.raises(ValueError):
-        matched(spark, GOLDEN, [("user1", None, None)], query_weight=0.5)
+        matched(spark, GOLDEN, [("ann", None, None)], query_weight=0.5)
 
 
 def test_gates(spark):
@@ -145,10 +146,10 @@ def test_own_resolver(spark):
 
 
 def test_actions(spark):
-    row = experiments.assign(matched(spark, GOLDEN, [("user1", None, None)])).first()
+    row = experiments.assign(matched(spark, GOLDEN, [("ann", None, None)])).first()
     assert row["actions"] == (
-        '[{"type":"experiment","data":{"title":"experiment","experimentId":"Exp1","experimentName":"name Exp1",'
-        '"key":"key Exp1","startDate":"2020-01-01","endDate":"2020-01-31"}}]'
+        '[{"type":"experiment","data":{"title":"experiment","experimentId":"p-01","experimentName":"name p-01",'
+        '"key":"key p-01","startDate":"2020-01-01","endDate":"2020-01-31"}}]'
     )
 
 
@@ -156,13 +157,13 @@ def test_documents_from_json(spark, tmp_path):
     from tidewell.sources.documents import experiment_documents
 
     (tmp_path / "docs.json").write_text(
-        '{"id":"Exp1","name":"n","startDate":"2020-01-01","endDate":"2020-01-31","key":"k","expType":"test","userId":"user1","other":1}\n'
+        '{"id":"p-01","name":"n","startDate":"2020-01-01","endDate":"2020-01-31","key":"k","expType":"test","userId":"ann","other":1}\n'
         '{"id":"m","expType":"modulus","userId":"user3","userIdMod":3}\nbroken\n'
     )
     docs = experiment_documents(spark, str(tmp_path / "docs.json"))
-    lookups = spark.createDataFrame([(0, "user1", None, None), (1, "user3", None, None)], LOOKUPS)
+    lookups = spark.createDataFrame([(0, "ann", None, None), (1, "user3", None, None)], LOOKUPS)
     got = experiments.assign(experiments.match(lookups, experiments.build_index(docs))).orderBy("lookup_id").collect()
-    assert [(r["experiment_id"], r["assigned"]) for r in got] == [("Exp1", True), ("m", True)]
+    assert [(r["experiment_id"], r["assigned"]) for r in got] == [("p-01", True), ("m", True)]
 
 
 REGISTRY = "exp_id string, exp_name string, exp_description string, created_by string, updated_by string, status string, status_message string, stats string, criteria string, exp_data string, created_on timestamp, updated_on timestamp"

@@ -1,9 +1,7 @@
 """The block index against a plain scan over all ranges."""
 
-import dataclasses
 import random
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -29,10 +27,8 @@ def plain(ranges, ip):
     return min(hits)[2] if hits else None
 
 
-def looked_up(spark, ranges, ips, large=False):
+def looked_up(spark, ranges, ips):
     index = geo.build_index(ranges_of(spark, ranges), places_of(spark, sorted({r[2] for r in ranges}) or [0]))
-    if large:
-        index = dataclasses.replace(index, small_blocks=False, small_places=False)
     rows = spark.createDataFrame(list(enumerate(ips)), "n int, ip_int bigint")
     found = geo.resolve_addresses(rows, index).select("n", "geoname_id").collect()
     assert len(found) == len(ips)
@@ -42,17 +38,15 @@ def looked_up(spark, ranges, ips, large=False):
 OVERLAPPING = [(100, 1000, 1), (200, 300, 2), (250, 260, 3), (300, 300, 4), (900, 1100, 5), (150, 250, 6), (200, 300, 1)]
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_overlapping_ranges(spark, large):
+def test_overlapping_ranges(spark):
     ips = list(range(90, 1110))
-    assert looked_up(spark, OVERLAPPING, ips, large) == [plain(OVERLAPPING, ip) for ip in ips]
+    assert looked_up(spark, OVERLAPPING, ips) == [plain(OVERLAPPING, ip) for ip in ips]
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_ends_of_the_address_space(spark, large):
+def test_ends_of_the_address_space(spark):
     ranges = [(0, 0, 1), (IPV4_MAX, IPV4_MAX, 2), (2**24 - 1, 2**24, 3), (2**31, 2**31 + 2**20, 4)]
     ips = [0, 1, IPV4_MAX, IPV4_MAX - 1, 2**24 - 2, 2**24 - 1, 2**24, 2**24 + 1, 2**31 - 1, 2**31, 2**31 + 2**20, 2**31 + 2**20 + 1]
-    assert looked_up(spark, ranges, ips, large) == [plain(ranges, ip) for ip in ips]
+    assert looked_up(spark, ranges, ips) == [plain(ranges, ip) for ip in ips]
 
 
 def test_whole_space_as_one_range(spark):
@@ -79,16 +73,13 @@ def test_random_ranges(spark, seed):
 
 def test_blocks_are_a_partition(spark):
     """The blocks cover every address once."""
-    blocks = geo.build_index(ranges_of(spark, OVERLAPPING), places_of(spark, [1])).blocks.filter("has_address")
+    blocks = geo.build_index(ranges_of(spark, OVERLAPPING), places_of(spark, [1])).blocks
     total = blocks.selectExpr("sum(shiftleft(1L, cast(key div 8589934592 as int))) t", "count(*) n", "count(distinct key) d").first()
     assert total["t"] == 2**32 and total["n"] == total["d"]
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_locate_keeps_every_row(spark, large):
+def test_locate_keeps_every_row(spark):
     index = geo.build_index(ranges_of(spark, [(10, 20, 1), (30, 40, 2)]), places_of(spark, [1]))
-    if large:
-        index = dataclasses.replace(index, small_blocks=False, small_places=False)
     rows = spark.createDataFrame([(1, 15), (2, 35), (3, 25), (4, None), (5, None), (6, 15)], "n int, ip_int bigint")
     found = {r["n"]: r for r in geo.locate(rows, index, spread=["n"]).collect()}
     assert len(found) == 6
@@ -102,15 +93,13 @@ def test_locate_keeps_every_row(spark, large):
 def test_plans_have_no_pairwise_join(spark, plan):
     index = geo.build_index(ranges_of(spark, OVERLAPPING), places_of(spark, [1, 2]))
     rows = spark.createDataFrame([(1, 5)], "n int, ip_int bigint")
-    small = plan(geo.locate(rows, index))
-    assert "Exchange hashpartitioning" not in small and "BroadcastHashJoin" in small
-    for text in (small, plan(geo.locate(rows, dataclasses.replace(index, small_blocks=False, small_places=False)))):
-        assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
+    text = plan(geo.locate(rows, index))
+    assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
 
 
-def test_hot_address_is_one_row_on_the_large_path(spark):
+def test_hot_address_is_one_row(spark):
     """A third of all rows on one address: the probed side holds the address once."""
-    index = dataclasses.replace(geo.build_index(ranges_of(spark, [(10, 20, 1)]), places_of(spark, [1])), small_blocks=False)
+    index = geo.build_index(ranges_of(spark, [(10, 20, 1)]), places_of(spark, [1]))
     rows = spark.range(3000).selectExpr("id n", "case when id % 3 = 0 then 15 when id % 3 = 1 then null else id end ip_int")
     found = geo.resolve_addresses(rows, index, spread=["n"])
     assert found.count() == 3000

@@ -3,14 +3,15 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tidewell.operators import devices, exhaust, upserts
-from tidewell.plans import streams
+from tidewell.plans import catalogue, streams
+from tidewell.plans import devices as plan_devices
+from tidewell.plans import experiments as plan_experiments
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = {n: q for n, q in entry.queries().items() if n not in streams.QUERIES}
+QUERIES = {n: entry.queries()[n] for n in catalogue.QUERIES if n not in streams.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -63,9 +64,19 @@ def test_hot_keys_are_combined_before_the_shuffle(spark, plan, build):
     assert text.count("Exchange hashpartitioning") == 1
 
 
-def test_use_all_cores_leaves_large_inputs_alone(spark, plan):
-    from tidewell.sources.tables import use_all_cores
+WRITES = {"exhaust_csv", "exhaust_json", "client_log_sink", "json_lines_load", "dataset_file_listing"}
 
-    assert "Exchange" not in plan(use_all_cores(spark.range(0, 100, 1, 64).select("id")))
-    small = use_all_cores(spark.range(0, 100, 1, 1).select((F.col("id") + 1).alias("x")))
-    assert small.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
+def test_building_a_query_starts_no_job(spark, name):
+    """Nothing runs before the action but reading schemas; reference indexes are loaded once before."""
+    plan_devices.geo_index(spark, SF_DIR)
+    plan_experiments.experiment_index(spark, SF_DIR)
+    context = spark.sparkContext
+    context.setJobGroup(f"build-{name}", name)
+    QUERIES[name](spark, SF_DIR)
+    tracker = context.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(f"build-{name}") for s in tracker.getJobInfo(job).stageIds]
+    names = {tracker.getStageInfo(s).name.split(" ")[0] for s in stages}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert names <= {"parquet", "sql"}

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.texts import is_blank, same_text
+from tidewell.operators.upserts import one_per_key
 
 # Roles used when a dataset declares none of its own.
 STANDARD_ROLES = ["ORG_ADMIN", "REPORT_ADMIN"]
@@ -23,13 +24,19 @@ NOT_AUTHORIZED = "You are not authorized."
 NOT_GRANTED = "Given X-Consumer-ID='%s' and X-Channel-ID='%s' are not authorized"
 
 
+def _ordered(table: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, with the load order if the table has one."""
+    return table.select(*columns, *[c for c in ("loaded",) if c in table.columns])
+
+
 def _not_granted(consumer: Column, channel: Column) -> Column:
     return F.format_string(NOT_GRANTED, F.coalesce(consumer, F.lit("")), channel)
 
 
 def grants(requests: DataFrame, consumer_channels: DataFrame) -> DataFrame:
-    """Adds ``granted``: the (consumer, channel) pair is present with status 1."""
-    pairs = consumer_channels.select("consumer_id", "channel", F.col("status").alias("_status"))
+    """Adds ``granted``: the last row of the (consumer, channel) pair has status 1."""
+    pairs = one_per_key(_ordered(consumer_channels, "consumer_id", "channel", "status"), ["consumer_id", "channel"])
+    pairs = pairs.withColumnRenamed("status", "_status")
     joined = requests.join(pairs, ["consumer_id", "channel"], "left")
     return joined.withColumn("granted", F.coalesce(F.col("_status"), F.lit(0)) == 1).drop("_status")
 
@@ -49,9 +56,10 @@ def authorize(
     consumer grant decides.  With one the user needs a role in common and the
     channel must be the user's root organisation; with ``admin_channel`` the
     channel must be the organisation's slug, or the organisation's channel the
-    admin channel.
+    admin channel.  Of repeated rows of a pair, user or dataset the last counts.
     """
-    roles_of = users.select(
+    known = _ordered(users, "user_id", "roles", "root_org_id", "root_org_slug", "root_org_channel")
+    roles_of = one_per_key(known, ["user_id"]).select(
         "user_id",
         F.col("roles").alias("_roles"),
         F.col("root_org_id").alias("_org"),
@@ -61,7 +69,8 @@ def authorize(
     rows = grants(requests, consumer_channels).join(roles_of, "user_id", "left")
     fallback = F.array(*[F.lit(role) for role in default_roles])
     if dataset_roles is not None:
-        wanted = dataset_roles.select("dataset_sub_id", F.col("authorized_roles").alias("_wanted"))
+        wanted = one_per_key(_ordered(dataset_roles, "dataset_sub_id", "authorized_roles"), ["dataset_sub_id"])
+        wanted = wanted.withColumnRenamed("authorized_roles", "_wanted")
         rows = rows.join(wanted, "dataset_sub_id", "left")
         allowed_roles = F.coalesce(F.col("_wanted"), fallback)
     else:
@@ -82,5 +91,6 @@ def authorize(
 
 def authorized_only(requests: DataFrame, consumer_channels: DataFrame) -> DataFrame:
     """Requests whose consumer holds an active grant, as a semi join."""
-    active = consumer_channels.filter(F.col("status") == 1)
+    pairs = one_per_key(_ordered(consumer_channels, "consumer_id", "channel", "status"), ["consumer_id", "channel"])
+    active = pairs.filter(F.col("status") == 1)
     return requests.join(active, ["consumer_id", "channel"], "left_semi")

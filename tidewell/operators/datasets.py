@@ -138,7 +138,7 @@ def dataset_rows(requests: DataFrame, as_of: Column) -> DataFrame:
         return F.coalesce(F.col(name), default) if name in given else default.cast(kind)
 
     failure = validation.dataset_failure(
-        *[F.col(n) for n in ("dataset", "dataset_type", "version", "visibility", "authorized_roles")]
+        *[F.col(n) for n in ("dataset", "dataset_type", "version", "visibility", "authorized_roles", "available_from")]
     )
     return requests.filter(failure.isNull()).select(
         "seq",
@@ -149,7 +149,7 @@ def dataset_rows(requests: DataFrame, as_of: Column) -> DataFrame:
         "dataset_type",
         "version",
         "authorized_roles",
-        F.coalesce(F.to_timestamp("available_from", "yyyy-MM-dd"), as_of.cast("timestamp")).alias("available_from"),
+        F.coalesce(F.try_to_timestamp("available_from", F.lit("yyyy-MM-dd")), as_of.cast("timestamp")).alias("available_from"),
         column("sample_request", blank).alias("sample_request"),
         column("sample_response", blank).alias("sample_response"),
         column("validation_json", no_map).alias("validation_json"),

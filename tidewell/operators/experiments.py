@@ -19,14 +19,13 @@ higher score, so taking the maximum over the keys is exact as long as
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing
 from tidewell.functions.texts import is_blank, same_text
-from tidewell.operators.upserts import first_by_key, latest_by_key
+from tidewell.operators.upserts import first_by_key
 from tidewell.session import work_folder
 
 FIELDS = ("userId", "deviceId", "url")
@@ -40,8 +39,8 @@ MISS_SECONDS = 86400
 DOCUMENT = ["name", "startDate", "endDate", "key", "expType"]
 SCORE_DIGITS = 6
 
-# Largest index that is broadcast; it is counted before that is decided.
-BROADCAST_ENTRIES = 1_000_000
+# Lookups without any field are spread over so many join keys.
+SPREAD = 4096
 
 # -- resolvers -----------------------------------------------------------------
 
@@ -76,14 +75,6 @@ def gate(resolvers: Mapping[str, Resolver] | None = None) -> Column:
 # -- matching ------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class ExperimentIndex:
-    """``(key, subset, idf, best)``: the best document per key, and whether the table may be broadcast."""
-
-    entries: DataFrame
-    small: bool
-
-
 def _key(subset: int) -> Column:
     """Text key of a row for a subset of the fields, null when it lacks one of them.
 
@@ -139,17 +130,16 @@ def build_index(
     documents: DataFrame,
     weights: Mapping[str, float] = FIELD_WEIGHTS,
     resolvers: Mapping[str, Resolver] | None = None,
-) -> ExperimentIndex:
+) -> DataFrame:
     """Prepares matching; run once per load of the documents.
 
-    The entries are written to the working folder and counted, which decides
-    whether they may be broadcast.
+    ``(key, subset, idf, best)``, the best document per key, written to the
+    working folder so that it is formed once.
     """
     spark = documents.sparkSession
     folder = work_folder(spark, "experiment-index")
     index_entries(documents, weights, resolvers).write.parquet(folder)
-    stored = spark.read.parquet(folder)
-    return ExperimentIndex(stored, stored.count() <= BROADCAST_ENTRIES)
+    return spark.read.parquet(folder)
 
 
 def _entry(subset: int) -> str:
@@ -187,41 +177,41 @@ def _found(winner: str) -> list[Column]:
     ]
 
 
-def match(
-    lookups: DataFrame, index: ExperimentIndex, query_weight: float = QUERY_WEIGHT, row_id: str = "lookup_id"
-) -> DataFrame:
+def _whole_key() -> Column:
+    """The key of all fields a row has, null when it has none."""
+    by_size = sorted(SUBSETS, key=lambda subset: -subset.bit_count())
+    return F.coalesce(*[_key(subset) for subset in by_size])
+
+
+def match(lookups: DataFrame, entries: DataFrame, query_weight: float = QUERY_WEIGHT) -> DataFrame:
     """Adds the best experiment of every lookup: ``experiment_id, score, passes, document``, null when none.
 
     Ties go to the lowest experiment id.  A lookup without any field has none.
+    ``query_weight`` must be at least 1, else the kept entries are not enough.
 
-    A small index is read by 7 lookups into one broadcast table, without a
-    shuffle, which also works on a stream.  A large one is joined with the
-    keys of all lookups and the at most 7 entries found are gathered per
-    ``row_id``, which must be unique.
+    Each distinct set of given fields is matched once: it reads at most 7
+    entries, which are gathered and scored, and the lookups are joined with
+    the answer.  A hot set of fields is thus one row until the last join, and
+    rows that repeat an id, or have none, need no care.
     """
     if query_weight < 1:
         raise ValueError("query_weight must be at least 1")
     columns = lookups.columns
-    if index.small:
-        rows = lookups
-        for subset in SUBSETS:
-            entry = F.struct("subset", "idf", "best").alias(_entry(subset))
-            entries = index.entries.select(F.col("key").alias("_key"), entry)
-            rows = rows.join(F.broadcast(entries), _key(subset) == F.col("_key"), "left").drop("_key")
-        won = rows.withColumn("_given", _given()).withColumn("_winner", _winner(query_weight))
-        return won.select(*columns, *_found("_winner"))
-    probes = lookups.select(row_id, _given().alias("_given"), F.explode(_keys()).alias("entry"))
+    nothing = F.concat(F.lit("-"), F.pmod(F.xxhash64(*columns), F.lit(SPREAD)).cast("string"))
+    keyed = lookups.withColumn("_asked", F.coalesce(_whole_key(), nothing))
+    asked = lookups.select(*FIELDS).distinct().withColumn("_asked", _whole_key()).filter("_asked is not null")
+    probes = asked.select("_asked", _given().alias("_given"), F.explode(_keys()).alias("entry"))
     gathered = (
-        probes.select(row_id, "_given", "entry.key")
-        .join(index.entries, "key")
-        .groupBy(row_id)
+        probes.select("_asked", "_given", "entry.key")
+        .join(entries, "key")
+        .groupBy("_asked")
         .agg(F.max("_given").alias("_given"), F.collect_list(F.struct("subset", "idf", "best")).alias("entries"))
     )
     for subset in SUBSETS:
         own = F.filter("entries", lambda e: e["subset"] == F.lit(subset))
         gathered = gathered.withColumn(_entry(subset), F.get(own, F.lit(0)))
-    winners = gathered.select(row_id, _winner(query_weight).alias("_winner")).select(row_id, *_found("_winner"))
-    return lookups.join(winners, row_id, "left")
+    winners = gathered.select("_asked", _winner(query_weight).alias("_winner")).select("_asked", *_found("_winner"))
+    return keyed.join(winners, "_asked", "left").drop("_asked")
 
 
 def assign(matched: DataFrame) -> DataFrame:
@@ -305,8 +295,3 @@ def experiment_answers(registry: DataFrame) -> DataFrame:
         "status",
         F.col("status_message").alias("status_msg"),
     )
-
-
-def newest_documents(documents: DataFrame, order: list[str]) -> DataFrame:
-    """One document per id, the last under ``order``."""
-    return latest_by_key(documents, ["id"], order)

@@ -21,15 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.network import IPV4_MAX
+from tidewell.operators.upserts import one_per_key
 from tidewell.session import work_folder
 
 LEVELS = 32
 SPREAD = 4096
-NO_ADDRESS = -1
-
-# Largest tables that are broadcast; both are counted before that is decided.
-BROADCAST_BLOCKS = 4_000_000
-BROADCAST_PLACES = 500_000
 
 LOCATION_FIELDS = [
     "continent_name",
@@ -47,17 +43,13 @@ LOCATION_FIELDS = [
 
 @dataclass(frozen=True)
 class GeoIndex:
-    """Blocks ``(key, geoname_id, in_range, has_address)`` of the whole address space, and the known places.
+    """Blocks ``(key, geoname_id, in_range, has_address)`` of the whole address space, and one row per known place.
 
-    One more row stands for rows without an address, so that these too find
-    exactly one block.
     """
 
     blocks: DataFrame
     levels: list[int]
     places: DataFrame
-    small_blocks: bool
-    small_places: bool
 
 
 def _shifted(value: Column, level: Column) -> Column:
@@ -144,55 +136,34 @@ def _segments(ranges: DataFrame) -> DataFrame:
 def build_index(ranges: DataFrame, locations: DataFrame) -> GeoIndex:
     """Prepares the lookup; run once per load of the reference tables.
 
-    The blocks are written to the working folder, so that their number is
-    known before anything is broadcast and a lost executor can read them again.
+    The blocks are written to the working folder, so that they are cut once and
+    a lost executor can read them again.  Of repeated places the last counts.
     """
     spark = ranges.sparkSession
     folder = work_folder(spark, "geo-index")
-    nowhere = spark.range(1).select(
-        F.lit(NO_ADDRESS).cast("bigint").alias("key"),
-        F.lit(0).alias("level"),
-        F.lit(None).cast("int").alias("geoname_id"),
-        F.lit(False).alias("in_range"),
-        F.lit(False).alias("has_address"),
-    )
     cut = _cut(_segments(ranges)).select(
         "key", "level", F.col("geoname_id").cast("int").alias("geoname_id"), "in_range", F.lit(True).alias("has_address")
     )
-    cut.unionByName(nowhere).write.parquet(folder)
+    cut.write.parquet(folder)
     stored = spark.read.parquet(folder)
-    facts = stored.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("level")).alias("levels")).first()
-    return GeoIndex(
-        blocks=stored.drop("level"),
-        levels=list(facts["levels"]),
-        places=locations,
-        small_blocks=facts["n"] <= BROADCAST_BLOCKS,
-        small_places=locations.count() <= BROADCAST_PLACES,
-    )
+    levels = stored.agg(F.array_sort(F.collect_set("level")).alias("levels")).first()["levels"]
+    return GeoIndex(blocks=stored.drop("level"), levels=list(levels), places=one_per_key(locations, ["geoname_id"]))
 
 
-def _probed(rows: DataFrame, ip: str, levels: list[int]) -> DataFrame:
-    """One row per level with the key of its block; a single row when there is no address."""
-    every = F.array(*[F.lit(level) for level in levels])
-    exploded = rows.withColumn("_level", F.explode(F.when(F.col(ip).isNull(), F.array(F.lit(0))).otherwise(every)))
-    key = F.when(F.col(ip).isNull(), F.lit(NO_ADDRESS)).otherwise(_key(F.col(ip), F.col("_level")))
-    return exploded.withColumn("key", key.cast("bigint")).drop("_level")
+def _probed(addresses: DataFrame, ip: str, levels: list[int]) -> DataFrame:
+    """One row per level with the key of its block."""
+    exploded = addresses.withColumn("_level", F.explode(F.array(*[F.lit(level) for level in levels])))
+    return exploded.withColumn("key", _key(F.col(ip), F.col("_level")).cast("bigint")).drop("_level")
 
 
 def resolve_addresses(rows: DataFrame, index: GeoIndex, ip: str = "ip_int", spread: list[str] | None = None) -> DataFrame:
     """Adds ``geoname_id`` and ``in_range`` of the range of each address, and ``has_address``.
 
-    ``has_address`` comes from the index: a filter on it prunes the index and
-    thereby the join, instead of being pushed into the scan as a second parse
-    of the address.
-
-    With an index of checked size the rows are probed where they are, without
-    a shuffle.  Beyond it only the distinct addresses are probed, so that a hot
-    address is one row, and the rows are joined with their address; rows
-    without one are spread over many keys by a hash of the ``spread`` columns.
+    Only the distinct addresses are probed, so that a hot address is one row,
+    and the rows are joined with their address; rows without one are spread
+    over many keys by a hash of the ``spread`` columns.  The plan is the same at
+    every size; which side is broadcast is left to Spark's statistics.
     """
-    if index.small_blocks:
-        return _probed(rows, ip, index.levels).join(F.broadcast(index.blocks), "key").drop("key")
     distinct = rows.filter(F.col(ip).isNotNull()).select(F.col(ip).alias("_ip")).distinct()
     found = _probed(distinct, "_ip", index.levels).join(index.blocks, "key").drop("key")
     away = F.coalesce(F.col(ip), -1 - F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SPREAD)))
@@ -207,8 +178,6 @@ def locate(rows: DataFrame, index: GeoIndex, ip: str = "ip_int", spread: list[st
     empty fields.
     """
     places = index.places.select("geoname_id", *LOCATION_FIELDS, F.lit(True).alias("_known"))
-    if index.small_places:
-        places = F.broadcast(places)
     known = F.col("_known").isNotNull()
     return (
         resolve_addresses(rows, index, ip, spread)

@@ -34,6 +34,19 @@ def first_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     )
 
 
+def one_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ("loaded",)) -> DataFrame:
+    """A reference table with one row per key: the last under the ``order`` columns it has.
+
+    What the order leaves open is settled by the other columns, so the result
+    does not depend on how the table is read.  Order columns are dropped.
+    """
+    given = [name for name in order if name in rows.columns]
+    rest = [name for name in rows.columns if name not in keys and name not in given]
+    last = F.max_by(F.struct(*rest), F.struct(*given, *rest)).alias("_row")
+    picked = rows.groupBy(*keys).agg(last)
+    return picked.select(*keys, *[F.col("_row")[name].alias(name) for name in rest])
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows replace existing rows of the same key; the rest is kept.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import dates, texts
 from tidewell.operators.rules import all_failures, failure, first_failure
+from tidewell.operators.upserts import one_per_key
 
 # Limits of the file windows.
 MAX_DAYS = 10
@@ -23,6 +24,8 @@ OTHER_FILTERS = "Unsupported filters"
 
 # Messages of the window rules.
 WINDOW_IN_FUTURE = "'to' should be LESSER OR EQUAL TO today's date.."
+AVAILABLE_NOT_A_DATE = "availableFrom is not a date"
+WINDOW_NOT_A_DATE = "Please give 'from' & 'to' as dates in the format yyyy-MM-dd"
 WINDOW_NEGATIVE = "Date range should not be -ve. Please check your 'from' & 'to'"
 WINDOW_TOO_LONG = "Date range should be < {} days"
 WINDOW_TOO_OLD = "Date range cannot be older than {} months"
@@ -70,15 +73,25 @@ def submit_failure(tag: Column, dataset: Column, dataset_config: Column) -> Colu
 
 
 def dataset_failure(
-    dataset: Column, dataset_type: Column, version: Column, visibility: Column, authorized_roles: Column
+    dataset: Column,
+    dataset_type: Column,
+    version: Column,
+    visibility: Column,
+    authorized_roles: Column,
+    available_from: Column | None = None,
 ) -> Column:
-    return missing_field(
+    """The first absent field, or a start that is given but no ``yyyy-MM-dd`` date."""
+    absent = missing_field(
         dataset=dataset,
         datasetType=dataset_type,
         version=version,
         visibility=visibility,
         authorizedRoles=authorized_roles,
     )
+    if available_from is None:
+        return absent
+    bad = available_from.isNotNull() & F.try_to_timestamp(available_from, F.lit("yyyy-MM-dd")).isNull()
+    return F.coalesce(absent, F.when(bad, AVAILABLE_NOT_A_DATE))
 
 
 def _days(start: Column, end: Column) -> Column:
@@ -96,8 +109,12 @@ def window_failure(
     public_max_days: int = PUBLIC_MAX_DAYS,
     public_max_months: int = PUBLIC_MAX_MONTHS,
 ) -> Column:
-    """Rules of a file window given as ``yyyy-MM-dd`` texts; a span equal to the limit passes."""
+    """Rules of a file window given as ``yyyy-MM-dd`` texts; a span equal to the limit passes, another text fails."""
     span = _days(start, end)
+    pattern = F.lit("yyyy-MM-dd")
+    unreadable = F.lit(False)
+    for text in (start, end):
+        unreadable = unreadable | (text.isNotNull() & F.try_to_timestamp(text, pattern).isNull())
     today, oldest = (
         dates.period_of(dates.day_text(day)) for day in (as_of, F.add_months(as_of, -public_max_months))
     )
@@ -105,6 +122,7 @@ def window_failure(
     too_long = F.when(public, WINDOW_TOO_LONG.format(public_max_days)).otherwise(WINDOW_TOO_LONG.format(max_days))
     return first_failure(
         [
+            (unreadable, WINDOW_NOT_A_DATE),
             (dates.period_of(end) > today, WINDOW_IN_FUTURE),
             (span < 0, WINDOW_NEGATIVE),
             (span > limit, too_long),
@@ -256,9 +274,11 @@ def schema_failure(body: Column, schema: Column) -> Column:
 def check_submissions(requests: DataFrame, rules: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``failure``: by the dataset's JSON schema when it has one, else by the fixed rules.
 
-    ``rules`` holds one row per ``dataset_sub_id``.
+    Of repeated rules of a ``dataset_sub_id`` the last counts.
     """
-    joined = requests.join(rules.select("dataset_sub_id", "validation_json"), "dataset_sub_id", "left")
+    loaded = [c for c in ("loaded",) if c in rules.columns]
+    unique = one_per_key(rules.select("dataset_sub_id", "validation_json", *loaded), ["dataset_sub_id"])
+    joined = requests.join(unique, "dataset_sub_id", "left")
     text = F.col(body)
     plain = submit_failure(
         F.get_json_object(text, "$.tag"), F.get_json_object(text, "$.dataset"), F.get_json_object(text, "$.datasetConfig")

@@ -17,7 +17,7 @@ _INDEXES: dict[tuple[str, str], geo.GeoIndex] = {}
 
 def build_index(spark: SparkSession, sf_dir: str) -> geo.GeoIndex:
     return geo.build_index(
-        tables.geo_ranges(view(spark, sf_dir, "geo_ranges")), tables.locations(view(spark, sf_dir, "geo_cities"))
+        tables.geo_ranges(view(spark, sf_dir, "geo_ranges")), tables.locations(view(spark, sf_dir, "geo_city_rows"))
     )
 
 
@@ -30,7 +30,7 @@ def geo_index(spark: SparkSession, sf_dir: str) -> geo.GeoIndex:
 
 
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.use_all_cores(view(spark, sf_dir, "registrations"))
+    return view(spark, sf_dir, "registrations")
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def registrations_by_state(spark, sf_dir):
 
 
 def geo_city_lookup(spark, sf_dir):
-    cities = tables.geo_cities(view(spark, sf_dir, "geo_cities"))
+    cities = tables.geo_cities(view(spark, sf_dir, "geo_city_rows"))
     return tables.geo_ranges(view(spark, sf_dir, "geo_ranges")).join(cities, "geoname_id")
 
 

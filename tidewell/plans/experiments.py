@@ -9,7 +9,6 @@ from tidewell.functions import hashing
 from tidewell.operators import experiments, validation
 from tidewell.operators.rules import with_status
 from tidewell.plans.views import view, with_views
-from tidewell.sources.tables import use_all_cores
 
 AS_OF = "2024-01-15"
 
@@ -19,10 +18,10 @@ def documents(spark, sf_dir) -> DataFrame:
     return rows.withColumnsRenamed({"start_date": "startDate", "end_date": "endDate", "exp_key": "key"})
 
 
-_INDEXES: dict[tuple[str, str], experiments.ExperimentIndex] = {}
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
 
 
-def experiment_index(spark, sf_dir) -> experiments.ExperimentIndex:
+def experiment_index(spark, sf_dir) -> DataFrame:
     """The index of a table folder, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
@@ -31,7 +30,7 @@ def experiment_index(spark, sf_dir) -> experiments.ExperimentIndex:
 
 
 def matched(spark, sf_dir) -> DataFrame:
-    return experiments.match(use_all_cores(view(spark, sf_dir, "lookups")), experiment_index(spark, sf_dir))
+    return experiments.match(view(spark, sf_dir, "lookups"), experiment_index(spark, sf_dir))
 
 
 def experiment_key(spark, sf_dir):
@@ -54,6 +53,13 @@ def experiment_match(spark, sf_dir):
     return matched(spark, sf_dir).select("lookup_id", "experiment_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def experiment_match_repeated(spark, sf_dir):
+    """Lookups whose ids repeat or are missing; every row is answered by its own fields."""
+    rows = view(spark, sf_dir, "repeated_lookups")
+    found = experiments.match(rows, experiment_index(spark, sf_dir))
+    return found.select("seq", "lookup_id", "experiment_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def experiment_assign(spark, sf_dir):
     return experiments.assign(matched(spark, sf_dir)).select("lookup_id", "experiment_id", "assigned", "actions")
 
@@ -97,6 +103,7 @@ QUERIES = {
         experiment_key,
         modulus_bucket,
         experiment_match,
+        experiment_match_repeated,
         experiment_assign,
         experiment_validate,
         experiment_upsert,
@@ -185,6 +192,9 @@ ORACLES = {
 select e.id, ih.hash id_hash, coalesce(uh.hash,0) user_hash, modulus_ok passes from experiments e join id_hashes ih on e.id=ih.id
 left join user_hashes uh on e.id=uh.id join gated g on e.id=g.id""",
     "experiment_match": f"""{_MATCHED} select lookup_id, id experiment_id, coalesce(score,0.0) score from lookups k left join best b
+ on k.userId is not distinct from b.u and k.deviceId is not distinct from b.d and k.url is not distinct from b.l""",
+    "experiment_match_repeated": f"""{_MATCHED} select k.lookup_id seq, case when mod(k.lookup_id,5)=0 then null else mod(k.lookup_id,97) end lookup_id,
+ id experiment_id, coalesce(score,0.0) score from lookups k left join best b
  on k.userId is not distinct from b.u and k.deviceId is not distinct from b.d and k.url is not distinct from b.l""",
     "experiment_assign": f"""{_MATCHED}, {_GATED},
 chosen AS (select lookup_id, b.id, coalesce(case when e.expType='modulus' then modulus_ok else true end and b.id is not null, false) assigned, e.*

@@ -126,11 +126,13 @@ _NUMBER = "cast(strftime({0}, '%Y%m%d') as integer)"
 
 
 def _failure(public: str, as_of: str) -> str:
-    return f"""case when s_end > '{as_of}' then '''to'' should be LESSER OR EQUAL TO today''s date..'
- when cast(s_end as date) < cast(s_start as date) then 'Date range should not be -ve. Please check your ''from'' & ''to'''
- when {public} and date_diff('day',cast(s_start as date),cast(s_end as date)) > 30 then 'Date range should be < 30 days'
- when not {public} and date_diff('day',cast(s_start as date),cast(s_end as date)) > 10 then 'Date range should be < 10 days'
- when {public} and cast(s_start as date) < cast('{as_of}' as date) - interval 2 month then 'Date range cannot be older than 2 months' end"""
+    return f"""case when try_cast(s_start as date) is null or try_cast(s_end as date) is null
+  then 'Please give ''from'' & ''to'' as dates in the format yyyy-MM-dd'
+ when s_end > '{as_of}' then '''to'' should be LESSER OR EQUAL TO today''s date..'
+ when try_cast(s_end as date) < try_cast(s_start as date) then 'Date range should not be -ve. Please check your ''from'' & ''to'''
+ when {public} and date_diff('day',try_cast(s_start as date),try_cast(s_end as date)) > 30 then 'Date range should be < 30 days'
+ when not {public} and date_diff('day',try_cast(s_start as date),try_cast(s_end as date)) > 10 then 'Date range should be < 10 days'
+ when {public} and try_cast(s_start as date) < cast('{as_of}' as date) - interval 2 month then 'Date range cannot be older than 2 months' end"""
 
 
 _CHANNEL = f"""{with_views("exhaust_requests", "dataset_files")},

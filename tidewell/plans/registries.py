@@ -37,7 +37,9 @@ def _adds(spark, sf_dir) -> DataFrame:
 
 def dataset_validate(spark, sf_dir):
     rows = _adds(spark, sf_dir)
-    columns = [F.col(c) for c in ("dataset", "dataset_type", "version", "visibility", "authorized_roles")]
+    columns = [
+        F.col(c) for c in ("dataset", "dataset_type", "version", "visibility", "authorized_roles", "available_from")
+    ]
     return rows.select("seq", validation.dataset_failure(*columns).alias("failure"))
 
 
@@ -191,7 +193,8 @@ QUERIES = {
 
 _BAD_ADD = """case when dataset is null then 'dataset is empty' when dataset_type is null then 'datasetType is empty'
  when version is null then 'version is empty' when visibility is null then 'visibility is empty'
- when authorized_roles is null then 'authorizedRoles is empty' end"""
+ when authorized_roles is null then 'authorizedRoles is empty'
+ when available_from is not null and try_cast(available_from as date) is null then 'availableFrom is not a date' end"""
 _UPSERTED = f"""{with_views("new_datasets", "dataset_registry")},
 adds AS (select * from (select *, coalesce(dataset_sub_id,dataset) sub_id,
   row_number() over (partition by dataset, coalesce(dataset_sub_id,dataset) order by seq desc) rn
@@ -201,7 +204,7 @@ upserted AS (select coalesce(n.dataset,r.dataset_id) dataset_id, coalesce(n.sub_
  case when n.seq is null then r.dataset_config else coalesce(n.dataset_config,'{{}}') end dataset_config,
  case when n.seq is null then r.visibility else n.visibility end visibility, case when n.seq is null then r.version else n.version end as "version",
  case when n.seq is null then r.authorized_roles else n.authorized_roles end authorized_roles,
- epoch_us(case when n.seq is null then r.available_from else cast(coalesce(n.available_from,'2024-01-15') as timestamp) end)//1000 available_ms,
+ epoch_us(case when n.seq is null then r.available_from else try_cast(coalesce(n.available_from,'2024-01-15') as timestamp) end)//1000 available_ms,
  case when n.seq is null then r.sample_request else coalesce(n.sample_request,'') end sample_request,
  case when n.seq is null then r.supported_formats else coalesce(n.supported_formats,'') end supported_formats
  from dataset_registry r full outer join adds n on n.dataset=r.dataset_id and n.sub_id=r.dataset_sub_id)"""

@@ -9,7 +9,6 @@ from tidewell.functions import hashing, texts
 from tidewell.operators import access, requests, validation
 from tidewell.plans.views import view, with_views
 from tidewell.sources import documents
-from tidewell.sources.tables import use_all_cores
 
 SEARCH = {"dataset": "1-URGENT", "status": "SUCCESS", "channel": None}
 SEARCH_DAY = {"requestedDate": "1995-02-18"}
@@ -23,7 +22,7 @@ def _jobs(spark, sf_dir) -> DataFrame:
 
 
 def _roles(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, "dataset_roles").select("dataset_sub_id", F.split("authorized_roles", ",").alias("authorized_roles"))
+    return view(spark, sf_dir, "dataset_role_rows").withColumn("authorized_roles", F.split("authorized_roles", ","))
 
 
 def _users(spark, sf_dir) -> DataFrame:
@@ -51,8 +50,8 @@ def request_validate(spark, sf_dir):
 
 
 def schema_rules(spark, sf_dir):
-    rows = use_all_cores(view(spark, sf_dir, "request_bodies")).withColumnRenamed("dataset", "dataset_sub_id")
-    checked = validation.check_submissions(rows, view(spark, sf_dir, "dataset_rules"))
+    rows = view(spark, sf_dir, "request_bodies").withColumnRenamed("dataset", "dataset_sub_id")
+    checked = validation.check_submissions(rows, view(spark, sf_dir, "dataset_rule_rows"))
     return checked.select("o_orderkey", "dataset_sub_id", "failure")
 
 
@@ -79,7 +78,7 @@ def request_submit_answer(spark, sf_dir):
         incoming, failure.alias("failure"), "channel", "consumer_id", "user_id", "has_token"
     )
     checked = access.authorize(
-        resolved, view(spark, sf_dir, "consumer_channels"), _users(spark, sf_dir), _roles(spark, sf_dir)
+        resolved, view(spark, sf_dir, "consumer_channel_rows"), _users(spark, sf_dir), _roles(spark, sf_dir)
     )
     jobs = requests.merge_submissions(_jobs(spark, sf_dir), checked.filter("failure is null and authorized"))
     states = jobs.filter("action <> 'kept'").select("tag", "request_id", "status", "action")
@@ -112,7 +111,7 @@ def _flat(answers: DataFrame) -> DataFrame:
 
 
 def request_status(spark, sf_dir):
-    return _flat(requests.responses(use_all_cores(_jobs(spark, sf_dir))))
+    return _flat(requests.responses(_jobs(spark, sf_dir)))
 
 
 def request_read(spark, sf_dir):
@@ -143,7 +142,7 @@ def request_list_access(spark, sf_dir):
         (F.col("position") % 2 == 0).alias("has_token"),
         F.coalesce(F.get_json_object("request_data", "$.type"), "job_id").alias("dataset_sub_id"),
     )
-    checked = access.authorize(asked, view(spark, sf_dir, "consumer_channels"), _users(spark, sf_dir), _roles(spark, sf_dir))
+    checked = access.authorize(asked, view(spark, sf_dir, "consumer_channel_rows"), _users(spark, sf_dir), _roles(spark, sf_dir))
     return checked.select("tag", "position", "request_id", "authorized", "reason")
 
 
@@ -163,20 +162,20 @@ def request_search_count(spark, sf_dir):
 
 def channel_authorize(spark, sf_dir):
     rows = view(spark, sf_dir, "access_requests")
-    return access.grants(rows, view(spark, sf_dir, "consumer_channels")).select(
+    return access.grants(rows, view(spark, sf_dir, "consumer_channel_rows")).select(
         "o_orderkey", "consumer_id", "channel", "granted"
     )
 
 
 def channel_authorized_requests(spark, sf_dir):
     rows = view(spark, sf_dir, "access_requests")
-    return access.authorized_only(rows, view(spark, sf_dir, "consumer_channels")).select("o_orderkey", "consumer_id", "channel")
+    return access.authorized_only(rows, view(spark, sf_dir, "consumer_channel_rows")).select("o_orderkey", "consumer_id", "channel")
 
 
 def role_authorize(spark, sf_dir):
     checked = access.authorize(
         view(spark, sf_dir, "access_requests"),
-        view(spark, sf_dir, "consumer_channels"),
+        view(spark, sf_dir, "consumer_channel_rows"),
         _users(spark, sf_dir),
         _roles(spark, sf_dir),
     )
@@ -186,7 +185,7 @@ def role_authorize(spark, sf_dir):
 def role_authorize_admin(spark, sf_dir):
     checked = access.authorize(
         view(spark, sf_dir, "access_requests"),
-        view(spark, sf_dir, "consumer_channels"),
+        view(spark, sf_dir, "consumer_channel_rows"),
         _users(spark, sf_dir),
         default_roles=access.STANDARD_ROLES,
         admin_channel=ADMIN_CHANNEL,

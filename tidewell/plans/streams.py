@@ -14,15 +14,11 @@ from tidewell.streaming import assignments, metrics, registrations
 from tidewell.streaming.reference import Refreshed
 from tidewell.streaming.tables import BatchTable, ProfileStore, latest_batch
 
-LIMIT_SECONDS = 3600
-
-
-def run_to_end(writer: DataStreamWriter, seconds: int = LIMIT_SECONDS) -> None:
-    """Reads all available input, then stops; never waits longer than the limit."""
+def run_to_end(writer: DataStreamWriter) -> None:
+    """Reads all available input, then stops."""
     query = writer.trigger(availableNow=True).start()
     try:
-        if not query.awaitTermination(seconds):
-            raise TimeoutError("the stream did not end in time")
+        query.awaitTermination()
     finally:
         query.stop()
 

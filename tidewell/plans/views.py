@@ -35,6 +35,13 @@ _DOTTED = (
     "cast(mod(cast(floor(ip_int/256) as bigint),256) as string),'.',cast(mod(ip_int,256) as string))"
 )
 
+
+def _last(rows: str, keys: str) -> str:
+    """The last loaded row per key; the twins read these, the queries the repeated rows."""
+    return f"""
+select * from (select *, row_number() over (partition by {keys} order by loaded desc) place from {rows}) x where place=1"""
+
+
 VIEWS = {
     # -- devices ---------------------------------------------------------
     "reg0": """
@@ -72,14 +79,18 @@ select 16777216+s_suppkey*1000000 network_start_integer, 16777216+s_suppkey*1000
  union all
 select 16777216+s_suppkey*1000000+100000, 16777216+s_suppkey*1000000+100000+1000*(1+mod(s_suppkey,7)),
  1000+cast(mod(s_suppkey,25) as int) from supplier""",
-    "geo_cities": """
-select 1000+n_nationkey geoname_id, r_name continent_name, concat('C',cast(r_regionkey as string)) country_iso_code,
+    "geo_city_rows": """
+select case when n_nationkey=24 then 9024 else 1000+n_nationkey end geoname_id, r_name continent_name, concat('C',cast(r_regionkey as string)) country_iso_code,
  concat('Country ',cast(r_regionkey as string)) country_name, concat('S',cast(n_nationkey as string)) subdivision_1_iso_code,
  case when n_nationkey=7 then '' else n_name end subdivision_1_name, '' subdivision_2_name,
  concat('City ',cast(n_nationkey as string)) city_name,
  case when mod(n_nationkey,6)=5 then '' else concat('Custom ',n_name) end subdivision_1_custom_name,
- cast(n_nationkey as string) subdivision_1_custom_code, concat('D',cast(mod(n_nationkey,7) as string)) subdivision_2_custom_name
- from nation join region on n_regionkey=r_regionkey where n_nationkey<>24""",
+ cast(n_nationkey as string) subdivision_1_custom_code, concat('D',cast(mod(n_nationkey,7) as string)) subdivision_2_custom_name, 2 loaded
+ from nation join region on n_regionkey=r_regionkey
+ union all
+select case when n_nationkey=24 then 9024 else 1000+n_nationkey end, 'Old', 'O', 'Old country', 'O', 'Old state', '', 'Old city',
+ 'Old', 'O', 'O', 1 from nation""",
+    "geo_cities": _last("geo_city_rows", "geoname_id"),
     # -- experiments -----------------------------------------------------
     "experiments": """
 select concat('exp-',cast(c_custkey as string)) id, c_name name, '2024-01-01' start_date, '2024-01-31' end_date,
@@ -94,6 +105,8 @@ select concat('exp-',cast(c_custkey as string)) id, c_name name, '2024-01-01' st
 select event_id lookup_id, ts, case when mod(k,11)=0 then null else concat('user-',cast(user_id as string)) end userId,
  case when mod(k,13)=0 then null else concat('device-',cast(user_id as string)) end deviceId,
  case when mod(k,2)=0 then concat('/p/',cast(mod(k,25) as string)) end url, event_type producer from reg0""",
+    "repeated_lookups": """
+select lookup_id seq, case when mod(lookup_id,5)=0 then null else mod(lookup_id,97) end lookup_id, userId, deviceId, url from lookups""",
     "experiment_definitions": """
 select concat('e-',cast(p_partkey as string)) exp_id, p_name exp_name, concat('About ',p_name) exp_description,
  p_brand created_by, 'registry' updated_by,
@@ -142,27 +155,40 @@ select o_orderkey, o_orderpriority dataset, concat('{"requestedBy":"u-',cast(o_c
  case when mod(o_orderkey,7)=0 then '' when mod(o_orderkey,7)=1 then ',"tag":5' else ',"tag":"t1"' end,
  case when mod(o_orderkey,5)=0 then '' else concat(',"dataset":"',o_orderpriority,'"') end,
  case when mod(o_orderkey,3)=0 then ',"datasetConfig":[]' else ',"datasetConfig":{"a":1}' end,'}') body from orders""",
-    "dataset_rules": """
-select distinct o_orderpriority dataset_sub_id, case when o_orderpriority='1-URGENT'
+    "dataset_rule_rows": """
+select distinct case when o_orderpriority='5-LOW' then 'none' else o_orderpriority end dataset_sub_id, case when o_orderpriority='1-URGENT'
  then '{"type":"object","properties":{"tag":{"type":"string"},"dataset":{"type":"string"},"datasetConfig":{"type":"object"}},"required":["tag","dataset"]}'
  when o_orderpriority='2-HIGH' then '{"type":"object","properties":{"datasetConfig":{"type":"object"}},"required":["dataset"]}'
- end validation_json from orders where o_orderpriority<>'5-LOW'""",
-    "dataset_roles": """
-select distinct o_orderpriority dataset_sub_id, case when o_orderpriority='1-URGENT' then 'ORG_ADMIN,REPORT_ADMIN'
- else 'PROGRAM_MANAGER,COURSE_ADMIN' end authorized_roles from orders where o_orderpriority<>'5-LOW'""",
-    "consumer_channels": """
+ end validation_json, 2 loaded from orders
+ union all
+select distinct case when o_orderpriority='5-LOW' then 'none' else o_orderpriority end, '{"required":["older"]}', 1 from orders""",
+    "dataset_rules": _last("dataset_rule_rows", "dataset_sub_id"),
+    "dataset_role_rows": """
+select distinct case when o_orderpriority='5-LOW' then 'none' else o_orderpriority end dataset_sub_id, case when o_orderpriority='1-URGENT' then 'ORG_ADMIN,REPORT_ADMIN'
+ else 'PROGRAM_MANAGER,COURSE_ADMIN' end authorized_roles, 2 loaded from orders
+ union all
+select distinct case when o_orderpriority='5-LOW' then 'none' else o_orderpriority end, 'OLDER', 1 from orders""",
+    "dataset_roles": _last("dataset_role_rows", "dataset_sub_id"),
+    "consumer_channel_rows": """
 select concat('consumer-',cast(s_suppkey as string)) consumer_id, concat('ch-',cast(s_nationkey as string)) channel,
- case when mod(s_suppkey,4)=0 then 0 else 1 end status from supplier""",
-    "users": """
+ case when mod(s_suppkey,4)=0 then 0 else 1 end status, 2 loaded from supplier
+ union all
+select concat('consumer-',cast(s_suppkey as string)), concat('ch-',cast(s_nationkey as string)),
+ case when mod(s_suppkey,4)=0 then 1 else 0 end, 1 from supplier""",
+    "consumer_channels": _last("consumer_channel_rows", "consumer_id, channel"),
+    "user_rows": """
 select concat('u-',cast(c_custkey as string)) user_id,
  case when mod(c_custkey,6)=0 then 'CH-0' else concat('CH-',cast(c_nationkey as string)) end root_org_id,
  concat('ch-',cast(mod(c_nationkey,5) as string)) root_org_slug,
  case when mod(c_custkey,7)=0 then 'sunrise' else 'other' end root_org_channel,
- case mod(c_custkey,3) when 0 then 'ORG_ADMIN' when 1 then 'REPORT_ADMIN,COURSE_ADMIN' else 'PUBLIC' end roles
- from customer""",
+ case mod(c_custkey,3) when 0 then 'ORG_ADMIN' when 1 then 'REPORT_ADMIN,COURSE_ADMIN' else 'PUBLIC' end roles,
+ 2 loaded from customer
+ union all
+select concat('u-',cast(c_custkey as string)), concat('CH-',cast(c_nationkey as string)), 'ch-1', 'sunrise', 'ORG_ADMIN', 1 from customer""",
+    "users": _last("user_rows", "user_id"),
     "user_documents": """
-select user_id, concat('{"rootOrg":{"id":"',root_org_id,'","slug":"',root_org_slug,'","channel":"',root_org_channel,
- '","hash":"x"},"organisations":[{"roles":["',replace(roles,',','"]},{"roles":["'),'"]}]}') document from users""",
+select user_id, loaded, concat('{"rootOrg":{"id":"',root_org_id,'","slug":"',root_org_slug,'","channel":"',root_org_channel,
+ '","hash":"x"},"organisations":[{"roles":["',replace(roles,',','"]},{"roles":["'),'"]}]}') document from user_rows""",
     "access_requests": """
 select o_orderkey, case when mod(o_orderkey,41)=0 then '' else concat('ch-',cast(c_nationkey as string)) end channel,
  case when mod(o_orderkey,7)=0 then 'consumer-none' else concat('consumer-',cast(mod(o_orderkey,10) as string)) end consumer_id,
@@ -176,12 +202,12 @@ select distinct concat('data-exhaust/raw/ch-',cast(mod(user_id,5) as string),'/'
 select distinct concat('data-exhaust/summary-rollup/',cast(cast(ts as date) as string),'-',event_type,'.csv') path from events""",
     "exhaust_requests": """
 select c_custkey seq, 'raw' dataset_id, concat('ch-',cast(mod(c_custkey,6) as string)) channel,
- case when mod(c_custkey,5)=0 then null else cast(cast('2024-01-03' as date)+cast(mod(c_custkey,29) as int) as string) end from_day,
+ case when mod(c_custkey,31)=0 then 'soon' when mod(c_custkey,5)=0 then null else cast(cast('2024-01-03' as date)+cast(mod(c_custkey,29) as int) as string) end from_day,
  case when mod(c_custkey,7)=0 then null else cast(cast('2024-01-03' as date)+cast(mod(c_custkey,29)+mod(c_custkey,14)-1 as int) as string) end to_day,
  case when mod(c_custkey,9)=0 then '2024-01-24' end since_day from customer""",
     "public_requests": """
 select c_custkey seq, case when mod(c_custkey,17)=0 then 'private-rollup' else 'summary-rollup' end dataset_id,
- case when mod(c_custkey,5)=0 then null else cast(cast('2023-11-20' as date)+cast(mod(c_custkey,79) as int) as string) end from_day,
+ case when mod(c_custkey,31)=0 then '2024-02-31' when mod(c_custkey,5)=0 then null else cast(cast('2023-11-20' as date)+cast(mod(c_custkey,79) as int) as string) end from_day,
  case when mod(c_custkey,7)=0 then null else cast(cast('2023-11-20' as date)+cast(mod(c_custkey,79)+mod(c_custkey,37)-1 as int) as string) end to_day,
  case when mod(c_custkey,9)=0 then '2024-01-24' end since_day,
  case when mod(c_custkey,4)=0 then cast(cast('2024-01-01' as date)+cast(mod(c_custkey,35) as int) as string) end on_day,
@@ -195,7 +221,7 @@ select p_partkey seq, case when mod(p_partkey,37)=0 then null else concat('ds-',
  case when mod(p_partkey,13)=0 then null else 'v1' end version,
  case when mod(p_partkey,17)=0 then null when mod(p_partkey,5)=0 then 'public' else 'private' end visibility,
  case when mod(p_partkey,19)=0 then null else concat(p_brand,',ORG_ADMIN') end authorized_roles,
- case when mod(p_partkey,3)=0 then cast(cast('2024-01-01' as date)+cast(mod(p_partkey,20) as int) as string) end available_from,
+ case when mod(p_partkey,41)=0 then 'later' when mod(p_partkey,3)=0 then cast(cast('2024-01-01' as date)+cast(mod(p_partkey,20) as int) as string) end available_from,
  case when mod(p_partkey,2)=0 then concat('{"size":',cast(p_size as string),'}') end dataset_config,
  case when mod(p_partkey,6)=0 then 'csv,json' end supported_formats, case when mod(p_partkey,7)=0 then 'sample' end sample_request
  from part""",

@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.upserts import one_per_key
 from tidewell.schemas import TABLES
 
 # Stored column -> column used by the operators.
@@ -43,27 +44,19 @@ def read_table(
     return reader.schema(TABLES[name]).load(location)
 
 
-def use_all_cores(rows: DataFrame) -> DataFrame:
-    """Spreads an input that arrives in fewer pieces than there are cores.
-
-    For small or unsplittable files before expensive row work.  A table of
-    normal size has more pieces than cores and is returned as it is, so no
-    shuffle is added to it.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def geo_ranges(table: DataFrame) -> DataFrame:
     return table.select("network_start_integer", "network_last_integer", "geoname_id")
 
 
 def locations(table: DataFrame) -> DataFrame:
-    return table.select(*[F.col(stored).alias(name) for stored, name in LOCATION_NAMES.items()])
+    loaded = [c for c in ("loaded",) if c in table.columns]
+    return table.select(*[F.col(stored).alias(name) for stored, name in LOCATION_NAMES.items()], *loaded)
 
 
 def geo_cities(table: DataFrame) -> DataFrame:
-    return table.select("geoname_id", "subdivision_1_name", "subdivision_2_custom_name")
+    loaded = [c for c in ("loaded",) if c in table.columns]
+    named = table.select("geoname_id", "subdivision_1_name", "subdivision_2_custom_name", *loaded)
+    return one_per_key(named, ["geoname_id"])
 
 
 def consumer_channels(table: DataFrame) -> DataFrame:

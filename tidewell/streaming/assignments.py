@@ -38,7 +38,7 @@ def memory_table(root: str) -> MergedTable:
 
 def answer_batch(
     lookups: DataFrame,
-    index: experiments.ExperimentIndex,
+    index: DataFrame,
     remembered: DataFrame | None,
     miss_seconds: int = experiments.MISS_SECONDS,
 ) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +61,7 @@ def answer_batch(
         known = keyed.join(old, "lookup_key", "left").withColumn("covered", covered)
     first = F.min_by(F.struct("ts", *experiments.FIELDS), "ts").alias("first")
     open_keys = known.filter(~F.col("covered")).groupBy("lookup_key").agg(first).select("lookup_key", "first.*")
-    searched = experiments.match(open_keys, index, row_id="lookup_key")
+    searched = experiments.match(open_keys, index)
     expires = F.when(F.col("experiment_id").isNull(), F.col("ts") + F.make_dt_interval(secs=F.lit(miss_seconds)))
     to_remember = searched.select("lookup_key", F.col("ts").alias("searched_at"), *FOUND, expires.alias("expires_at"))
     found = searched.select("lookup_key", *[F.col(c).alias(f"new_{c}") for c in FOUND])
@@ -75,7 +75,7 @@ def answer_batch(
 
 def assign_stream(
     lookups: DataFrame,
-    index: Callable[[], experiments.ExperimentIndex],
+    index: Callable[[], DataFrame],
     memory: MergedTable,
     answers: BatchTable,
     checkpoint: str,

@@ -159,8 +159,11 @@ def test_access_plan_has_no_pairwise_join(spark, people, plan):
 CHANGES = "seq int, ts timestamp, report_id string, action string, description string, created_by string, report_schedule string, config string"
 
 
-def change(seq, report, action, text="d"):
-    return (seq, at("2024-01-01") + datetime.timedelta(hours=seq), report, action, text, "u", "Weekly", "{}")
+COMPLETE = '{"reportConfig":{"id":1},"store":"s","container":"c","key":"k"}'
+
+
+def change(seq, report, action, text="d", config=COMPLETE):
+    return (seq, at("2024-01-01") + datetime.timedelta(hours=seq), report, action, text, "u", "Weekly", config)
 
 
 def test_report_changes(spark):
@@ -187,6 +190,25 @@ def test_report_changes(spark):
     assert answers[2] == answers[7] == (True, None)
 
 
+def test_invalid_changes_are_answered_and_not_applied(spark):
+    rows = [
+        change(1, "a", "submit", None),
+        change(2, "a", "update", "too early"),
+        change(3, "a", "submit", "born"),
+        change(4, "a", "update", "lost", "{}"),
+        change(5, None, "submit", "no id"),
+    ]
+    changes = spark.createDataFrame(rows, CHANGES)
+    assert [(r["report_id"], r["description"]) for r in reports.apply_changes(changes).collect()] == [("a", "born")]
+    answers = {r["seq"]: (r["accepted"], r["message"]) for r in reports.change_answers(changes).collect()}
+    assert answers[2] == (False, "no report available with requested reportid") and answers[3] == (True, None)
+    assert all(not answers[n][0] and '"status":"failed"' in answers[n][1] for n in (1, 4, 5))
+    asked = spark.createDataFrame([(1, "a"), (2, "z"), (3, None)], "n int, report_id string")
+    read = {r["n"]: (r["message"], r["report"] is None) for r in reports.read_reports(reports.apply_changes(changes), asked).collect()}
+    missing = ("no report available with requested reportid", True)
+    assert read == {1: (None, False), 2: missing, 3: missing}
+
+
 def test_report_changes_on_existing(spark):
     first = reports.apply_changes(spark.createDataFrame([change(1, "a", "submit", "a1"), change(2, "z", "submit", "z1")], CHANGES))
     later = [change(10, "a", "submit", "ignored"), change(11, "a", "deactivate"), change(12, "n", "submit", "n1")]
@@ -213,18 +235,26 @@ def test_upsert_and_latest(spark):
 
 def test_channel_files(spark):
     files = spark.createDataFrame(
-        [("base/raw/ch/2018-05-20-1.gz",), ("base/raw/ch/2018-05-21-1.gz",), ("base/raw/other/2018-05-20-1.gz",), ("base/raw/ch/undated.gz",)],
+        [("base/raw/ch/2019-03-14-1.gz",), ("base/raw/ch/2019-03-15-1.gz",), ("base/raw/other/2019-03-14-1.gz",), ("base/raw/ch/undated.gz",)],
         "path string",
     )
     asked = spark.createDataFrame(
-        [(1, "raw", "ch", "2018-05-20", "2018-05-20", None), (2, "raw", "ch", "2018-05-01", "2018-05-21", "2018-05-21"), (3, "raw", "ch", None, None, None)],
+        [(1, "raw", "ch", "2019-03-14", "2019-03-14", None), (2, "raw", "ch", "2019-03-01", "2019-03-15", "2019-03-15"), (3, "raw", "ch", None, None, None),
+         (4, "raw", "ch", "2019-03-14", "2019-03-14", None), (5, "raw", "ch", "soon", "2019-03-14", None)],
         "seq int, dataset_id string, channel string, from_day string, to_day string, since_day string",
     )
-    as_of = F.lit("2018-05-21").cast("date")
+    as_of = F.lit("2019-03-15").cast("date")
     windows = datasets.channel_windows(asked, as_of, {"default": "base/"})
-    listed = datasets.window_files(windows, files, ["seq"])
-    got = sorted((r["seq"], r["period"]) for r in listed.collect())
-    assert got == [(1, "2018-05-20"), (2, "2018-05-21"), (3, "2018-05-20"), (3, "2018-05-21")]
+    listed = datasets.window_files(windows, files)
+    got = sorted((r["start"], r["end"], r["period"]) for r in listed.collect())
+    assert got == [
+        ("2019-03-14", "2019-03-14", "2019-03-14"),
+        ("2019-03-14", "2019-03-15", "2019-03-14"),
+        ("2019-03-14", "2019-03-15", "2019-03-15"),
+        ("2019-03-15", "2019-03-15", "2019-03-15"),
+    ]
+    answers = {r["seq"]: (r["response_code"], r["files"]) for r in datasets.window_answers(windows, listed, ["seq"], False).collect()}
+    assert answers == {1: ("OK", 1), 2: ("OK", 1), 3: ("OK", 2), 4: ("OK", 1), 5: ("CLIENT_ERROR", 0)}
 
 
 def test_public_precedence(spark):
@@ -284,8 +314,29 @@ def test_report_rejects_unknown_parts(spark):
     rows = spark.createDataFrame([], TELEMETRY)
     spec = {
         "id": "r",
-        "metrics": [{"druidQuery": {"dimensions": [], "aggregations": [], "filters": [{"type": "regex", "dimension": "eid"}]}}],
-        "output": [],
+        "dateRange": {"staticInterval": "Last7Days"},
+        "metrics": [{"druidQuery": {"dimensions": [], "aggregations": [{"name": "n", "type": "count"}], "filters": []}}],
+        "output": [{"type": "csv", "metrics": ["n"], "dims": []}],
     }
-    with pytest.raises(ValueError):
-        usage.run_report(rows, spec, "2024-01-01", "2024-01-02")
+    assert set(usage.run_report(rows, spec, "2024-01-01")) == {"r"}
+    query = spec["metrics"][0]["druidQuery"]
+    for broken in (
+        {**spec, "extra": 1},
+        {**spec, "dateRange": {"staticInterval": "Sometime"}},
+        {**spec, "dateRange": {"staticInterval": "LastDay", "granularity": "hour"}},
+        {**spec, "output": [{"type": "csv", "metrics": ["other"], "dims": []}]},
+        {**spec, "output": [{"type": "csv", "metrics": ["n"], "dims": ["absent"]}]},
+        {**spec, "metrics": [{"druidQuery": {**query, "filters": [{"type": "regex", "dimension": "eid"}]}}]},
+        {**spec, "metrics": [{"druidQuery": {**query, "aggregations": [{"name": "n", "type": "median"}]}}]},
+    ):
+        with pytest.raises(ValueError):
+            usage.run_report(rows, broken, "2024-01-01")
+
+
+def test_report_days():
+    day = datetime.date(2024, 3, 13)
+    assert usage.report_days({"staticInterval": "LastDay"}, day) == (datetime.date(2024, 3, 12),) * 2
+    assert usage.report_days({"staticInterval": "LastWeek"}, day) == (datetime.date(2024, 3, 4), datetime.date(2024, 3, 10))
+    assert usage.report_days({"staticInterval": "LastMonth"}, day) == (datetime.date(2024, 2, 1), datetime.date(2024, 2, 29))
+    bounds = {"interval": {"startDate": "2024-01-02", "endDate": "2024-01-05"}}
+    assert usage.report_days(bounds, day) == (datetime.date(2024, 1, 2), datetime.date(2024, 1, 5))

@@ -43,7 +43,7 @@ def test_registration_stream_equals_batch(spark, index, tmp_path):
     writer = registrations.register(
         stream, lambda: index, store, registrations.table_sink(f"{tmp_path}/events"), outcomes, f"{tmp_path}/checkpoint"
     )
-    run_to_end(writer, 300)
+    run_to_end(writer)
     assert len(outcomes.batches(spark)) == 3
     whole = devices.enrich(spark.createDataFrame(sum(BATCHES, []), ROW), index)
     assert sorted(store.profiles(spark).collect()) == sorted(devices.profile_state(whole).collect())
@@ -60,7 +60,7 @@ def test_registration_stream_equals_batch(spark, index, tmp_path):
         .foreachBatch(counted.write)
         .option("checkpointLocation", f"{tmp_path}/metrics-checkpoint")
     )
-    run_to_end(writer, 300)
+    run_to_end(writer)
     newest = latest_batch(counted.read(spark), ["window_start_ms"])
     want = devices.metrics_events(devices.count_registrations(devices.outcomes(whole)))
     assert sorted(newest.select(*want.columns).collect()) == sorted(want.collect())
@@ -105,7 +105,7 @@ def test_append_mode_publishes_closed_windows_once(spark, tmp_path):
     writer = (
         metrics.windowed(source).writeStream.outputMode("append").foreachBatch(out.write).option("checkpointLocation", f"{tmp_path}/c")
     )
-    run_to_end(writer, 300)
+    run_to_end(writer)
     rows = out.read(spark).orderBy("window_start_ms").collect()
     assert [(r["window_start_ms"] // 60000 - 28401120, r["api_calls"]) for r in rows] == [(0, 3), (30, 1)]
 
@@ -147,7 +147,7 @@ def test_assignment_stream(spark, tmp_path):
     source = files(spark, f"{tmp_path}/in", [[lookup(1, "u1"), lookup(2, "user4")], [lookup(3, "u1"), lookup(4, "zz")]], LOOKUPS)
     answers = BatchTable(f"{tmp_path}/answers")
     index = experiments.build_index(docs)
-    run_to_end(assignments.assign_stream(source, lambda: index, assignments.memory_table(f"{tmp_path}/memory"), answers, f"{tmp_path}/c"), 300)
+    run_to_end(assignments.assign_stream(source, lambda: index, assignments.memory_table(f"{tmp_path}/memory"), answers, f"{tmp_path}/c"))
     got = {r["lookup_id"]: (r["experiment_id"], r["assigned"], r["covered"]) for r in answers.read(spark).collect()}
     assert got == {1: ("e", True, False), 2: ("m", False, False), 3: ("e", True, True), 4: (None, False, False)}
 

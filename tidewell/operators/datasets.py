@@ -90,21 +90,27 @@ def public_windows(
     return resolved.withColumn("failure", F.coalesce(failure, window)).drop("_first", "_last")
 
 
-def window_files(windows: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, period, path) of the files that lie in each valid window.
+WINDOW = ["folder", "start", "end"]
 
-    A valid window has at most 31 days, so it is spread to one row per day and
-    joined on (folder, day): an equality join instead of a date range.
+
+def window_files(windows: DataFrame, files: DataFrame) -> DataFrame:
+    """(folder, start, end, period, path) of the files in each distinct valid window.
+
+    Requests that ask for the same days of a folder point to one window, so
+    that its files are listed once.  A valid window has at most 31 days; it is
+    spread to one row per day and joined on (folder, day), an equality join
+    instead of a date range.
     """
-    day = F.explode(F.sequence(F.to_date("start"), F.to_date("end")))
-    wanted = windows.filter("failure is null").select(*keys, "folder", day.alias("_day"))
-    wanted = wanted.select(*keys, "folder", dates.day_text(F.col("_day")).alias("period"))
-    return wanted.join(manifest(files), ["folder", "period"]).select(*keys, "period", "path")
+    as_date = lambda c: F.to_date(F.try_to_timestamp(F.col(c), F.lit("yyyy-MM-dd")))
+    distinct = windows.filter("failure is null").select(*WINDOW).distinct()
+    wanted = distinct.select(*WINDOW, F.explode(F.sequence(as_date("start"), as_date("end"))).alias("_day"))
+    wanted = wanted.select(*WINDOW, dates.day_text(F.col("_day")).alias("period"))
+    return wanted.join(manifest(files), ["folder", "period"]).select(*WINDOW, "period", "path")
 
 
-def period_counts(listed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Files per request and day: the day-wise grouping, without holding a day's files in one row."""
-    return listed.groupBy(*keys, "period").agg(F.count(F.lit(1)).alias("files"))
+def period_counts(listed: DataFrame) -> DataFrame:
+    """Files per window and day: the day-wise grouping, without holding a day's files in one row."""
+    return listed.groupBy(*WINDOW, "period").agg(F.count(F.lit(1)).alias("files"))
 
 
 def file_periods(files: DataFrame) -> DataFrame:
@@ -114,9 +120,10 @@ def file_periods(files: DataFrame) -> DataFrame:
 
 def window_answers(windows: DataFrame, listed: DataFrame, keys: Sequence[str], public: bool) -> DataFrame:
     """One row per request: status, message and number of files."""
-    counts = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
-    joined = windows.select(*keys, "failure").join(counts, list(keys), "left")
-    files = F.coalesce("files", F.lit(0).cast("bigint"))
+    counts = listed.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("files"))
+    joined = windows.select(*keys, *WINDOW, "failure").join(counts, WINDOW, "left")
+    valid = F.col("failure").isNull()
+    files = F.when(valid, F.coalesce("files", F.lit(0).cast("bigint"))).otherwise(0)
     nothing = F.lit(NO_FILES) if public else F.lit(None).cast("string")
     return joined.select(
         *keys,

@@ -4,41 +4,44 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FORMATS = ("json", "csv")
 
 
-def extract(
-    telemetry: DataFrame,
+def export_condition(
     start_date: str,
     end_date: str,
     app_id: str | None = None,
     channel: str | None = None,
     events: list[str] | None = None,
     tags: list[str] | None = None,
-) -> DataFrame:
-    """Telemetry of the days in [start_date, end_date] that match the optional filters.
+    tag_list: bool = False,
+) -> Column:
+    """Whether a row belongs to an export: its day in [start_date, end_date] and the optional filters.
 
     Plain comparisons on ``event_day`` prune a table partitioned by it; the
     other filters are pushed into the scan.  ``tags`` works on a ``tag``
-    column or on a ``tags`` array.
+    column or, with ``tag_list``, on a ``tags`` array.
     """
     low, high = F.lit(date.fromisoformat(start_date)), F.lit(date.fromisoformat(end_date))
-    rows = telemetry.filter((F.col("event_day") >= low) & (F.col("event_day") <= high))
+    condition = (F.col("event_day") >= low) & (F.col("event_day") <= high)
     if app_id is not None:
-        rows = rows.filter(F.col("pdata_id") == app_id)
+        condition &= F.col("pdata_id") == app_id
     if channel is not None:
-        rows = rows.filter(F.col("channel") == channel)
+        condition &= F.col("channel") == channel
     if events:
-        rows = rows.filter(F.col("eid").isin(events))
+        condition &= F.col("eid").isin(events)
     if tags:
         wanted = F.array(*[F.lit(tag) for tag in tags])
-        rows = rows.filter(
-            F.arrays_overlap(F.col("tags"), wanted) if "tags" in rows.columns else F.col("tag").isin(tags)
-        )
-    return rows
+        condition &= F.arrays_overlap(F.col("tags"), wanted) if tag_list else F.col("tag").isin(tags)
+    return condition
+
+
+def extract(telemetry: DataFrame, start_date: str, end_date: str, **filters) -> DataFrame:
+    """Telemetry of the days in [start_date, end_date] that match the optional filters."""
+    return telemetry.filter(export_condition(start_date, end_date, **filters, tag_list="tags" in telemetry.columns))
 
 
 def write(rows: DataFrame, path: str, output_format: str = "json") -> None:
@@ -51,15 +54,19 @@ def write(rows: DataFrame, path: str, output_format: str = "json") -> None:
     writer.format(output_format).save(path)
 
 
-def job_figures(telemetry: DataFrame, exported: DataFrame, keys: list[str]) -> DataFrame:
-    """Input and output events and the first and last output time per key."""
-    read = telemetry.groupBy(*keys).agg(F.count(F.lit(1)).alias("input_events"))
-    written = exported.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("output_events"),
-        F.unix_millis(F.min("ts")).alias("dt_first_event"),
-        F.unix_millis(F.max("ts")).alias("dt_last_event"),
+def job_figures(telemetry: DataFrame, exported: Column, keys: list[str]) -> DataFrame:
+    """Input events, and events and first and last time of the rows that meet ``exported``, per key.
+
+    One pass over the telemetry; a null key is a key like any other, and
+    without an exported row there is no first and last time.
+    """
+    moment = F.when(exported, F.col("ts"))
+    return telemetry.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("input_events"),
+        F.count_if(exported).alias("output_events"),
+        F.unix_millis(F.min(moment)).alias("dt_first_event"),
+        F.unix_millis(F.max(moment)).alias("dt_last_event"),
     )
-    return read.join(written, keys, "left").fillna(0, ["output_events", "dt_first_event", "dt_last_event"])
 
 
 def job_times(jobs: DataFrame) -> DataFrame:

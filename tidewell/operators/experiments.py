@@ -239,6 +239,7 @@ SUBMITTED = "SUBMITTED"
 SUBMITTED_MESSAGE = "Experiment successfully submitted"
 UPDATED_BY = "Experiment_CREATE_API"
 EXISTS_MESSAGE = "ExperimentId already exists."
+NO_EXPERIMENT = "no experiment available with the given experimentid"
 
 
 def merge_experiments(registry: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
@@ -278,6 +279,15 @@ def merge_experiments(registry: DataFrame, requests: DataFrame, as_of: Column) -
     return joined.select(*[value.alias(name) for name, value in values.items()], action.alias("action"))
 
 
+def read_experiments(registry: DataFrame, asked: DataFrame) -> DataFrame:
+    """Experiments by id: every row of ``asked`` with ``response_code``, ``message`` and the answer as JSON."""
+    answers = experiment_answers(registry)
+    known = answers.select("exp_id", F.to_json(F.struct(*answers.columns)).alias("experiment"))
+    joined = asked.join(known, "exp_id", "left")
+    message = F.when(F.col("experiment").isNull(), NO_EXPERIMENT)
+    return joined.select(*asked.columns, F.lit("OK").alias("response_code"), message.alias("message"), "experiment")
+
+
 def experiment_answers(registry: DataFrame) -> DataFrame:
     """Registry rows as answered: counts only for active and failed experiments."""
     shown = F.upper("status").isin("ACTIVE", "FAILED") & ~is_blank(F.col("stats"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.rules import with_status
+from tidewell.operators.validation import report_failures
+
 # States and messages of the registry.
 ACTIVE, INACTIVE = "ACTIVE", "INACTIVE"
 ACTIVATED_MESSAGE = "REPORT SUCCESSFULLY ACTIVATED"
@@ -33,9 +36,12 @@ def apply_changes(changes: DataFrame, existing: DataFrame | None = None) -> Data
     it is three stamps per report (first submit, last update, last
     deactivation), so one grouped aggregate with a map-side combine is enough.
 
+    Submits and updates that lack something are not applied.
+
     ``existing``: a registry of the same columns, whose reports exist before
     every change.
     """
+    changes = valid_changes(changes).filter("problems is null and report_id is not null")
     stamp = F.struct("ts", "seq", *CONTENT)
     grouped = changes.groupBy("report_id").agg(
         F.min(F.when(F.col("action") == "submit", stamp)).alias("first"),
@@ -88,19 +94,38 @@ def apply_changes(changes: DataFrame, existing: DataFrame | None = None) -> Data
 
 def change_answers(changes: DataFrame) -> DataFrame:
     """What each change was answered: ``accepted`` and ``message``."""
-    joined = changes.join(_first_submits(changes), "report_id", "left")
+    checked = valid_changes(changes)
+    joined = checked.join(_first_submits(checked.filter("problems is null")), "report_id", "left")
     order = F.struct("ts", "seq")
     exists = F.col("born").isNotNull() & (order > F.col("born"))
     message = (
-        F.when((F.col("action") == "submit") & exists, EXISTS)
+        F.when(F.col("problems").isNotNull(), F.col("problems"))
+        .when((F.col("action") == "submit") & exists, EXISTS)
         .when((F.col("action") == "update") & ~exists, NO_REPORT_TO_UPDATE)
         .when((F.col("action") == "deactivate") & ~exists, NO_REPORT_TO_DEACTIVATE)
         .when(F.col("action") == "deactivate", DEACTIVATED)
     )
-    accepted = F.when(F.col("action") == "submit", ~exists).otherwise(exists)
+    accepted = F.col("problems").isNull() & F.when(F.col("action") == "submit", ~exists).otherwise(exists)
     return joined.select("seq", "report_id", "action", accepted.alias("accepted"), message.alias("message"))
 
 
+def read_reports(registry: DataFrame, asked: DataFrame) -> DataFrame:
+    """Reports by id: every row of ``asked`` with ``response_code``, ``message`` and the report, null when there is none."""
+    times = ("created_on", "submitted_on", "updated_on")
+    columns = [F.unix_millis(n).alias(n) if n in times else F.col(n) for n in registry.columns]
+    known = registry.select("report_id", F.to_json(F.struct(*columns)).alias("report"))
+    joined = asked.join(known, "report_id", "left")
+    message = F.when(F.col("report").isNull(), NO_REPORT_TO_UPDATE)
+    return joined.select(*asked.columns, F.lit("OK").alias("response_code"), message.alias("message"), "report")
+
+
+def valid_changes(changes: DataFrame) -> DataFrame:
+    """Adds ``problems``, JSON of what a submit or an update lacks, null when nothing; other actions carry no content."""
+    failures = report_failures(*[F.col(c) for c in ("report_id", "description", "created_by", "config")])
+    carries = F.col("action").isin("submit", "update") & (F.size(failures) > 0)
+    return changes.withColumn("problems", F.when(carries, F.to_json(with_status(failures))))
+
+
 def list_reports(registry: DataFrame, filters: dict) -> DataFrame:
     """Reports with one of the given states, each as one JSON document."""
     if "status" not in filters:

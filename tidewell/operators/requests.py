@@ -16,6 +16,7 @@ from tidewell.operators.validation import check_search_filters
 SUBMITTED, FAILED = "SUBMITTED", "FAILED"
 PROCESSED = ["SUCCESS", "FAILED"]
 SEARCH_LIMIT = 10
+NO_JOB = "no job available with the given request_id and tag"
 LIST_LIMIT = 100
 
 KEY = ["tag", "request_id"]
@@ -118,6 +119,23 @@ def find(jobs: DataFrame, keys: DataFrame) -> DataFrame:
     return jobs.join(keys.select(*KEY), KEY, "left_semi")
 
 
+def read(jobs: DataFrame, checked: DataFrame) -> DataFrame:
+    """Requests by key for callers whose access was checked (``authorized``, ``reason``).
+
+    Every row of ``checked`` with ``response_code``, ``message`` and the status
+    of the request; a refused caller learns nothing about it.
+    """
+    known = jobs.select(*KEY, F.col("status").alias("found_status"))
+    joined = checked.join(known, KEY, "left")
+    allowed = F.col("authorized")
+    return joined.select(
+        *checked.columns,
+        F.when(allowed, "OK").otherwise("FORBIDDEN").alias("response_code"),
+        F.when(~allowed, F.col("reason")).when(F.col("found_status").isNull(), NO_JOB).alias("message"),
+        F.when(allowed, F.col("found_status")).alias("status"),
+    )
+
+
 def newest_per_tag(jobs: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """The newest requests of every tag; ties by request_id.
 

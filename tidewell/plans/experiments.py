@@ -97,6 +97,14 @@ def experiment_get(spark, sf_dir):
     return experiments.experiment_answers(view(spark, sf_dir, "experiment_definitions"))
 
 
+def experiment_read(spark, sf_dir):
+    """Reads by id, of which some do not exist."""
+    asked = view(spark, sf_dir, "experiment_requests").select("seq", "exp_id")
+    return experiments.read_experiments(view(spark, sf_dir, "experiment_definitions"), asked).select(
+        "seq", "exp_id", "response_code", "message", F.get_json_object("experiment", "$.status").alias("status")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +116,7 @@ QUERIES = {
         experiment_validate,
         experiment_upsert,
         experiment_get,
+        experiment_read,
     )
 }
 
@@ -215,6 +224,9 @@ select exp_id, case when is_new or again then n_name else exp_name end exp_name,
  case when is_new or again then '' else stats end stats, case when is_new or again then n_criteria else criteria end criteria,
  case when is_new or again then epoch_us(timestamp '2024-01-15 00:00:00') else epoch_us(updated_on) end//1000 updated_ms,
  case when is_new then 'inserted' when again then 'resubmitted' when has_new then 'ExperimentId already exists.' else 'kept' end action from merged""",
+    "experiment_read": f"""{with_views("experiment_definitions", "experiment_requests")}
+select q.seq, q.exp_id, 'OK' response_code, case when d.exp_id is null then 'no experiment available with the given experimentid' end message,
+ d.status from experiment_requests q left join experiment_definitions d on q.exp_id=d.exp_id""",
     "experiment_get": f"""{with_views("experiment_definitions")}
 select exp_id, exp_name name, created_by, exp_description description, criteria, exp_data data,
  case when upper(status) in ('ACTIVE','FAILED') then stats else '{{}}' end stats, epoch_us(updated_on)//1000 last_updated,

@@ -68,7 +68,12 @@ def window_rules(spark, sf_dir):
 
 def _channel(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     windows = datasets.channel_windows(view(spark, sf_dir, "exhaust_requests"), _day(AS_OF), PREFIXES)
-    return windows, datasets.window_files(windows, view(spark, sf_dir, "dataset_files"), ["seq", "channel"])
+    return windows, datasets.window_files(windows, view(spark, sf_dir, "dataset_files"))
+
+
+def channel_exhaust_windows(spark, sf_dir):
+    """The window of each request; its files are those of the window."""
+    return _channel(spark, sf_dir)[0].select("seq", "channel", "folder", "start", "end", "failure")
 
 
 def channel_exhaust_files(spark, sf_dir):
@@ -76,7 +81,7 @@ def channel_exhaust_files(spark, sf_dir):
 
 
 def channel_exhaust_periods(spark, sf_dir):
-    return datasets.period_counts(_channel(spark, sf_dir)[1], ["seq", "channel"])
+    return datasets.period_counts(_channel(spark, sf_dir)[1])
 
 
 def channel_exhaust_answer(spark, sf_dir):
@@ -87,12 +92,12 @@ def channel_exhaust_answer(spark, sf_dir):
 def _public(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     requests = view(spark, sf_dir, "public_requests")
     windows = datasets.public_windows(requests, _day(AS_OF), PREFIXES, PUBLIC_DATASETS)
-    return windows, datasets.window_files(windows, view(spark, sf_dir, "public_files"), ["seq"])
+    return windows, datasets.window_files(windows, view(spark, sf_dir, "public_files"))
 
 
 def public_exhaust_files(spark, sf_dir):
     files = _public(spark, sf_dir)[1]
-    return files.select("seq", "period", texts.cdn_url(CDN, F.col("path")).alias("url"))
+    return files.select("folder", "start", "end", "period", texts.cdn_url(CDN, F.col("path")).alias("url"))
 
 
 def public_exhaust_answer(spark, sf_dir):
@@ -110,6 +115,7 @@ QUERIES = {
         period_functions,
         interval_range,
         window_rules,
+        channel_exhaust_windows,
         channel_exhaust_files,
         channel_exhaust_periods,
         channel_exhaust_answer,
@@ -137,10 +143,10 @@ def _failure(public: str, as_of: str) -> str:
 
 _CHANNEL = f"""{with_views("exhaust_requests", "dataset_files")},
 spans AS (select *, coalesce(since_day,from_day,'2024-01-30') s_start, coalesce(to_day,'2024-01-31') s_end from exhaust_requests),
-windows AS (select *, {_failure("false", AS_OF)} failure from spans),
-listed AS (select seq, channel, regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') period, path
- from windows join dataset_files on starts_with(path, concat('data-exhaust/',dataset_id,'/',channel,'/'))
- and regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') between s_start and s_end where failure is null)"""
+windows AS (select *, concat('data-exhaust/',dataset_id,'/',channel,'/') folder, {_failure("false", AS_OF)} failure from spans),
+listed AS (select folder, s_start, s_end, regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') period, path
+ from (select distinct folder, s_start, s_end from windows where failure is null) w join dataset_files on starts_with(path, folder)
+ and regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') between s_start and s_end)"""
 
 _INTERVALS = """case date_range when 'LAST_DAY' then '2024-01-30' when 'LAST_2_DAYS' then '2024-01-29' when 'LAST_7_DAYS' then '2024-01-24'
  when 'LAST_14_DAYS' then '2024-01-17' when 'LAST_30_DAYS' then '2024-01-01' when 'LAST_WEEK' then '2024-01-22' when 'LAST_YEAR' then '' end"""
@@ -148,12 +154,12 @@ _PUBLIC = f"""{with_views("public_requests", "public_files")},
 named AS (select *, {_INTERVALS} i_from, case when date_range='LAST_WEEK' then '2024-01-29' when date_range='LAST_YEAR' then ''
  when date_range is not null then '2024-01-31' end i_to from public_requests),
 spans AS (select *, coalesce(since_day, i_from, on_day, from_day, '2024-01-30') s_start, coalesce(i_to, on_day, to_day, '2024-01-31') s_end from named),
-windows AS (select *, case when dataset_id<>'summary-rollup' then 'Provided dataset is invalid. Please use any one from this list - [summary-rollup]'
+windows AS (select *, concat('data-exhaust/',dataset_id,'/') folder, case when dataset_id<>'summary-rollup' then 'Provided dataset is invalid. Please use any one from this list - [summary-rollup]'
  when date_range='LAST_YEAR' then 'Provided dateRange LAST_YEAR is not valid. Please use any one from this list - List(LAST_DAY, LAST_2_DAYS, LAST_7_DAYS, LAST_14_DAYS, LAST_30_DAYS, LAST_WEEK)'
  else {_failure("true", AS_OF)} end failure from spans),
-listed AS (select seq, regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') period, path
- from windows join public_files on starts_with(path, concat('data-exhaust/',dataset_id,'/'))
- and regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') between s_start and s_end where failure is null)"""
+listed AS (select folder, s_start, s_end, regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') period, path
+ from (select distinct folder, s_start, s_end from windows where failure is null) w join public_files on starts_with(path, folder)
+ and regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') between s_start and s_end)"""
 
 _EMPTY = "Files are not available for requested date. Might not yet generated. Please come back later"
 
@@ -176,14 +182,17 @@ select event_id, name, case name when 'LAST_DAY' then strftime(d-1,'%Y-%m-%d') w
     "window_rules": f"""with asked as (select o_orderkey, strftime(o_orderdate,'%Y-%m-%d') s_start,
  strftime(cast(o_orderdate as date)+cast(mod(o_orderkey,47)-3 as integer),'%Y-%m-%d') s_end, mod(o_orderkey,2)=0 public from orders)
 select o_orderkey, s_start as "start", s_end as "end", public, {_failure("public", ORDERS_AS_OF)} failure from asked""",
-    "channel_exhaust_files": f"{_CHANNEL} select seq, channel, period, path from listed",
-    "channel_exhaust_periods": f"{_CHANNEL} select seq, channel, period, count(*) files from listed group by 1,2,3",
+    "channel_exhaust_windows": f"""{_CHANNEL} select seq, channel, folder, s_start as "start", s_end as "end", failure from windows""",
+    "channel_exhaust_files": f"""{_CHANNEL} select folder, s_start as "start", s_end as "end", period, path from listed""",
+    "channel_exhaust_periods": f"""{_CHANNEL} select folder, s_start as "start", s_end as "end", period, count(*) files from listed group by 1,2,3,4""",
     "channel_exhaust_answer": f"""{_CHANNEL} select seq, channel, case when failure is null then 'OK' else 'CLIENT_ERROR' end response_code,
- failure message, (select count(*) from listed l where l.seq=w.seq) files from windows w""",
-    "public_exhaust_files": f"{_PUBLIC} select seq, period, concat('https://cdn.example.com/store/',path) url from listed",
+ failure message, case when failure is null then coalesce(n,0) else 0 end files from windows w
+ left join (select folder, s_start, s_end, count(*) n from listed group by 1,2,3) l on l.folder=w.folder and l.s_start=w.s_start and l.s_end=w.s_end""",
+    "public_exhaust_files": f"""{_PUBLIC} select folder, s_start as "start", s_end as "end", period, concat('https://cdn.example.com/store/',path) url from listed""",
     "public_exhaust_answer": f"""{_PUBLIC} select seq, case when failure is null then 'OK' else 'CLIENT_ERROR' end response_code,
  coalesce(failure, case when n=0 then '{_EMPTY}' end) message, n files
- from (select w.seq, failure, (select count(*) from listed l where l.seq=w.seq) n from windows w) x""",
+ from (select w.seq, failure, case when failure is null then coalesce(c,0) else 0 end n from windows w
+ left join (select folder, s_start, s_end, count(*) c from listed group by 1,2,3) l on l.folder=w.folder and l.s_start=w.s_start and l.s_end=w.s_end) x""",
     "dataset_file_periods": f"""{with_views("dataset_files")} select regexp_extract(path,'^(.*/)',1) folder,
  coalesce(nullif(regexp_extract(path,'[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'),''),'default') period, count(*) files from dataset_files group by 1,2""",
 }

@@ -106,6 +106,15 @@ def report_change_answer(spark, sf_dir):
     return reports.change_answers(view(spark, sf_dir, "report_changes"))
 
 
+def report_read(spark, sf_dir):
+    """Reads by id, of which some do not exist."""
+    ids = F.concat(F.lit("r-"), (F.col("seq") % 300).cast("string"))
+    asked = view(spark, sf_dir, "report_requests").select("seq", ids.alias("report_id"))
+    found = reports.read_reports(_reports(spark, sf_dir), asked)
+    status = F.get_json_object("report", "$.status").alias("status")
+    return found.select("seq", "report_id", "response_code", "message", status)
+
+
 def report_list(spark, sf_dir):
     return reports.list_reports(_reports(spark, sf_dir), {"status": ["ACTIVE"]})
 
@@ -180,6 +189,7 @@ QUERIES = {
         report_validate,
         report_apply_changes,
         report_change_answer,
+        report_read,
         report_list,
         report_count,
         client_log_validate,
@@ -211,8 +221,15 @@ upserted AS (select coalesce(n.dataset,r.dataset_id) dataset_id, coalesce(n.sub_
 
 
 # Changes replayed by position: a report is alive from its first submit on.
+def _entry(key: str, condition: str, message: str) -> str:
+    return f"""case when {condition} then '"{key}":"{message}",' else '' end"""
+
+
 _REPLAY = f"""{with_views("report_changes")},
-placed AS (select *, row_number() over (partition by report_id order by ts, seq) pos from report_changes),
+checked AS (select *, case when action='deactivate' then '' else concat(
+ {_entry("request.description", "description is null", "Report Description should not empty")},
+ {_entry("request.config.reportConfig", "config='{}'", "Report Config  should not be empty")}) end problems from report_changes),
+placed AS (select *, row_number() over (partition by report_id order by ts, seq) pos from checked where problems=''),
 born AS (select report_id, min(pos) pos from placed where action='submit' group by 1),
 live AS (select p.*, b.pos bpos, case when action='submit' then p.pos=b.pos else p.pos>b.pos end counts
  from placed p left join born b on p.report_id=b.report_id),
@@ -224,10 +241,6 @@ registry AS (select a.report_id, c.description, c.created_by, c.report_schedule,
  from last_any a join last_content c on a.report_id=c.report_id join live f on f.report_id=a.report_id and f.pos=f.bpos)"""
 
 
-def _entry(key: str, condition: str, message: str) -> str:
-    return f"""case when {condition} then '"{key}":"{message}",' else '' end"""
-
-
 _REPORT_ERRORS = f"""judged AS (select seq, concat(
  {_entry("request.reportId", "report_id is null", "Report Id should not be  empty")},
  {_entry("request.description", "description is null", "Report Description should not empty")},
@@ -262,7 +275,11 @@ select seq, concat('{{',problems,'"status":"',case when problems='' then 'succes
  when action='submit' and not counts then 'ReportId already Exists'
  when action='update' and not coalesce(counts,false) then 'no report available with requested reportid'
  when action='deactivate' and not coalesce(counts,false) then 'no report available with requested reportId'
- when action='deactivate' then 'Successfully DeActivated the Report' end message from live""",
+ when action='deactivate' then 'Successfully DeActivated the Report' end message from live
+union all select seq, report_id, action, false, concat('{{',problems,'"status":"failed"}}') from checked where problems<>''""",
+    "report_read": f"""{_REPLAY} select q.seq, concat('r-',mod(q.seq,300)) report_id, 'OK' response_code,
+ case when r.report_id is null then 'no report available with requested reportid' end message, r.status
+ from (select p_partkey seq from part) q left join registry r on r.report_id=concat('r-',mod(q.seq,300))""",
     "report_list": f"""{_REPLAY} select report_id, status, concat('{{"report_id":',to_json(report_id),',"description":',to_json(description),
  ',"created_by":',to_json(created_by),',"report_schedule":',to_json(report_schedule),',"config":',to_json(config),
  ',"created_on":',epoch_us(created_on)//1000,',"submitted_on":',epoch_us(created_on)//1000,',"updated_on":',epoch_us(updated_on)//1000,

@@ -119,6 +119,18 @@ def request_read(spark, sf_dir):
     return _flat(requests.responses(requests.find(_jobs(spark, sf_dir), wanted)))
 
 
+def request_read_answer(spark, sf_dir):
+    """A read of every incoming request by its key, after the caller's access is checked."""
+    rows = requests.resolve(
+        view(spark, sf_dir, "new_requests"), "channel", "consumer_id", "user_id", "has_token"
+    )
+    checked = access.authorize(
+        rows, view(spark, sf_dir, "consumer_channel_rows"), _users(spark, sf_dir), _roles(spark, sf_dir)
+    )
+    found = requests.read(_jobs(spark, sf_dir), checked)
+    return found.select("seq", "response_code", "message", "status")
+
+
 def object_key(spark, sf_dir):
     rows = view(spark, sf_dir, "job_requests").filter("download_url is not null")
     return rows.select("o_orderkey", texts.object_key(F.col("download_url")).alias("object_key"))
@@ -203,6 +215,7 @@ QUERIES = {
         request_submit_answer,
         request_status,
         request_read,
+        request_read_answer,
         object_key,
         request_list,
         request_list_access,
@@ -298,6 +311,12 @@ from decided d left join merged m on d.tag=m.tag and d.request_id=m.request_id a
     "request_status": f"{with_views('job_requests')}, {_ANSWER} select * from answers",
     "request_read": f"""{with_views("job_requests", "new_requests")}, {_NEW}, {_ANSWER}
 select * from answers a where exists (select 1 from incoming i where i.tag=a.tag and i.request_id=a.request_id)""",
+    "request_read_answer": f"""{with_views("new_requests", "job_requests", "consumer_channels", "users", "dataset_roles")}, {_NEW},
+{_decided("incoming", "a.*", _WANTED, _OWN)}
+select d.seq, case when reason is null then 'OK' else 'FORBIDDEN' end response_code,
+ coalesce(reason, case when j.tag is null then 'no job available with the given request_id and tag' end) message,
+ case when reason is null then j.status end status
+from decided d left join job_requests j on d.tag=j.tag and d.request_id=j.request_id""",
     "object_key": f"""{with_views("job_requests")} select o_orderkey, concat('',case when contains(download_url,'http')
  then regexp_replace(download_url,'^https://h.example/reports/','') else regexp_replace(download_url,'^wasb://reports@acc.example/','') end) object_key
  from job_requests where download_url is not null""",

@@ -23,13 +23,19 @@ def run_to_end(writer: DataStreamWriter) -> None:
         query.stop()
 
 
+BATCHES = 4
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str, view_name: str) -> DataFrame:
-    """A view over a table that is read as a stream of files.
+    """A view over a table that is read as a stream of several batches.
 
-    The path is a pattern because a stream cannot start from a single file;
-    it matches the table whether that is a file or a folder.
+    The table is first laid out in files that mix early and late rows, of
+    which each batch takes one, so that keys come back and rows come late.
     """
-    source = spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    folder = work_folder(spark, f"{name}-files")
+    rows = table(spark, sf_dir, name)
+    rows.repartition(BATCHES, *rows.columns[:1]).write.parquet(folder)
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(folder)
     alias = f"{name}_{uuid.uuid4().hex}"
     source.createOrReplaceTempView(alias)
     try:

@@ -232,8 +232,8 @@ select concat('ds-',cast(s_suppkey*7 as string)) dataset_id, concat('ds-',cast(s
     "report_changes": """
 select o_orderkey seq, o_orderdate ts, concat('r-',cast(mod(o_custkey,200) as string)) report_id,
  case mod(o_orderkey,5) when 0 then 'deactivate' when 1 then 'update' when 2 then 'update' else 'submit' end action,
- concat('report by ',o_orderpriority) description, concat('u-',cast(o_custkey as string)) created_by,
- o_orderpriority report_schedule, concat('{"reportConfig":{"id":',cast(o_orderkey as string),'},"store":"s","container":"c","key":"k"}') config
+ case when mod(o_orderkey,13)=0 then null else concat('report by ',o_orderpriority) end description, concat('u-',cast(o_custkey as string)) created_by,
+ o_orderpriority report_schedule, case when mod(o_orderkey,17)=0 then '{}' else concat('{"reportConfig":{"id":',cast(o_orderkey as string),'},"store":"s","container":"c","key":"k"}') end config
  from orders""",
     "report_requests": """
 select p_partkey seq, case when mod(p_partkey,7)=0 then null else p_name end report_id,

@@ -1,10 +1,11 @@
 """Remembered experiment lookups.
 
 A lookup that finds an experiment is remembered for good, one that finds none
-for a limited time.  What is remembered is kept per lookup key in a merged table; a
-batch reads only the rows of its own keys.  The index may be loaded again
-between batches, so an edit of an experiment shows for keys that are not
-remembered.
+for a limited time.  What is remembered is kept per lookup key in a merged
+table, laid out in ``BUCKETS`` folders by a hash of the key; a batch reads the
+folders of its own keys, and keeps what it has searched until both of its
+outputs are written.  The index may be loaded again between batches, so an edit
+of an experiment shows for keys that are not remembered.
 
 Keyed state (``transformWithState``) would send all lookups of one key to one
 task.  Here a key is looked up and searched once per batch and joined back, so
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -24,6 +25,7 @@ from tidewell.operators import experiments
 from tidewell.operators.upserts import latest_by_key
 from tidewell.streaming.tables import BatchTable, MergedTable
 
+BUCKETS = 64
 FOUND = ["experiment_id", "score", "passes", "document"]
 
 
@@ -32,8 +34,12 @@ def newest_search(rows: DataFrame) -> DataFrame:
     return latest_by_key(rows, ["lookup_key"], ["searched_at"])
 
 
+def bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def memory_table(root: str) -> MergedTable:
-    return MergedTable(root, newest_search)
+    return MergedTable(root, newest_search, layout=["bucket"])
 
 
 def answer_batch(
@@ -41,8 +47,9 @@ def answer_batch(
     index: DataFrame,
     remembered: DataFrame | None,
     miss_seconds: int = experiments.MISS_SECONDS,
+    keep: Callable[[DataFrame], DataFrame] = lambda searched: searched,
 ) -> tuple[DataFrame, DataFrame]:
-    """(answered lookups, what to remember) of one batch.
+    """(answered lookups, what to remember) of one batch.  ``keep`` is applied to what both share, for example a cache.
 
     ``lookups`` carries ``lookup_id, ts, userId, deviceId, url, producer``;
     ``remembered`` are rows of a memory table, null ``expires_at`` for a hit.
@@ -61,9 +68,10 @@ def answer_batch(
         known = keyed.join(old, "lookup_key", "left").withColumn("covered", covered)
     first = F.min_by(F.struct("ts", *experiments.FIELDS), "ts").alias("first")
     open_keys = known.filter(~F.col("covered")).groupBy("lookup_key").agg(first).select("lookup_key", "first.*")
-    searched = experiments.match(open_keys, index)
+    searched = keep(experiments.match(open_keys, index))
     expires = F.when(F.col("experiment_id").isNull(), F.col("ts") + F.make_dt_interval(secs=F.lit(miss_seconds)))
-    to_remember = searched.select("lookup_key", F.col("ts").alias("searched_at"), *FOUND, expires.alias("expires_at"))
+    remember = ["lookup_key", F.col("ts").alias("searched_at"), *FOUND, expires.alias("expires_at")]
+    to_remember = searched.select(*remember, bucket(F.col("lookup_key")).alias("bucket"))
     found = searched.select("lookup_key", *[F.col(c).alias(f"new_{c}") for c in FOUND])
     joined = known.join(found, "lookup_key", "left")
     if remembered is None:
@@ -84,9 +92,24 @@ def assign_stream(
     """The stream writer of the assignment flow; the caller sets the trigger and starts it."""
 
     def process(batch: DataFrame, batch_id: int) -> None:
+        kept: list[DataFrame] = []
+
+        def keep(searched: DataFrame) -> DataFrame:
+            kept.append(searched.persist())
+            return kept[-1]
+
         remembered = memory.parts(batch.sparkSession, before=batch_id)
-        answered, to_remember = answer_batch(batch, index(), remembered, miss_seconds)
-        answers.write(answered, batch_id)
-        memory.write(to_remember, batch_id)
+        if remembered is not None:
+            key = lookup_key(*[F.col(c) for c in ("deviceId", "userId", "url", "producer")])
+            # At most ``BUCKETS`` numbers, which prune the folders of the memory.
+            own = [row[0] for row in batch.select(bucket(key)).distinct().collect()]
+            remembered = remembered.filter(F.col("bucket").isin(own))
+        try:
+            answered, to_remember = answer_batch(batch, index(), remembered, miss_seconds, keep)
+            answers.write(answered, batch_id)
+            memory.write(to_remember, batch_id)
+        finally:
+            for frame in kept:
+                frame.unpersist()
 
     return lookups.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

@@ -8,7 +8,7 @@ nothing is counted twice.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +30,21 @@ def _folders(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(found)
 
 
+def _save(rows: DataFrame, path: str, layout: list[str]) -> None:
+    """Replaces what a folder holds; rows of one layout value go to one file."""
+    laid_out = rows.repartition(*layout) if layout else rows
+    laid_out.write.mode("overwrite").partitionBy(*layout).parquet(path)
+
+
 class BatchTable:
-    """An append-only table of micro-batches."""
+    """An append-only table of micro-batches; ``layout``: columns that the rows of a batch are laid out by."""
 
-    def __init__(self, root: str):
+    def __init__(self, root: str, layout: Sequence[str] = ()):
         self.root = root
+        self.layout = list(layout)
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        _save(rows, f"{self.root}/batch={batch_id}", self.layout)
 
     def batches(self, spark: SparkSession, after: int = -1, before: int | None = None) -> list[int]:
         found = _folders(spark, self.root, "batch")
@@ -61,8 +68,14 @@ class MergedTable:
     reads only what was there before it.
     """
 
-    def __init__(self, root: str, merge: Callable[[DataFrame], DataFrame], compact_every: int = 100):
-        self.pieces = BatchTable(f"{root}/pieces")
+    def __init__(
+        self,
+        root: str,
+        merge: Callable[[DataFrame], DataFrame],
+        compact_every: int = 100,
+        layout: Sequence[str] = (),
+    ):
+        self.pieces = BatchTable(f"{root}/pieces", layout)
         self.snapshots = f"{root}/snapshots"
         self.merge = merge
         self.compact_every = compact_every
@@ -93,7 +106,7 @@ class MergedTable:
         """Writes a snapshot of everything up to the last finished batch."""
         last = max(self.pieces.batches(spark), default=-1)
         if last > max(_folders(spark, self.snapshots, "upto"), default=-1):
-            self.read(spark).write.mode("overwrite").parquet(f"{self.snapshots}/upto={last}")
+            _save(self.read(spark), f"{self.snapshots}/upto={last}", self.pieces.layout)
 
 
 class ProfileStore(MergedTable):

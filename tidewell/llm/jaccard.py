@@ -7,13 +7,15 @@ first n - ceil(t n) + 1 shingles.  Each of these is a region of the metric
 space around a document, and a set enters all of them: this is the window in
 which its neighbours' regions can lie.
 
-* The pivot of a region is its smallest class.  Every member is compared with
-  its pivot, which joins groups of near copies in as many comparisons as they
-  have members.  A second round takes the largest class as pivot.
-* Regions whose members are all in one component by then are done.  In the
-  others only members of different components are compared: small regions by a
-  join, large ones in square blocks of members, of which only close pairs leave
-  the task.
+* Every region has a pivot among its members.  Members of other components are
+  compared with it, which joins a group of near copies in as many comparisons
+  as it has members.  Regions whose members are then all in one component are
+  done; large ones get further pivots as long as that closes many of them.
+* In what remains only members of different components are compared: small
+  regions by a join, large ones in blocks.  There the members outside a region's
+  largest component meet every block, the others only them.  Of the pairs of two
+  components only the closest few leave a block; if they are not linked and
+  others remain, the next round takes more of them.
 * A comparison first uses the triangle inequality: a set's parity sketch is a
   point of a Hamming space in which a step of one shingle moves one bit, so the
   distance of two sketches is at most the size of the sets' difference.  What
@@ -45,12 +47,14 @@ from tidewell.session import work_folder
 PERCENT = 75
 #: Shingles that come last in the order: at most so many, if seen so often in a quarter of each set's first ones.
 FREQUENT = 1 << 20
-OFTEN = 8
+OFTEN = 3
 #: Members of frequent shingles' regions are dealt to so many parts when regions are formed.
 SALTS = 64
 #: Members up to which a region's pairs are formed by a join, and of a block otherwise.
 LEAF = 32
 BLOCK = 512
+#: Large regions get another pivot while that leaves at most this share of their members open.
+CLOSING = 0.7
 
 _U = np.uint64
 _CLASS = _U(0x9E3779B97F4A7C15)
@@ -71,8 +75,8 @@ def first_ones(n: int, percent: int = PERCENT) -> int:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """The parities of how many shingles fall into each of 2n or more places, a power of two."""
-    size = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    """The parities of how many shingles fall into each of 4n or more places, a power of two."""
+    size = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
     place = (mix(shingles) & _U(size - 1)).astype(np.int64)
     return np.packbits((np.bincount(place, minlength=size) & 1).astype(bool), bitorder="little").tobytes()
 
@@ -197,6 +201,7 @@ class _Judge:
 
     def __init__(self, texts: DataFrame, classes: DataFrame, folder: str):
         self.texts, self.classes, self.folder, self.calls = texts, classes, folder, 0
+        self.compared: list[DataFrame] = []
 
     def close_pairs(self, pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and sketches allow."""
@@ -220,6 +225,7 @@ class _Judge:
         self.calls += 1
         at = f"{self.folder}/links-{self.calls}"
         pairs = stored(close_pairs, f"{at}-close")
+        self.compared.append(pairs)
         involved = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
         chosen = stored(self.classes.select("doc_id", "class").join(involved, "class"), f"{at}-classes")
 
@@ -250,78 +256,94 @@ def _placed(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
     return regions.join(at, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def _open_regions(placed: DataFrame) -> DataFrame:
-    """shingle, members and both outer classes of the regions that hold several components."""
+def _open_regions(placed: DataFrame, turn: int) -> DataFrame:
+    """shingle, members and pivot (class, component) of the regions that hold several components."""
+    order = F.xxhash64("class", F.lit(turn))
     grouped = placed.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("members"),
-        F.min("class").alias("low"),
-        F.max("class").alias("high"),
+        F.max_by(F.struct("class", "component"), order).alias("pivot"),
         F.min("component").alias("x"),
         F.max("component").alias("y"),
     )
     return grouped.where("x <> y").drop("x", "y")
 
 
-def _with_pivot(members: DataFrame, pivot: str) -> DataFrame:
-    pairs = members.where(F.col("class") != F.col(pivot))
+def _with_pivot(members: DataFrame) -> DataFrame:
+    pairs = members.where(F.col("component") != F.col("pivot.component"))
+    pivot = F.col("pivot.class")
     return pairs.select(F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b")).distinct()
 
 
 def _leaf_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components in small regions; those with the pivots have been compared before."""
-    inner = members.where(F.col("members") <= LEAF).where("class <> low and class <> high")
+    """Pairs of different components in small regions."""
+    inner = members.where(F.col("members") <= LEAF)
     a = inner.select("shingle", F.col("class").alias("a"), F.col("component").alias("x"))
     b = inner.select("shingle", F.col("class").alias("b"), F.col("component").alias("y"))
     return a.join(b, "shingle").where("a < b and x <> y").select("a", "b").distinct()
 
 
-def _block_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Close pairs of different components in large regions, one pair of blocks of members at a time."""
+def _block_pairs(members: DataFrame, classes: DataFrame, most_pairs: int) -> DataFrame:
+    """Close pairs (a, b) of different components in large regions, one block of members at a time.
+
+    Of each two components the ``most_pairs`` closest; ``rest`` says that there are more.
+    """
     large = members.where(F.col("members") > LEAF).select("shingle", "members", "class", "component")
-    rows = large.join(classes.select("class", "n", "sketch"), "class")
+    counts = large.groupBy("shingle", "component").count()
+    main = counts.groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    rows = large.join(main, "shingle").join(classes.select("class", "n", "sketch"), "class")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).select("*", met.alias("met"))
-    rows = rows.select(
-        "shingle", "class", "component", "n", "sketch", "own", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j")
+    every = F.sequence(F.lit(0), blocks - 1)
+    rows = rows.withColumn("own", own).withColumn(
+        "block", F.explode(F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(every))
     )
+    minor = (F.col("component") != F.col("main")).alias("minor")
+    rows = rows.select("shingle", "class", "component", "n", "sketch", "own", "block", minor)
 
     def run(table: pa.Table) -> pa.Table:
-        out_a, out_b = [], []
-        c = table.column("class").to_numpy()
-        comp, n, own = table.column("component").to_numpy(), table.column("n").to_numpy(), table.column("own").to_numpy()
+        c, comp, n, own = (table.column(k).to_numpy() for k in ("class", "component", "n", "own"))
         bits = table.column("sketch").to_pylist()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
+        left = np.flatnonzero(table.column("minor").to_numpy(zero_copy_only=False))
+        right = np.flatnonzero(own == table.column("block")[0].as_py())
         right = right[np.argsort(n[right], kind="stable")]
-        sizes = n[right]
-        at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        groups = {int(w): right[width[right] == w] for w in np.unique(width[right])}
+        folds: dict[tuple[int, int], np.ndarray] = {}
+
+        def matrix(w: int, size: int) -> np.ndarray:
+            if (w, size) not in folds:
+                folds[w, size] = np.stack([folded(bits[y], size) for y in groups[w]]).view(np.uint64)
+            return folds[w, size]
+
+        found: list[np.ndarray] = [np.zeros((3, 0), dtype=np.int64)]
         for x in left:
             low, high = -(-PERCENT * n[x] // 100), 100 * n[x] // PERCENT
-            a, b = np.searchsorted(sizes, low, "left"), np.searchsorted(sizes, high, "right")
-            rows = right[a:b]
-            rows = rows[comp[rows] != comp[x]]
-            if i == j:
-                rows = rows[c[rows] > c[x]]
-            for size in {len(bits[y]) for y in rows}:
-                same = rows[[len(bits[y]) == size for y in rows]]
-                width = min(size, len(bits[x]))
-                key = (size, width)
-                if key not in at:
-                    index = np.array([y for y in right if len(bits[y]) == size])
-                    at[key] = (np.sort(index), np.stack([folded(bits[y], width) for y in np.sort(index)]))
-                index, matrix = at[key]
-                found = matrix[np.searchsorted(index, same)] ^ folded(bits[x], width)
-                distance = np.bitwise_count(found).sum(axis=1, dtype=np.int64)
-                total = n[x] + n[same]
-                most = total - 2 * -(-PERCENT * total // (100 + PERCENT))
-                for y in same[distance <= most]:
-                    out_a.append(min(c[x], c[y]))
-                    out_b.append(max(c[x], c[y]))
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    return rows.groupBy("shingle", "i", "j").applyInArrow(run, "a long, b long").distinct()
+            for w, group in groups.items():
+                a, b = np.searchsorted(n[group], low, "left"), np.searchsorted(n[group], high, "right")
+                if a < b:
+                    size = min(w, int(width[x]))
+                    apart = matrix(w, size)[a:b] ^ folded(bits[x], size).view(np.uint64)
+                    distance = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+                    total = n[x] + n[group[a:b]]
+                    near = distance <= total - 2 * -(-PERCENT * total // (100 + PERCENT))
+                    near &= comp[group[a:b]] != comp[x]
+                    if near.any():
+                        y = group[a:b][near]
+                        found.append(np.stack((np.full(len(y), x), y, distance[near])))
+        x, y, distance = np.concatenate(found, axis=1)
+        one, two = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        order = np.lexsort((distance, two, one))
+        x, y, one, two = x[order], y[order], one[order], two[order]
+        opens = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(x) else x
+        size = np.diff(np.append(opens, len(x)))
+        rank = np.arange(len(x)) - np.repeat(opens, size)
+        kept = rank < most_pairs
+        a, b = np.minimum(c[x], c[y])[kept], np.maximum(c[x], c[y])[kept]
+        rest = np.repeat(size > most_pairs, size)[kept]
+        shingle = np.full(len(a), table.column("shingle")[0].as_py() if table.num_rows else 0)
+        return pa.table([pa.array(v) for v in (shingle, a, b, rest)], names=["shingle", "a", "b", "rest"])
+
+    return rows.groupBy("shingle", "block").applyInArrow(run, "shingle long, a long, b long, rest boolean")
 
 
 def link_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -339,19 +361,38 @@ def link_components(documents: DataFrame, id_column: str = "doc_id", text_column
     frequent = _frequent(texts, chosen)
     regions = stored(_regions(_entries(texts, chosen, frequent)), f"{folder}/regions")
     judge = _Judge(texts, classes, folder)
-    found, labels = [], None
-    for pivot in ("low", "high"):
+    found: list[DataFrame] = []
+    labels, left, turn = None, float("inf"), 0
+    while True:
+        turn += 1
         placed = _placed(regions, labels)
-        members = placed.join(_open_regions(placed), "shingle")
-        if pivot == "high":
-            # All pairs with the first pivot are known.
-            members = members.where("class <> low")
-        found.append(judge.links(judge.close_pairs(_with_pivot(members, pivot))))
-        labels = stored(components(_union(found)), f"{folder}/labels-{pivot}")
-    placed = _placed(regions, labels)
-    members = stored(placed.join(_open_regions(placed), "shingle"), f"{folder}/open")
-    rest = judge.close_pairs(_leaf_pairs(members)).unionAll(_block_pairs(members, classes)).distinct()
-    found.append(judge.links(rest))
+        opened = stored(_open_regions(placed, turn), f"{folder}/pivots-{turn}")
+        members = stored(placed.join(opened, "shingle"), f"{folder}/open-{turn}")
+        if turn > 1:
+            large = members.where(F.col("members") > LEAF)
+            before, left = left, large.count()
+            if left == 0 or left > CLOSING * before:
+                break
+        else:
+            large = members
+        found.append(judge.links(judge.close_pairs(_with_pivot(large))))
+        labels = stored(components(_union(found)), f"{folder}/labels-{turn}")
+    most_pairs = 2
+    while most_pairs:
+        blocks = stored(_block_pairs(members, classes, most_pairs), f"{folder}/blocks-{turn}")
+        pairs = blocks.select("a", "b").distinct().join(_union(judge.compared), ["a", "b"], "left_anti")
+        if most_pairs == 2:
+            small_ones = _leaf_pairs(members).join(_union(judge.compared), ["a", "b"], "left_anti")
+            pairs = pairs.unionAll(judge.close_pairs(small_ones)).distinct()
+        found.append(judge.links(pairs))
+        more = blocks.where("rest").select("shingle").distinct()
+        most_pairs = 0 if more.isEmpty() else 64 * most_pairs
+        if most_pairs:
+            turn += 1
+            labels = stored(components(_union(found)), f"{folder}/labels-{turn}")
+            placed = _placed(regions.join(more, "shingle", "left_semi"), labels)
+            opened = stored(_open_regions(placed, turn), f"{folder}/pivots-{turn}")
+            members = stored(placed.join(opened, "shingle"), f"{folder}/open-{turn}")
     labels = components(_union(found)).select(F.col("node").alias("class"), "component")
     joined = classes.select("class", "doc_id").join(labels, "class", "left")
     joined = joined.withColumn("component", F.coalesce("component", "class"))

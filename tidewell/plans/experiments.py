@@ -21,11 +21,15 @@ def documents(spark, sf_dir) -> DataFrame:
 _INDEXES: dict[tuple[str, str], DataFrame] = {}
 
 
+def build_index(spark, sf_dir) -> DataFrame:
+    return experiments.build_index(documents(spark, sf_dir))
+
+
 def experiment_index(spark, sf_dir) -> DataFrame:
     """The index of a table folder, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = experiments.build_index(documents(spark, sf_dir))
+        _INDEXES[key] = build_index(spark, sf_dir)
     return _INDEXES[key]
 
 

@@ -262,3 +262,27 @@ def test_search_filters():
     with pytest.raises(ValueError, match="Unsupported filters"):
         validation.check_search_filters({"owner": "x"})
     validation.check_search_filters({"status": "x", "owner": "y"})
+
+
+@pytest.mark.parametrize(
+    "body, message",
+    [
+        ({"a": "x", "b": {"c": 1}}, None),
+        ({"a": None, "b": {"c": 2.5}}, None),
+        ({"a": 1, "b": {"c": 1}}, 'Request instance type (integer) does not match any allowed primitive type (allowed: ["string","null"])'),
+        ({"a": "x", "b": {}}, 'Request object has missing required properties (["c"])'),
+        ({"a": "x", "b": {"c": "t"}}, 'Request instance type (string) does not match any allowed primitive type (allowed: ["number"])'),
+        ({"b": {}}, 'Request object has missing required properties (["a"])'),
+        ({"a": "x", "b": [1]}, 'Request instance type (array) does not match any allowed primitive type (allowed: ["object"])'),
+    ],
+)
+def test_type_lists_and_nested_rules(spark, body, message):
+    rules = {
+        "properties": {
+            "a": {"type": ["string", "null"]},
+            "b": {"type": "object", "required": ["c"], "properties": {"c": {"type": "number"}}},
+        },
+        "required": ["a"],
+    }
+    rows = spark.createDataFrame([(json.dumps(body), json.dumps(rules))], "body string, rules string")
+    assert rows.select(validation.schema_failure(F.col("body"), F.col("rules")).alias("c")).first()["c"] == message

@@ -207,7 +207,9 @@ def client_log_failure(request: Column) -> Column:
     )
 
 
-_RULE_SCHEMA = "struct<properties: map<string, struct<type: string>>, required: array<string>>"
+# A type may be one name or a list of names, whose text from_json keeps; rules nest once more.
+_INNER_RULES = "properties: map<string, struct<type: string>>, required: array<string>"
+_RULE_SCHEMA = f"struct<properties: map<string, struct<type: string, {_INNER_RULES}>>, required: array<string>>"
 
 # Type names of JSON schemas for the leading word of a variant's type.
 _JSON_TYPES = {
@@ -230,45 +232,62 @@ def _json_type(value: Column) -> Column:
     return chain.otherwise("null")
 
 
-def schema_failure(body: Column, schema: Column) -> Column:
-    """First violation of a JSON schema's ``required`` and property ``type`` rules, null when there is none."""
-    rules = F.from_json(schema, _RULE_SCHEMA)
+def _types(declared: Column) -> Column:
+    """The allowed type names of a property."""
+    return F.when(declared.startswith("["), F.from_json(declared, "array<string>")).otherwise(F.array(declared))
+
+
+def _object_failures(body: Column, required: Column, properties: Column) -> list[Column]:
+    """First missing property and first wrong type of a JSON object, each null when there is none."""
     keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
-    missing = F.filter(F.coalesce(rules["required"], F.array().cast("array<string>")), lambda k: ~F.array_contains(keys, k))
+    missing = F.filter(F.coalesce(required, F.array().cast("array<string>")), lambda k: ~F.array_contains(keys, k))
     found = F.transform_values(F.from_json(body, "map<string,variant>"), lambda _, value: _json_type(value))
-    no_types = F.array().cast("array<struct<key:string,value:struct<type:string>>>")
+    rules = F.transform(
+        F.map_entries(properties),
+        lambda rule: F.struct(found[rule["key"]].alias("found"), _types(rule["value"]["type"]).alias("types")),
+    )
     wrong = F.filter(
-        F.coalesce(F.map_entries(rules["properties"]), no_types),
+        rules,
         lambda rule: F.coalesce(
-            rule["value"]["type"].isNotNull()
-            & (found[rule["key"]] != rule["value"]["type"])
-            & ~((rule["value"]["type"] == "number") & (found[rule["key"]] == "integer")),
+            ~F.array_contains(rule["types"], rule["found"])
+            & ~(F.array_contains(rule["types"], "number") & (rule["found"] == "integer")),
             F.lit(False),
         ),
     )
     first = F.try_element_at(wrong, F.lit(1))
-    return first_failure(
-        [
-            (
-                F.size(missing) > 0,
-                F.concat(
-                    F.lit('Request object has missing required properties (["'),
-                    F.array_join(missing, '","'),
-                    F.lit('"])'),
-                ),
-            ),
-            (
-                F.size(wrong) > 0,
-                F.concat(
-                    F.lit("Request instance type ("),
-                    found[first["key"]],
-                    F.lit(') does not match any allowed primitive type (allowed: ["'),
-                    first["value"]["type"],
-                    F.lit('"])'),
-                ),
-            ),
-        ]
+    no_property = F.concat(
+        F.lit('Request object has missing required properties (["'), F.array_join(missing, '","'), F.lit('"])')
+    )
+    no_type = F.concat(
+        F.lit("Request instance type ("),
+        first["found"],
+        F.lit(') does not match any allowed primitive type (allowed: ["'),
+        F.array_join(first["types"], '","'),
+        F.lit('"])'),
+    )
+    return [F.when(F.size(missing) > 0, no_property), F.when(F.size(wrong) > 0, no_type)]
+
+
+def schema_failure(body: Column, schema: Column) -> Column:
+    """First violation of a JSON schema's ``required`` and property ``type`` rules, null when there is none.
+
+    A type is one name or a list of names.  The rules of a property that is an
+    object itself are checked after those of the whole.
+    """
+    rules = F.from_json(schema, _RULE_SCHEMA)
+    values = F.from_json(body, "map<string,string>")
+    inner = F.transform(
+        F.map_entries(rules["properties"]),
+        lambda rule: F.coalesce(
+            *_object_failures(
+                F.when(values[rule["key"]].startswith("{"), values[rule["key"]]),
+                F.when(values[rule["key"]].startswith("{"), rule["value"]["required"]),
+                rule["value"]["properties"],
+            )
+        ),
     )
+    nested = F.try_element_at(F.filter(inner, lambda message: message.isNotNull()), F.lit(1))
+    return F.coalesce(*_object_failures(body, rules["required"], rules["properties"]), nested)
 
 
 def check_submissions(requests: DataFrame, rules: DataFrame, body: str = "body") -> DataFrame:

@@ -9,6 +9,8 @@ from tidewell.functions import hashing
 from tidewell.operators import experiments, validation
 from tidewell.operators.rules import with_status
 from tidewell.plans.views import view, with_views
+from tidewell.session import work_folder
+from tidewell.sources.documents import experiment_documents as read_documents
 
 AS_OF = "2024-01-15"
 
@@ -101,6 +103,15 @@ def experiment_get(spark, sf_dir):
     return experiments.experiment_answers(view(spark, sf_dir, "experiment_definitions"))
 
 
+def experiment_documents(spark, sf_dir):
+    """Documents written as JSON lines and loaded again; those without an id are left out."""
+    folder = work_folder(spark, "experiment-documents")
+    rows = documents(spark, sf_dir).withColumn("id", F.when(~F.col("id").endswith("7"), F.col("id")))
+    rows.write.mode("overwrite").json(folder)
+    loaded = read_documents(spark, folder)
+    return loaded.select("id", "name", "key", "expType", "userId", "deviceId", "url", "userIdMod", "deviceIdMod")
+
+
 def experiment_read(spark, sf_dir):
     """Reads by id, of which some do not exist."""
     asked = view(spark, sf_dir, "experiment_requests").select("seq", "exp_id")
@@ -121,6 +132,7 @@ QUERIES = {
         experiment_upsert,
         experiment_get,
         experiment_read,
+        experiment_documents,
     )
 }
 
@@ -228,6 +240,8 @@ select exp_id, case when is_new or again then n_name else exp_name end exp_name,
  case when is_new or again then '' else stats end stats, case when is_new or again then n_criteria else criteria end criteria,
  case when is_new or again then epoch_us(timestamp '2024-01-15 00:00:00') else epoch_us(updated_on) end//1000 updated_ms,
  case when is_new then 'inserted' when again then 'resubmitted' when has_new then 'ExperimentId already exists.' else 'kept' end action from merged""",
+    "experiment_documents": f"""{with_views("experiments")} select id, name, exp_key as "key", expType, userId, deviceId, url, userIdMod, deviceIdMod
+ from experiments where not id like '%7'""",
     "experiment_read": f"""{with_views("experiment_definitions", "experiment_requests")}
 select q.seq, q.exp_id, 'OK' response_code, case when d.exp_id is null then 'no experiment available with the given experimentid' end message,
  d.status from experiment_requests q left join experiment_definitions d on q.exp_id=d.exp_id""",

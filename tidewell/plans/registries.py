@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import client_logs, datasets, reports, validation
 from tidewell.operators.rules import with_status
-from tidewell.plans.views import view, with_views
+from tidewell.plans.views import table, view, with_views
 from tidewell.session import work_folder
-from tidewell.sources import tables
+from tidewell.sources import manifests, tables
 
 AS_OF = "2024-01-15"
 
@@ -161,6 +161,29 @@ def client_log_sink(spark, sf_dir):
     )
 
 
+def report_rows(spark, sf_dir):
+    """Registry rows as a stored report table, read with its times in milliseconds."""
+    stored = _reports(spark, sf_dir).withColumnsRenamed({"description": "report_description", "created_by": "requested_by"})
+    return tables.typed_reports(stored).drop("config", "report_schedule")
+
+
+def stored_table_read(spark, sf_dir):
+    """Consumer grants written as a stored table and read back with its declared types."""
+    folder = work_folder(spark, "stored-table")
+    rows = view(spark, sf_dir, "consumer_channels").select("consumer_id", "channel", "status")
+    rows.write.mode("overwrite").orc(folder)
+    return tables.consumer_channels(tables.read_table(spark, "consumer_channel", folder, "orc"))
+
+
+def dataset_file_listing(spark, sf_dir):
+    """Files of a folder that holds one of each event type."""
+    folder = work_folder(spark, "listed-files")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    events.repartition("event_type").write.partitionBy("event_type").json(folder)
+    found = manifests.list_files(spark, folder, "*.json")
+    return found.select(F.regexp_extract("path", "event_type=([^/]*)/", 1).alias("event_type"), (F.col("length") > 0).alias("filled"))
+
+
 def json_lines_load(spark, sf_dir):
     """Registration bodies written as JSON lines and loaded again, lines without values dropped."""
     folder = work_folder(spark, "json-lines")
@@ -195,6 +218,9 @@ QUERIES = {
         client_log_validate,
         client_log_screen_lines,
         client_log_sink,
+        report_rows,
+        stored_table_read,
+        dataset_file_listing,
         json_lines_load,
     )
 }
@@ -280,6 +306,10 @@ union all select seq, report_id, action, false, concat('{{',problems,'"status":"
     "report_read": f"""{_REPLAY} select q.seq, concat('r-',mod(q.seq,300)) report_id, 'OK' response_code,
  case when r.report_id is null then 'no report available with requested reportid' end message, r.status
  from (select p_partkey seq from part) q left join registry r on r.report_id=concat('r-',mod(q.seq,300))""",
+    "report_rows": f"""{_REPLAY} select report_id, epoch_us(updated_on)//1000 updated_on, description report_description, created_by requested_by,
+ epoch_us(created_on)//1000 created_on, epoch_us(created_on)//1000 submitted_on, status, status_msg from registry""",
+    "stored_table_read": f"{with_views('consumer_channels')} select consumer_id, channel, status from consumer_channels",
+    "dataset_file_listing": "select distinct event_type, true filled from events",
     "report_list": f"""{_REPLAY} select report_id, status, concat('{{"report_id":',to_json(report_id),',"description":',to_json(description),
  ',"created_by":',to_json(created_by),',"report_schedule":',to_json(report_schedule),',"config":',to_json(config),
  ',"created_on":',epoch_us(created_on)//1000,',"submitted_on":',epoch_us(created_on)//1000,',"updated_on":',epoch_us(updated_on)//1000,

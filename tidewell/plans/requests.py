@@ -205,6 +205,12 @@ def role_authorize_admin(spark, sf_dir):
     return checked.select("o_orderkey", "authorized", "reason")
 
 
+def admin_slug(spark, sf_dir):
+    """Slug of the first organisation of a search result, empty where there is none."""
+    rows = view(spark, sf_dir, "organisation_documents")
+    return rows.select("user_id", documents.admin_slug(F.col("document")).alias("slug"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -226,6 +232,7 @@ QUERIES = {
         channel_authorized_requests,
         role_authorize,
         role_authorize_admin,
+        admin_slug,
     )
 }
 
@@ -281,6 +288,7 @@ _LISTED = """listed AS (select * from (select *, row_number() over (partition by
  from job_requests) where position<=100)"""
 
 ORACLES = {
+    "admin_slug": f"""{with_views("users")} select user_id, case when roles='PUBLIC' then '' else root_org_slug end slug from users""",
     "request_id": f"{with_views('new_requests')}, {_NEW} select seq, request_id from incoming",
     "request_validate": f"{with_views('new_requests')}, {_NEW} select seq, failure is null valid, failure message from incoming",
     "schema_rules": f"""{with_views("request_bodies", "dataset_rules")},
@@ -294,8 +302,9 @@ select o_orderkey, dataset dataset_sub_id, case
  when urgent and no_tag and no_dataset then 'Request object has missing required properties (["tag","dataset"])'
  when urgent and no_tag then 'Request object has missing required properties (["tag"])'
  when no_dataset then 'Request object has missing required properties (["dataset"])'
- when urgent and tag_type in ('UBIGINT','BIGINT') then 'Request instance type (integer) does not match any allowed primitive type (allowed: ["string"])'
+ when urgent and tag_type in ('UBIGINT','BIGINT') then 'Request instance type (integer) does not match any allowed primitive type (allowed: ["string","null"])'
  when config_type='ARRAY' then 'Request instance type (array) does not match any allowed primitive type (allowed: ["object"])'
+ when urgent and json_extract(body,'$.datasetConfig.a') is null then 'Request object has missing required properties (["a"])'
  end failure from facts""",
     "request_submit": f"""{with_views("new_requests", "job_requests")}, {_NEW}, {_merged("incoming")}
 select tag, request_id, job_id, status, request_data, requested_by, requested_channel,

@@ -154,10 +154,10 @@ select o_orderkey seq, case when mod(o_orderkey,31)=0 then null else o_orderprio
 select o_orderkey, o_orderpriority dataset, concat('{"requestedBy":"u-',cast(o_custkey as string),'"',
  case when mod(o_orderkey,7)=0 then '' when mod(o_orderkey,7)=1 then ',"tag":5' else ',"tag":"t1"' end,
  case when mod(o_orderkey,5)=0 then '' else concat(',"dataset":"',o_orderpriority,'"') end,
- case when mod(o_orderkey,3)=0 then ',"datasetConfig":[]' else ',"datasetConfig":{"a":1}' end,'}') body from orders""",
+ case when mod(o_orderkey,3)=0 then ',"datasetConfig":[]' when mod(o_orderkey,11)=0 then ',"datasetConfig":{"b":1}' else ',"datasetConfig":{"a":1}' end,'}') body from orders""",
     "dataset_rule_rows": """
 select distinct case when o_orderpriority='5-LOW' then 'none' else o_orderpriority end dataset_sub_id, case when o_orderpriority='1-URGENT'
- then '{"type":"object","properties":{"tag":{"type":"string"},"dataset":{"type":"string"},"datasetConfig":{"type":"object"}},"required":["tag","dataset"]}'
+ then '{"type":"object","properties":{"tag":{"type":["string","null"]},"dataset":{"type":"string"},"datasetConfig":{"type":"object","required":["a"]}},"required":["tag","dataset"]}'
  when o_orderpriority='2-HIGH' then '{"type":"object","properties":{"datasetConfig":{"type":"object"}},"required":["dataset"]}'
  end validation_json, 2 loaded from orders
  union all
@@ -189,6 +189,9 @@ select concat('u-',cast(c_custkey as string)), concat('CH-',cast(c_nationkey as
     "user_documents": """
 select user_id, loaded, concat('{"rootOrg":{"id":"',root_org_id,'","slug":"',root_org_slug,'","channel":"',root_org_channel,
  '","hash":"x"},"organisations":[{"roles":["',replace(roles,',','"]},{"roles":["'),'"]}]}') document from user_rows""",
+    "organisation_documents": """
+select user_id, case when roles='PUBLIC' then '{"content":[]}' else
+ concat('{"content":[{"id":"',root_org_id,'","slug":"',root_org_slug,'"},{"slug":"second"}]}') end document from users""",
     "access_requests": """
 select o_orderkey, case when mod(o_orderkey,41)=0 then '' else concat('ch-',cast(c_nationkey as string)) end channel,
  case when mod(o_orderkey,7)=0 then 'consumer-none' else concat('consumer-',cast(mod(o_orderkey,10) as string)) end consumer_id,

@@ -12,10 +12,10 @@ def documents(spark):
 
     def build(rows):
         # Names that operators use inside for their own columns.
-        data = [(i, t, "en", "s", None if t is None else len(t), 9, "x") for i, t in rows]
-        return spark.createDataFrame(
-            data, "doc_id long, text string, lang string, source string, n_chars long, class int, ids string"
-        )
+        clashing = "class ids doc h n sketch tail selected expected_grade secrets cut_spans cut_doc gone evidence score part"
+        data = [(i, t, "en", "s", None if t is None else len(t), *clashing.split()) for i, t in rows]
+        names = ", ".join(f"{name} string" for name in clashing.split())
+        return spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
 
     return build
 

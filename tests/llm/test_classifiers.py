@@ -71,9 +71,11 @@ def test_thresholds_are_ordered_and_found():
 
 def test_quality_awkward_rows(awkward, spark):
     ratings = spark.createDataFrame([(1, 0), (4, 1), (6, 2), (8, 0), (9, None), (77, 1), (None, 1)], "id long, grade int")
-    rows = quality.rate(awkward, ratings, levels=3).collect()
-    assert len(rows) == awkward.count()
-    assert all(len(r.tail) == 2 and r.tail[0] >= r.tail[1] and 0 <= r.expected_grade <= 2 for r in rows)
+    rated = quality.rate(awkward, ratings, levels=3)
+    assert rated.columns == [*awkward.columns, "expected_grade_", "tail_", "selected_"]
+    rows = rated.collect()
+    assert len(rows) == awkward.count() and {r.tail for r in rows} == {"tail"}
+    assert all(len(r.tail_) == 2 and r.tail_[0] >= r.tail_[1] and 0 <= r.expected_grade_ <= 2 for r in rows)
     assert quality.rate(awkward, ratings.limit(0)).count() == awkward.count()
     assert quality.rate(awkward.limit(0), ratings).count() == 0
 

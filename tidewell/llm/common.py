@@ -130,6 +130,14 @@ def named(frame: DataFrame, **columns: str | Column) -> DataFrame:
     return frame.select(*[(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name for a column of our own beside those of the input: underscores follow while it is taken."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def stored(frame: DataFrame, folder: str) -> DataFrame:
     """Writes a step to the shared folder and reads it back, which cuts its lineage."""
     frame.write.mode("overwrite").parquet(folder)

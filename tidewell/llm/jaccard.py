@@ -417,4 +417,4 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     found = link_components(documents).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
     gone = stored(found.distinct(), work_folder(spark, "jaccard-gone"))
-    return documents.join(small(gone), documents["doc_id"] == F.col("gone"), "left_anti")
+    return documents.join(small(gone), documents["doc_id"] == gone["gone"], "left_anti")

@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bounded, column_bytes, find_words, hash_words, mix, named
+from tidewell.llm.common import bounded, column_bytes, find_words, free, hash_words, mix, named
 
 #: Rated rows that the model is fitted on, at most.
 SAMPLE = 10_000
 SLOTS = 1 << 16
+#: Runs that a text seems to have more than it has: a few runs say little.
+SHORT = 16
 #: A document is selected if the tail probability of the wanted grade reaches this; low, to spare good documents.
 KEEP = 0.2
 
@@ -56,7 +58,7 @@ def _level(family: int, share: float) -> int:
 
 
 def features(data: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and shares of one text; each family of runs has shares that add up to 1."""
+    """Slots and shares of one text; each family of runs has shares that add up to 1, or less in a short text."""
     if not len(data):
         return np.zeros(0, dtype=np.int32), np.zeros(0)
     kinds, plain = _runs(_KIND[data], 4, 1), _runs(_PLAIN[data], 3, 2)
@@ -70,7 +72,7 @@ def features(data: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ]
     slots = np.concatenate((kinds, plain, levels)).astype(np.int32)
     shares = np.concatenate(
-        (np.full(len(kinds), 1 / max(1, len(kinds))), np.full(len(plain), 1 / max(1, len(plain))), np.full(3, 0.1))
+        (np.full(len(kinds), 1 / (len(kinds) + SHORT)), np.full(len(plain), 1 / (len(plain) + SHORT)), np.full(3, 0.1))
     )
     return slots, shares
 
@@ -160,11 +162,10 @@ def fit(
 
 
 def score(documents: DataFrame, weights: np.ndarray, thresholds: np.ndarray) -> DataFrame:
-    """All columns plus expected_grade and tail (P(grade >= j) for each j from 1)."""
+    """All columns plus expected_grade and tail (P(grade >= j) for each j from 1), the last two in any case."""
     small = weights.astype(np.float32)
     schema = documents.schema.names
-    if {"expected_grade", "tail"} & set(schema):
-        raise ValueError("expected_grade and tail are taken as names of results")
+    results = [free("expected_grade", schema), free("tail", schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
@@ -172,17 +173,19 @@ def score(documents: DataFrame, weights: np.ndarray, thresholds: np.ndarray) ->
             tail = sigmoid(scores[:, None] - thresholds[None, :])
             yield pa.record_batch(
                 [*batch.columns, pa.array(tail.sum(axis=1)), pa.array(tail.tolist(), pa.list_(pa.float64()))],
-                [*schema, "expected_grade", "tail"],
+                [*schema, *results],
             )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
-    return documents.mapInArrow(run, f"{kinds}, expected_grade double, tail array<double>")
+    return documents.mapInArrow(run, f"{kinds}, `{results[0]}` double, `{results[1]}` array<double>")
 
 
 def rate(documents: DataFrame, ratings: DataFrame, levels: int = 2, wanted: int = 1, keep: float = KEEP) -> DataFrame:
     """Scores all documents by a model fitted on those that ratings (id, grade) name.
 
-    Adds expected_grade, tail and selected (tail probability of the wanted grade is at least ``keep``).
+    Adds expected_grade, tail and, last, selected: tail probability of the wanted grade is at least ``keep``.  Where
+    the documents have such a column, the name of ours ends in an underscore.
     """
     scored = score(documents, *fit(documents, ratings.select("id", "grade"), levels))
-    return scored.withColumn("selected", F.element_at("tail", wanted) >= keep)
+    chosen = F.element_at(scored.columns[-1], wanted) >= keep
+    return scored.withColumn(free("selected", scored.columns), chosen)

@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import BROADCAST_ROWS, named, stored
+from tidewell.llm.common import BROADCAST_ROWS, free, named, stored
 from tidewell.session import work_folder
 
 #: A candidate is a secret if the forest's probability reaches this.
@@ -195,14 +195,16 @@ def redact(documents: DataFrame, model: PipelineModel, mask: str = MASK) -> Data
     by_document = found.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value"))).alias("secrets")
     )
-    found = stored(by_document.withColumnRenamed("doc_id", "secret_doc"), work_folder(spark, "secrets"))
-    size = found.agg(F.count(F.lit(1)), F.sum(F.aggregate("secrets", F.lit(0), lambda s, x: s - x["n"]))).first()
+    doc, values = free("secret_doc", documents.columns), free("secrets", documents.columns)
+    found = by_document.withColumnsRenamed({"doc_id": doc, "secrets": values})
+    found = stored(found, work_folder(spark, "secrets"))
+    size = found.agg(F.count(F.lit(1)), F.sum(F.aggregate(values, F.lit(0), lambda s, x: s - x["n"]))).first()
     if size[0] <= BROADCAST_ROWS // 10 and (size[1] or 0) <= 16 << 20:
         found = F.broadcast(found)
-    joined = documents.join(found, documents["doc_id"].eqNullSafe(found["secret_doc"]), "left")
-    clean = F.aggregate("secrets", F.col("text"), lambda t, x: F.replace(t, x["value"], F.lit(mask)))
+    joined = documents.join(found, documents["doc_id"].eqNullSafe(found[doc]), "left")
+    clean = F.aggregate(values, F.col("text"), lambda t, x: F.replace(t, x["value"], F.lit(mask)))
     joined = joined.withColumn("text", F.coalesce(clean, F.col("text")))
     if "n_chars" in documents.columns:
-        counted = F.when(F.col("secrets").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
+        counted = F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
         joined = joined.withColumn("n_chars", counted.cast(documents.schema["n_chars"].dataType))
     return joined.select(*documents.columns)

@@ -31,16 +31,16 @@ class.  Empty tables give no row; other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bounded, document_words, mix, named, shingle_hashes, small, stored
-from tidewell.llm.graphs import components
+from tidewell.llm.common import BROADCAST_ROWS, bounded, document_words, mix, named, shingle_hashes, small, stored
+from tidewell.llm.graphs import with_links
 from tidewell.session import work_folder
 
 #: Similarity in percent from which on two sets are linked.
@@ -124,41 +124,50 @@ def profiles(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n long, class long, sketch binary")
 
 
-def _from_sets(
-    texts: DataFrame, chosen: DataFrame, each: Callable[[list[tuple[int, np.ndarray]]], pa.RecordBatch], schema: str
-) -> DataFrame:
-    """Applies ``each`` to the (class, set) of the documents that ``chosen`` (doc_id, class) names."""
+Sets = list[tuple[int, np.ndarray]]
+
+
+def _from_sets(texts: DataFrame, each: Callable[[Sets], pa.RecordBatch], schema: str) -> DataFrame:
+    """Applies ``each`` to the (class, set) of the texts of rows with an id, to each class once in a task.
+
+    So a text with many copies counts once in a task, without a join with the list of classes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in bounded(batches, "text"):
-            sets = zip(batch.column("class").to_pylist(), document_words(batch.column("text")), strict=True)
-            found = [(c, shingle_set(w)) for c, w in sets]
-            # A row that repeats the id with another text is not the one meant.
-            yield each([(c, s) for c, s in found if len(s) and class_of(s) == c])
+            sets: Sets = []
+            for words in document_words(batch.column("text")):
+                found = shingle_set(words)
+                if len(found) and (c := class_of(found)) not in seen:
+                    seen.add(c)
+                    sets.append((c, found))
+            yield each(sets)
 
-    return texts.join(small(chosen), "doc_id").select("text", "class").mapInArrow(run, schema)
+    return texts.where("doc_id is not null").select("text").mapInArrow(run, schema)
 
 
-def _frequent(texts: DataFrame, chosen: DataFrame) -> np.ndarray:
+def _frequent(texts: DataFrame) -> np.ndarray:
     """Frequent shingles, rarest first."""
 
-    def each(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    def each(sets: Sets) -> pa.RecordBatch:
         parts = [s[: first_ones(len(s)) // 4 + 1] for _, s in sets]
         shingle, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
         return pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    counted = _from_sets(texts, chosen, each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = _from_sets(texts, each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
     found = top.toArrow()
     return found.column("shingle").to_numpy().view(np.uint64)[::-1]
 
 
-def _entries(texts: DataFrame, chosen: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """shingle, class and often (whether the shingle is frequent) of each set's first shingles."""
-    order = np.argsort(frequent)
-    known = texts.sparkSession.sparkContext.broadcast((frequent[order], order))
+def _entries(texts: DataFrame, known: Broadcast) -> DataFrame:
+    """shingle, class and often (whether the shingle is frequent) of each set's first shingles.
+
+    ``known``: the frequent shingles sorted, and the rank of each.
+    """
 
-    def each(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    def each(sets: Sets) -> pa.RecordBatch:
         shingles, rank = known.value
         out, classes, often = [], [], []
         for c, s in sets:
@@ -184,7 +193,7 @@ def _entries(texts: DataFrame, chosen: DataFrame, frequent: np.ndarray) -> DataF
             ["shingle", "class", "often"],
         )
 
-    return _from_sets(texts, chosen, each, "shingle long, class long, often boolean")
+    return _from_sets(texts, each, "shingle long, class long, often boolean")
 
 
 def _regions(entries: DataFrame) -> DataFrame:
@@ -221,21 +230,36 @@ class _Judge:
         both = sized.where(fits).select("a", "b").join(a, "a").join(b, "b")
         return both.mapInArrow(run, "a long, b long")
 
-    def links(self, close_pairs: DataFrame) -> DataFrame:
+    def new(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that have not been compared."""
+        for done in self.compared:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        return pairs
+
+    def links(self, close_pairs: DataFrame) -> DataFrame | None:
+        """The linked pairs; None if there is no pair to compare."""
         self.calls += 1
         at = f"{self.folder}/links-{self.calls}"
         pairs = stored(close_pairs, f"{at}-close")
+        n = pairs.count()
+        if not n:
+            return None
         self.compared.append(pairs)
         involved = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-        chosen = stored(self.classes.select("doc_id", "class").join(involved, "class"), f"{at}-classes")
+        # At most two classes for each pair, and as many documents.
+        held = F.broadcast if 2 * n <= BROADCAST_ROWS else lambda frame: frame
+        involved = held(involved)
+        documents = held(self.classes.join(involved, "class").select("doc_id"))
 
-        def each(sets: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        def each(sets: Sets) -> pa.RecordBatch:
             return pa.record_batch(
                 [pa.array([c for c, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())],
                 ["class", "shingles"],
             )
 
-        sets = stored(_from_sets(self.texts, chosen, each, "class long, shingles binary"), f"{at}-sets")
+        chosen = self.texts.join(documents, "doc_id", "left_semi")
+        found = _from_sets(chosen, each, "class long, shingles binary").join(involved, "class", "left_semi")
+        sets = stored(found.dropDuplicates(["class"]), f"{at}-sets")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             as_set = lambda x: np.frombuffer(x, dtype=np.uint64)
@@ -249,7 +273,7 @@ class _Judge:
 
 
 def _placed(regions: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The entries with the component of their class."""
+    """The rows with the component of their class; without a link it is its own."""
     if labels is None:
         return regions.withColumn("component", F.col("class"))
     at = labels.select(F.col("node").alias("class"), "component")
@@ -357,58 +381,53 @@ def link_components(documents: DataFrame, id_column: str = "doc_id", text_column
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = stored(classes, f"{folder}/classes")
-    chosen = classes.select("doc_id", "class")
-    frequent = _frequent(texts, chosen)
-    regions = stored(_regions(_entries(texts, chosen, frequent)), f"{folder}/regions")
+    frequent = _frequent(texts)
+    order = np.argsort(frequent)
+    # At most ``FREQUENT`` pairs of numbers.
+    known = spark.sparkContext.broadcast((frequent[order], order))
+    regions = stored(_regions(_entries(texts, known)), f"{folder}/regions")
+    known.unpersist()
     judge = _Judge(texts, classes, folder)
-    found: list[DataFrame] = []
     labels, left, turn = None, float("inf"), 0
+
+    def opened(entries: DataFrame) -> DataFrame:
+        placed = _placed(entries, labels)
+        pivots = stored(_open_regions(placed, turn), f"{folder}/pivots-{turn}")
+        return stored(placed.join(pivots, "shingle"), f"{folder}/open-{turn}")
+
     while True:
         turn += 1
-        placed = _placed(regions, labels)
-        opened = stored(_open_regions(placed, turn), f"{folder}/pivots-{turn}")
-        members = stored(placed.join(opened, "shingle"), f"{folder}/open-{turn}")
+        members = opened(regions)
+        large = members
         if turn > 1:
             large = members.where(F.col("members") > LEAF)
             before, left = left, large.count()
             if left == 0 or left > CLOSING * before:
                 break
-        else:
-            large = members
-        found.append(judge.links(judge.close_pairs(_with_pivot(large))))
-        labels = stored(components(_union(found)), f"{folder}/labels-{turn}")
+        linked_pairs = judge.links(judge.close_pairs(_with_pivot(large)))
+        if linked_pairs is not None:
+            labels = with_links(labels, linked_pairs)
     most_pairs = 2
     while most_pairs:
         blocks = stored(_block_pairs(members, classes, most_pairs), f"{folder}/blocks-{turn}")
-        pairs = blocks.select("a", "b").distinct().join(_union(judge.compared), ["a", "b"], "left_anti")
+        pairs = blocks.select("a", "b").distinct()
         if most_pairs == 2:
-            small_ones = _leaf_pairs(members).join(_union(judge.compared), ["a", "b"], "left_anti")
-            pairs = pairs.unionAll(judge.close_pairs(small_ones)).distinct()
-        found.append(judge.links(pairs))
+            pairs = pairs.unionAll(judge.close_pairs(judge.new(_leaf_pairs(members)))).distinct()
+        linked_pairs = judge.links(judge.new(pairs))
+        if linked_pairs is not None:
+            labels = with_links(labels, linked_pairs)
         more = blocks.where("rest").select("shingle").distinct()
         most_pairs = 0 if more.isEmpty() else 64 * most_pairs
         if most_pairs:
             turn += 1
-            labels = stored(components(_union(found)), f"{folder}/labels-{turn}")
-            placed = _placed(regions.join(more, "shingle", "left_semi"), labels)
-            opened = stored(_open_regions(placed, turn), f"{folder}/pivots-{turn}")
-            members = stored(placed.join(opened, "shingle"), f"{folder}/open-{turn}")
-    labels = components(_union(found)).select(F.col("node").alias("class"), "component")
-    joined = classes.select("class", "doc_id").join(labels, "class", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "class"))
+            members = opened(regions.join(more, "shingle", "left_semi"))
+    joined = _placed(classes.select("class", "doc_id"), labels)
     smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named_classes = stored(joined.join(smallest, "component").select("class", "component_id"), f"{folder}/named")
-    result = rows.select("doc_id", "n", "class").join(small(named_classes), "class", "left")
+    result = rows.select("doc_id", "n", "class").join(named_classes, "class", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in itertools.islice(frames, 1, None):
-        out = out.unionAll(frame)
-    return out
-
-
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The documents without those that belong to the group of a smaller id; all columns stay.
 

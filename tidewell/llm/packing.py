@@ -37,6 +37,7 @@ def _encoded(rows: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder = fast_encoder(path)
         part, at = TaskContext.get().partitionId(), 0
         for batch in bounded(batches, "text"):
+            # An id beyond 16 bits is an error here.
             ids = [
                 np.array([*encoder.encode(t or "", allowed_special="all"), end_id], dtype="<u2")
                 for t in batch.column("text").to_pylist()
@@ -66,8 +67,6 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, sequence_id, offset, doc_tokens and ids (binary, 16 bits each)."""
     rows = named(documents, doc_id=id_column, text=text_column)
-    if len(fast_encoder(path)._mergeable_ranks) >= 1 << 16:
-        raise ValueError("ids are kept in 16 bits")
     encoded = stored(_encoded(rows, path, end_id), work_folder(rows.sparkSession, "packing"))
     totals = encoded.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

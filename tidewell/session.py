@@ -18,7 +18,7 @@ REQUIRED = {
     # HotSpot never compiles methods above 8000 bytes; the operators of a larger stage are generated one by one.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows may hold long texts; a smaller batch bounds what a Python worker and its task hold at once.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 

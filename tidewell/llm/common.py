@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 _U = np.uint64
-_BYTES = 1 << 20
+_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -73,7 +73,7 @@ def find_words(
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, computed over about a megabyte of words at a time."""
+    """A 64-bit hash of each word, computed over a quarter of a megabyte at a time."""
     out = np.empty(len(starts), dtype=np.uint64)
     lengths = ends - starts
     filled = np.cumsum(lengths)
@@ -112,7 +112,7 @@ def document_words(column: pa.Array) -> Iterator[np.ndarray]:
         yield hashes[first[i] : first[i + 1]]
 
 
-def bounded(batches: Iterable[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterable[pa.RecordBatch], column: str, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text is at most ``size`` bytes, or one row."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

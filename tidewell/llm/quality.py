@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import bounded, column_bytes, find_words, free, hash_words, mix, named
 
 #: Rated rows that the model is fitted on, at most.
-SAMPLE = 10_000
+SAMPLE = 5_000
 SLOTS = 1 << 16
 #: Runs that a text seems to have more than it has: a few runs say little.
 SHORT = 16
@@ -102,10 +102,14 @@ def fit_ordinal(
         above = np.array([np.clip((grades >= j).mean(), 0.01, 0.99) for j in range(1, levels)])
         first = -np.log(above / (1 - above))
         raw = np.concatenate((first[:1], np.log(np.maximum(np.diff(first), 1e-2))))
+    # A part of the entries at a time bounds what a step holds.
+    parts = [slice(a, a + (1 << 20)) for a in range(0, len(rows), 1 << 20)]
     state = [np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(levels - 1), np.zeros(levels - 1)]
     for step in range(1, (steps if n else 0) + 1):
         thresholds = np.concatenate((raw[:1], raw[0] + np.cumsum(np.exp(raw[1:]))))
-        score = np.bincount(rows, weights=shares * weights[slots], minlength=n)
+        score = np.zeros(n)
+        for part in parts:
+            score += np.bincount(rows[part], weights=shares[part] * weights[slots[part]], minlength=n)
         tail = sigmoid(score[:, None] - thresholds[None, :])
         tails = np.hstack((np.ones((n, 1)), tail, np.zeros((n, 1))))
         at = np.arange(n)
@@ -118,7 +122,9 @@ def fit_ordinal(
         d_raw = np.concatenate(
             ([d_threshold.sum()], [d_threshold[j:].sum() * np.exp(raw[j]) for j in range(1, levels - 1)])
         )
-        d_weights = np.bincount(slots, weights=shares * d_score[rows], minlength=SLOTS) + 1e-7 * weights
+        d_weights = 1e-7 * weights
+        for part in parts:
+            d_weights += np.bincount(slots[part], weights=shares[part] * d_score[rows[part]], minlength=SLOTS)
         for value, slope_of, m, v, rate in (
             (weights, d_weights, state[0], state[1], 0.5),
             (raw, d_raw, state[2], state[3], 0.05),
@@ -140,12 +146,12 @@ def fit(
             grades += batch.column("grade").to_pylist()
             for s, v in _texts(batch.column("text")):
                 used, back = np.unique(s, return_inverse=True)
-                slots.append(used)
-                shares.append(np.bincount(back, weights=v))
+                slots.append(used.astype(np.uint16))
+                shares.append(np.bincount(back, weights=v).astype(np.float32))
                 rows.append(np.full(len(used), len(rows), dtype=np.int32))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         weights, thresholds = fit_ordinal(
-            join(rows, np.int32), join(slots, np.int32), join(shares, float), np.array(grades, dtype=np.int64), levels
+            join(rows, np.int32), join(slots, np.uint16), join(shares, np.float32), np.array(grades, dtype=np.int64), levels
         )
         yield pa.record_batch([pa.array([weights.tolist()]), pa.array([thresholds.tolist()])], ["w", "t"])
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import quality, secrets, toxicity
+from tidewell.llm import common, quality, secrets, toxicity
 
 SF = "/root/testdata/sf0.1"
 
@@ -39,6 +39,15 @@ def test_toxicity_awkward_rows(awkward, spark):
     assert toxicity.score(awkward.limit(0), labels).count() == 0
 
 
+def test_most_takes_the_largest(spark):
+    rows = spark.range(1, 1001).selectExpr("id", "cast(id as double) v")
+    found = sorted(r.id for r in common.most(rows, "v", 300).collect())
+    assert 250 <= len(found) <= 330 and found[-200:] == list(range(801, 1001)) and found[0] > 600
+    assert common.most(rows, "v", 5000).count() == 1000 and common.most(rows.limit(0), "v", 5).count() == 0
+    same = rows.selectExpr("id", "1.0D v")
+    assert 50 <= common.most(same, "v", 100).count() <= 150
+
+
 def test_pairs_beyond_the_table_back_off(tables):
     documents, labels = tables
     some = documents.where("doc_id < 600")

@@ -42,6 +42,23 @@ def test_containers_inside_are_left_out():
     assert text(page) == f"{LONG}\n{LONG} & more text!"
 
 
+def test_wrappers_with_hints_keep_the_article():
+    article = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+    expected = f"Title\n{LONG}\n{LONG}"
+    side = "<div class='sidebar'><p>Some words beside it</p></div>"
+    for wrap in ("class='content-sidebar-wrap'", "id=page class=has-sidebar", 'class="header-fixed"', "class='comments-open'"):
+        for inner in (f"<main>{article}</main>", f"<article>{article}</article>", f"<div>{article}</div>"):
+            assert text(f"<body><div {wrap}>{inner}{side}</div></body>") == expected
+    assert text(f"<form id=aspnetForm><div>{article}</div>{side}</form>") == expected
+    # Learned weights of a true sidebar do not fall on what such a wrapper holds.
+    assert text(f"<div class='content-sidebar-wrap'><main>{article}</main></div>", {"word div.sidebar": -6.0}) == expected
+    assert text(f"<div class='sidebar'><main>{article}</main></div>") == expected
+    # True containers stay out, also with an article inside.
+    teaser = "<div class='related'><article><p>Read this as well</p></article></div><div class='site-footer'>All rights</div>"
+    assert text(f"<div>{article}</div>{teaser}{side}") == expected
+    assert text(f"<p>{LONG} so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == f"{LONG} so x=2 holds"
+
+
 def test_markup_details():
     assert text(f"<p>{LONG} a<b>b</b>c<br>d</p>") == f"{LONG} abc d"
     assert text(f"<!-- <p>no</p> --><style>p{{}}</style><script>var a = '<p>no</p>';</script><p>{LONG}") == LONG

@@ -8,7 +8,9 @@ labelled pages: those that mark their content themselves with one of
 without it.  One linear scan (the largest sum of a run) finds the region; what
 lies in excluded containers inside it is left out, and blocks become lines.
 A container costs a run at most ``CONTAINER``, so that one inside an article
-does not part it.
+does not part it.  A form, or an element that only a hint excludes, is a wrapper
+if it holds most of the page's words outside links, and excludes nothing; ``main``,
+or an ``article`` with most of these words, is content in any container.
 
 Character references are decoded, white space inside a block becomes one space.
 A line break tag counts as white space.  Null and empty pages, and pages where
@@ -36,9 +38,15 @@ SAMPLE = 2_000
 KINDS = 4_096
 MARKS = ("article", "main")
 CONTAINER = 6.0
+#: Share of a page's unlinked words above which an element is its wrapper, not beside the article; ``SURE``: whose class,
+#: id or role is a hint as a whole.
+MOST = 0.5
+SURE = 0.9
 
 # Elements of HTML by their role.
-_RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "object")
+_RAW = (
+    *"script style noscript template iframe textarea title svg annotation-xml annotation select object".split(),
+)
 _VOID = {*"area base br col embed hr img input link meta param source track wbr".split()}
 _BLOCK = {
     *"address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure".split(),
@@ -72,32 +80,48 @@ _PART = re.compile(r"[a-zA-Z]+")
 class Page:
     """The tokens of a page: for each its kind, how many it stands for, and what the text needs."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, wrappers: set[int] | None = None):
         self.kinds: list[str] = []
         self.sizes: list[int] = []
         self.texts: list[str | None] = []  # of words; None for a tag
         self.breaks: list[bool] = []  # whether a tag ends a block
         self.kept: list[bool] = []  # whether words lie outside excluded containers
         self.inside: list[bool] = []  # whether a token lies in a marked element
-        self.stack: list[tuple[str, str, bool, bool]] = []  # name, place, excluded, marked
+        # Name, place, excluded, marked, and where the enclosing elements begin that may be wrappers.
+        self.stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []
+        self.unlinked = 0
+        self.held: dict[int, list[float]] = {}  # of such an element: its unlinked words, and the share it must exceed
+        self.wrappers = wrappers
+        self._read(source)
+        if wrappers is None:
+            found = {k for k, (n, share) in self.held.items() if n > share * self.unlinked}
+            if found:
+                self.__init__(source, found)
+
+    def _read(self, source: str) -> None:
         at = 0
         for match in _TOKEN.finditer(source):
             if match.start() > at:
                 self._words(source[at : match.start()])
             at = match.end()
             if name := match["name"]:
-                self._tag(name.lower(), bool(match["end"]), match["rest"])
+                self._tag(name.lower(), bool(match["end"]), match["rest"], match.start())
         if at < len(source):
             self._words(source[at:])
 
-    def _top(self) -> tuple[str, str, bool, bool]:
-        return self.stack[-1] if self.stack else ("", "", False, False)
+    def _top(self) -> tuple[str, str, bool, bool, tuple[int, ...]]:
+        return self.stack[-1] if self.stack else ("", "", False, False, ())
 
     def _words(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
-        _, place, excluded, marked = self._top()
+        _, place, excluded, marked, around = self._top()
         link = any(name == "a" for name, *_ in self.stack[-4:])
-        self._add(f"word {place}{' a' if link else ''}", len(text.split()), text, False, not excluded, marked)
+        size = len(text.split())
+        if not link:
+            self.unlinked += size
+            for k in around:
+                self.held[k][0] += size
+        self._add(f"word {place}{' a' if link else ''}", size, text, False, not excluded, marked)
 
     def _add(self, kind: str, size: int, text: str | None, ends: bool, kept: bool, marked: bool) -> None:
         self.kinds.append(kind)
@@ -107,7 +131,7 @@ class Page:
         self.kept.append(kept)
         self.inside.append(marked)
 
-    def _tag(self, name: str, end: bool, rest: str) -> None:
+    def _tag(self, name: str, end: bool, rest: str, at: int) -> None:
         place, beside = self._top()[1:3]
         if end:
             if any(x[0] == name for x in self.stack):
@@ -115,19 +139,28 @@ class Page:
                     pass
         else:
             self._close_implied(name)
-        _, outer, excluded, marked = self._top()
+        _, outer, excluded, marked, around = self._top()
         place = place if end else outer
         kept = not (beside if end else excluded)
         if not end and name not in _VOID and not rest.endswith("/"):
-            words = {w.lower() for m in _ROLE.finditer(rest) for v in m.groups() if v for w in _PART.findall(v)}
-            hints = sorted(words & _BESIDE)
+            values = [v.lower() for m in _ROLE.finditer(rest) for v in m.groups() if v]
+            hints = sorted({w for v in values for w in _PART.findall(v)} & _BESIDE)
             mark = name in MARKS
             # A header inside the article holds its title.
             apart = bool(hints) and name not in ("body", "html", *MARKS)
+            hinted = (apart and name not in _EXCLUDED) or name == "form"
             apart = apart or name in _EXCLUDED and not (name == "header" and marked)
+            if hinted or mark and excluded and not marked:
+                sure = hinted and any(w in _BESIDE for v in values for w in v.split())
+                self.held[at] = [0, SURE if sure else 0 if name == "main" else MOST]
+                around = (*around, at)
+                if at in (self.wrappers or ()):
+                    apart = False
+                    if mark:
+                        excluded, place, kept = False, "", True
             if apart:
                 place, kept = f"{name}.{hints[0]}" if hints else name, False
-            self.stack.append((name, place, excluded or apart, marked or mark))
+            self.stack.append((name, place, excluded or apart, marked or mark, around))
         kind = f"tag {'/' if end else ''}{name} {place}".rstrip()
         self._add(kind, 1, " " if name == "br" else None, name in _BLOCK, kept, marked)
 

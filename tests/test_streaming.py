@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from tidewell.operators import devices, experiments, geo
+from tidewell.plans import streams
 from tidewell.plans.streams import run_to_end
 from tidewell.streaming import assignments, metrics, reference, registrations
 from tidewell.streaming.tables import BatchTable, ProfileStore, latest_batch
@@ -110,6 +111,32 @@ def test_append_mode_publishes_closed_windows_once(spark, tmp_path):
     assert [(r["window_start_ms"] // 60000 - 28401120, r["api_calls"]) for r in rows] == [(0, 3), (30, 1)]
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    batches = [[(base + datetime.timedelta(minutes=m), "ok", True) for m in batch] for batch in [[0, 10], [200], [5], [210, 7]]]
+    schema = "ts timestamp, ip_status string, resolved boolean"
+    source = files(spark, f"{tmp_path}/in", batches, schema)
+    pieces = BatchTable(f"{tmp_path}/pieces")
+    run_to_end(metrics.counted(source, pieces).option("checkpointLocation", f"{tmp_path}/c"))
+    assert len(pieces.batches(spark)) == 4
+    want = devices.metrics_events(devices.count_registrations(spark.createDataFrame(sum(batches, []), schema)))
+    assert sorted(metrics.totals(pieces.read(spark)).collect()) == sorted(want.collect())
+
+
+def test_registered_metrics_read_several_batches(spark, monkeypatch):
+    tables = []
+
+    class Recorded(BatchTable):
+        def __init__(self, root, *rest):
+            super().__init__(root, *rest)
+            tables.append(self)
+
+    monkeypatch.setattr(streams, "BatchTable", Recorded)
+    assert streams.registration_metrics_stream(spark, "/root/testdata/sf0.001").count() > 0
+    (counted,) = [t for t in tables if t.root.endswith("/metrics")]
+    assert len(counted.batches(spark)) >= streams.BATCHES
+
+
 LOOKUPS = "lookup_id int, ts timestamp, userId string, deviceId string, url string, producer string"
 
 

@@ -12,7 +12,7 @@ from tidewell.plans.views import table, view
 from tidewell.session import work_folder
 from tidewell.streaming import assignments, metrics, registrations
 from tidewell.streaming.reference import Refreshed
-from tidewell.streaming.tables import BatchTable, ProfileStore, latest_batch
+from tidewell.streaming.tables import BatchTable, ProfileStore
 
 def run_to_end(writer: DataStreamWriter) -> None:
     """Reads all available input, then stops."""
@@ -71,19 +71,15 @@ def device_event_stream(spark, sf_dir):
 
 
 def registration_metrics_stream(spark, sf_dir):
-    """Counters of the metrics stream over the outcomes; equal to the batch counters."""
+    """Counters of the metrics stream over the outcomes, in several batches; equal to the batch counters."""
     folder = _registered(spark, sf_dir)
     schema = "ts timestamp, ip_status string, resolved boolean"
-    outcomes = spark.readStream.schema(schema).parquet(f"{folder}/outcomes")
-    counted = BatchTable(f"{folder}/metrics")
-    writer = (
-        metrics.windowed(outcomes)
-        .writeStream.outputMode("update")
-        .foreachBatch(counted.write)
-        .option("checkpointLocation", f"{folder}/metrics-checkpoint")
-    )
-    run_to_end(writer)
-    return latest_batch(counted.read(spark), ["window_start_ms"])
+    files = len(spark.read.schema(schema).parquet(f"{folder}/outcomes").inputFiles())
+    each = str(max(1, files // BATCHES))
+    outcomes = spark.readStream.schema(schema).option("maxFilesPerTrigger", each).parquet(f"{folder}/outcomes")
+    pieces = BatchTable(f"{folder}/metrics")
+    run_to_end(metrics.counted(outcomes, pieces).option("checkpointLocation", f"{folder}/metrics-checkpoint"))
+    return metrics.totals(pieces.read(spark))
 
 
 def experiment_assign_stream(spark, sf_dir):

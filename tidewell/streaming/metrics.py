@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tidewell.operators import devices
+from tidewell.streaming.tables import BatchTable
 
 INTERVAL = "30 minutes"
 
@@ -15,7 +17,23 @@ def windowed(outcomes: DataFrame, interval: str = INTERVAL, lateness: str = INTE
 
     In append mode a window is published once, when the watermark has passed
     it; in update mode whenever it changes.  A window without any call has no
-    row, so nothing is published for it.
+    row, so nothing is published for it.  Rows behind the watermark are
+    dropped; ``counted`` has them too.
     """
     counted = devices.count_registrations(outcomes.withWatermark("ts", lateness), interval)
     return devices.metrics_events(counted.filter(F.col("api_calls") > 0))
+
+
+def counted(outcomes: DataFrame, pieces: BatchTable, interval: str = INTERVAL) -> DataStreamWriter:
+    """Writes each batch's counters per window; no row is too late, and a repeated batch replaces its own."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        pieces.write(devices.count_registrations(rows, interval), batch_id)
+
+    return outcomes.writeStream.foreachBatch(write)
+
+
+def totals(pieces: DataFrame) -> DataFrame:
+    """Published counters over all batches that ``counted`` has written."""
+    sums = [F.sum(name).alias(name) for name in devices.COUNTERS]
+    return devices.metrics_events(pieces.groupBy("window").agg(*sums).filter(F.col("api_calls") > 0))

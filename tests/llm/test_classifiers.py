@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,34 @@ def test_toxicity_awkward_rows(awkward, spark):
     assert toxicity.score(awkward.limit(0), labels).count() == 0
 
 
+def test_toxicity_reads_whole_words():
+    def of(text):
+        return next(iter(toxicity.document_words(pa.array([text]))))[0].tolist()
+
+    assert of("harmless") != of("harmlessly") and of("HARMLESS, insult!") == of("harmless insult")
+    for parted in ("harmless\u2014insult", "harmless\u2026insult", "harmless\u00a0insult", "\u201charmless\u201d insult"):
+        assert of(parted) == of("harmless insult")
+    # Scripts without spaces: what follows the fifth letter of a run counts.
+    assert len(of("这个人是一个坏人。")) == 8 and of("这个人是一个坏人")[-2:] == of("坏人")
+    assert len(of("คนเลว")) == 5 and of("été 😀😡 naïve") == of("été") + of("😀") + of("😡") + of("naïve")
+    rows = toxicity.document_words(pa.array(["ab", "cd", None, "é", "é f"]))
+    assert [len(words) for words, _ in rows] == [1, 1, 0, 1, 2]
+
+
+def test_toxicity_parts_words_with_the_same_start(spark):
+    """Words share their first five letters, and the insult stands after a Unicode dash."""
+    rows = [(i, f"plain text {'harmlessly' if i % 2 else 'harmless'} end" if i % 4 < 2 else f"some{chr(0x2014)}{'harmlessly' if i % 2 else 'harmless'}") for i in range(240)]
+    labels = [(i, i % 2) for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    scored = toxicity.score(documents, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in scored)
+    few = spark.createDataFrame([("a b strange strangely stranger a b",)], "text string")
+    # Words out of the vocabulary count by their stem.
+    known = toxicity.vocabulary(few, 100)
+    ids = toxicity._ids(next(iter(toxicity.document_words(pa.array(["a stranger strangest b other"])))), known)
+    assert ids[1] == ids[2] > 0 and ids[4] == 0 and len({*ids.tolist()}) == 4
+
+
 def test_most_takes_the_largest(spark):
     rows = spark.range(1, 1001).selectExpr("id", "cast(id as double) v")
     found = sorted(r.id for r in common.most(rows, "v", 300).collect())

@@ -26,8 +26,8 @@ GOLDEN = [
 ]
 
 
-def matched(spark, docs, lookups, weights=WEIGHTS, **options):
-    index = experiments.build_index(spark.createDataFrame(docs, DOCS), weights)
+def matched(spark, docs, lookups, weights=WEIGHTS, guarded=False, **options):
+    index = experiments.build_index(spark.createDataFrame(docs, DOCS), weights, guarded=guarded)
     rows = spark.createDataFrame([(i, *row) for i, row in enumerate(lookups)], LOOKUPS)
     return experiments.match(rows, index, **options)
 
@@ -113,9 +113,32 @@ def test_common_value_does_not_multiply_rows(spark, plan):
     assert "NestedLoop" not in text and "Cartesian" not in text and "Python" not in text
 
 
-def test_query_weight_below_one_is_refused(spark):
-    with pytest.raises(ValueError):
+def test_small_query_weights_need_a_guarded_index(spark):
+    with pytest.raises(ValueError, match="guarded"):
         matched(spark, GOLDEN, [("ann", None, None)], query_weight=0.5)
+    with pytest.raises(ValueError, match="positive"):
+        matched(spark, GOLDEN, [("ann", None, None)], guarded=True, query_weight=0)
+
+
+@pytest.mark.parametrize("seed, query_weight", [(4, 0.01), (5, 0.5), (6, 0.9), (7, 9.0)])
+def test_any_query_weight_against_every_document(spark, seed, query_weight):
+    rng = random.Random(seed)
+
+    def some(prefix, n):
+        return rng.choice([None, *[f"{prefix}{i}" for i in range(n)]])
+
+    docs = []
+    while len(docs) < 120:
+        fields = (some("u", 3), some("d", 3), some("l", 2))
+        if any(fields):
+            docs.append(doc(f"e{len(docs):03d}", *fields))
+    lookups = [(some("u", 4), some("d", 4), some("l", 3)) for _ in range(150)]
+    frame = matched(spark, docs, lookups, WEIGHTS, guarded=True, query_weight=query_weight)
+    for row, lookup in zip(frame.orderBy("lookup_id").collect(), lookups):
+        want = plain(docs, lookup, WEIGHTS, query_weight)
+        assert row["experiment_id"] == (want[1] if want else None), lookup
+        if want:
+            assert row["score"] == pytest.approx(-want[0], abs=2e-6)
 
 
 def test_gates(spark):

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import devices, experiments, geo
 from tidewell.plans import streams
@@ -111,30 +112,71 @@ def test_append_mode_publishes_closed_windows_once(spark, tmp_path):
     assert [(r["window_start_ms"] // 60000 - 28401120, r["api_calls"]) for r in rows] == [(0, 3), (30, 1)]
 
 
-def test_late_rows_are_counted(spark, tmp_path):
-    base = datetime.datetime(2024, 1, 1)
-    batches = [[(base + datetime.timedelta(minutes=m), "ok", True) for m in batch] for batch in [[0, 10], [200], [5], [210, 7]]]
-    schema = "ts timestamp, ip_status string, resolved boolean"
-    source = files(spark, f"{tmp_path}/in", batches, schema)
-    pieces = BatchTable(f"{tmp_path}/pieces")
-    run_to_end(metrics.counted(source, pieces).option("checkpointLocation", f"{tmp_path}/c"))
-    assert len(pieces.batches(spark)) == 4
-    want = devices.metrics_events(devices.count_registrations(spark.createDataFrame(sum(batches, []), schema)))
-    assert sorted(metrics.totals(pieces.read(spark)).collect()) == sorted(want.collect())
+OUTCOMES = "ts timestamp, ip_status string, resolved boolean"
+BASE = datetime.datetime(2024, 1, 1)
+
+
+def revisions(spark, folder, minutes, once=True):
+    """Counts the batches, then publishes them, batch by batch; the revisions as (minute, revision) -> calls."""
+    batches = [[(BASE + datetime.timedelta(minutes=m), "ok", m % 2 == 0) for m in batch] for batch in minutes]
+    pieces, out = BatchTable(f"{folder}/pieces"), BatchTable(f"{folder}/revisions")
+    if once:
+        source = files(spark, f"{folder}/in", batches, OUTCOMES)
+        run_to_end(metrics.counted(source, pieces).option("checkpointLocation", f"{folder}/c1"))
+    writer = metrics.publish(metrics.counted_batches(spark, pieces, files=1), out).option("checkpointLocation", f"{folder}/c2")
+    run_to_end(writer)
+    rows = out.read(spark).drop("batch")
+    start = int(BASE.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    found = [((r["start_ms"] - start) // 60000, r["revision"], r["api_calls"]) for r in rows.collect()]
+    still_open = metrics.open_windows(spark, f"{folder}/c2")
+    return batches, sorted(found), rows, still_open
+
+
+def test_windows_are_published_once_and_corrected(spark, tmp_path):
+    minutes = [[0, 10, 11], [40], [5], [200, 201], [7, 41], [210, 8]]
+    batches, found, rows, still_open = revisions(spark, tmp_path, minutes)
+    # Minute 5 is in time, 7, 8 and 41 come after their windows were published.
+    assert found == [(0, 0, 4), (0, 5, 1), (0, 6, 1), (30, 0, 1), (30, 5, 1)]
+    assert sorted((r["start_ms"] // 60000 - 28401120, r["api_calls"]) for r in still_open.collect()) == [(180, 2), (210, 1)]
+    everything = spark.createDataFrame(sum(batches, []), OUTCOMES)
+    want = devices.metrics_events(devices.count_registrations(everything))
+    assert sorted(metrics.totals(rows.drop("revision").unionByName(still_open)).collect()) == sorted(want.collect())
+
+
+def test_a_window_that_is_first_seen_late_is_a_correction(spark, tmp_path):
+    _, found, _, still_open = revisions(spark, tmp_path, [[500], [3], [4, 5]])
+    assert found == [(0, 2, 1), (0, 3, 2)]
+    assert still_open.count() == 1
 
 
-def test_registered_metrics_read_several_batches(spark, monkeypatch):
-    tables = []
+def test_published_windows_leave_the_state_over_a_restart(spark, tmp_path):
+    revisions(spark, tmp_path, [[0, 10], [40]])
+    more = [(BASE + datetime.timedelta(minutes=300), "ok", True)]
+    spark.createDataFrame(more, OUTCOMES).coalesce(1).write.parquet(f"{tmp_path}/in/part=9")
+    source = spark.readStream.schema(OUTCOMES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    run_to_end(metrics.counted(source, BatchTable(f"{tmp_path}/pieces")).option("checkpointLocation", f"{tmp_path}/c1"))
+    _, found, _, still_open = revisions(spark, tmp_path, [], once=False)
+    assert found == [(0, 0, 2), (30, 0, 1)]
+    assert [r["start_ms"] // 60000 - 28401120 for r in still_open.collect()] == [300]
+
+
+def test_registered_streams_read_several_batches(spark, monkeypatch):
+    made = {}
 
     class Recorded(BatchTable):
         def __init__(self, root, *rest):
             super().__init__(root, *rest)
-            tables.append(self)
+            made[root.rsplit("/", 1)[1]] = self
 
     monkeypatch.setattr(streams, "BatchTable", Recorded)
-    assert streams.registration_metrics_stream(spark, "/root/testdata/sf0.001").count() > 0
-    (counted,) = [t for t in tables if t.root.endswith("/metrics")]
-    assert len(counted.batches(spark)) >= streams.BATCHES
+    corrected = streams.published_windows_stream(spark, "/root/testdata/sf0.001")
+    assert corrected.count() > 0
+    assert len(made["metrics"].batches(spark)) >= streams.BATCHES
+    revised = made["revisions"].read(spark)
+    assert revised.where("revision > 0").count() > 0 and len(made["revisions"].batches(spark)) > 1
+    assert streams.experiment_assign_stream(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(made["searched"].batches(spark)) >= streams.BATCHES
+    assert made["answers"].read(spark).where("covered").count() > 0
 
 
 LOOKUPS = "lookup_id int, ts timestamp, userId string, deviceId string, url string, producer string"
@@ -144,41 +186,99 @@ def lookup(n, user, day=1, producer="p"):
     return (n, datetime.datetime(2024, 1, day), user, None, None, producer)
 
 
+def assigned(spark, folder, batches, indexes, miss_seconds=experiments.MISS_SECONDS):
+    """Runs both levels, one batch at a time, with the index of each batch; the answers and what stays remembered."""
+    keyed, searched, answers = (BatchTable(f"{folder}/{name}") for name in ("keyed", "searched", "answers"))
+    source = files(spark, f"{folder}/in", batches, LOOKUPS)
+    left = iter(indexes)
+    run_to_end(assignments.search_stream(source, lambda: next(left), keyed, searched, f"{folder}/c1"))
+    stream = assignments.searched_batches(spark, searched)
+    run_to_end(assignments.answer_stream(stream, keyed, answers, f"{folder}/c2", miss_seconds))
+    return answers.read(spark), assignments.remembered(spark, f"{folder}/c2")
+
+
 def test_remembered_lookups(spark, tmp_path):
-    """Hits stay, misses are searched again after their expiry."""
+    """Hits stay, misses are searched again after their expiry, and expired misses leave the state."""
     documents = [
         [doc("old", user="u1")],
         [doc("old", user="u1"), doc("a-new", user="u1"), doc("late", user="u2")],
         [doc("old", user="u1"), doc("a-new", user="u1"), doc("late", user="u2")],
+        [doc("other", user="u9")],
     ]
     batches = [
-        [lookup(1, "u1"), lookup(2, "u2"), lookup(3, None)],
+        [lookup(1, "u1"), lookup(2, "u2"), lookup(3, None), lookup(10, "gone")],
         [lookup(4, "u1", 1), lookup(5, "u2", 1), lookup(6, "u1", 1, "other")],
         [lookup(7, "u1", 5), lookup(8, "u2", 5), lookup(9, "u2", 1)],
+        [lookup(11, "u1", 9), lookup(12, "u2", 9), lookup(13, "new", 9)],
     ]
-    memory, answers = assignments.memory_table(f"{tmp_path}/memory"), BatchTable(f"{tmp_path}/answers")
-    for n in (0, 1, 2, 2):  # the last batch runs twice
-        index = experiments.build_index(spark.createDataFrame(documents[n], DOCS))
-        lookups = spark.createDataFrame(batches[n], LOOKUPS)
-        answered, found = assignments.answer_batch(lookups, index, memory.parts(spark, before=n))
-        answers.write(answered, n)
-        memory.write(found, n)
-        if n == 1:
-            memory.compact(spark)
-    got = {r["lookup_id"]: r["experiment_id"] for r in answers.read(spark).collect()}
-    assert got == {1: "old", 2: None, 3: None, 4: "old", 5: None, 6: "a-new", 7: "old", 8: "late", 9: None}
+    indexes = [experiments.build_index(spark.createDataFrame(d, DOCS)) for d in documents]
+    answers, state = assigned(spark, str(tmp_path), batches, indexes)
+    got = {r["lookup_id"]: (r["experiment_id"], r["covered"]) for r in answers.collect()}
+    assert got == {
+        1: ("old", False),
+        2: (None, False),
+        3: (None, False),
+        10: (None, False),
+        4: ("old", True),
+        5: (None, True),
+        6: ("a-new", False),
+        7: ("old", True),
+        8: ("late", False),
+        9: (None, True),
+        11: ("old", True),
+        12: ("late", True),
+        13: (None, False),
+    }
+    # The misses of the first day have left the state, the hits and the miss of the last day are in it.
+    keys = {r["lookup_key"]: r["found"] is not None for r in state.collect()}
+    assert keys == {"NA:u1:NA:p": True, "NA:u2:NA:p": True, "NA:u1:NA:other": True, "NA:new:NA:p": False}
+
+
+def test_a_miss_is_replaced_before_its_timer(spark, tmp_path):
+    """A miss that is searched again in time keeps its new expiry; the old timer does not remove it."""
+    index = experiments.build_index(spark.createDataFrame([doc("e", user="nobody")], DOCS))
+    batches = [[lookup(1, "a", 1)], [lookup(2, "a", 2), lookup(3, "b", 2)], [lookup(4, "c", 2)], [lookup(5, "a", 2)]]
+    answers, state = assigned(spark, str(tmp_path), batches, [index] * 4)
+    assert {r["lookup_id"]: r["covered"] for r in answers.collect()} == {1: False, 2: False, 3: False, 4: False, 5: True}
+    kept = {r["lookup_key"]: r["expires"] for r in state.collect()}
+    assert kept == {f"NA:{u}:NA:p": datetime.datetime(2024, 1, 3) for u in "abc"}
+
+
+def test_a_hot_key_is_one_row_of_the_state_operator(spark):
+    rows = spark.range(3000).selectExpr(
+        "cast(id as int) lookup_id", "timestamp_seconds(id) ts", "'hot' userId", "cast(null as string) deviceId",
+        "cast(null as string) url", "if(id % 3 = 0, concat('p', id), 'p') producer",
+    )
+    index = experiments.build_index(spark.createDataFrame([doc("e", user="hot")], DOCS))
+    found = assignments.searched_keys(assignments.with_key(rows), index, 0)
+    assert found.count() == 1001
+    hot = found.where("lookup_key = 'NA:hot:NA:p'").first()
+    assert (hot["first_us"], '"experiment_id":"e"' in hot["found"]) == (1_000_000, True)
 
 
 def test_assignment_stream(spark, tmp_path):
     docs = spark.createDataFrame([doc("e", user="u1"), doc("m", user="user4", kind="modulus", user_mod=3)], DOCS)
-    source = files(spark, f"{tmp_path}/in", [[lookup(1, "u1"), lookup(2, "user4")], [lookup(3, "u1"), lookup(4, "zz")]], LOOKUPS)
-    answers = BatchTable(f"{tmp_path}/answers")
     index = experiments.build_index(docs)
-    run_to_end(assignments.assign_stream(source, lambda: index, assignments.memory_table(f"{tmp_path}/memory"), answers, f"{tmp_path}/c"))
-    got = {r["lookup_id"]: (r["experiment_id"], r["assigned"], r["covered"]) for r in answers.read(spark).collect()}
+    batches = [[lookup(1, "u1"), lookup(2, "user4")], [lookup(3, "u1"), lookup(4, "zz")]]
+    answers, _ = assigned(spark, str(tmp_path), batches, [index] * 2)
+    got = {r["lookup_id"]: (r["experiment_id"], r["assigned"], r["covered"]) for r in answers.collect()}
     assert got == {1: ("e", True, False), 2: ("m", False, False), 3: ("e", True, True), 4: (None, False, False)}
 
 
+def test_the_clock_goes_on_after_a_restart(spark, tmp_path):
+    """A second run reads the clock of the first from the table, so that late lookups are answered."""
+    index = experiments.build_index(spark.createDataFrame([doc("e", user="u1")], DOCS))
+    keyed, searched, answers = (BatchTable(f"{tmp_path}/{name}") for name in ("keyed", "searched", "answers"))
+    for n, rows in enumerate([[lookup(1, "u1", 9)], [lookup(2, "u1", 2), lookup(3, "zz", 2)]]):
+        spark.createDataFrame(rows, LOOKUPS).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        source = spark.readStream.schema(LOOKUPS).parquet(f"{tmp_path}/in/part=*")
+        run_to_end(assignments.search_stream(source, lambda: index, keyed, searched, f"{tmp_path}/c1"))
+        stream = assignments.searched_batches(spark, searched)
+        run_to_end(assignments.answer_stream(stream, keyed, answers, f"{tmp_path}/c2"))
+    got = {r["lookup_id"]: (r["experiment_id"], r["covered"]) for r in answers.read(spark).collect()}
+    assert got == {1: ("e", False), 2: ("e", True), 3: (None, False)}
+
+
 def test_refreshed():
     now, loads = [0.0], []
 
@@ -209,3 +309,101 @@ def test_first_load_must_work():
 
     with pytest.raises(OSError):
         reference.Refreshed(load)()
+
+
+RANGES = "network_start_integer bigint, network_last_integer bigint, geoname_id int"
+DAY = 86400
+
+
+def at(day):
+    return datetime.datetime(2024, 1, day)
+
+
+@pytest.fixture
+def versions(spark, tmp_path):
+    """A table that holds the day it was loaded on; days in ``broken`` cannot be loaded."""
+    broken, made = set(), []
+
+    def build(folder, loaded_at):
+        made.append(loaded_at.day)
+        if loaded_at.day in broken:
+            spark.range(5).write.mode("overwrite").parquet(f"{folder}/half")
+            raise OSError("unreachable")
+        spark.range(1).selectExpr(f"{loaded_at.day} place").coalesce(1).write.mode("overwrite").parquet(folder)
+
+    table = reference.Versions(f"{tmp_path}/versions", build, lambda s, folder: s.read.parquet(folder), keep=3)
+    return table, broken, made
+
+
+def test_versions_are_kept_and_replaced(spark, versions):
+    table, _, _ = versions
+    for day in (1, 2, 3, 4, 5):
+        table.publish(spark, at(day))
+    assert [(r["version"], r["loaded_at"].day) for r in table.known(spark)] == [(2, 3), (3, 4), (4, 5)]
+    assert len({r["slot"] for r in table.known(spark)}) == 3
+    rows = spark.createDataFrame([(d, at(d)) for d in (1, 2, 3, 4, 5, 6)], "day int, ts timestamp")
+    found = reference.by_version(rows, table, table.known(spark), "ts", lambda own, held: own.join(held, F.lit(True)))
+    assert {r["day"]: r["place"] for r in found.collect()} == {1: 3, 2: 3, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert {r["loaded_at"].day for r in found.collect()} == {3, 4, 5}
+
+
+def test_a_version_that_breaks_off_is_not_seen(spark, versions):
+    table, broken, _ = versions
+    for day in (1, 2, 3):
+        table.publish(spark, at(day))
+    broken.add(4)
+    with pytest.raises(OSError):
+        table.publish(spark, at(4))
+    # The oldest version has left the manifest before its slot was touched.
+    assert [r["loaded_at"].day for r in table.known(spark)] == [2, 3]
+    table.publish(spark, at(5))
+    assert [r["loaded_at"].day for r in table.known(spark)] == [2, 3, 5]
+
+
+def test_reloads_follow_event_time(spark, versions):
+    table, broken, made = versions
+    reloading = reference.Reloading(table, seconds=DAY)
+    broken.add(1)
+    with pytest.raises(OSError):
+        reloading.up_to(spark, at(1))  # the first load must succeed
+    broken.clear()
+    assert [r["loaded_at"].day for r in reloading.up_to(spark, at(1) + datetime.timedelta(hours=5))] == [1]
+    assert [r["loaded_at"].day for r in reloading.up_to(spark, at(1) + datetime.timedelta(hours=9))] == [1]
+    broken.add(2)
+    assert [r["loaded_at"].day for r in reloading.up_to(spark, at(2))] == [1]
+    assert [r["loaded_at"].day for r in reloading.up_to(spark, at(1))] == [1]  # time does not go back
+    assert [r["loaded_at"].day for r in reloading.up_to(spark, at(4))] == [1, 3, 4]
+    assert made == [1, 1, 2, 3, 4]
+    # A restart goes on from the manifest; of many missed loads only as many as are kept are made.
+    again = reference.Reloading(table, seconds=DAY)
+    assert [r["loaded_at"].day for r in again.up_to(spark, at(4))] == [1, 3, 4]
+    assert [r["loaded_at"].day for r in again.up_to(spark, at(20))] == [18, 19, 20]
+
+
+def test_two_versions_at_least(spark):
+    with pytest.raises(ValueError):
+        reference.Versions("/nowhere", lambda *_: None, geo.load_index, keep=1)
+
+
+def test_located_by_the_version_of_their_time(spark, tmp_path):
+    fields = ", ".join(f"{name} string" for name in geo.LOCATION_FIELDS)
+    places = spark.createDataFrame([(d, *[f"x{d}"] * len(geo.LOCATION_FIELDS)) for d in range(1, 31)], f"geoname_id int, {fields}")
+    made = []
+
+    def build(folder, loaded_at):
+        made.append(loaded_at.day)
+        if loaded_at.day == 3:
+            raise OSError("unreachable")
+        geo.build_index(spark.createDataFrame([(0, 2**32 - 1, loaded_at.day)], RANGES), places, folder)
+
+    def arriving(*days):
+        return [(*row(n, did="d")[:1], at(d), *row(n, did="d")[2:]) for n, d in enumerate(days)]
+
+    table = reference.Versions(f"{tmp_path}/versions", build, geo.load_index, keep=3)
+    located = BatchTable(f"{tmp_path}/located")
+    stream = files(spark, f"{tmp_path}/in", [arriving(1, 1), arriving(2), arriving(1, 3), arriving(4, 2, 3)], ROW)
+    run_to_end(registrations.locate_by_version(stream, reference.Reloading(table, DAY), located, f"{tmp_path}/c"))
+    got = sorted((r["batch"], r["ts"].day, r["geoname_id"]) for r in located.read(spark).collect())
+    # The load of the third day failed, so its rows take the second day's version, late ones too.
+    assert got == [(0, 1, 1), (0, 1, 1), (1, 2, 2), (2, 1, 1), (2, 3, 2), (3, 2, 2), (3, 3, 2), (3, 4, 4)]
+    assert made == [1, 2, 3, 4]

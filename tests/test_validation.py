@@ -110,8 +110,15 @@ SCHEMA = json.dumps(
     ],
 )
 def test_schema(spark, body, message):
-    rows = spark.createDataFrame([(json.dumps(body), SCHEMA)], "body string, rules string")
-    assert rows.select(validation.schema_failure(F.col("body"), F.col("rules")).alias("c")).first()["c"] == message
+    assert violation(spark, body, SCHEMA) == message
+
+
+def violation(spark, body, schema):
+    """What a body is answered by a dataset with a schema."""
+    text = body if isinstance(body, str) else json.dumps(body)
+    rows = spark.createDataFrame([(1, "d", text)], "n int, dataset_sub_id string, body string")
+    rules = spark.createDataFrame([("d", schema if isinstance(schema, str) else json.dumps(schema))], "dataset_sub_id string, validation_json string")
+    return validation.check_submissions(rows, rules).first()["failure"]
 
 
 def experiment(spark, today="2024-01-15", missing=False, **fields):
@@ -284,5 +291,78 @@ def test_type_lists_and_nested_rules(spark, body, message):
         },
         "required": ["a"],
     }
-    rows = spark.createDataFrame([(json.dumps(body), json.dumps(rules))], "body string, rules string")
-    assert rows.select(validation.schema_failure(F.col("body"), F.col("rules")).alias("c")).first()["c"] == message
+    assert violation(spark, body, rules) == message
+
+
+DEEP = {
+    "required": ["config"],
+    "properties": {
+        "tag": {"type": "string"},
+        "config": {
+            "type": "object",
+            "required": ["query"],
+            "properties": {
+                "query": {
+                    "type": "object",
+                    "required": ["filters", "o'clock"],
+                    "properties": {
+                        "filters": {"type": "object", "properties": {"a.b": {"type": "object", "required": ["deepest"], "properties": {"deepest": {"type": ["integer", "null"]}}}}},
+                        'say "x"': {"type": "object", "required": ["y"]},
+                    },
+                },
+                "mode": {"type": "string"},
+            },
+        },
+    },
+}
+MISSING = 'Request object has missing required properties (["{}"])'
+TYPE = 'Request instance type ({}) does not match any allowed primitive type (allowed: ["{}"])'
+
+
+def deep(query, **others):
+    return {"config": {"query": {"o'clock": 1, **query}, **others}}
+
+
+@pytest.mark.parametrize(
+    "body, message",
+    [
+        (deep({"filters": {"a.b": {"deepest": 3}}}), None),
+        (deep({"filters": {"a.b": {"deepest": None}}}), None),
+        (deep({"filters": {"a.b": {"deepest": 1.5}}}), TYPE.format("number", 'integer","null')),
+        (deep({"filters": {"a.b": {}}}), MISSING.format("deepest")),
+        (deep({"filters": {"a.b": []}}), TYPE.format("array", "object")),
+        (deep({"filters": {}, 'say "x"': {}}), MISSING.format("y")),
+        (deep({"filters": {"a.b": {}}}, mode=1), TYPE.format("integer", "string")),  # outer objects come first
+        ({"config": {}}, MISSING.format("query")),
+        ({"config": {"query": {}}}, MISSING.format('filters","o\'clock')),
+        ({"config": 5}, TYPE.format("integer", "object")),
+        ({}, MISSING.format("config")),
+        ("not json", MISSING.format("config")),
+        ("[1]", MISSING.format("config")),
+    ],
+)
+def test_rules_at_any_depth(spark, body, message):
+    assert violation(spark, body, DEEP) == message
+
+
+def test_rules_without_content(spark):
+    for schema in ("{}", '{"properties": {}}', '{"required": []}', '{"properties": {"a": {}}}', "no json"):
+        assert violation(spark, {"a": 1}, schema) is None
+
+
+def test_too_deep_schemas_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(validation, "MAX_DEPTH", 2)
+    with pytest.raises(ValueError, match="deeper"):
+        violation(spark, {}, DEEP)
+
+
+def test_a_body_is_parsed_once(spark, plan):
+    """However many rules there are, the plan holds one parse of the body and none of the schema."""
+    wide = {"required": [f"r{i}" for i in range(30)], "properties": {f"p{i}": {"type": "string"} for i in range(30)}}
+    rules = spark.createDataFrame([("d", json.dumps(wide))], "dataset_sub_id string, validation_json string")
+    compiled = spark.createDataFrame(validation.compile_rules(rules).collect(), validation.compile_rules(rules).schema)
+    rows = spark.range(5).selectExpr("id n", "'d' dataset_sub_id", "concat('{\"p1\":', id, '}') body")
+    frame = validation.check_submissions(rows, compiled)
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("parse_json") + text.count("parseJson") == 1 and "from_json" not in text
+    assert frame.count() == 5

@@ -14,13 +14,20 @@ unique keys.  An entry may belong to a document that is equal in more fields
 than its key says; that document then also sits under the larger key with a
 higher score, so taking the maximum over the keys is exact as long as
 ``query_weight`` is at least 1.
+
+With a smaller weight a document that is equal in all given fields scores less
+under its whole key than a smaller key says.  The guarded index therefore has an
+entry per key and set of given fields, with two documents: the best one, and
+the best one whose other given fields differ from those of the first.  A lookup
+takes the first unless it is equal in all given fields, and then the second, so
+no entry ever speaks for a document that is equal throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing
@@ -99,73 +106,91 @@ def _given() -> Column:
     return given
 
 
+def _weighed(documents: DataFrame, weights: Mapping[str, float], resolvers: Mapping[str, Resolver] | None) -> DataFrame:
+    """Documents with the product of the weights they lack and the rarity of each of their values."""
+    lacking = F.lit(1.0)
+    for field, weight in weights.items():
+        lacking = lacking * F.when(F.col(field).isNull(), F.lit(float(weight))).otherwise(1.0)
+    totals = documents.agg(*[F.count(field).cast("double").alias(field) for field in FIELDS]).first()
+    rows = documents.withColumns({"passes": gate(resolvers), "lacking": lacking})
+    for field in FIELDS:
+        n = F.col("n")
+        rarity = F.log(1.0 + (F.lit(totals[field]) - n + 0.5) / (n + 0.5))
+        counts = documents.where(F.col(field).isNotNull()).groupBy(field).agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(counts.select(field, rarity.alias(f"idf_{field}")), field, "left")
+    return rows
+
+
+def _texts() -> Column:
+    """Array of (subset, key, text) for every non-empty subset of the fields a row has; text sums the rarities."""
+    entries = []
+    for subset in SUBSETS:
+        text = F.lit(0.0)
+        for bit, field in enumerate(FIELDS):
+            if subset >> bit & 1:
+                text = text + F.col(f"idf_{field}")
+        entries.append(F.struct(F.lit(subset).alias("subset"), _key(subset).alias("key"), text.alias("text")))
+    return F.filter(F.array(*entries), lambda entry: entry["key"].isNotNull())
+
+
+def _rest(subset: Column, given: Column) -> Column:
+    """The values of the given fields that a subset lacks, null for the others."""
+    left = [
+        F.when((given.bitwiseAND(1 << bit) != 0) & (subset.bitwiseAND(1 << bit) == 0), F.col(field)).alias(field)
+        for bit, field in enumerate(FIELDS)
+    ]
+    return F.struct(*left)
+
+
 def index_entries(
     documents: DataFrame,
     weights: Mapping[str, float] = FIELD_WEIGHTS,
     resolvers: Mapping[str, Resolver] | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
-    """Best document per key; the keys of a single field also carry its inverse document frequency."""
-    lacking = F.lit(1.0)
-    for field, weight in weights.items():
-        lacking = lacking * F.when(F.col(field).isNull(), F.lit(float(weight))).otherwise(1.0)
+    """``key, subset, text, best``: the score of the equal fields and the best document per key.
+
+    ``guarded``: per key and set of given fields (``given``), with the best document's other
+    given values (``rest``) and the best document among those that differ there (``second``).
+    """
     ranked = F.struct(
         (-F.col("lacking")).alias("rank"), "id", "lacking", "passes", F.struct(*DOCUMENT).alias("document")
     )
-    best = (
-        documents.withColumns({"passes": gate(resolvers), "lacking": lacking})
-        .withColumn("best", ranked)
-        .select("best", F.explode(_keys()).alias("entry"))
-        .groupBy(F.col("entry.key").alias("key"), F.col("entry.subset").alias("subset"))
-        .agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
+    entered = _weighed(documents, weights, resolvers).withColumn("best", ranked)
+    if not guarded:
+        entries = entered.select("best", F.explode(_texts()).alias("entry")).select("best", "entry.*")
+        return entries.groupBy("key", "subset").agg(F.max("text").alias("text"), F.min("best").alias("best"))
+    entries = entered.select("best", *FIELDS, F.explode(_texts()).alias("entry")).select("best", *FIELDS, "entry.*")
+    given = entries.withColumn("given", F.explode(F.array(*[F.lit(g) for g in SUBSETS])))
+    given = given.where(F.col("given").bitwiseAND(F.col("subset")) == F.col("subset"))
+    rest = given.withColumn("rest", _rest(F.col("subset"), F.col("given")))
+    per_rest = rest.groupBy("key", "subset", "given", "rest").agg(F.max("text").alias("text"), F.min("best").alias("best"))
+    place = F.row_number().over(Window.partitionBy("key", "given").orderBy("best"))
+    first_two = per_rest.withColumn("place", place).where("place <= 2")
+    first, second = F.col("place") == 1, F.col("place") == 2
+    return first_two.groupBy("key", "subset", "given").agg(
+        F.max("text").alias("text"),
+        F.min(F.when(first, F.col("best"))).alias("best"),
+        F.max(F.when(first, F.col("rest"))).alias("rest"),
+        F.min(F.when(second, F.col("best"))).alias("second"),
     )
-    totals = documents.agg(F.array(*[F.count(field).cast("double") for field in FIELDS]).alias("totals")).scalar()
-    total = F.lit(None).cast("double")
-    for bit in range(len(FIELDS)):
-        total = F.when(F.col("subset") == 1 << bit, totals[bit]).otherwise(total)
-    rarity = F.log(1.0 + (total - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    return best.select("key", "subset", rarity.alias("idf"), "best")
 
 
 def build_index(
     documents: DataFrame,
     weights: Mapping[str, float] = FIELD_WEIGHTS,
     resolvers: Mapping[str, Resolver] | None = None,
+    guarded: bool = False,
 ) -> DataFrame:
-    """Prepares matching; run once per load of the documents.
+    """Prepares matching; run once per load of the documents.  ``guarded``: for query weights below 1.
 
-    ``(key, subset, idf, best)``, the best document per key, written to the
-    working folder so that it is formed once.
+    The entries are written to the working folder, so that they are formed once.
     """
     spark = documents.sparkSession
     folder = work_folder(spark, "experiment-index")
-    index_entries(documents, weights, resolvers).write.parquet(folder)
-    return spark.read.parquet(folder)
-
-
-def _entry(subset: int) -> str:
-    return f"_entry{subset}"
-
-
-def _winner(query_weight: float) -> Column:
-    """Best of the entry columns: the entries of one field hold the frequencies of all."""
-    idf = {bit: F.coalesce(F.col(f"{_entry(1 << bit)}.idf"), F.lit(0.0)) for bit in range(len(FIELDS))}
-    scored = []
-    for subset in SUBSETS:
-        text = F.lit(0.0)
-        for bit in range(len(FIELDS)):
-            if subset >> bit & 1:
-                text = text + idf[bit]
-        best = F.col(f"{_entry(subset)}.best")
-        factor = F.when(F.col("_given") == subset, F.lit(float(query_weight))).otherwise(1.0)
-        score = F.round(text + best["lacking"] * factor, SCORE_DIGITS)
-        candidate = F.struct(
-            (-score).alias("rank"),
-            best["id"].alias("id"),
-            best["passes"].alias("passes"),
-            best["document"].alias("document"),
-        )
-        scored.append(F.when(F.col(_entry(subset)).isNotNull(), candidate))
-    return F.least(*scored)
+    entries = index_entries(documents, weights, resolvers, guarded)
+    entries.write.parquet(folder)
+    return spark.read.schema(entries.schema).parquet(folder)
 
 
 def _found(winner: str) -> list[Column]:
@@ -187,30 +212,36 @@ def match(lookups: DataFrame, entries: DataFrame, query_weight: float = QUERY_WE
     """Adds the best experiment of every lookup: ``experiment_id, score, passes, document``, null when none.
 
     Ties go to the lowest experiment id.  A lookup without any field has none.
-    ``query_weight`` must be at least 1, else the kept entries are not enough.
+    A ``query_weight`` below 1 needs a guarded index.
 
     Each distinct set of given fields is matched once: it reads at most 7
-    entries, which are gathered and scored, and the lookups are joined with
-    the answer.  A hot set of fields is thus one row until the last join, and
-    rows that repeat an id, or have none, need no care.
+    entries, each of which is scored on its own, and the best is kept by an
+    aggregate that combines before the shuffle.  The lookups are joined with the
+    answer; a hot set of fields is one row until then, and rows that repeat an
+    id, or have none, need no care.
     """
-    if query_weight < 1:
-        raise ValueError("query_weight must be at least 1")
+    if query_weight <= 0:
+        raise ValueError("query_weight must be positive")
+    guarded = "given" in entries.columns
+    if query_weight < 1 and not guarded:
+        raise ValueError("a query_weight below 1 needs an index built with guarded=True")
     columns = lookups.columns
     nothing = F.concat(F.lit("-"), F.pmod(F.xxhash64(*columns), F.lit(SPREAD)).cast("string"))
     keyed = lookups.withColumn("_asked", F.coalesce(_whole_key(), nothing))
     asked = lookups.select(*FIELDS).distinct().withColumn("_asked", _whole_key()).filter("_asked is not null")
-    probes = asked.select("_asked", _given().alias("_given"), F.explode(_keys()).alias("entry"))
-    gathered = (
-        probes.select("_asked", "_given", "entry.key")
-        .join(entries, "key")
-        .groupBy("_asked")
-        .agg(F.max("_given").alias("_given"), F.collect_list(F.struct("subset", "idf", "best")).alias("entries"))
-    )
-    for subset in SUBSETS:
-        own = F.filter("entries", lambda e: e["subset"] == F.lit(subset))
-        gathered = gathered.withColumn(_entry(subset), F.get(own, F.lit(0)))
-    winners = gathered.select("_asked", _winner(query_weight).alias("_winner")).select("_asked", *_found("_winner"))
+    probes = asked.select("_asked", *FIELDS, _given().alias("_given"), F.explode(_keys()).alias("entry"))
+    probes = probes.select("_asked", *FIELDS, "_given", "entry.key")
+    if guarded:
+        found = probes.withColumnRenamed("_given", "given").join(entries, ["key", "given"]).withColumnRenamed("given", "_given")
+        whole = (F.col("_given") != F.col("subset")) & F.col("rest").eqNullSafe(_rest(F.col("subset"), F.col("_given")))
+        best = F.when(whole, F.col("second")).otherwise(F.col("best"))
+    else:
+        found, best = probes.join(entries, "key"), F.col("best")
+    factor = F.when(F.col("_given") == F.col("subset"), F.lit(float(query_weight))).otherwise(1.0)
+    score = F.round(F.col("text") + F.col("_best.lacking") * factor, SCORE_DIGITS)
+    candidate = F.struct((-score).alias("rank"), *[F.col(f"_best.{c}") for c in ("id", "passes", "document")])
+    scored = found.withColumn("_best", best).where("_best is not null").select("_asked", candidate.alias("_winner"))
+    winners = scored.groupBy("_asked").agg(F.min("_winner").alias("_winner")).select("_asked", *_found("_winner"))
     return keyed.join(winners, "_asked", "left").drop("_asked")
 
 

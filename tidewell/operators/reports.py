@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.rules import with_status
-from tidewell.operators.validation import report_failures
+from tidewell.operators.validation import report_complete, report_failures
 
 # States and messages of the registry.
 ACTIVE, INACTIVE = "ACTIVE", "INACTIVE"
@@ -41,7 +41,7 @@ def apply_changes(changes: DataFrame, existing: DataFrame | None = None) -> Data
     ``existing``: a registry of the same columns, whose reports exist before
     every change.
     """
-    changes = valid_changes(changes).filter("problems is null and report_id is not null")
+    changes = applicable(changes).filter("report_id is not null")
     stamp = F.struct("ts", "seq", *CONTENT)
     grouped = changes.groupBy("report_id").agg(
         F.min(F.when(F.col("action") == "submit", stamp)).alias("first"),
@@ -95,7 +95,7 @@ def apply_changes(changes: DataFrame, existing: DataFrame | None = None) -> Data
 def change_answers(changes: DataFrame) -> DataFrame:
     """What each change was answered: ``accepted`` and ``message``."""
     checked = valid_changes(changes)
-    joined = checked.join(_first_submits(checked.filter("problems is null")), "report_id", "left")
+    joined = checked.join(_first_submits(applicable(changes)), "report_id", "left")
     order = F.struct("ts", "seq")
     exists = F.col("born").isNotNull() & (order > F.col("born"))
     message = (
@@ -119,11 +119,20 @@ def read_reports(registry: DataFrame, asked: DataFrame) -> DataFrame:
     return joined.select(*asked.columns, F.lit("OK").alias("response_code"), message.alias("message"), "report")
 
 
+def _carried() -> list:
+    return [F.col(c) for c in ("report_id", "description", "created_by", "config")]
+
+
+def applicable(changes: DataFrame) -> DataFrame:
+    """The changes that lack nothing: complete submits and updates, and all others, which carry no content."""
+    carries = F.coalesce(F.col("action").isin("submit", "update"), F.lit(False))
+    return changes.filter(~carries | report_complete(*_carried()))
+
+
 def valid_changes(changes: DataFrame) -> DataFrame:
     """Adds ``problems``, JSON of what a submit or an update lacks, null when nothing; other actions carry no content."""
-    failures = report_failures(*[F.col(c) for c in ("report_id", "description", "created_by", "config")])
-    carries = F.col("action").isin("submit", "update") & (F.size(failures) > 0)
-    return changes.withColumn("problems", F.when(carries, F.to_json(with_status(failures))))
+    lacking = F.col("action").isin("submit", "update") & ~report_complete(*_carried())
+    return changes.withColumn("problems", F.when(lacking, F.to_json(with_status(report_failures(*_carried())))))
 
 
 def list_reports(registry: DataFrame, filters: dict) -> DataFrame:

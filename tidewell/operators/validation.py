@@ -172,24 +172,37 @@ def experiment_failures(
     )
 
 
+def _missing_parts(config: Column) -> Column:
+    """The names of the report parts that a config lacks, in their order."""
+    keys = F.coalesce(F.json_object_keys(config), F.array().cast("array<string>"))
+    return F.array_except(F.array(*[F.lit(key) for key in CONFIG_PARTS]), keys)
+
+
+def report_complete(report_id: Column, description: Column, created_by: Column, config: Column) -> Column:
+    """Whether ``report_failures`` finds nothing, for filters: the config is parsed once and no message is formed."""
+    given = report_id.isNotNull() & description.isNotNull() & created_by.isNotNull() & config.isNotNull()
+    return given & (F.size(_missing_parts(config)) == 0)
+
+
 def report_failures(
     report_id: Column, description: Column, created_by: Column, config: Column, missing: Column | None = None
 ) -> Column:
     """Every failed rule of a report request as a map; of the config parts only the first that is missing."""
     present = F.lit(True) if missing is None else ~missing
-    checks = [
+    fields = [
         ("request", ~present, NO_REQUEST),
         failure(REPORT_ID, present & report_id.isNull()),
         failure(REPORT_DESCRIPTION, present & description.isNull()),
         failure(REPORT_CREATOR, present & created_by.isNull()),
         failure(REPORT_CONFIG, present & config.isNull()),
     ]
-    so_far = present & config.isNotNull()
-    for key, message in CONFIG_PARTS.items():
-        has_part = texts.has_key(config, key)
-        checks.append((f"{REPORT_CONFIG[0]}.{key}", so_far & ~has_part, message))
-        so_far = so_far & has_part
-    return all_failures(checks)
+    messages = F.create_map(*[F.lit(x) for pair in CONFIG_PARTS.items() for x in pair])
+    # One entry or none: the config is parsed once, whatever the number of parts.
+    first = F.slice(F.when(present & config.isNotNull(), _missing_parts(config)).otherwise(F.array().cast("array<string>")), 1, 1)
+    entries = F.transform(
+        first, lambda key: F.struct(F.concat(F.lit(f"{REPORT_CONFIG[0]}."), key).alias("key"), messages[key].alias("value"))
+    )
+    return F.map_concat(all_failures(fields), F.map_from_entries(entries))
 
 
 def client_log_failure(request: Column) -> Column:
@@ -207,10 +220,6 @@ def client_log_failure(request: Column) -> Column:
     )
 
 
-# A type may be one name or a list of names, whose text from_json keeps; rules nest once more.
-_INNER_RULES = "properties: map<string, struct<type: string>>, required: array<string>"
-_RULE_SCHEMA = f"struct<properties: map<string, struct<type: string, {_INNER_RULES}>>, required: array<string>>"
-
 # Type names of JSON schemas for the leading word of a variant's type.
 _JSON_TYPES = {
     "STRING": "string",
@@ -223,88 +232,147 @@ _JSON_TYPES = {
     "VOID": "null",
 }
 
+_NODE = "struct<required: array<string>, properties: map<string, string>>"
+#: Schemas nested deeper than this are refused.
+MAX_DEPTH = 64
 
-def _json_type(value: Column) -> Column:
-    word = F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)
-    chain = F
-    for name, json_type in _JSON_TYPES.items():
-        chain = chain.when(word == name, json_type)
-    return chain.otherwise("null")
-
-
-def _types(declared: Column) -> Column:
-    """The allowed type names of a property."""
-    return F.when(declared.startswith("["), F.from_json(declared, "array<string>")).otherwise(F.array(declared))
-
-
-def _object_failures(body: Column, required: Column, properties: Column) -> list[Column]:
-    """First missing property and first wrong type of a JSON object, each null when there is none."""
-    keys = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
-    missing = F.filter(F.coalesce(required, F.array().cast("array<string>")), lambda k: ~F.array_contains(keys, k))
-    found = F.transform_values(F.from_json(body, "map<string,variant>"), lambda _, value: _json_type(value))
-    rules = F.transform(
-        F.map_entries(properties),
-        lambda rule: F.struct(found[rule["key"]].alias("found"), _types(rule["value"]["type"]).alias("types")),
+
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _segment(name: Column) -> Column:
+    """The part of a variant path that names a property."""
+    quote = F.when(F.contains(name, F.lit('"')), F.lit("'")).otherwise(F.lit('"'))
+    return F.concat(F.lit("["), quote, name, quote, F.lit("]"))
+
+
+def _types(node: Column) -> Column:
+    """The allowed type names of a property: one name or a list of names; null when it declares none."""
+    declared = F.get_json_object(node, "$.type")
+    return F.when(declared.startswith("["), F.from_json(declared, "array<string>")).when(declared.isNotNull(), F.array(declared))
+
+
+def compile_rules(rules: DataFrame) -> DataFrame:
+    """``dataset_sub_id, rules``: the object rules of each dataset's JSON schema, outer objects first.
+
+    A rule is the path of an object, its required properties, and the allowed
+    types of its properties.  A schema is taken apart level by level, so rules
+    may nest to any depth, and it is done once per dataset, not per request.  Of
+    repeated rules of a ``dataset_sub_id`` the last counts.
+    """
+    loaded = [c for c in ("loaded",) if c in rules.columns]
+    unique = one_per_key(rules.select("dataset_sub_id", "validation_json", *loaded), ["dataset_sub_id"])
+    level = unique.where("validation_json is not null").select(
+        "dataset_sub_id", F.array().cast("array<int>").alias("place"), F.lit("$").alias("path"), F.col("validation_json").alias("node")
     )
-    wrong = F.filter(
-        rules,
-        lambda rule: F.coalesce(
-            ~F.array_contains(rule["types"], rule["found"])
-            & ~(F.array_contains(rule["types"], "number") & (rule["found"] == "integer")),
-            F.lit(False),
+    done = None
+    for depth in range(MAX_DEPTH + 1):
+        parsed = level.withColumn("n", F.from_json("node", _NODE))
+        entries = F.coalesce(F.map_entries("n.properties"), F.array().cast("array<struct<key: string, value: string>>"))
+        properties = F.filter(
+            F.transform(entries, lambda e: F.struct(e["key"].alias("name"), _types(e["value"]).alias("types"))),
+            lambda p: p["types"].isNotNull(),
+        )
+        found = parsed.select(
+            "dataset_sub_id",
+            F.struct(
+                F.lit(depth).alias("depth"),
+                "place",
+                "path",
+                F.coalesce("n.required", _no_texts()).alias("required"),
+                properties.alias("properties"),
+            ).alias("rule"),
+        )
+        done = found if done is None else done.unionByName(found)
+        inner = F.col("e.value")
+        nested = F.get_json_object(inner, "$.properties").isNotNull() | F.get_json_object(inner, "$.required").isNotNull()
+        level = (
+            parsed.select("dataset_sub_id", "place", "path", F.posexplode(entries).alias("at", "e"))
+            .where(nested)
+            .select(
+                "dataset_sub_id",
+                F.array_append("place", F.col("at")).alias("place"),
+                F.concat("path", _segment(F.col("e.key"))).alias("path"),
+                inner.alias("node"),
+            )
+        )
+        if level.isEmpty():
+            break
+    else:
+        raise ValueError(f"a schema nests deeper than {MAX_DEPTH} levels")
+    return done.groupBy("dataset_sub_id").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
+
+
+def _json_type(value: Column) -> Column:
+    """The JSON type of a variant, null when there is none."""
+    names = F.create_map(*[F.lit(x) for pair in _JSON_TYPES.items() for x in pair])
+    return names[F.regexp_extract(F.schema_of_variant(value), "^([A-Z]+)", 1)]
+
+
+def _object_failure(found: Column, rule: Column) -> Column:
+    """Message of the first missing property, else of the first wrong type of one object, null when there is none."""
+    missing = F.filter(rule["required"], lambda name: found[name].isNull())
+    no_property = F.transform(
+        F.array(missing),
+        lambda m: F.when(
+            F.size(m) > 0,
+            F.concat(F.lit('Request object has missing required properties (["'), F.array_join(m, '","'), F.lit('"])')),
         ),
+    )[0]
+    typed = F.transform(
+        rule["properties"], lambda p: F.struct(_json_type(found[p["name"]]).alias("found"), p["types"].alias("types"))
     )
-    first = F.try_element_at(wrong, F.lit(1))
-    no_property = F.concat(
-        F.lit('Request object has missing required properties (["'), F.array_join(missing, '","'), F.lit('"])')
+    wrong = F.filter(
+        typed,
+        lambda t: t["found"].isNotNull()
+        & ~F.array_contains(t["types"], t["found"])
+        & ~(F.array_contains(t["types"], "number") & (t["found"] == "integer")),
     )
-    no_type = F.concat(
-        F.lit("Request instance type ("),
-        first["found"],
-        F.lit(') does not match any allowed primitive type (allowed: ["'),
-        F.array_join(first["types"], '","'),
-        F.lit('"])'),
+    no_type = F.transform(
+        F.slice(wrong, 1, 1),
+        lambda t: F.concat(
+            F.lit("Request instance type ("),
+            t["found"],
+            F.lit(') does not match any allowed primitive type (allowed: ["'),
+            F.array_join(t["types"], '","'),
+            F.lit('"])'),
+        ),
     )
-    return [F.when(F.size(missing) > 0, no_property), F.when(F.size(wrong) > 0, no_type)]
+    return F.coalesce(no_property, F.get(no_type, F.lit(0)))
 
 
-def schema_failure(body: Column, schema: Column) -> Column:
-    """First violation of a JSON schema's ``required`` and property ``type`` rules, null when there is none.
+def schema_failure(body: Column, rules: Column) -> Column:
+    """First violation of compiled rules by a body (a variant), null when there is none.
 
-    A type is one name or a list of names.  The rules of a property that is an
-    object itself are checked after those of the whole.
+    Objects are checked from the outside in.  A body that is no object lacks
+    all that is required; a property that is no object has no rules inside.
     """
-    rules = F.from_json(schema, _RULE_SCHEMA)
-    values = F.from_json(body, "map<string,string>")
-    inner = F.transform(
-        F.map_entries(rules["properties"]),
-        lambda rule: F.coalesce(
-            *_object_failures(
-                F.when(values[rule["key"]].startswith("{"), values[rule["key"]]),
-                F.when(values[rule["key"]].startswith("{"), rule["value"]["required"]),
-                rule["value"]["properties"],
-            )
-        ),
-    )
-    nested = F.try_element_at(F.filter(inner, lambda message: message.isNotNull()), F.lit(1))
-    return F.coalesce(*_object_failures(body, rules["required"], rules["properties"]), nested)
+
+    def of(rule: Column) -> Column:
+        none = F.create_map().cast("map<string,variant>")
+        found = F.try_variant_get(body, rule["path"], "map<string,variant>")
+        found = F.when(rule["path"] == "$", F.coalesce(found, none)).otherwise(found)
+        # Bound once: a lambda repeats what it names twice.
+        return F.transform(F.array(found), lambda m: F.when(m.isNotNull(), _object_failure(m, rule)))[0]
+
+    messages = F.filter(F.transform(rules, of), lambda message: message.isNotNull())
+    return F.get(messages, F.lit(0))
 
 
 def check_submissions(requests: DataFrame, rules: DataFrame, body: str = "body") -> DataFrame:
     """Adds ``failure``: by the dataset's JSON schema when it has one, else by the fixed rules.
 
-    Of repeated rules of a ``dataset_sub_id`` the last counts.
+    ``rules`` are rows with ``validation_json``, or the output of
+    ``compile_rules``.  A body is parsed once; one that is no JSON has no parts.
     """
-    loaded = [c for c in ("loaded",) if c in rules.columns]
-    unique = one_per_key(rules.select("dataset_sub_id", "validation_json", *loaded), ["dataset_sub_id"])
-    joined = requests.join(unique, "dataset_sub_id", "left")
-    text = F.col(body)
-    plain = submit_failure(
-        F.get_json_object(text, "$.tag"), F.get_json_object(text, "$.dataset"), F.get_json_object(text, "$.datasetConfig")
-    )
-    by_schema = schema_failure(text, F.col("validation_json"))
-    checked = joined.withColumn("failure", F.when(F.col("validation_json").isNull(), plain).otherwise(by_schema))
-    return checked.drop("validation_json")
+    compiled = rules if "rules" in rules.columns else compile_rules(rules)
+    compiled = compiled.select("dataset_sub_id", F.col("rules").alias("_rules"))
+    joined = requests.join(compiled, "dataset_sub_id", "left").withColumn("_parsed", F.try_parse_json(body))
+    named = [F.try_variant_get(F.col("_parsed"), f"$.{name}", "string") for name in ("tag", "dataset", "datasetConfig")]
+    by_schema = schema_failure(F.col("_parsed"), F.col("_rules"))
+    failure_ = F.when(F.col("_rules").isNull(), submit_failure(*named)).otherwise(by_schema)
+    return joined.withColumn("failure", failure_).drop("_rules", "_parsed")
 
 
 def check_search_filters(filters: dict | None, supported: list[str] | None = None) -> None:

@@ -125,23 +125,23 @@ QUERIES = {
 # -- SQL twins ---------------------------------------------------------------
 
 _OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-_IS_IP = f"regexp_full_match({{0}}, '{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}')"
+IS_IP = f"regexp_full_match({{0}}, '{_OCTET}[.]{_OCTET}[.]{_OCTET}[.]{_OCTET}')"
 
 
-def _ip_number(text: str) -> str:
+def ip_number(text: str) -> str:
     part = [f"cast(string_split({text}, '.')[{i}] as bigint)" for i in (1, 2, 3, 4)]
     return (
-        f"case when {_IS_IP.format(text)} then {part[0]}*16777216+{part[1]}*65536+{part[2]}*256+{part[3]} end"
+        f"case when {IS_IP.format(text)} then {part[0]}*16777216+{part[1]}*65536+{part[2]}*256+{part[3]} end"
     )
 
 
-_EFFECTIVE = "case when starts_with(header_ip,'192') then coalesce(ip_addr,'') else header_ip end"
+EFFECTIVE = "case when starts_with(header_ip,'192') then coalesce(ip_addr,'') else header_ip end"
 
 # Every address against every range: the plain reading of "narrowest range that contains it".
-_ENRICHED = f"""{with_views("registrations", "geo_ranges", "geo_cities")},
-addressed AS (select *, {_EFFECTIVE} effective_ip from registrations),
-numbered AS (select *, {_ip_number("effective_ip")} ip_int,
-  case when effective_ip='' then 'blank' when not {_IS_IP.format("effective_ip")} then 'invalid' else 'ok' end ip_status
+ENRICHED = f"""{with_views("registrations", "geo_ranges", "geo_cities")},
+addressed AS (select *, {EFFECTIVE} effective_ip from registrations),
+numbered AS (select *, {ip_number("effective_ip")} ip_int,
+  case when effective_ip='' then 'blank' when not {IS_IP.format("effective_ip")} then 'invalid' else 'ok' end ip_status
   from addressed),
 hits AS (select ip_int, geoname_id from (
   select ip_int, geoname_id, row_number() over (partition by ip_int order by
@@ -217,7 +217,7 @@ _EVENT = ",".join(
     ]
 )
 
-_UPDATES = f"""{_ENRICHED}, {_AGENT},
+_UPDATES = f"""{ENRICHED}, {_AGENT},
 updates AS (select did, ts, event_id, dspec devicespec, ua_json uaspec, fcm_token, producer, user_declared_state,
   user_declared_district, cast(geoname_id as varchar) geoname_id, continent_name, country_code, country_name, state_code,
   state, city, state_custom, state_code_custom, district_custom
@@ -227,16 +227,16 @@ profiles AS (select did, {", ".join(f"arg_max({f}, (ts, event_id)) filter (where
 
 ORACLES = {
     "ip_to_int": f"""{with_views("registrations")}
-select event_id, header_ip, coalesce({_ip_number("header_ip")},-1) ip_int from registrations""",
+select event_id, header_ip, coalesce({ip_number("header_ip")},-1) ip_int from registrations""",
     "effective_ip": f"""{with_views("registrations")}
-select event_id, effective_ip, case when effective_ip='' then 'blank' when {_IS_IP.format("effective_ip")} then 'ok' else 'invalid' end ip_status
-from (select event_id, {_EFFECTIVE} effective_ip from registrations)""",
+select event_id, effective_ip, case when effective_ip='' then 'blank' when {IS_IP.format("effective_ip")} then 'ok' else 'invalid' end ip_status
+from (select event_id, {EFFECTIVE} effective_ip from registrations)""",
     "registration_parse": f"""{with_views("registrations")}
 select event_id, did, ip_addr, fcm_token, producer, event_id*1000 first_access, dspec, user_declared_state,
  user_declared_district, user_id, url from registrations""",
-    "ip_location_enrich": f"""{_ENRICHED}
+    "ip_location_enrich": f"""{ENRICHED}
 select event_id, effective_ip, ip_status, in_range, resolved, geoname_id, {", ".join(geo.LOCATION_FIELDS)} from enriched""",
-    "registrations_by_state": f"""{_ENRICHED}
+    "registrations_by_state": f"""{ENRICHED}
 select continent_name, state, count(*) registrations, count(distinct did) devices from enriched
 where ip_status='ok' group by continent_name, state""",
     "geo_city_lookup": f"""{with_views("geo_ranges", "geo_cities")}
@@ -244,12 +244,12 @@ select r.geoname_id, network_start_integer, network_last_integer, subdivision_1_
 from geo_ranges r join geo_cities c on r.geoname_id=c.geoname_id""",
     "user_agent_enrich": f"""{with_views("registrations")}, {_AGENT}
 select agent_event event_id, agent, ver, system, ua_json uaspec from agent_text""",
-    "device_event": f"""{_ENRICHED}, {_AGENT}
+    "device_event": f"""{ENRICHED}, {_AGENT}
 select event_id, did, concat('{{',rtrim(concat({_EVENT}),','),'}}') value
 from enriched join agent_text on event_id=agent_event where ip_status='ok'""",
     "device_profile_state": f"{_UPDATES} select * from profiles",
     "device_profile": f"""{_UPDATES},
-seen AS (select distinct {_ip_number("header_ip")} ip_int from registrations),
+seen AS (select distinct {ip_number("header_ip")} ip_int from registrations),
 spot AS (select ip_int, geoname_id from (select s.ip_int, geoname_id, row_number() over (partition by s.ip_int order by
   network_last_integer-network_start_integer, network_start_integer, geoname_id) rn
   from seen s join geo_ranges on s.ip_int between network_start_integer and network_last_integer) where rn=1)
@@ -257,9 +257,9 @@ select r.event_id, r.did, r.header_ip, coalesce(subdivision_1_custom_name,'') ip
  coalesce(subdivision_2_custom_name,'') ip_district,
  case when p.user_declared_state<>'' then p.user_declared_state end declared_state,
  case when p.user_declared_state<>'' then p.user_declared_district end declared_district
-from (select *, {_ip_number("header_ip")} n from registrations) r left join spot on n=spot.ip_int
+from (select *, {ip_number("header_ip")} n from registrations) r left join spot on n=spot.ip_int
 left join geo_cities c on spot.geoname_id=c.geoname_id left join profiles p on r.did=p.did where n is not null""",
-    "registration_metrics": f"""{_ENRICHED},
+    "registration_metrics": f"""{ENRICHED},
 counted AS (select time_bucket(interval '30 minutes', ts) w, count(*) api_calls, count(*) filter (where ip_status='ok') hit_count,
  count(*) filter (where ip_status='ok' and resolved) success_count, count(*) filter (where ip_status='ok' and not resolved) miss_count,
  count(*) filter (where ip_status='invalid') error_count, count(*) filter (where ip_status='ok') published_count

@@ -79,6 +79,20 @@ select 16777216+s_suppkey*1000000 network_start_integer, 16777216+s_suppkey*1000
  union all
 select 16777216+s_suppkey*1000000+100000, 16777216+s_suppkey*1000000+100000+1000*(1+mod(s_suppkey,7)),
  1000+cast(mod(s_suppkey,25) as int) from supplier""",
+    # Bounds and places move from version to version.
+    "geo_range_versions": """
+select network_start_integer, network_last_integer, cast(geoname_id as int) geoname_id, cast('2023-12-29 00:00:00' as timestamp) valid_from from geo_ranges
+ union all
+select network_start_integer+50000, network_last_integer+50000, cast(1000+mod(geoname_id+3,25) as int), cast('2024-01-05 00:00:00' as timestamp) from geo_ranges
+ union all
+select network_start_integer+1000, network_last_integer, cast(1000+mod(geoname_id+5,25) as int), cast('2024-01-15 00:00:00' as timestamp) from geo_ranges
+ union all
+select network_start_integer-20000, network_last_integer-60000, cast(1000+mod(geoname_id+7,25) as int), cast('2024-01-25 00:00:00' as timestamp)
+ from geo_ranges where network_last_integer-60000 >= network_start_integer-20000""",
+    # In about the order of time, a tenth of the rows one batch late.
+    "arrivals": """
+select r.*, least(3, case when extract(day from ts)<8 then 0 when extract(day from ts)<18 then 1 when extract(day from ts)<28 then 2 else 3 end
+ + case when mod(event_id,10)=0 then 1 else 0 end) arrival from registrations r""",
     "geo_city_rows": """
 select case when n_nationkey=24 then 9024 else 1000+n_nationkey end geoname_id, r_name continent_name, concat('C',cast(r_regionkey as string)) country_iso_code,
  concat('Country ',cast(r_regionkey as string)) country_name, concat('S',cast(n_nationkey as string)) subdivision_1_iso_code,

@@ -1,115 +1,186 @@
-"""Remembered experiment lookups.
+"""Remembered experiment lookups: keyed state with a lifetime.
 
 A lookup that finds an experiment is remembered for good, one that finds none
-for a limited time.  What is remembered is kept per lookup key in a merged
-table, laid out in ``BUCKETS`` folders by a hash of the key; a batch reads the
-folders of its own keys, and keeps what it has searched until both of its
-outputs are written.  The index may be loaded again between batches, so an edit
-of an experiment shows for keys that are not remembered.
-
-Keyed state (``transformWithState``) would send all lookups of one key to one
-task.  Here a key is looked up and searched once per batch and joined back, so
-a key that holds a third of all lookups is split like any skewed join.
+for a limited time.  The flow has two levels, so that a hot key is never one
+task's rows:
+
+1. ``search_stream``.  Each micro-batch reduces its lookups to one row per
+   lookup key, combined before the shuffle, and searches those.  The lookups
+   themselves stay where they are, in the table of the batch.
+2. ``answer_stream``.  The searched keys pass ``transformWithState``: the state
+   of a key is what it remembers, and a timer removes a miss once event time has
+   passed its expiry.  The operator gets one row per key and batch, however hot
+   the key is.  Its decisions are joined back to the batch's lookups, a join
+   whose hot keys adaptive execution splits.
+
+Event time is the newest lookup seen, carried as a rising ``clock`` on every
+searched key; so a late lookup is still answered, and no clock of a machine is
+read.  The index comes from a callable and may be loaded again between batches:
+an edit of an experiment shows for keys that are not remembered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.functions.hashing import lookup_key
 from tidewell.operators import experiments
-from tidewell.operators.upserts import latest_by_key
-from tidewell.streaming.tables import BatchTable, MergedTable
+from tidewell.session import shuffle_partitions
+from tidewell.streaming.tables import BatchClock, BatchTable, ROCKSDB, STATE_STORE
+
+FOUND = "experiment_id string, score double, passes boolean, document struct<{}>".format(
+    ", ".join(f"{name}: string" for name in experiments.DOCUMENT)
+)
+_FOUND_COLUMNS = ["experiment_id", "score", "passes", "document"]
+#: Searched keys: what the batch's search found is one JSON text, null when it found none.
+SEARCHED = "source_batch long, lookup_key string, first_us long, last_us long, clock timestamp, found string"
+DECIDED = "source_batch long, lookup_key string, remembered string, covered_until long, found string"
+#: Times in the state are microseconds; a hit is covered until the end of time.
+FOR_GOOD = 2**63 - 1
+
+
+def with_key(lookups: DataFrame) -> DataFrame:
+    return lookups.withColumn("lookup_key", lookup_key(*[F.col(c) for c in ("deviceId", "userId", "url", "producer")]))
+
+
+def searched_keys(keyed: DataFrame, index: DataFrame, batch: int) -> DataFrame:
+    """One row per lookup key of a batch: its first and last time, and what a search finds for it."""
+    first = [F.any_value(F.col(c)).alias(c) for c in experiments.FIELDS]  # the key determines the fields
+    # A lookup without a time is answered by the search of its batch.
+    times = [F.coalesce(F.unix_micros(t), F.lit(0)).alias(n) for n, t in (("first_us", F.min("ts")), ("last_us", F.max("ts")))]
+    asked = keyed.groupBy("lookup_key").agg(*times, *first)
+    found = F.when(F.col("experiment_id").isNotNull(), F.to_json(F.struct(*_FOUND_COLUMNS)))
+    return experiments.match(asked, index).select(
+        F.lit(batch).cast("long").alias("source_batch"), "lookup_key", "first_us", "last_us", found.alias("found")
+    )
+
+
+class Remember(StatefulProcessor):
+    """What a lookup key remembers: an answer for good, or until when it found none."""
+
+    def __init__(self, miss_seconds: int):
+        self.lifetime = miss_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.answer = handle.getValueState("answer", "found string, expires long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.answer.get()
+        held = before
+        for row in sorted(rows, key=lambda r: r["source_batch"]):
+            until = None
+            if held is not None:
+                until = FOR_GOOD if held[0] is not None else held[1]
+            yield Row(
+                source_batch=row["source_batch"],
+                lookup_key=key[0],
+                remembered=None if held is None else held[0],
+                covered_until=until,
+                found=row["found"],
+            )
+            if until is None or row["last_us"] >= until:
+                # Some lookup was not covered: what the search of this batch found is remembered.
+                searched_at = row["first_us"] if until is None else max(row["first_us"], until)
+                held = (row["found"], None if row["found"] is not None else searched_at + self.lifetime)
+        if held != before:
+            self.answer.update(held)
+            if before is not None and before[1] is not None:
+                self.handle.deleteTimer(_timer(before[1]))
+            if held[1] is not None:
+                self.handle.registerTimer(_timer(held[1]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """A miss leaves the state; what has been found meanwhile stays."""
+        held = self.answer.get()
+        if held is not None and held[1] is not None and _timer(held[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.answer.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _timer(micros: int) -> int:
+    """The first whole millisecond at or after a time."""
+    return -(-micros // 1000)
+
+
+def search_stream(
+    lookups: DataFrame, index: Callable[[], DataFrame], keyed: BatchTable, searched: BatchTable, checkpoint: str
+) -> DataStreamWriter:
+    """Writes each batch's lookups with their keys, and its distinct keys with what a search finds."""
+    clock = BatchClock(searched)
 
-BUCKETS = 64
-FOUND = ["experiment_id", "score", "passes", "document"]
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        keyed.write(with_key(batch), batch_id)
+        rows = spark.read.schema(with_key(batch).schema).parquet(f"{keyed.root}/batch={batch_id}")
+        newest = clock.advance(spark, batch_id, rows.agg(F.max("ts")).first()[0])
+        found = searched_keys(rows, index(), batch_id)
+        clocked = found.withColumn("clock", F.lit(newest).cast("timestamp"))
+        # As many files as there are tasks of the second level, so that a reader can take a batch at a time.
+        searched.write(clocked.repartition(shuffle_partitions(spark), "lookup_key"), batch_id)
 
+    return lookups.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
 
-def newest_search(rows: DataFrame) -> DataFrame:
-    """What the last search of each key found."""
-    return latest_by_key(rows, ["lookup_key"], ["searched_at"])
 
+def searched_batches(spark: SparkSession, searched: BatchTable) -> DataFrame:
+    """The table that ``search_stream`` writes as a stream, about one of its batches at a time."""
+    each = str(shuffle_partitions(spark))
+    return spark.readStream.schema(SEARCHED).option("maxFilesPerTrigger", each).parquet(f"{searched.root}/batch=*")
 
-def bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
+def decide(searched: DataFrame, miss_seconds: int = experiments.MISS_SECONDS) -> DataFrame:
+    """Per key and batch: what was remembered, for lookups before ``covered_until``, and what the others get."""
+    searched.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    clocked = searched.withWatermark("clock", "1 second")  # rows of the newest clock are not late
+    return clocked.groupBy("lookup_key").transformWithState(
+        Remember(miss_seconds), DECIDED, outputMode="Append", timeMode="EventTime"
+    )
 
-def memory_table(root: str) -> MergedTable:
-    return MergedTable(root, newest_search, layout=["bucket"])
 
+def answered(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """The lookups with their experiment, whether they were ``covered`` by what was remembered, and their actions."""
+    joined = keyed.join(decided, ["source_batch", "lookup_key"], "left")
+    covered = F.coalesce(F.unix_micros("ts") < F.col("covered_until"), F.lit(False))
+    answer = F.from_json(F.when(F.col("covered"), F.col("remembered")).otherwise(F.col("found")), FOUND)
+    rows = joined.withColumn("covered", covered).withColumn("answer", answer)
+    kept = [c for c in keyed.columns if c != "source_batch"]
+    return experiments.assign(rows.select(*kept, "covered", *[F.col(f"answer.{c}").alias(c) for c in _FOUND_COLUMNS]))
 
-def answer_batch(
-    lookups: DataFrame,
-    index: DataFrame,
-    remembered: DataFrame | None,
-    miss_seconds: int = experiments.MISS_SECONDS,
-    keep: Callable[[DataFrame], DataFrame] = lambda searched: searched,
-) -> tuple[DataFrame, DataFrame]:
-    """(answered lookups, what to remember) of one batch.  ``keep`` is applied to what both share, for example a cache.
-
-    ``lookups`` carries ``lookup_id, ts, userId, deviceId, url, producer``;
-    ``remembered`` are rows of a memory table, null ``expires_at`` for a hit.
-    A lookup after the expiry of its key searches again.
-    """
-    key = lookup_key(*[F.col(c) for c in ("deviceId", "userId", "url", "producer")])
-    keyed = lookups.withColumn("lookup_key", key)
-    if remembered is None:
-        known = keyed.withColumn("covered", F.lit(False))
-    else:
-        asked = keyed.select("lookup_key").distinct()
-        old = newest_search(remembered.join(asked, "lookup_key", "left_semi")).select(
-            "lookup_key", F.lit(True).alias("kept"), "expires_at", *[F.col(c).alias(f"old_{c}") for c in FOUND]
-        )
-        covered = F.col("kept").isNotNull() & (F.col("expires_at").isNull() | (F.col("ts") < F.col("expires_at")))
-        known = keyed.join(old, "lookup_key", "left").withColumn("covered", covered)
-    first = F.min_by(F.struct("ts", *experiments.FIELDS), "ts").alias("first")
-    open_keys = known.filter(~F.col("covered")).groupBy("lookup_key").agg(first).select("lookup_key", "first.*")
-    searched = keep(experiments.match(open_keys, index))
-    expires = F.when(F.col("experiment_id").isNull(), F.col("ts") + F.make_dt_interval(secs=F.lit(miss_seconds)))
-    remember = ["lookup_key", F.col("ts").alias("searched_at"), *FOUND, expires.alias("expires_at")]
-    to_remember = searched.select(*remember, bucket(F.col("lookup_key")).alias("bucket"))
-    found = searched.select("lookup_key", *[F.col(c).alias(f"new_{c}") for c in FOUND])
-    joined = known.join(found, "lookup_key", "left")
-    if remembered is None:
-        chosen = [F.col(f"new_{c}").alias(c) for c in FOUND]
-    else:
-        chosen = [F.when(F.col("covered"), F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")).alias(c) for c in FOUND]
-    return experiments.assign(joined.select(*lookups.columns, "lookup_key", "covered", *chosen)), to_remember
-
-
-def assign_stream(
-    lookups: DataFrame,
-    index: Callable[[], DataFrame],
-    memory: MergedTable,
+
+def answer_stream(
+    searched: DataFrame,
+    keyed: BatchTable,
     answers: BatchTable,
     checkpoint: str,
     miss_seconds: int = experiments.MISS_SECONDS,
 ) -> DataStreamWriter:
-    """The stream writer of the assignment flow; the caller sets the trigger and starts it."""
+    """The stream writer of the second level; ``searched`` streams the table that ``search_stream`` writes."""
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        kept: list[DataFrame] = []
-
-        def keep(searched: DataFrame) -> DataFrame:
-            kept.append(searched.persist())
-            return kept[-1]
-
-        remembered = memory.parts(batch.sparkSession, before=batch_id)
-        if remembered is not None:
-            key = lookup_key(*[F.col(c) for c in ("deviceId", "userId", "url", "producer")])
-            # At most ``BUCKETS`` numbers, which prune the folders of the memory.
-            own = [row[0] for row in batch.select(bucket(key)).distinct().collect()]
-            remembered = remembered.filter(F.col("bucket").isin(own))
+    def process(decided: DataFrame, batch_id: int) -> None:
+        spark = decided.sparkSession
+        decided.persist()
         try:
-            answered, to_remember = answer_batch(batch, index(), remembered, miss_seconds, keep)
-            answers.write(answered, batch_id)
-            memory.write(to_remember, batch_id)
+            # A few numbers: the searched batches that this one has read.
+            sources = [r[0] for r in decided.select("source_batch").distinct().collect()]
+            if sources:
+                lookups = keyed.read(spark, after=min(sources) - 1, before=max(sources) + 1)
+                lookups = lookups.withColumnRenamed("batch", "source_batch").where(F.col("source_batch").isin(sources))
+                answers.write(answered(lookups, decided), batch_id)
         finally:
-            for frame in kept:
-                frame.unpersist()
+            decided.unpersist()
 
-    return lookups.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return decide(searched, miss_seconds).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+
+
+def remembered(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state of ``answer_stream``: ``lookup_key, found, expires`` of every key that remembers something."""
+    state = spark.read.format("statestore").option("stateVarName", "answer").load(checkpoint)
+    expires = F.timestamp_micros("value.expires")
+    return state.select("key.lookup_key", "value.found", expires.alias("expires"))

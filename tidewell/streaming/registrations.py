@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidewell.operators import devices
 from tidewell.operators.geo import GeoIndex
+from tidewell.streaming.reference import Reloading, by_version
 from tidewell.streaming.tables import BatchTable, ProfileStore
 
 Sink = Callable[[DataFrame, int], None]
@@ -54,3 +57,26 @@ def register(
             enriched.unpersist()
 
     return registrations.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+
+
+def locate_by_version(
+    registrations: DataFrame, reloading: Reloading[GeoIndex], located: BatchTable, checkpoint: str
+) -> DataStreamWriter:
+    """Writes each batch's registrations with the place that the ranges of their time give.
+
+    The loads that are due by the newest registration of a batch are made
+    first.  A row takes the newest version loaded at or before its own time,
+    whichever batch it comes in, so a late row and a repeated batch are
+    answered alike while their version is kept.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            newest = rows.agg(F.max("ts")).first()[0] or datetime.datetime(1970, 1, 1)
+            known = reloading.up_to(rows.sparkSession, newest)
+            located.write(by_version(rows, reloading.versions, known, "ts", devices.enrich), batch_id)
+        finally:
+            rows.unpersist()
+
+    return registrations.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

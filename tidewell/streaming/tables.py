@@ -7,6 +7,7 @@ nothing is counted twice.
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Callable, Sequence
 
@@ -16,7 +17,12 @@ from pyspark.sql import functions as F
 from tidewell.operators.devices import merge_stamped, unstamped
 
 
-def _folders(spark: SparkSession, root: str, name: str) -> list[int]:
+#: Keyed state of the streams is kept in RocksDB, outside the heap.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def finished_folders(spark: SparkSession, root: str, name: str) -> list[int]:
     """Numbers of the finished ``name=<number>`` folders below a root."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -47,7 +53,7 @@ class BatchTable:
         _save(rows, f"{self.root}/batch={batch_id}", self.layout)
 
     def batches(self, spark: SparkSession, after: int = -1, before: int | None = None) -> list[int]:
-        found = _folders(spark, self.root, "batch")
+        found = finished_folders(spark, self.root, "batch")
         return [b for b in found if b > after and (before is None or b < before)]
 
     def read(self, spark: SparkSession, after: int = -1, before: int | None = None) -> DataFrame | None:
@@ -59,6 +65,24 @@ class BatchTable:
         return spark.read.option("basePath", self.root).parquet(*paths)
 
 
+class BatchClock:
+    """The newest event time of a stream, which only rises; a restart goes on from the ``clock`` column of its table."""
+
+    def __init__(self, table: BatchTable):
+        self.table = table
+        self.at: datetime.datetime | None = None
+        self.started = False
+
+    def advance(self, spark: SparkSession, batch_id: int, newest: datetime.datetime | None) -> datetime.datetime | None:
+        if not self.started:
+            done = self.table.batches(spark, before=batch_id)
+            if done:
+                self.at = self.table.read(spark, after=done[-1] - 1, before=batch_id).agg(F.max("clock")).first()[0]
+            self.started = True
+        self.at = max([t for t in (self.at, newest) if t is not None], default=None)
+        return self.at
+
+
 class MergedTable:
     """A keyed table kept as pieces that an associative ``merge`` folds together.
 
@@ -88,7 +112,7 @@ class MergedTable:
 
     def parts(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
         """The newest snapshot and the pieces after it, not yet merged."""
-        done = [n for n in _folders(spark, self.snapshots, "upto") if before is None or n < before]
+        done = [n for n in finished_folders(spark, self.snapshots, "upto") if before is None or n < before]
         upto = max(done, default=-1)
         newer = self.pieces.read(spark, after=upto, before=before)
         newer = None if newer is None else newer.drop("batch")
@@ -105,7 +129,7 @@ class MergedTable:
     def compact(self, spark: SparkSession) -> None:
         """Writes a snapshot of everything up to the last finished batch."""
         last = max(self.pieces.batches(spark), default=-1)
-        if last > max(_folders(spark, self.snapshots, "upto"), default=-1):
+        if last > max(finished_folders(spark, self.snapshots, "upto"), default=-1):
             _save(self.read(spark), f"{self.snapshots}/upto={last}", self.pieces.layout)
 
 

@@ -2,7 +2,7 @@
 
 The covariance is never formed.  Spark holds the distinct vectors in blocks of
 centred doubles; a product with a few columns is one pass, C'(C v) / n, whose
-dims by columns result is summed in Spark.  Every entry is centred before it is
+dims by columns totals are added up in Spark.  Every entry is centred before it is
 multiplied: (n x - S) is exact in whole numbers, and is divided by n once.
 
 Iteration, for all wanted components at a time:
@@ -49,9 +49,12 @@ COMPONENTS = 16
 SCALE = 64
 SHIFT = 1_000_000
 BLOCK = 4096
+#: Bytes of centred vectors that a task writes to one file.
+FILE_BYTES = 16 << 20
+REDUCERS = 8
 #: A residual of so many times the largest value is rounding only.
 TOLERANCE = 64 * np.finfo(float).eps
-INNER_STEPS = 8
+INNER_STEPS = 4
 OUTER_STEPS = 200
 
 Product = Callable[[np.ndarray], np.ndarray]
@@ -106,7 +109,7 @@ def _centred_blocks(n: int, sums: np.ndarray):
 
 
 def _partial(vectors: np.ndarray, gram: bool):
-    """C'(C v) of a task, or the products and sums of C v, one row per number."""
+    """C'(C v) of a task, or the products and sums of C v, as one row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -117,13 +120,22 @@ def _partial(vectors: np.ndarray, gram: bool):
                 part = np.vstack([w.T @ w, w.sum(axis=0)]) if gram else c.T @ w
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "value"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
 
     return run
 
 
+def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the totals of a task."""
+    total = None
+    for batch in batches:
+        for held in batch.column("total"):
+            part = np.frombuffer(held.as_py())
+            total = part if total is None else total + part
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["total"])
+
+
 class Covariance:
     """Products with the covariance of centred blocks; ``passes`` counts the scans."""
 
@@ -132,10 +144,10 @@ class Covariance:
 
     def _run(self, vectors: np.ndarray, gram: bool, shape: tuple[int, int]) -> np.ndarray:
         self.passes += 1
-        parts = self.blocks.mapInArrow(_partial(np.ascontiguousarray(vectors), gram), "place long, value double")
-        rows = parts.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-        out = np.zeros(shape[0] * shape[1])
-        out[rows.column("place").to_numpy()] = rows.column("value").to_numpy()
+        parts = self.blocks.mapInArrow(_partial(np.ascontiguousarray(vectors), gram), "total binary")
+        # One row per task, added up by a few tasks, of which the driver adds the last sums.
+        rows = parts.repartition(REDUCERS).mapInArrow(_added, "total binary").collect()
+        out = sum((np.frombuffer(r["total"]) for r in rows), np.zeros(shape[0] * shape[1]))
         return out.reshape(shape) / self.n
 
     def __call__(self, vectors: np.ndarray) -> np.ndarray:
@@ -241,7 +253,8 @@ def eigenpairs(
     space = orthonormal(np.random.default_rng(1).normal(size=(dims, min(dims, wanted + 4))), [])
     image = product(space)
     locked = space[:, :0]
-    widest = max(3 * wanted + 8, wanted + 24)
+    # Short vectors may be spanned whole; long ones are folded down before numbers beyond this many columns are held.
+    widest = max(3 * wanted + 8, min(dims, 8 * wanted))
     scale, goal = 0.0, 0.5
     for _ in range(OUTER_STEPS):
         h = space.T @ image
@@ -354,7 +367,9 @@ def whiten(
     n, sums = (totals[0]["n"] if totals else 0), np.array([t["s"] for t in totals], dtype=np.int64)
     values, vectors, trace, error = np.zeros(0), np.zeros((len(sums), 0)), 0.0, 0.0
     if n > 1:
-        blocks = common.stored(fit.mapInArrow(_centred_blocks(n, sums), "c binary"), f"{folder}/centred")
+        files = max(1, n * len(sums) * 8 // FILE_BYTES)
+        blocks = fit.coalesce(files).mapInArrow(_centred_blocks(n, sums), "c binary")
+        blocks = common.stored(blocks, f"{folder}/centred")
         covariance = Covariance(blocks, n, len(sums))
         values, vectors = eigenpairs(covariance, len(sums), components)
         varied = values > len(sums) * np.finfo(float).eps * values[0]

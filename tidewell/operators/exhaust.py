@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 FORMATS = ("json", "csv")
@@ -54,6 +55,36 @@ def write(rows: DataFrame, path: str, output_format: str = "json") -> None:
     writer.format(output_format).save(path)
 
 
+def write_observed(
+    telemetry: DataFrame,
+    exported: Column,
+    path: str,
+    columns: Sequence[str],
+    groups: Mapping[str, Column],
+    output_format: str = "json",
+) -> dict[str, dict[str, int | None]]:
+    """Writes an export and returns its figures per group, observed while it is written.
+
+    The figures are those of ``job_figures`` for the rows that meet each
+    group's condition; a handful of groups, such as the asked event names.  The
+    telemetry is scanned once, for the export itself.
+    """
+    figures = Observation()
+    metrics = []
+    for i, condition in enumerate(groups.values()):
+        moment = F.when(exported & condition, F.unix_millis("ts"))
+        metrics += [
+            F.count_if(condition).alias(f"input_events_{i}"),
+            F.count_if(exported & condition).alias(f"output_events_{i}"),
+            F.min(moment).alias(f"dt_first_event_{i}"),
+            F.max(moment).alias(f"dt_last_event_{i}"),
+        ]
+    write(telemetry.observe(figures, *metrics).filter(exported).select(*columns, "event_day"), path, output_format)
+    found = figures.get
+    names = ("input_events", "output_events", "dt_first_event", "dt_last_event")
+    return {group: {n: found[f"{n}_{i}"] for n in names} for i, group in enumerate(groups)}
+
+
 def job_figures(telemetry: DataFrame, exported: Column, keys: list[str]) -> DataFrame:
     """Input events, and events and first and last time of the rows that meet ``exported``, per key.
 

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from tidewell.operators import devices as ops
 from tidewell.operators import geo
 from tidewell.operators.devices import COUNTERS
 from tidewell.plans import devices, experiments
 from tidewell.plans.views import table, view, with_views
 from tidewell.session import shuffle_partitions, work_folder
 from tidewell.sources import tables
-from tidewell.streaming import assignments, metrics, registrations
+from tidewell.streaming import assignments, event_log, metrics, registrations
 from tidewell.streaming.reference import Refreshed, Reloading, Versions
 from tidewell.streaming.tables import BatchTable, ProfileStore
 
@@ -76,6 +77,15 @@ def device_event_stream(spark, sf_dir):
     return events.select("event_id", "did", "value")
 
 
+def device_event_log(spark, sf_dir):
+    """Events published by a stream to a log that commits each epoch once; equal to the batch events."""
+    folder = work_folder(spark, "event-log")
+    enriched = ops.enrich(_stream(spark, sf_dir, "events", "registrations"), devices.geo_index(spark, sf_dir))
+    events = ops.device_events(enriched).select("event_id", "did", "value")
+    run_to_end(event_log.publish(events, f"{folder}/log", f"{folder}/checkpoint"))
+    return event_log.read(spark, f"{folder}/log", "event_id bigint, did string, value string")
+
+
 def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Revisions of the windows after the metrics stream over the outcomes, and the windows still open."""
     folder = _registered(spark, sf_dir)
@@ -162,6 +172,7 @@ QUERIES = {
     for f in (
         device_registration_stream,
         device_event_stream,
+        device_event_log,
         registration_metrics_stream,
         published_windows_stream,
         versioned_location_stream,
@@ -198,6 +209,7 @@ from numbered n left join hits h on n.ip_int=h.ip_int and n.valid=h.valid left j
 ORACLES = {
     "device_registration_stream": devices.ORACLES["device_profile_state"],
     "device_event_stream": devices.ORACLES["device_event"],
+    "device_event_log": devices.ORACLES["device_event"],
     "registration_metrics_stream": devices.ORACLES["registration_metrics"],
     "published_windows_stream": _CLOSED,
     "versioned_location_stream": _VERSIONED,

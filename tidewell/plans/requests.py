@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import hashing, texts
 from tidewell.operators import access, requests, validation
 from tidewell.plans.views import view, with_views
-from tidewell.sources import documents
+from tidewell.session import work_folder
+from tidewell.sources import documents, laid_out
 
 SEARCH = {"dataset": "1-URGENT", "status": "SUCCESS", "channel": None}
 SEARCH_DAY = {"requestedDate": "1995-02-18"}
@@ -71,6 +75,41 @@ def request_submit(spark, sf_dir):
     )
 
 
+def request_registry_upsert(spark, sf_dir):
+    """The stored registry after the submissions: only touched partitions are joined, in place, and written again."""
+    folder = work_folder(spark, "request-registry")
+    table = laid_out.Registry(spark, f"requests_{uuid.uuid4().hex}", f"{folder}/requests", requests.KEY)
+    table.create(_jobs(spark, sf_dir))
+    incoming = requests.resolve(view(spark, sf_dir, "new_requests"))
+    table.upsert(incoming, lambda jobs, submitted: requests.merge_submissions(jobs, submitted).drop("action"))
+    return table.read().select(
+        "tag",
+        "request_id",
+        "job_id",
+        "status",
+        "requested_by",
+        "requested_channel",
+        F.unix_millis("dt_job_submitted").alias("submitted_ms"),
+        F.coalesce("iteration", F.lit(-1)).alias("iteration"),
+    )
+
+
+def _search_table(spark, sf_dir) -> DataFrame:
+    """The job table laid out along the columns that it is searched by."""
+    folder = work_folder(spark, "request-search")
+    laid_out.write_for_search(_jobs(spark, sf_dir), folder, ["job_id", "requested_channel", "dt_job_submitted"], ["request_id"])
+    return spark.read.parquet(folder)
+
+
+def request_search_laid_out(spark, sf_dir):
+    """Searches of three kinds over the laid-out table, under each other."""
+    jobs, parts = _search_table(spark, sf_dir), []
+    for kind, filters in (("dataset", SEARCH), ("day", SEARCH_DAY), ("channel", {"channel": "ch-7", "status": "FAILED"})):
+        found = requests.search(jobs, filters, 20)
+        parts.append(found.select(F.lit(kind).alias("kind"), "request_id", "tag", F.unix_millis("dt_job_submitted").alias("submitted_ms")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def request_submit_answer(spark, sf_dir):
     incoming = view(spark, sf_dir, "new_requests")
     failure = validation.submit_failure(F.col("client_tag"), F.col("dataset"), F.col("dataset_config"))
@@ -218,6 +257,8 @@ QUERIES = {
         request_validate,
         schema_rules,
         request_submit,
+        request_registry_upsert,
+        request_search_laid_out,
         request_submit_answer,
         request_status,
         request_read,
@@ -309,6 +350,15 @@ select o_orderkey, dataset dataset_sub_id, case
     "request_submit": f"""{with_views("new_requests", "job_requests")}, {_NEW}, {_merged("incoming")}
 select tag, request_id, job_id, status, request_data, requested_by, requested_channel,
  epoch_us(dt_job_submitted)//1000 submitted_ms, iteration, action from merged""",
+    "request_registry_upsert": f"""{with_views("new_requests", "job_requests")}, {_NEW}, {_merged("incoming")}
+select tag, request_id, job_id, status, requested_by, requested_channel, epoch_us(dt_job_submitted)//1000 submitted_ms, iteration from merged""",
+    "request_search_laid_out": f"""{with_views("job_requests")}, jobs AS (select *, epoch_us(dt_job_submitted)//1000 submitted_ms from job_requests)
+select * from (select 'dataset' kind, request_id, tag, submitted_ms from jobs where job_id='1-URGENT' and status='SUCCESS'
+ order by dt_job_submitted desc, request_id limit 20)
+union all select * from (select 'day', request_id, tag, submitted_ms from jobs where cast(dt_job_submitted as date)=cast('1995-02-18' as date)
+ order by dt_job_submitted desc, request_id limit 20)
+union all select * from (select 'channel', request_id, tag, submitted_ms from jobs where requested_channel='ch-7' and status='FAILED'
+ order by dt_job_submitted desc, request_id limit 20)""",
     "request_submit_answer": f"""{with_views("new_requests", "job_requests", "consumer_channels", "users", "dataset_roles")}, {_NEW},
 {_decided("incoming", "a.*", _WANTED, _OWN)},
 allowed AS (select * from decided where failure is null and reason is null), {_merged("allowed")}

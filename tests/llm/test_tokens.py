@@ -92,3 +92,20 @@ def test_empty_tables(documents):
     none = documents([]).select("doc_id", "text")
     assert bpe.digests(none, WORD).count() == 0
     assert packing.digests(packing.pack(none, BYTE)).count() == 0
+
+
+def test_very_long_white_space(documents):
+    """Runs of white space on which the fast encoder gives up."""
+    texts = {1: "\n" * 1_000_000, 2: "a" + " " * 2_000_000, 3: " \n" * 600_000 + "end", 4: "\t" * 1_000_000 + "<|endoftext|>"}
+    tool = library(BYTE)
+    pieces = packing.digests(packing.pack(documents(list(texts.items())), BYTE)).collect()
+    for doc, text in texts.items():
+        ids = [*tool.encode(text, add_special_tokens=False).ids, 1]
+        own = sorted((p for p in pieces if p.doc_id == doc), key=lambda p: p.start)
+        assert sum(p.length for p in own) == own[0].doc_tokens == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in own)
+
+
+def test_ids_beyond_16_bits_stop(documents, tmp_path):
+    with pytest.raises(Exception, match="65536|out of bounds"):
+        packing.pack(documents([(1, "a")]), BYTE, end_id=65_536).collect()

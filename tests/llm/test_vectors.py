@@ -60,6 +60,21 @@ def test_nearest_is_exact(spark, small_blocks):
     assert sorted(tuple(r) for r in found) == brute(rows, 20, float, zero=False)
 
 
+def test_products_of_long_vectors_are_exact():
+    rng = np.random.default_rng(6)
+    a, b = (rng.integers(100, 128, (4, 9000)).astype(np.int8) for _ in range(2))
+    assert (nearest.int_products(a, b.T.astype(np.float32)) == a.astype(np.int64) @ b.T.astype(np.int64)).all()
+
+
+def test_nearest_of_long_vectors(spark):
+    """4,096 components of nearly equal vectors, whose order float32 sums would mix up."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(0, 1, 4096)
+    rows = [(i, (base + rng.normal(0, 1e-3, 4096)).tolist()) for i in range(120)]
+    found = nearest.nearest(table(spark, rows), F.col("id") % 20 == 0).collect()
+    assert sorted(tuple(r) for r in found) == brute(rows, 20, float, zero=False)
+
+
 def test_top_products_are_exact(spark, small_blocks):
     rows = awkward_vectors()
     found = bitsliced.top_products(table(spark, rows), F.col("id") % 20 == 0).collect()

@@ -2,7 +2,8 @@
 
 Each vector is scaled to integers in -127..127.  The product of two such
 vectors differs from the true inner product by a bound that follows from the
-rounding errors; products are formed in float32, where they are exact.  A pair
+rounding errors; products are formed in float32, ``_EXACT`` components at a
+time, whose sums it holds exactly, and added up in float64.  A pair
 survives if its upper bound reaches the k-th largest lower bound of its query
 within the tile.  Survivors are computed again in double precision, in the
 order of the components, and a heap keeps the k best.  No pair that belongs to
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from tidewell.llm import tiles
 
 _AT_ONCE = 256
+#: 127 * 127 * 1024 < 2^24: sums of so many products of int8 values are exact in float32.
+_EXACT = 1024
 #: Share by which the bound is widened for rounding in its own computation.
 _SLACK = 1e-9
 
@@ -48,6 +51,14 @@ def _bounded_errors(m: np.ndarray, ints: np.ndarray, scale: np.ndarray) -> tuple
     return np.linalg.norm(m - rounded, axis=1), np.linalg.norm(rounded, axis=1)
 
 
+def int_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of the int8 rows of a with the columns of b, given as float32."""
+    total = np.zeros((len(a), b.shape[1]))
+    for j in range(0, len(b), _EXACT):
+        total += a[:, j : j + _EXACT].astype(np.float32) @ b[j : j + _EXACT]
+    return total
+
+
 def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products, summed from the first component to the last."""
     total = np.zeros(len(a))
@@ -72,7 +83,7 @@ def best_of_tile(k: int):
             x_float = x_int.astype(np.float32).T.copy()
             for a in range(0, len(q), _AT_ONCE):
                 b = min(a + _AT_ONCE, len(q))
-                rough = (q_int[a:b].astype(np.float32) @ x_float).astype(np.float64)
+                rough = int_products(q_int[a:b], x_float)
                 rough *= q_scale[a:b, None] * x_scale[None, :]
                 # |<q,x> - <q',x'>| <= |q - q'| (|x'| + |x - x'|) + |q'| |x - x'|
                 error = q_err[a:b, None] * (x_norm + x_err)[None, :] + q_norm[a:b, None] * x_err[None, :]

@@ -8,7 +8,9 @@ window; one that lies across a boundary gives one record on each side.
 
 All windows but the last are full, so only the last is padded.  Null texts
 count as empty and still carry their end token; repeated rows are packed again;
-an empty table gives no piece; other columns are ignored.
+texts of any length are encoded whole, also long runs of white space; an empty
+table gives no piece; other columns are ignored.  Ids are kept in 16 bits: a
+vocabulary with larger ones stops with an error.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import bounded, named, stored
-from tidewell.llm.vocabulary import fast_encoder
+from tidewell.llm.vocabulary import encoded
 from tidewell.session import work_folder
 
 WINDOW = 2048
@@ -34,14 +36,9 @@ def _encoded(rows: DataFrame, path: str, end_id: int) -> DataFrame:
     """part, at (start within the part), doc_id, n and ids, which take 16 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = fast_encoder(path)
         part, at = TaskContext.get().partitionId(), 0
         for batch in bounded(batches, "text"):
-            # An id beyond 16 bits is an error here.
-            ids = [
-                np.array([*encoder.encode(t or "", allowed_special="all"), end_id], dtype="<u2")
-                for t in batch.column("text").to_pylist()
-            ]
+            ids = [np.array([*encoded(path, t or ""), end_id], dtype="<u2") for t in batch.column("text").to_pylist()]
             n = np.array([len(x) for x in ids], dtype=np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())

@@ -41,3 +41,22 @@ def fast_encoder(path: str):
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     special = {t["content"]: t["id"] for t in file["added_tokens"]}
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+
+@cache
+def library(path: str):
+    """The tokenizers library's own tokenizer of a file, without truncation and padding."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def encoded(path: str, text: str) -> list[int]:
+    """Ids of a text by the fast encoder; by the library where that gives up, as on a million blanks in a row."""
+    try:
+        return fast_encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        return library(path).encode(text, add_special_tokens=False).ids

@@ -96,12 +96,12 @@ def test_in_modulus(spark, text, divisor, expected):
 
 
 def test_request_id(spark):
-    day = F.lit("2020-09-07").cast("date")
-    parts = [F.lit(p) for p in ("assessment", "client-1", "test-1", "ch-1")]
+    day = F.lit("2022-06-30").cast("date")
+    parts = [F.lit(p) for p in ("meadow", "harbour", "tester-a", "ch-1")]
     import hashlib
 
-    plain = hashlib.md5(b"assessment|client-1|test-1|ch-1|2020-09-07").hexdigest().upper()
-    typed = hashlib.md5(b"assessment|client-1|test-1|ch-1|2020-09-07|druid").hexdigest().upper()
+    plain = hashlib.md5(b"meadow|harbour|tester-a|ch-1|2022-06-30").hexdigest().upper()
+    typed = hashlib.md5(b"meadow|harbour|tester-a|ch-1|2022-06-30|druid").hexdigest().upper()
     none = F.lit(None).cast("string")
     assert tuple(one(spark, hashing.request_id(*parts, day, none), hashing.request_id(*parts, day, F.lit("druid")))) == (plain, typed)
 

@@ -18,7 +18,7 @@ def at(text):
     return datetime.datetime.fromisoformat(text)
 
 
-def submission(seq, tag="client-3", by="test-1", config="{}", day="2024-01-02"):
+def submission(seq, tag="harbour", by="tester-a", config="{}", day="2024-01-02"):
     return (seq, "scores", tag, "ch-1", by, datetime.date.fromisoformat(day), config)
 
 
@@ -26,14 +26,14 @@ SUBMISSION = "seq int, dataset string, client_tag string, channel string, reques
 
 
 def stored(row, status, iteration=None):
-    return (row["tag"], row["request_id"], "scores", status, "{}", "old", "ch-1", at("2020-09-07"), at("2020-09-08"), ["u"], "e", 10, iteration, None)
+    return (row["tag"], row["request_id"], "scores", status, "{}", "old", "ch-1", at("2023-03-14"), at("2023-03-15"), ["u"], "e", 10, iteration, None)
 
 
 def test_submissions(spark):
     rows = [submission(1, by="a"), submission(2, by="b"), submission(3, by="c"), submission(4, by="d")]
     resolved = requests.resolve(spark.createDataFrame(rows, SUBMISSION))
     by = {r["requested_by"]: r for r in resolved.collect()}
-    assert by["a"]["tag"] == "client-3:ch-1"
+    assert by["a"]["tag"] == "harbour:ch-1"
     jobs = spark.createDataFrame(
         [stored(by["a"], "FAILED", 2), stored(by["b"], "SUCCESS", 1), stored(by["c"], "failed"), ("t", "r", "x", "SUCCESS", "{}", "y", "z", at("2020-01-01"), None, None, None, None, None, None)],
         JOBS,

@@ -66,10 +66,52 @@ def test_groups_equal_brute_force(documents, monkeypatch, seed, leaf, often):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
     monkeypatch.setattr(jaccard, "OFTEN", often)
+    monkeypatch.setattr(jaccard, "SAMPLE", leaf // 2)
     rows = corpus(seed)
     assert sorted(tuple(r) for r in jaccard.link_components(documents(rows)).collect()) == brute(rows)
 
 
+def letters(n, common, own, seed=1):
+    """Letters of one form: the same words first, others after them; no two are linked."""
+    rng = random.Random(seed)
+    form = [f"form{i}" for i in range(common)]
+    return [(i, " ".join(form + [f"w{rng.randrange(10**7)}" for _ in range(own)])) for i in range(n)]
+
+
+@pytest.mark.parametrize(("common", "own"), [(19, 5), (40, 12), (20, 4)])
+def test_letters_of_one_form_meet_in_no_region(documents, tmp_path, common, own):
+    """Common shingles come last: no letter is near in their regions, however many letters there are."""
+    for n in (300, 600):
+        texts = documents(letters(n, common, own)).select("doc_id", "text")
+        frequent = jaccard._frequent(texts, f"{tmp_path}/{n}-{common}")
+        order = np.argsort(frequent)
+        known = texts.sparkSession.sparkContext.broadcast((frequent[order], order))
+        assert jaccard._regions(jaccard._entries(texts, known), f"{tmp_path}/{n}").count() == 0
+
+
+def test_letters_of_several_lengths(documents, monkeypatch):
+    """Letters of one form and parts of it, some of them linked, against brute force, with small blocks."""
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows, rng = [], random.Random(3)
+    form = [f"form{i}" for i in range(44)]
+    for i in range(260):
+        cut = form[: rng.choice([20, 28, 36, 44])]
+        rows.append((i, " ".join(cut + [f"w{rng.randrange(10**7)}" for _ in range(rng.choice([0, 3, 6, 9, 12, 15]))])))
+    assert sorted(tuple(r) for r in jaccard.link_components(documents(rows)).collect()) == brute(rows)
+
+
+def test_linked_sets_meet_where_the_smaller_is_near():
+    rng = np.random.default_rng(5)
+    for _ in range(2000):
+        n = int(rng.integers(1, 80))
+        base = rng.permutation(400)[: n + 40]
+        a, b = set(base[:n].tolist()), set(base[int(rng.integers(0, n // 3 + 1)) : n + int(rng.integers(0, n // 3 + 1))].tolist())
+        if b and 100 * len(a & b) >= 75 * len(a | b):
+            small, large = sorted((sorted(a), sorted(b)), key=len)
+            assert set(small[: jaccard.near_ones(len(small))]) & set(large[: jaccard.first_ones(len(large))])
+
+
 def test_awkward_rows(awkward):
     found = sorted((tuple(r) for r in jaccard.link_components(awkward).collect()), key=str)
     by_id = {r[0]: r for r in found}

@@ -5,15 +5,21 @@ all: rare ones first.  A link at similarity t leaves a set of n at most
 n - ceil(t n) shingles that the other lacks, so linked sets share one of their
 first n - ceil(t n) + 1 shingles.  Each of these is a region of the metric
 space around a document, and a set enters all of them: this is the window in
-which its neighbours' regions can lie.
+which its neighbours' regions can lie.  With a neighbour that is not smaller a
+set even shares one of its first n - ceil(2 t n / (1 + t)) + 1 shingles, its near
+regions.  So only pairs of which the smaller set is near are compared in a
+region, and a region without a near member holds no link: letters of one form,
+whose common shingles come late in the order, meet nowhere.
 
 * Every region has a pivot among its members.  Members of other components are
   compared with it, which joins a group of near copies in as many comparisons
   as it has members.  Regions whose members are then all in one component are
   done; large ones get further pivots as long as that closes many of them.
 * In what remains only members of different components are compared: small
-  regions by a join, large ones in blocks.  There the members outside a region's
-  largest component meet every block, the others only them.  Of the pairs of two
+  regions by a join, large ones in blocks of bounded size on both sides.  There the
+  members outside a region's largest component meet the others, near ones all
+  blocks of near and other members, the others only the blocks of near ones, and
+  all of them only blocks of sets whose size allows a link.  Of the pairs of two
   components only the closest few leave a block; if they are not linked and
   others remain, the next round takes more of them.
 * A comparison first uses the triangle inequality: a set's parity sketch is a
@@ -39,15 +45,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import BROADCAST_ROWS, bounded, document_words, mix, named, shingle_hashes, small, stored
+from tidewell.llm.common import BROADCAST_ROWS, bounded, document_words, mix, most, named, shingle_hashes, small, stored
 from tidewell.llm.graphs import with_links
 from tidewell.session import work_folder
 
 #: Similarity in percent from which on two sets are linked.
 PERCENT = 75
-#: Shingles that come last in the order: at most so many, if seen so often in a quarter of each set's first ones.
+#: Shingles that come last in the order: about so many at most, if so many sets of one text in ``SAMPLE`` have them.
 FREQUENT = 1 << 20
 OFTEN = 3
+SAMPLE = 16
 #: Members of frequent shingles' regions are dealt to so many parts when regions are formed.
 SALTS = 64
 #: Members up to which a region's pairs are formed by a join, and of a block otherwise.
@@ -74,6 +81,11 @@ def first_ones(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def near_ones(n: int, percent: int = PERCENT) -> int:
+    """How many shingles of a set of n it shares one of with any linked set that is not smaller."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     """The parities of how many shingles fall into each of 4n or more places, a power of two."""
     size = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
@@ -147,29 +159,33 @@ def _from_sets(texts: DataFrame, each: Callable[[Sets], pa.RecordBatch], schema:
     return texts.where("doc_id is not null").select("text").mapInArrow(run, schema)
 
 
-def _frequent(texts: DataFrame) -> np.ndarray:
-    """Frequent shingles, rarest first."""
+def _frequent(texts: DataFrame, folder: str) -> np.ndarray:
+    """Frequent shingles, rarest first: those of several of the sets of one text in ``SAMPLE``.
+
+    They only order the shingles; any order is exact.
+    """
 
     def each(sets: Sets) -> pa.RecordBatch:
-        parts = [s[: first_ones(len(s)) // 4 + 1] for _, s in sets]
-        shingle, n = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
+        shingle, n = np.unique(np.concatenate([*[s for _, s in sets], np.zeros(0, np.uint64)]), return_counts=True)
         return pa.record_batch([pa.array(shingle.view(np.int64)), pa.array(n)], ["shingle", "n"])
 
-    counted = _from_sets(texts, each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT)
-    found = top.toArrow()
-    return found.column("shingle").to_numpy().view(np.uint64)[::-1]
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
+    counted = _from_sets(some, each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counted = stored(counted.where(F.col("n") >= OFTEN), f"{folder}/counted")
+    found = most(counted, "n", FREQUENT).toArrow()
+    shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    return shingle[np.lexsort((shingle, n))]
 
 
 def _entries(texts: DataFrame, known: Broadcast) -> DataFrame:
-    """shingle, class and often (whether the shingle is frequent) of each set's first shingles.
+    """shingle, class, n, near and often (whether the shingle is frequent) of each set's first shingles.
 
     ``known``: the frequent shingles sorted, and the rank of each.
     """
 
     def each(sets: Sets) -> pa.RecordBatch:
         shingles, rank = known.value
-        out, classes, often = [], [], []
+        out, classes, sizes, near, often = [], [], [], [], []
         for c, s in sets:
             if len(shingles):
                 at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
@@ -181,28 +197,38 @@ def _entries(texts: DataFrame, known: Broadcast) -> DataFrame:
                 rare = len(s)
             p = first_ones(len(s))
             out.append(s[:p])
+            near.append(np.arange(p) < near_ones(len(s)))
             often.append(np.arange(p) >= rare)
             classes.append(np.full(p, c, dtype=np.int64))
+            sizes.append(np.full(p, len(s), dtype=np.int64))
         join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)])
         return pa.record_batch(
             [
                 pa.array(join(out, np.uint64).view(np.int64)),
                 pa.array(join(classes, np.int64)),
+                pa.array(join(sizes, np.int64)),
+                pa.array(join(near, bool)),
                 pa.array(join(often, bool)),
             ],
-            ["shingle", "class", "often"],
+            ["shingle", "class", "n", "near", "often"],
         )
 
-    return _from_sets(texts, each, "shingle long, class long, often boolean")
+    return _from_sets(texts, each, "shingle long, class long, n long, near boolean, often boolean")
 
 
-def _regions(entries: DataFrame) -> DataFrame:
-    """The entries whose shingle has another one."""
+def _regions(entries: DataFrame, folder: str) -> DataFrame:
+    """The entries whose shingle has another one, and a near one."""
     salt = F.when(F.col("often"), F.pmod(F.xxhash64("class"), F.lit(SALTS))).otherwise(0)
     dealt = entries.withColumn("salt", salt)
     together = Window.partitionBy("shingle", "salt")
-    counted = dealt.withColumn("n", F.count(F.lit(1)).over(together))
-    return counted.where("often or n > 1").select("shingle", "class").distinct()
+    counted = dealt.withColumn("count", F.count(F.lit(1)).over(together)).withColumn("any", F.max("near").over(together))
+    found = counted.where(F.col("often") | ((F.col("count") > 1) & F.col("any"))).drop("salt", "count", "any")
+    found = stored(found.distinct(), f"{folder}/entries")
+    # The parts of a frequent shingle's region do not know of each other: its near members are looked for here.
+    with_near = found.where(F.col("often") & F.col("near")).select("shingle").distinct()
+    with_near = small(stored(with_near, f"{folder}/near"))
+    often = found.where("often").join(with_near, "shingle", "left_semi")
+    return found.where(~F.col("often")).unionByName(often).drop("often")
 
 
 class _Judge:
@@ -285,7 +311,7 @@ def _open_regions(placed: DataFrame, turn: int) -> DataFrame:
     order = F.xxhash64("class", F.lit(turn))
     grouped = placed.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("members"),
-        F.max_by(F.struct("class", "component"), order).alias("pivot"),
+        F.max_by(F.struct("class", "component"), F.struct("near", order)).alias("pivot"),
         F.min("component").alias("x"),
         F.max("component").alias("y"),
     )
@@ -298,38 +324,69 @@ def _with_pivot(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b")).distinct()
 
 
+def _smaller_is_near(near_a, n_a, near_b, n_b):
+    """Whether the smaller of two sets (either, if they are equal) is near; for columns and for arrays."""
+    return (near_a & (n_a <= n_b)) | (near_b & (n_b <= n_a))
+
+
 def _leaf_pairs(members: DataFrame) -> DataFrame:
     """Pairs of different components in small regions."""
     inner = members.where(F.col("members") <= LEAF)
-    a = inner.select("shingle", F.col("class").alias("a"), F.col("component").alias("x"))
-    b = inner.select("shingle", F.col("class").alias("b"), F.col("component").alias("y"))
-    return a.join(b, "shingle").where("a < b and x <> y").select("a", "b").distinct()
+    a, b = (
+        inner.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "component", "near", "n")]) for x in "ab"
+    )
+    fits = _smaller_is_near(F.col("near_a"), F.col("n_a"), F.col("near_b"), F.col("n_b"))
+    pairs = a.join(b, "shingle").where((F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")))
+    return pairs.where(fits).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 
 
-def _block_pairs(members: DataFrame, classes: DataFrame, most_pairs: int) -> DataFrame:
-    """Close pairs (a, b) of different components in large regions, one block of members at a time.
+def _dealt(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of large regions by pair of blocks (shingle, right, left), at most about ``BLOCK`` of each side.
 
-    Of each two components the ``most_pairs`` closest; ``rest`` says that there are more.
+    The right side is every member, near and other ones in blocks of their own for each class of sizes.  The left side
+    is every member outside the region's largest component, in blocks too.
     """
-    large = members.where(F.col("members") > LEAF).select("shingle", "members", "class", "component")
+    large = members.where(F.col("members") > LEAF).select("shingle", "class", "component", "n", "near")
     counts = large.groupBy("shingle", "component").count()
     main = counts.groupBy("shingle").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rows = large.join(main, "shingle").join(classes.select("class", "n", "sketch"), "class")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    rows = rows.withColumn("own", own).withColumn(
-        "block", F.explode(F.when(F.col("component") == F.col("main"), F.array("own")).otherwise(every))
+    # Linked sets are in the same class of sizes or in neighbouring ones.
+    sized = F.floor(F.log(F.col("n").cast("double")) / -float(np.log(PERCENT / 100)) + 1e-9).cast("int")
+    rows = large.join(main, "shingle").withColumn("sized", sized)
+    # One row for each region, class of sizes and kind of member.
+    own = rows.groupBy("shingle", "sized", "near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    minor = rows.where(F.col("component") != F.col("main"))
+    few = minor.groupBy("shingle", "sized", "near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lefts"))
+    there = few.select("shingle", "lefts", F.col("sized").alias("left_size"), F.col("near").alias("left_near"))
+    grid = own.join(there, "shingle").where(
+        (F.abs(F.col("sized") - F.col("left_size")) <= 1) & (F.col("near") | F.col("left_near"))
+    )
+    place = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["shingle", "sized", "near", "left_size", "left_near"]
+    right = rows.join(grid, ["shingle", "sized", "near"]).withColumn("right", place(F.col("blocks"))).withColumn("left", every("lefts"))
+    from_left = minor.withColumnsRenamed({"sized": "left_size", "near": "left_near"}).join(grid, ["shingle", "left_size", "left_near"])
+    left = from_left.withColumn("left", place(F.col("lefts"))).withColumn("right", every("blocks"))
+    block = F.concat_ws("/", *[F.col(c).cast("string") for c in [*key[1:], "right", "left"]]).alias("block")
+    both = right.select("shingle", block, "class", "component", "n", "near", F.lit(False).alias("minor")).unionByName(
+        left.select("shingle", block, "class", "component", "n", F.col("left_near").alias("near"), F.lit(True).alias("minor"))
     )
-    minor = (F.col("component") != F.col("main")).alias("minor")
-    rows = rows.select("shingle", "class", "component", "n", "sketch", "own", "block", minor)
+    return both.join(classes.select("class", "sketch"), "class")
+
+
+def _block_pairs(members: DataFrame, classes: DataFrame, most_pairs: int) -> DataFrame:
+    """Close pairs (a, b) of different components in large regions, one pair of blocks at a time.
+
+    Of each two components the ``most_pairs`` closest; ``rest`` says that there are more.
+    """
+    rows = _dealt(members, classes)
 
     def run(table: pa.Table) -> pa.Table:
-        c, comp, n, own = (table.column(k).to_numpy() for k in ("class", "component", "n", "own"))
+        c, comp, n = (table.column(k).to_numpy() for k in ("class", "component", "n"))
+        nearby = table.column("near").to_numpy(zero_copy_only=False).astype(bool)
         bits = table.column("sketch").to_pylist()
         width = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
-        left = np.flatnonzero(table.column("minor").to_numpy(zero_copy_only=False))
-        right = np.flatnonzero(own == table.column("block")[0].as_py())
+        minor = table.column("minor").to_numpy(zero_copy_only=False).astype(bool)
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
         right = right[np.argsort(n[right], kind="stable")]
         groups = {int(w): right[width[right] == w] for w in np.unique(width[right])}
         folds: dict[tuple[int, int], np.ndarray] = {}
@@ -351,6 +408,7 @@ def _block_pairs(members: DataFrame, classes: DataFrame, most_pairs: int) -> Dat
                     total = n[x] + n[group[a:b]]
                     near = distance <= total - 2 * -(-PERCENT * total // (100 + PERCENT))
                     near &= comp[group[a:b]] != comp[x]
+                    near &= _smaller_is_near(nearby[x], n[x], nearby[group[a:b]], n[group[a:b]])
                     if near.any():
                         y = group[a:b][near]
                         found.append(np.stack((np.full(len(y), x), y, distance[near])))
@@ -381,11 +439,11 @@ def link_components(documents: DataFrame, id_column: str = "doc_id", text_column
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = stored(classes, f"{folder}/classes")
-    frequent = _frequent(texts)
+    frequent = _frequent(texts, folder)
     order = np.argsort(frequent)
     # At most ``FREQUENT`` pairs of numbers.
     known = spark.sparkContext.broadcast((frequent[order], order))
-    regions = stored(_regions(_entries(texts, known)), f"{folder}/regions")
+    regions = _regions(_entries(texts, known), folder)
     known.unpersist()
     judge = _Judge(texts, classes, folder)
     labels, left, turn = None, float("inf"), 0

@@ -67,6 +67,33 @@ def test_markup_details():
     assert text(f"<ul><li>one thing<li>another thing</ul><p>{LONG}") .endswith(f"one thing\nanother thing\n{LONG}")
 
 
+def test_foreign_and_longer_names():
+    assert text(f"<p>{LONG}</p><svg viewBox='0 0 1 1' class=x/><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+    assert text(f"<p>{LONG}</p><svg><text>no</text></svg><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+    for name in ("select-box", "object-view", "title-bar", "style-guide"):
+        assert text(f"<{name}><p>{LONG}</p></{name}><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+    assert text(f"<p>{LONG}</p><script/>var a = 1;</script><p>{LONG}</p>") == f"{LONG}\n{LONG}"
+    assert text(f"<p>{LONG}<![CDATA[ a > b ]]> end</p>") == f"{LONG} end"
+
+
+def test_comparisons_are_no_tags():
+    assert text("when a<b then c>d in the end of it") == "when a<b then c>d in the end of it"
+    assert text(f"<p>{LONG}a<b hidden>x</b></p>") == f"{LONG}ax"
+    assert text(f"<p>{LONG} a<i class=x>b</i></p>") == f"{LONG} ab"
+
+
+def test_links_and_notices_of_the_article_stay():
+    learned = {"word  a": -6.0, "word a": -6.0, "word p.warning": -6.0, "word ": 2.0}
+    for weights in ({}, learned):
+        for name in ("article", "main"):
+            body = f"<p><a href=/x>Start here</a></p><p>{LONG}</p><p class=\"warning\">Take care of it.</p><p><a href=/y>Read the next part</a></p>"
+            page = f"<nav><a href=/>Home</a></nav><{name}>{body}</{name}><div class=related><a href=/z>More</a></div>"
+            assert text(page, weights) == f"Start here\n{LONG}\nTake care of it.\nRead the next part", (name, weights)
+    # A container inside it stays out.
+    inner = f"<article><p>{LONG}</p><div class='newsletter'><p>Sign up</p></div><p><a href=/y>Next</a></p></article>"
+    assert text(inner) == f"{LONG}\nNext"
+
+
 def test_region_is_the_best_run():
     page = extraction.Page("<p>a b</p><p>c</p><p>d e f</p>")
     weights = {"word ": 1.0, "tag p": -1.5, "tag /p": -0.1}

@@ -8,7 +8,9 @@ labelled pages: those that mark their content themselves with one of
 without it.  One linear scan (the largest sum of a run) finds the region; what
 lies in excluded containers inside it is left out, and blocks become lines.
 A container costs a run at most ``CONTAINER``, so that one inside an article
-does not part it.  A form, or an element that only a hint excludes, is a wrapper
+does not part it.  A region that lies mostly in a marked element is widened to
+the whole of it, so that links and notices at its edges stay; there a class of a
+paragraph or of a part of one names no container.  A form, or an element that only a hint excludes, is a wrapper
 if it holds most of the page's words outside links, and excludes nothing; ``main``,
 or an ``article`` with most of these words, is content in any container.
 
@@ -54,6 +56,11 @@ _BLOCK = {
     *"summary table tbody td tfoot th thead tr ul".split(),
 }
 _EXCLUDED = {*"aside button dialog footer form head header menu nav fieldset".split()}
+# Elements that hold text, not other parts of a page: inside an article their class names no container.
+_TEXT = {
+    *"a abbr b blockquote cite code dd dt em figcaption h1 h2 h3 h4 h5 h6 i li mark p pre q small span strong sub sup".split(),
+    *"td th time u".split(),
+}
 _ENDS_P = _BLOCK - {"body", "html", "head", "option", "caption", "legend", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",)}
 # Words in class, id and role that name something beside the article.
@@ -66,9 +73,17 @@ _HINTS = (
 )
 _BESIDE = frozenset(_HINTS.split())
 
+# Attributes that stand without a value.
+_BOOLEAN = {
+    *"allowfullscreen async autofocus autoplay checked controls default defer disabled download formnovalidate hidden".split(),
+    *"inert ismap itemscope loop multiple muted nomodule novalidate open playsinline readonly required reversed selected".split(),
+}
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(_RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    # An empty foreign element; the others below have a name of their own, not the beginning of a longer one.
+    r"|<(?:svg|annotation|annotation-xml)(?:\s(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)?/>"
+    r"|<(?P<raw>" + "|".join(_RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>"
     r"|<[!?/][^>]*>",
     re.DOTALL | re.IGNORECASE,
@@ -77,6 +92,14 @@ _ROLE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 _PART = re.compile(r"[a-zA-Z]+")
 
 
+def _no_tag(source: str, match: re.Match) -> bool:
+    """Whether what looks like a tag is a comparison: a word right before it, and plain words instead of attributes."""
+    before = source[match.start() - 1 : match.start()]
+    words = match["rest"].split()
+    plain = words and all(w.isalnum() and w.lower() not in _BOOLEAN for w in words)
+    return bool(not match["end"] and len(match["name"]) <= 2 and before.isalnum() and plain)
+
+
 class Page:
     """The tokens of a page: for each its kind, how many it stands for, and what the text needs."""
 
@@ -104,7 +127,10 @@ class Page:
             if match.start() > at:
                 self._words(source[at : match.start()])
             at = match.end()
-            if name := match["name"]:
+            name = match["name"]
+            if name and _no_tag(source, match):
+                self._words(match.group())
+            elif name:
                 self._tag(name.lower(), bool(match["end"]), match["rest"], match.start())
         if at < len(source):
             self._words(source[at:])
@@ -147,7 +173,7 @@ class Page:
             hints = sorted({w for v in values for w in _PART.findall(v)} & _BESIDE)
             mark = name in MARKS
             # A header inside the article holds its title.
-            apart = bool(hints) and name not in ("body", "html", *MARKS)
+            apart = bool(hints) and name not in ("body", "html", *MARKS) and not (marked and name in _TEXT)
             hinted = (apart and name not in _EXCLUDED) or name == "form"
             apart = apart or name in _EXCLUDED and not (name == "header" and marked)
             if hinted or mark and excluded and not marked:
@@ -205,8 +231,23 @@ class Page:
                 best, found = total, (start, i + 1)
         return found
 
+    def whole(self, a: int, b: int) -> tuple[int, int]:
+        """The region widened to the marked element that holds most of its kept words: links may begin or end it."""
+        sizes = [n if t is not None and k else 0 for n, t, k in zip(self.sizes, self.texts, self.kept, strict=True)]
+        marked = sum(n for n, m in zip(sizes[a:b], self.inside[a:b], strict=True) if m)
+        if 2 * marked <= sum(sizes[a:b]):
+            return a, b
+        inside = [i for i in range(a, b) if self.inside[i]]
+        low, high = inside[0], inside[-1] + 1
+        while low and self.inside[low - 1]:
+            low -= 1
+        while high < len(self.inside) and self.inside[high]:
+            high += 1
+        return min(a, low), max(b, high)
+
     def text(self, weights: dict[str, float]) -> str:
         a, b = self.region(weights)
+        a, b = self.whole(a, b) if b > a else (a, b)
         blocks: list[str] = []
         parts: list[str] = []
         for i in range(a, b + 1):

@@ -53,8 +53,8 @@ from tidewell.session import work_folder
 PERCENT = 75
 #: Shingles that come last in the order: about so many at most, if so many sets of one text in ``SAMPLE`` have them.
 FREQUENT = 1 << 20
-OFTEN = 3
-SAMPLE = 16
+OFTEN = 2
+SAMPLE = 4
 #: Members of frequent shingles' regions are dealt to so many parts when regions are formed.
 SALTS = 64
 #: Members up to which a region's pairs are formed by a join, and of a block otherwise.
@@ -336,6 +336,7 @@ def _leaf_pairs(members: DataFrame) -> DataFrame:
         inner.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "component", "near", "n")]) for x in "ab"
     )
     fits = _smaller_is_near(F.col("near_a"), F.col("n_a"), F.col("near_b"), F.col("n_b"))
+    fits &= 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
     pairs = a.join(b, "shingle").where((F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")))
     return pairs.where(fits).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
 

@@ -85,6 +85,40 @@ def test_repeated_batch_changes_nothing(spark, index, tmp_path):
     assert store.profiles(spark).filter("did = 'a'").first()["fcm_token"] == "t90"
 
 
+def test_old_pieces_and_snapshots_are_removed(spark, index, tmp_path):
+    store = ProfileStore(str(tmp_path), compact_every=2)
+    seen = []
+    for n in range(7):
+        enriched = devices.enrich(spark.createDataFrame([row(n, did=f"d{n % 3}", token=f"t{n}")], ROW), index)
+        store.write(devices.newest_fields(devices.profile_updates(enriched)), n)
+        seen.append((store.pieces.batches(spark), sorted((tmp_path / "snapshots").glob("upto=*"))))
+    # Snapshots after batches 1, 3 and 5; the one before the newest, and the pieces after it, stay.
+    assert [p.name for p in seen[-1][1]] == ["upto=3", "upto=5"] and seen[-1][0] == [4, 5, 6]
+    tokens = {r["did"]: r["fcm_token"] for r in store.profiles(spark).collect()}
+    assert tokens == {"d0": "t6", "d1": "t4", "d2": "t5"}
+    # The last batch of a snapshot may run again.
+    before = store.read(spark, before=5)
+    assert {r["did"]: r["fcm_token"]["value"] for r in before.collect()} == {"d0": "t3", "d1": "t4", "d2": "t2"}
+
+
+def test_work_folders_are_released(spark):
+    from tidewell import session
+
+    first, second = session.work_folder(spark, "a"), session.work_folder(spark, "b")
+    for folder in (first, second):
+        spark.range(3).write.parquet(folder)
+    own = session._FOLDERS[spark.sparkContext.applicationId]
+    others, own[:] = own[:-2], own[-2:]
+    try:
+        assert session.release_work_folders(spark, keep=1) == 1
+        assert spark.read.parquet(second).count() == 3
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+            spark.read.parquet(first)
+        assert session.release_work_folders(spark) == 1 and session.release_work_folders(spark) == 0
+    finally:
+        own[:0] = others
+
+
 def test_empty_store(spark, tmp_path):
     assert ProfileStore(f"{tmp_path}/none").profiles(spark) is None
     ProfileStore(f"{tmp_path}/none").compact(spark)

@@ -271,6 +271,18 @@ def test_search_filters():
     validation.check_search_filters({"status": "x", "owner": "y"})
 
 
+@pytest.mark.parametrize("filters", [None, {}, {"owner": "x"}, {"status": None}, {"status": "x", "owner": "y"}, {"dataset": "d"}])
+def test_search_filters_as_a_column(spark, filters):
+    """The column says what the argument check raises."""
+    text = None if filters is None else json.dumps(filters)
+    found = spark.createDataFrame([(text,)], "filters string").select(validation.search_filters_failure(F.col("filters"))).first()[0]
+    try:
+        validation.check_search_filters(filters)
+        assert found is None
+    except ValueError as wrong:
+        assert found == str(wrong)
+
+
 @pytest.mark.parametrize(
     "body, message",
     [

@@ -375,6 +375,16 @@ def check_submissions(requests: DataFrame, rules: DataFrame, body: str = "body")
     return joined.withColumn("failure", failure_).drop("_rules", "_parsed")
 
 
+def search_filters_failure(filters: Column, supported: list[str] | None = None) -> Column:
+    """What ``check_search_filters`` finds wrong with the filters of a search given as a JSON object, null when nothing."""
+    keys = F.coalesce(F.json_object_keys(filters), _no_texts())
+    known = F.array(*[F.lit(name) for name in supported or SEARCH_FILTERS])
+    found = F.transform(
+        F.array(keys), lambda k: first_failure([(F.size(k) == 0, NO_FILTERS), (~F.arrays_overlap(k, known), OTHER_FILTERS)])
+    )
+    return found[0]
+
+
 def check_search_filters(filters: dict | None, supported: list[str] | None = None) -> None:
     """Argument check of a request search."""
     if not filters:

@@ -66,6 +66,16 @@ def experiment_match_repeated(spark, sf_dir):
     return found.select("seq", "lookup_id", "experiment_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+SMALL_WEIGHT = 0.25
+
+
+def experiment_match_small_weight(spark, sf_dir):
+    """Matches in which an equality of all given fields counts less than other documents' lacking fields."""
+    index = experiments.build_index(documents(spark, sf_dir), guarded=True)
+    found = experiments.match(view(spark, sf_dir, "lookups"), index, SMALL_WEIGHT)
+    return found.select("lookup_id", "experiment_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def experiment_assign(spark, sf_dir):
     return experiments.assign(matched(spark, sf_dir)).select("lookup_id", "experiment_id", "assigned", "actions")
 
@@ -127,6 +137,7 @@ QUERIES = {
         modulus_bucket,
         experiment_match,
         experiment_match_repeated,
+        experiment_match_small_weight,
         experiment_assign,
         experiment_validate,
         experiment_upsert,
@@ -217,6 +228,9 @@ ORACLES = {
 select e.id, ih.hash id_hash, coalesce(uh.hash,0) user_hash, modulus_ok passes from experiments e join id_hashes ih on e.id=ih.id
 left join user_hashes uh on e.id=uh.id join gated g on e.id=g.id""",
     "experiment_match": f"""{_MATCHED} select lookup_id, id experiment_id, coalesce(score,0.0) score from lookups k left join best b
+ on k.userId is not distinct from b.u and k.deviceId is not distinct from b.d and k.url is not distinct from b.l""",
+    "experiment_match_small_weight": f"""{_MATCHED.replace("then 9.0 else 1.0", f"then {SMALL_WEIGHT} else 1.0")}
+select lookup_id, id experiment_id, coalesce(score,0.0) score from lookups k left join best b
  on k.userId is not distinct from b.u and k.deviceId is not distinct from b.d and k.url is not distinct from b.l""",
     "experiment_match_repeated": f"""{_MATCHED} select k.lookup_id seq, case when mod(k.lookup_id,5)=0 then null else mod(k.lookup_id,97) end lookup_id,
  id experiment_id, coalesce(score,0.0) score from lookups k left join best b

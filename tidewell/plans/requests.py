@@ -211,6 +211,12 @@ def request_search_count(spark, sf_dir):
     return requests.search_count(_jobs(spark, sf_dir), SEARCH)
 
 
+def search_filter_rules(spark, sf_dir):
+    """Whether searches may be run, by the names of their filters."""
+    rows = view(spark, sf_dir, "search_filters")
+    return rows.select("o_orderkey", validation.search_filters_failure(F.col("filters")).alias("failure"))
+
+
 def channel_authorize(spark, sf_dir):
     rows = view(spark, sf_dir, "access_requests")
     return access.grants(rows, view(spark, sf_dir, "consumer_channel_rows")).select(
@@ -269,6 +275,7 @@ QUERIES = {
         request_search,
         request_search_day,
         request_search_count,
+        search_filter_rules,
         channel_authorize,
         channel_authorized_requests,
         role_authorize,
@@ -394,6 +401,9 @@ select request_id, tag, status, epoch_us(dt_job_submitted)//1000 submitted_ms fr
 where cast(dt_job_submitted as date)=cast('1995-02-18' as date) order by dt_job_submitted desc, request_id limit 20""",
     "request_search_count": f"""{with_views("job_requests")}
 select count(*) total from job_requests where job_id='1-URGENT' and status='SUCCESS'""",
+    "search_filter_rules": f"""{with_views("search_filters")}
+select o_orderkey, case when filters is null or filters='{{}}' then 'Filters are empty'
+ when not regexp_matches(filters,'"(dataset|requestedDate|status|channel)":') then 'Unsupported filters' end failure from search_filters""",
     "channel_authorize": f"""{with_views("access_requests", "consumer_channels")}
 select o_orderkey, a.consumer_id, a.channel, coalesce(status,0)=1 granted from access_requests a
 left join consumer_channels c on a.consumer_id=c.consumer_id and a.channel=c.channel""",

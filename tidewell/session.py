@@ -42,18 +42,40 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: The working folders of this process by application, until they are released.
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run, under the folder named by ``spark.checkpoint.dir``.
 
     On a cluster that folder is shared storage, so a lost executor loses no
     data.  Only a local master may fall back to a temporary folder; anywhere
-    else a missing setting is an error.
+    else a missing setting is an error.  The folder stays until
+    ``release_work_folders``, as results are read from it when they are asked for.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+        folder = f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix=f"tidewell-{purpose}-")
+    else:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix=f"tidewell-{purpose}-")
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def release_work_folders(spark: SparkSession, keep: int = 0) -> int:
+    """Removes the application's working folders but the newest ``keep``; how many there were.
+
+    For the caller who has written or collected all results that were read from them.
+    """
+    folders = _FOLDERS.get(spark.sparkContext.applicationId, [])
+    old = folders[: len(folders) - keep] if keep else list(folders)
+    for folder in old:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folders.remove(folder)
+    return len(old)

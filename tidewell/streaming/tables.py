@@ -36,6 +36,12 @@ def finished_folders(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(found)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder in whatever store Spark writes to; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _save(rows: DataFrame, path: str, layout: list[str]) -> None:
     """Replaces what a folder holds; rows of one layout value go to one file."""
     laid_out = rows.repartition(*layout) if layout else rows
@@ -56,6 +62,11 @@ class BatchTable:
         found = finished_folders(spark, self.root, "batch")
         return [b for b in found if b > after and (before is None or b < before)]
 
+    def forget(self, spark: SparkSession, upto: int) -> None:
+        """Removes the finished batches up to a number."""
+        for batch in self.batches(spark, before=upto + 1):
+            remove_folder(spark, f"{self.root}/batch={batch}")
+
     def read(self, spark: SparkSession, after: int = -1, before: int | None = None) -> DataFrame | None:
         """Rows of the finished batches with their ``batch`` number, None when there is no batch."""
         wanted = self.batches(spark, after, before)
@@ -127,10 +138,19 @@ class MergedTable:
         return None if parts is None else self.merge(parts)
 
     def compact(self, spark: SparkSession) -> None:
-        """Writes a snapshot of everything up to the last finished batch."""
+        """Writes a snapshot of everything up to the last finished batch, and removes what no batch can ask for again.
+
+        The snapshot before and the pieces after it stay: the last batch may
+        have to run again, and reads only what was there before it.
+        """
         last = max(self.pieces.batches(spark), default=-1)
-        if last > max(finished_folders(spark, self.snapshots, "upto"), default=-1):
+        done = finished_folders(spark, self.snapshots, "upto")
+        if last > max(done, default=-1):
             _save(self.read(spark), f"{self.snapshots}/upto={last}", self.pieces.layout)
+            for old in done[:-1]:
+                remove_folder(spark, f"{self.snapshots}/upto={old}")
+            if done:
+                self.pieces.forget(spark, done[-1])
 
 
 class ProfileStore(MergedTable):

@@ -157,8 +157,8 @@ select o_orderkey, concat(lower(c_mktsegment),':ch-',cast(c_nationkey as string)
  case when mod(o_orderkey,9)=0 then null else cast(mod(o_orderkey,3) as int) end iteration
  from orders join customer on o_custkey=c_custkey""",
     "search_filters": """
-select o_orderkey, case mod(o_orderkey,7) when 0 then null when 1 then '{}' when 2 then concat('{"owner":"',o_clerk,'"}')
- when 3 then concat('{"status":"',o_orderstatus,'"}') when 4 then concat('{"owner":"',o_clerk,'","channel":"ch-1"}')
+select o_orderkey, case mod(o_orderkey,7) when 0 then null when 1 then '{}' when 2 then concat('{"owner":"',o_orderpriority,'"}')
+ when 3 then concat('{"status":"',o_orderstatus,'"}') when 4 then concat('{"owner":"',o_orderpriority,'","channel":"ch-1"}')
  when 5 then concat('{"requestedDate":"',cast(cast(o_orderdate as date) as string),'"}') else concat('{"dataset":"',o_orderpriority,'","size":1}') end filters
  from orders""",
     "new_requests": """

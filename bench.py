@@ -62,6 +62,17 @@ HEADLINE = [
     "usage_sketch_rollup",
     "device_registration_stream",
     "experiment_assign_stream",
+    "experiment_match_small_weight",
+    "request_registry_upsert",
+    "request_search_laid_out",
+    "usage_fact",
+    "usage_returning",
+    "exhaust_observed",
+    "dataset_asked_files",
+    "device_event_log",
+    "registration_metrics_stream",
+    "published_windows_stream",
+    "versioned_location_stream",
 ]
 
 

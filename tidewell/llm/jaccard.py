@@ -172,7 +172,7 @@ def _frequent(texts: DataFrame, folder: str) -> np.ndarray:
     some = texts.where(F.pmod(F.xxhash64("text", F.lit(SAMPLE)), F.lit(SAMPLE)) == 0)
     counted = _from_sets(some, each, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     counted = stored(counted.where(F.col("n") >= OFTEN), f"{folder}/counted")
-    found = most(counted, "n", FREQUENT).toArrow()
+    found = most(counted, "n", FREQUENT).select("shingle", F.col("n").cast("int")).toArrow()
     shingle, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
     return shingle[np.lexsort((shingle, n))]
 
@@ -442,10 +442,12 @@ def link_components(documents: DataFrame, id_column: str = "doc_id", text_column
     classes = stored(classes, f"{folder}/classes")
     frequent = _frequent(texts, folder)
     order = np.argsort(frequent)
-    # At most ``FREQUENT`` pairs of numbers.
-    known = spark.sparkContext.broadcast((frequent[order], order))
+    # At most about ``FREQUENT`` pairs of numbers.
+    known = spark.sparkContext.broadcast((frequent[order], order.astype(np.int32)))
+    del frequent, order
     regions = _regions(_entries(texts, known), folder)
-    known.unpersist()
+    # What is read from here on is stored; the driver keeps no copy either.
+    known.destroy()
     judge = _Judge(texts, classes, folder)
     labels, left, turn = None, float("inf"), 0
 

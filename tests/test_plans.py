@@ -9,6 +9,7 @@ from tidewell.operators import devices, exhaust, upserts
 from tidewell.plans import catalogue, streams
 from tidewell.plans import devices as plan_devices
 from tidewell.plans import experiments as plan_experiments
+from tidewell.plans import requests as plan_requests
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES = {n: entry.queries()[n] for n in catalogue.QUERIES if n not in streams.QUERIES}
@@ -66,7 +67,8 @@ def test_hot_keys_are_combined_before_the_shuffle(spark, plan, build):
 
 WRITES = {
     "exhaust_csv", "exhaust_json", "client_log_sink", "json_lines_load", "dataset_file_listing", "stored_table_read",
-    "experiment_documents",
+    "experiment_documents", "exhaust_observed", "dataset_asked_files", "usage_fact", "usage_returning", "request_registry_upsert",
+    "request_search_laid_out", "experiment_match_small_weight",
 }
 
 
@@ -75,6 +77,7 @@ def test_building_a_query_starts_no_job(spark, name):
     """Nothing runs before the action but reading schemas; reference indexes are loaded once before."""
     plan_devices.geo_index(spark, SF_DIR)
     plan_experiments.experiment_index(spark, SF_DIR)
+    plan_requests.rule_index(spark, SF_DIR)
     context = spark.sparkContext
     context.setJobGroup(f"build-{name}", name)
     QUERIES[name](spark, SF_DIR)

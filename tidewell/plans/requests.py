@@ -53,9 +53,23 @@ def request_validate(spark, sf_dir):
     return rows.select("seq", failure.isNull().alias("valid"), failure.alias("message"))
 
 
+_RULES: dict[tuple[str, str], DataFrame] = {}
+
+
+def rule_index(spark, sf_dir) -> DataFrame:
+    """The compiled schema rules of a table folder, loaded once per application like any reference table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RULES:
+        folder = work_folder(spark, "schema-rules")
+        compiled = validation.compile_rules(view(spark, sf_dir, "dataset_rule_rows"))
+        compiled.write.parquet(folder)
+        _RULES[key] = spark.read.schema(compiled.schema).parquet(folder)
+    return _RULES[key]
+
+
 def schema_rules(spark, sf_dir):
     rows = view(spark, sf_dir, "request_bodies").withColumnRenamed("dataset", "dataset_sub_id")
-    checked = validation.check_submissions(rows, view(spark, sf_dir, "dataset_rule_rows"))
+    checked = validation.check_submissions(rows, rule_index(spark, sf_dir))
     return checked.select("o_orderkey", "dataset_sub_id", "failure")
 
 

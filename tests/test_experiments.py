@@ -211,3 +211,13 @@ def test_registry(spark):
     assert (got["c"]["exp_name"], got["c"]["status_message"]) == ("C", "Experiment successfully submitted")
     answers = {r["exp_id"]: r["stats"] for r in experiments.experiment_answers(merged.drop("action")).collect()}
     assert answers == {"a": "{}", "b": '{"one":1}', "c": "{}"}
+
+
+def test_guarded_entries_are_formed_by_as_many_tasks_as_the_documents_need(spark, monkeypatch):
+    docs = spark.createDataFrame(GOLDEN, DOCS).coalesce(1)
+    whole = experiments.index_entries(docs, WEIGHTS, guarded=True)
+    monkeypatch.setattr(experiments, "DEALT", 2)
+    dealt = experiments.index_entries(docs, WEIGHTS, guarded=True)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({-(-docs.count() // 2)})" in plan
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect()))

@@ -46,6 +46,9 @@ MISS_SECONDS = 86400
 DOCUMENT = ["name", "startDate", "endDate", "key", "expType"]
 SCORE_DIGITS = 6
 
+# Documents whose guarded entries one task forms: a document has up to 19.
+DEALT = 20_000
+
 # Lookups without any field are spread over so many join keys.
 SPREAD = 4096
 
@@ -160,6 +163,9 @@ def index_entries(
     if not guarded:
         entries = entered.select("best", F.explode(_texts()).alias("entry")).select("best", "entry.*")
         return entries.groupBy("key", "subset").agg(F.max("text").alias("text"), F.min("best").alias("best"))
+    # A few files of narrow rows become many wide entries: tasks follow the number of documents, not of files.
+    parts = max(1, -(-documents.count() // DEALT))
+    entered = entered.repartition(parts) if parts > 1 else entered
     entries = entered.select("best", *FIELDS, F.explode(_texts()).alias("entry")).select("best", *FIELDS, "entry.*")
     given = entries.withColumn("given", F.explode(F.array(*[F.lit(g) for g in SUBSETS])))
     given = given.where(F.col("given").bitwiseAND(F.col("subset")) == F.col("subset"))

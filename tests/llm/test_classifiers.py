@@ -68,6 +68,18 @@ def test_toxicity_parts_words_with_the_same_start(spark):
     assert ids[1] == ids[2] > 0 and ids[4] == 0 and len({*ids.tolist()}) == 4
 
 
+def test_toxicity_vocabulary_is_whole(spark):
+    """Every word that comes twice is in the vocabulary, however many there are, and every stem of the others."""
+    twice = F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda i: F.concat(F.lit("v"), i, F.lit(" v"), i))
+    once = F.lit("steam1 steam2 alone")
+    rows = spark.range(270).select(F.concat_ws(" ", F.array_join(twice, " "), F.when(F.col("id") == 0, once)).alias("text"))
+    known = toxicity.vocabulary(rows)
+    assert len(known) == 270_000 + 1
+    words = next(iter(toxicity.document_words(pa.array(["v0 v131071 v269999 steam9 alone v270000"]))))
+    ids = toxicity._ids(words, known)
+    assert (ids[:4] > 0).all() and len({*ids[:4].tolist()}) == 4 and (ids[4:] == 0).all()
+
+
 def test_most_takes_the_largest(spark):
     rows = spark.range(1, 1001).selectExpr("id", "cast(id as double) v")
     found = sorted(r.id for r in common.most(rows, "v", 300).collect())

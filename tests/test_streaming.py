@@ -290,6 +290,24 @@ def test_a_hot_key_is_one_row_of_the_state_operator(spark):
     assert (hot["first_us"], '"experiment_id":"e"' in hot["found"]) == (1_000_000, True)
 
 
+def test_the_second_level_decides_without_python(spark, plan):
+    """Two batches at once after a remembered hit, a remembered miss that lasts, one that ends between them, and nothing."""
+    memory = spark.createDataFrame([("hit", "x", None, 0), ("lasts", None, 9_000_000, 0), ("ends", None, 5_000_000, 0)], assignments.MEMORY)
+    rows = [(key, b, 4_000_000 + b, 4_500_000 + b * 1_000_000, f"new{b}" if b == 1 else None) for key in ("hit", "lasts", "ends", "none") for b in (1, 2)]
+    searched = spark.createDataFrame(rows[::-1], "lookup_key string, source_batch long, first_us long, last_us long, found string")
+    decided = assignments.decide(searched, memory, 10)
+    assert "Python" not in plan(decided) and "Pandas" not in plan(decided)
+    got = {r["lookup_key"]: ([tuple(d) for d in r["decisions"]], r["answer"], r["expires"], r["changed"]) for r in decided.collect()}
+    assert got == {
+        "hit": ([(1, "x", assignments.FOR_GOOD, "new1"), (2, "x", assignments.FOR_GOOD, None)], "x", None, False),
+        "lasts": ([(1, None, 9_000_000, "new1"), (2, None, 9_000_000, None)], None, 9_000_000, False),
+        "ends": ([(1, None, 5_000_000, "new1"), (2, "new1", assignments.FOR_GOOD, None)], "new1", None, True),
+        "none": ([(1, None, None, "new1"), (2, "new1", assignments.FOR_GOOD, None)], "new1", None, True),
+    }
+    later = assignments.decide(searched.where("source_batch = 2"), memory, 10).collect()
+    assert {r["lookup_key"]: r["expires"] for r in later} == {"hit": None, "lasts": 9_000_000, "ends": 15_000_000, "none": 14_000_002}
+
+
 def test_assignment_stream(spark, tmp_path):
     docs = spark.createDataFrame([doc("e", user="u1"), doc("m", user="user4", kind="modulus", user_mod=3)], DOCS)
     index = experiments.build_index(docs)

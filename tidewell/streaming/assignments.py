@@ -7,11 +7,13 @@ task's rows:
 1. ``search_stream``.  Each micro-batch reduces its lookups to one row per
    lookup key, combined before the shuffle, and searches those.  The lookups
    themselves stay where they are, in the table of the batch.
-2. ``answer_stream``.  The searched keys pass ``transformWithState``: the state
-   of a key is what it remembers, and a timer removes a miss once event time has
-   passed its expiry.  The operator gets one row per key and batch, however hot
-   the key is.  Its decisions are joined back to the batch's lookups, a join
-   whose hot keys adaptive execution splits.
+2. ``answer_stream``.  The searched keys of a batch are joined with what is
+   remembered, a table of one row per key that is kept as pieces of a batch
+   each; what a batch changes is its piece, so a batch that runs again reads
+   what was there before it.  A miss is removed once event time has passed its
+   expiry.  The join gets one row per key and batch, however hot the key is, and
+   runs no Python.  Its decisions are joined back to the batch's lookups, a
+   join whose hot keys adaptive execution splits.
 
 Event time is the newest lookup seen, carried as a rising ``clock`` on every
 searched key; so a late lookup is still answered, and no clock of a machine is
@@ -21,16 +23,17 @@ an edit of an experiment shows for keys that are not remembered.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from tidewell.functions.hashing import lookup_key
 from tidewell.operators import experiments
 from tidewell.session import shuffle_partitions
-from tidewell.streaming.tables import BatchClock, BatchTable, ROCKSDB, STATE_STORE
+from tidewell.streaming.tables import BatchClock, BatchTable, MergedTable
 
 FOUND = "experiment_id string, score double, passes boolean, document struct<{}>".format(
     ", ".join(f"{name}: string" for name in experiments.DOCUMENT)
@@ -38,8 +41,10 @@ FOUND = "experiment_id string, score double, passes boolean, document struct<{}>
 _FOUND_COLUMNS = ["experiment_id", "score", "passes", "document"]
 #: Searched keys: what the batch's search found is one JSON text, null when it found none.
 SEARCHED = "source_batch long, lookup_key string, first_us long, last_us long, clock timestamp, found string"
-DECIDED = "source_batch long, lookup_key string, remembered string, covered_until long, found string"
-#: Times in the state are microseconds; a hit is covered until the end of time.
+#: What a key remembers: an answer for good, or until when it found none.
+MEMORY = "lookup_key string, answer string, expires long, version long"
+_DECISIONS = "array<struct<source_batch: long, remembered: string, covered_until: long, found: string>>"
+#: Times are microseconds; a hit is covered until the end of time.
 FOR_GOOD = 2**63 - 1
 
 
@@ -59,57 +64,6 @@ def searched_keys(keyed: DataFrame, index: DataFrame, batch: int) -> DataFrame:
     )
 
 
-class Remember(StatefulProcessor):
-    """What a lookup key remembers: an answer for good, or until when it found none."""
-
-    def __init__(self, miss_seconds: int):
-        self.lifetime = miss_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.answer = handle.getValueState("answer", "found string, expires long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.answer.get()
-        held = before
-        for row in sorted(rows, key=lambda r: r["source_batch"]):
-            until = None
-            if held is not None:
-                until = FOR_GOOD if held[0] is not None else held[1]
-            yield Row(
-                source_batch=row["source_batch"],
-                lookup_key=key[0],
-                remembered=None if held is None else held[0],
-                covered_until=until,
-                found=row["found"],
-            )
-            if until is None or row["last_us"] >= until:
-                # Some lookup was not covered: what the search of this batch found is remembered.
-                searched_at = row["first_us"] if until is None else max(row["first_us"], until)
-                held = (row["found"], None if row["found"] is not None else searched_at + self.lifetime)
-        if held != before:
-            self.answer.update(held)
-            if before is not None and before[1] is not None:
-                self.handle.deleteTimer(_timer(before[1]))
-            if held[1] is not None:
-                self.handle.registerTimer(_timer(held[1]))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """A miss leaves the state; what has been found meanwhile stays."""
-        held = self.answer.get()
-        if held is not None and held[1] is not None and _timer(held[1]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.answer.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def _timer(micros: int) -> int:
-    """The first whole millisecond at or after a time."""
-    return -(-micros // 1000)
-
-
 def search_stream(
     lookups: DataFrame, index: Callable[[], DataFrame], keyed: BatchTable, searched: BatchTable, checkpoint: str
 ) -> DataStreamWriter:
@@ -135,13 +89,44 @@ def searched_batches(spark: SparkSession, searched: BatchTable) -> DataFrame:
     return spark.readStream.schema(SEARCHED).option("maxFilesPerTrigger", each).parquet(f"{searched.root}/batch=*")
 
 
-def decide(searched: DataFrame, miss_seconds: int = experiments.MISS_SECONDS) -> DataFrame:
-    """Per key and batch: what was remembered, for lookups before ``covered_until``, and what the others get."""
-    searched.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    clocked = searched.withWatermark("clock", "1 second")  # rows of the newest clock are not late
-    return clocked.groupBy("lookup_key").transformWithState(
-        Remember(miss_seconds), DECIDED, outputMode="Append", timeMode="EventTime"
-    )
+def _newest(rows: DataFrame, expired: int | None = None) -> DataFrame:
+    """The newest memory of each key, without misses whose expiry the time ``expired`` has passed.
+
+    A key never forgets a hit, and a miss is followed only by later ones, so
+    dropping one brings back none before it.
+    """
+    newest = rows.groupBy("lookup_key").agg(F.max_by(F.struct("answer", "expires", "version"), "version").alias("_row"))
+    newest = newest.select("lookup_key", "_row.*")
+    return newest if expired is None else newest.where(F.col("expires").isNull() | (F.col("expires") > expired))
+
+
+def decide(searched: DataFrame, memory: DataFrame, miss_seconds: int = experiments.MISS_SECONDS) -> DataFrame:
+    """Per key its ``decisions``, one a batch, and what it remembers then: ``answer``, ``expires`` and whether that ``changed``.
+
+    A decision is what was remembered, for lookups before ``covered_until``, and what the others get.
+    """
+    lifetime = miss_seconds * 1_000_000
+    rows = searched.groupBy("lookup_key").agg(F.array_sort(F.collect_list(F.struct("source_batch", "first_us", "last_us", "found"))).alias("rows"))
+    held = memory.select("lookup_key", "answer", "expires", F.lit(True).alias("held"))
+    none = F.array().cast(_DECISIONS)
+    zero = F.struct(F.coalesce("held", F.lit(False)).alias("held"), "answer", "expires", F.lit(False).alias("changed"), none.alias("decisions"))
+
+    def step(before: Column, row: Column) -> Column:
+        until = F.when(before["held"], F.when(before["answer"].isNotNull(), F.lit(FOR_GOOD)).otherwise(before["expires"]))
+        decision = F.struct(row["source_batch"].alias("source_batch"), before["answer"].alias("remembered"), until.alias("covered_until"), row["found"].alias("found"))
+        # Some lookup was not covered: what the search of this batch found is remembered.
+        taken = until.isNull() | (row["last_us"] >= until)
+        expires = F.when(row["found"].isNull(), F.greatest(row["first_us"], until) + lifetime)
+        return F.struct(
+            (before["held"] | taken).alias("held"),
+            F.when(taken, row["found"]).otherwise(before["answer"]).alias("answer"),
+            F.when(taken, expires).otherwise(before["expires"]).alias("expires"),
+            (before["changed"] | taken).alias("changed"),
+            F.concat(before["decisions"], F.array(decision)).alias("decisions"),
+        )
+
+    folded = rows.join(held, "lookup_key", "left").select("lookup_key", F.aggregate("rows", zero, step).alias("after"))
+    return folded.select("lookup_key", "after.decisions", "after.answer", "after.expires", "after.changed")
 
 
 def answered(keyed: DataFrame, decided: DataFrame) -> DataFrame:
@@ -163,24 +148,47 @@ def answer_stream(
 ) -> DataStreamWriter:
     """The stream writer of the second level; ``searched`` streams the table that ``search_stream`` writes."""
 
-    def process(decided: DataFrame, batch_id: int) -> None:
-        spark = decided.sparkSession
-        decided.persist()
+    def process(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        clocks = BatchTable(f"{checkpoint}/clocks")
+        # Misses leave after the batch that event time passes their expiry before.
+        memory = _memory(checkpoint, _passed(spark, clocks, batch_id - 1))
+        before = memory.read(spark, before=batch_id)
+        decided = decide(rows, spark.createDataFrame([], MEMORY) if before is None else before, miss_seconds).persist()
         try:
+            decisions = decided.select("lookup_key", F.explode("decisions").alias("d")).select("lookup_key", "d.*")
             # A few numbers: the searched batches that this one has read.
-            sources = [r[0] for r in decided.select("source_batch").distinct().collect()]
+            sources = [r[0] for r in decisions.select("source_batch").distinct().collect()]
             if sources:
                 lookups = keyed.read(spark, after=min(sources) - 1, before=max(sources) + 1)
                 lookups = lookups.withColumnRenamed("batch", "source_batch").where(F.col("source_batch").isin(sources))
-                answers.write(answered(lookups, decided), batch_id)
+                answers.write(answered(lookups, decisions), batch_id)
+            changed = decided.where("changed").select("lookup_key", "answer", "expires", F.lit(batch_id).cast("long").alias("version"))
+            clocks.write(rows.agg(F.max("clock").alias("clock")), batch_id)
+            memory.write(changed, batch_id)
         finally:
             decided.unpersist()
 
-    return decide(searched, miss_seconds).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    return searched.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+
+
+#: Batches from one snapshot of what is remembered to the next.
+COMPACT_EVERY = 20
+
+
+def _memory(checkpoint: str, expired: int | None) -> MergedTable:
+    return MergedTable(f"{checkpoint}/memory", functools.partial(_newest, expired=expired), COMPACT_EVERY)
+
+
+def _passed(spark: SparkSession, clocks: BatchTable, before: int | None = None) -> int | None:
+    """The time that event time has passed in the batches before one, a second behind the newest lookup."""
+    seen = clocks.read(spark, before=before)
+    newest = None if seen is None else seen.agg(F.unix_micros(F.max("clock"))).first()[0]
+    return None if newest is None else newest // 1000 * 1000 - 1_000_000
 
 
 def remembered(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The state of ``answer_stream``: ``lookup_key, found, expires`` of every key that remembers something."""
-    state = spark.read.format("statestore").option("stateVarName", "answer").load(checkpoint)
-    expires = F.timestamp_micros("value.expires")
-    return state.select("key.lookup_key", "value.found", expires.alias("expires"))
+    """What ``answer_stream`` remembers: ``lookup_key, found, expires`` of every key that remembers something."""
+    memory = _memory(checkpoint, _passed(spark, BatchTable(f"{checkpoint}/clocks"))).read(spark)
+    memory = spark.createDataFrame([], MEMORY) if memory is None else memory
+    return memory.select("lookup_key", F.col("answer").alias("found"), F.timestamp_micros("expires").alias("expires"))
